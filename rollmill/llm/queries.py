@@ -28,12 +28,24 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return draw(table(spark, sf_dir, "documents")).drop("__key")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollmill.llm.substring import deduplicate
+
+    return deduplicate(table(spark, sf_dir, "documents"), length=35)
+
+
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rollmill.llm.licences import scan_licences
 
     return scan_licences(table(spark, sf_dir, "documents"))
 
 
+def op8_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollmill.llm.tiling import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,7 +55,14 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_sharding": op1_sharding, "op3_mixing": op3_mixing, "op6_licences": op6_licences, "op10_token_files": op10_token_files}
+    return {
+        "op1_sharding": op1_sharding,
+        "op3_mixing": op3_mixing,
+        "op5_substring_dedup": op5_substring_dedup,
+        "op6_licences": op6_licences,
+        "op8_tiling": op8_tiling,
+        "op10_token_files": op10_token_files,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
