@@ -22,6 +22,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollmill.llm.jaccard import classes
+
+    return classes(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rollmill.llm.mixing import draw
 
@@ -57,6 +63,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_sharding": op1_sharding,
+        "op2_jaccard_join": op2_jaccard_join,
         "op3_mixing": op3_mixing,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_licences": op6_licences,
