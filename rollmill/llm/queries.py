@@ -34,6 +34,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return draw(table(spark, sf_dir, "documents")).drop("__key")
 
 
+def op4_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollmill.llm.perplexity import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rollmill.llm.substring import deduplicate
 
@@ -65,6 +71,7 @@ def queries() -> dict[str, Query]:
         "op1_sharding": op1_sharding,
         "op2_jaccard_join": op2_jaccard_join,
         "op3_mixing": op3_mixing,
+        "op4_perplexity": op4_perplexity,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_licences": op6_licences,
         "op8_tiling": op8_tiling,
