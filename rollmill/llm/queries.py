@@ -52,6 +52,13 @@ def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents"))
 
 
+def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollmill.llm.linecrf import classify, train
+
+    docs = table(spark, sf_dir, "documents")
+    return classify(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rollmill.llm.tiling import contaminated
 
@@ -74,6 +81,7 @@ def queries() -> dict[str, Query]:
         "op4_perplexity": op4_perplexity,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_licences": op6_licences,
+        "op7_line_crf": op7_line_crf,
         "op8_tiling": op8_tiling,
         "op10_token_files": op10_token_files,
     }
