@@ -65,6 +65,12 @@ def op8_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollmill.llm.grulm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -83,6 +89,7 @@ def queries() -> dict[str, Query]:
         "op6_licences": op6_licences,
         "op7_line_crf": op7_line_crf,
         "op8_tiling": op8_tiling,
+        "op9_gru_lm": op9_gru_lm,
         "op10_token_files": op10_token_files,
     }
 

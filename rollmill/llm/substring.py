@@ -34,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollmill.llm.chunks import PACKED, chunked, digest, pack, unpack
 from rollmill.llm.cluster import buckets_for, text_bytes
 from rollmill.llm.filters import FILTER_BITS, bit_filter, passes
 from rollmill.llm.textkernel import Words, windows, word_groups
 
 LENGTH, PERIOD = 35, 21
-CHUNK_ROWS, CHUNK_BYTES = 4096, 4 << 20
 #: Anchors that a task gathers before it sends them.
 SEND = 1 << 20
 
@@ -134,35 +134,6 @@ def repeated(hashes: np.ndarray, marks: np.ndarray) -> np.ndarray:
     return out | (marks != 0)
 
 
-def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int | None], list[str | None]]]:
-    """(chunk, ids, texts), cut by rows and bytes alone and not by how the rows came in batches."""
-    from pyspark import TaskContext
-
-    part, k = TaskContext.get().partitionId(), 0
-    ids: list = []
-    texts: list = []
-    held = 0
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids.append(doc_id)
-            texts.append(text)
-            held += len(text) if text else 0
-            if len(ids) >= CHUNK_ROWS or held >= CHUNK_BYTES:
-                yield part << 32 | k, ids, texts
-                ids, texts, held, k = [], [], 0, k + 1
-    if ids:
-        yield part << 32 | k, ids, texts
-
-
-def digest(ids: list, texts: list) -> int:
-    out = hashlib.blake2b(digest_size=8)
-    for doc_id, text in zip(ids, texts, strict=True):
-        out.update(f"{doc_id}\0{-1 if text is None else len(text)}\0".encode())
-        if text:
-            out.update(text[:64].encode())
-    return int.from_bytes(out.digest(), "little", signed=True)
-
-
 def _without(found: np.ndarray, answers: np.ndarray) -> np.ndarray:
     at = np.searchsorted(answers, found)
     at[at == len(answers)] = 0
@@ -215,18 +186,8 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, period: int = PERIOD, id_
 
     answers = source.mapInArrow(ask, REQUEST + ", digest long").groupBy("bucket").applyInArrow(answer, "chunk long, digest long, hashes binary")
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, ids, texts in chunked(batches):
-            sink = pa.BufferOutputStream()
-            table = pa.table({"id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.large_string())})
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_table(table)
-            yield pa.RecordBatch.from_pydict({"chunk": [chunk], "digest": [digest(ids, texts)], "docs": [sink.getvalue().to_pybytes()]})
-
     def cover(left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows != 1 or any(d != left["digest"][0].as_py() for d in right["digest"].to_pylist()):
-            raise RuntimeError("the input was not read the same way twice; write it as a table first")
-        table = pa.ipc.open_stream(left["docs"][0].as_py()).read_all()
+        table = unpack(left, right["digest"].to_pylist())
         known = np.unique(np.frombuffer(b"".join(x.as_py() for x in right["hashes"]), np.uint64))
         n_words, n_removed, kept_sha, kept_text = [], [], [], []
         for words in word_groups(table["text"]):
@@ -252,7 +213,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, period: int = PERIOD, id_
         out = {"doc_id": table["id"], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(kept_sha, pa.string())}
         return pa.table(out | ({"kept_text": pa.array(kept_text, pa.binary()).cast(pa.string())} if keep_text else {}))
 
-    packed = source.mapInArrow(pack, "chunk long, digest long, docs binary")
+    packed = source.mapInArrow(pack, PACKED)
     schema = f"{id_col} long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if keep_text else "")
 
     def named(left: pa.Table, right: pa.Table) -> pa.Table:
