@@ -37,13 +37,22 @@ from rollmill.llm.cluster import buckets_for, shared_path, text_bytes
 END_ID = 2
 SEQUENCE = 2048
 SEQUENCES_PER_BATCH = 256
-CACHE_WORDS = 300_000
+#: Words of each of the cache's two generations.
+CACHE_WORDS = 400_000
+ENCODE_ROWS = 256
 
 _encoders: dict[str, "WordEncoder"] = {}
 
 
 class WordEncoder:
-    """ids of texts as bytes of little-endian unsigned integers; one per tokenizer and process."""
+    """ids of texts as bytes of little-endian unsigned integers; one per tokenizer and process.
+
+    Unknown words go to the tokenizer many at a time, kept apart by a control character that is a
+    token of its own. Words in the cache are in ASCII lower case, as the tokenizer lowers all text
+    but its special tokens; texts that may hold such a token are encoded directly.
+    """
+
+    SEPARATOR = "\x01"
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -51,27 +60,46 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
+        self.specials = [token.content.lower().encode() for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.by_word = all(self._ids(x) == self._ids("a") + self._ids("b.") for x in ("a b.", "a\tb.", "A  B.\n")) and len(self._ids(self.SEPARATOR)) == 1
+        self.mark = self._ids(self.SEPARATOR)[0]
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def direct(self, text: str) -> bytes:
+        return np.array(self._ids(text), self.kind).tobytes()
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.cache) + len(words) > CACHE_WORDS:
-            self.cache.clear()
-        new = list(words)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for word, encoding in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.cache[word] = np.array(encoding.ids, self.kind).tobytes()
-
-    def encode(self, text: str | None) -> bytes:
-        words = (text or "").encode().split()  # at the six ASCII white-space bytes
-        try:
-            return b"".join(map(self.cache.__getitem__, words))
-        except KeyError:
-            needed = set(words)
-            self.learn(needed - self.cache.keys())
-            if not needed <= self.cache.keys():  # the cache was cleared
-                self.learn(needed - self.cache.keys())
-            return b"".join(map(self.cache.__getitem__, words))
+        if len(self.cache) > CACHE_WORDS:
+            self.cache, self.older = {}, self.cache
+        new = []
+        for word in words:
+            if word not in self.cache:
+                if (ids := self.older.get(word)) is not None:
+                    self.cache[word] = ids
+                else:
+                    new.append(word)
+        for i in range(0, len(new), 256):
+            part = new[i : i + 256]
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {self.SEPARATOR} ".join([w.decode() for w in part])], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)) * self.kind.itemsize
+            flat, at = ids.tobytes(), 0
+            for word, end in zip(part, ends.tolist(), strict=True):
+                self.cache[word] = flat[at:end]
+                at = end + self.kind.itemsize
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        split: list[list[bytes] | None] = []
+        for text in texts:
+            raw = (text or "").encode().lower()
+            plain = self.by_word and b"\x01" not in raw and not any(x in raw for x in self.specials)
+            split.append(raw.split() if plain else None)  # at the six ASCII white-space bytes
+        self.learn(set().union(*[w for w in split if w]))
+        known = self.cache.__getitem__
+        return [b"".join(map(known, words)) if words is not None else self.direct(text) for words, text in zip(split, texts, strict=True)]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -163,12 +191,14 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         code, end, out, done = encoder(tokenizer), None, None, []
         end = np.array([end_id], code.kind).tobytes()
         for batch in batches:
-            for at, doc_id, text in zip(batch.column("shard").to_pylist(), batch.column("id").to_pylist(), batch.column("text"), strict=True):
-                if out is None or out.shard != at:
-                    if out is not None:
-                        done.append(out.close())
-                    out = SequenceWriter(folder, at, code.kind, length)
-                out.add(doc_id, code.encode(text.as_py()) + end)
+            for part in range(0, len(batch), ENCODE_ROWS):
+                rows = batch.slice(part, ENCODE_ROWS)
+                for at, doc_id, ids in zip(rows.column("shard").to_pylist(), rows.column("id").to_pylist(), code.encode_all(rows.column("text").to_pylist()), strict=True):
+                    if out is None or out.shard != at:
+                        if out is not None:
+                            done.append(out.close())
+                        out = SequenceWriter(folder, at, code.kind, length)
+                    out.add(doc_id, ids + end)
         if out is not None:
             done.append(out.close())
         if done:
