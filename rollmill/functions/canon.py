@@ -12,28 +12,29 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rollmill.functions import jsonrules
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def canonical_json(column: pa.Array) -> pa.Array:
     return jsonrules.each(column, jsonrules.canonical, pa.string())
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def fingerprint(column: pa.Array) -> pa.Array:
     """SHA-256 of the canonical JSON."""
     return jsonrules.each(column, lambda x: hashlib.sha256(jsonrules.canonical(x).encode()).hexdigest(), pa.string())
 
 
-@F.arrow_udf("boolean")
+@F.arrow_udf(T.BooleanType())
 def has_reasoning(column: pa.Array) -> pa.Array:
     """A non-empty value under a reasoning key, or a think tag, anywhere."""
     return jsonrules.each(column, lambda x: jsonrules.reasons(x, False), pa.bool_(), False)
 
 
-@F.arrow_udf("boolean")
+@F.arrow_udf(T.BooleanType())
 def contains_reasoning(column: pa.Array) -> pa.Array:
     """A reasoning key, or a think tag, anywhere."""
     return jsonrules.each(column, lambda x: jsonrules.reasons(x, True), pa.bool_(), False)
@@ -43,18 +44,18 @@ def arguments_key(unordered: dict[str, set[tuple[str, ...]]] | None = None, fiel
     """A UDF (tool, arguments JSON) -> canonical string, so that semantic equality becomes an equi-join key."""
     loose, kept = unordered or {}, fields or {}
 
-    @F.arrow_udf("string")
+    @F.arrow_udf(T.StringType())
     def key(tool: pa.Array, arguments: pa.Array) -> pa.Array:
         return pa.array([jsonrules.arguments_string(n, t, loose, kept) for n, t in zip(tool.to_pylist(), arguments.to_pylist(), strict=True)], pa.string())
 
     return key
 
 
-@F.arrow_udf("boolean")
+@F.arrow_udf(T.BooleanType())
 def argument_pattern_matches(pattern: pa.Array, arguments: pa.Array) -> pa.Array:
     return pa.array([jsonrules.pattern_holds(p, a) for p, a in zip(pattern.to_pylist(), arguments.to_pylist(), strict=True)], pa.bool_())
 
 
-@F.arrow_udf("boolean")
+@F.arrow_udf(T.BooleanType())
 def quote_in_generation(quote: pa.Array, text: pa.Array) -> pa.Array:
     return pa.array([jsonrules.quoted(q, t) for q, t in zip(quote.to_pylist(), text.to_pylist(), strict=True)], pa.bool_())
