@@ -23,21 +23,21 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rollmill.llm.cluster import checkpointed
-from rollmill.llm.textkernel import spans, groups, SPACE
-
-import numpy as np
+from rollmill.llm.textkernel import SPACE, groups, spans
 
 BLOCK_BITS = 10
 BLOCKS = 1 << BLOCK_BITS
 CUTS = 16
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(T.LongType())
 def n_words(text: pa.Array) -> pa.Array:
     counts = [np.zeros(0, np.int64)]
     for _, data, offsets in groups(text):
