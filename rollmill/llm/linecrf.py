@@ -33,7 +33,7 @@ FOLDS, THRESHOLD = 5, 0.3
 #: Bound of the sample that the model is fitted on.
 TRAIN_DOCUMENTS = 2500
 STEPS, RATE, DECAY = 120, 0.08, 1e-3
-GROUP = 4 << 20
+GROUP = 1 << 20
 
 _CLASSES = {
     "lower": [*range(97, 123)],
