@@ -43,7 +43,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, LEAST_DEPTH = 20, 5, 3
 TARGET_RECALL = 0.9995
 #: Representatives of one side of a block of pairs.
-BLOCK = 1024
+BLOCK = 256
 #: Signatures that agree in less than threshold - SLACK of their values are not verified (over five standard deviations).
 SLACK = 0.2
 
