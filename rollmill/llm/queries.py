@@ -96,5 +96,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     from rollmill.llm.licences import scan_sql
+    from rollmill.llm.oracles import jaccard_sql, sharding_sql, substring_sql
 
-    return {"op6_licences": scan_sql()}
+    return {"op1_sharding": sharding_sql(), "op2_jaccard_join": jaccard_sql(), "op5_substring_dedup": substring_sql(), "op6_licences": scan_sql()}
