@@ -46,8 +46,10 @@ def leaking(docs: DataFrame, benchmark: DataFrame, key: str, text: str = "text",
     short = items.where(F.size("__w") < words + 2).select("__p")
     # the words are bound once, as the variable of an outer lambda, and not cut again for each run
     grams = F.transform(F.array(cut(F.col(text))), lambda a: F.when(F.size(a) >= words, F.array_distinct(runs(a))))
-    grams = docs.select(key, text, F.explode(F.flatten(grams)).alias("__h"))
-    hits = grams.join(long, "__h").where(F.contains(F.col(text), F.col("__p"))).select(key)
+    grams = docs.select(key, F.explode(F.flatten(grams)).alias("__h"))
+    # texts meet candidates alone: no text travels with its runs
+    likely = grams.join(long, "__h").select(key, "__p").distinct()
+    hits = docs.select(key, text).join(likely, key).where(F.contains(F.col(text), F.col("__p"))).select(key)
     few = docs.join(short, F.contains(F.col(text), F.col("__p")), "left_semi").select(key)
     return hits.union(few).distinct()
 

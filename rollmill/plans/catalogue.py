@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rollmill.functions import canon, scalars
 from rollmill.operators import credit as credits
-from rollmill.operators import curation, evaluation, events, groups, matching, profiling, progress, replay, reward, subgoals
+from rollmill.operators import curation, evaluation, events, groups, matching, profiling, progress, records, replay, reward, subgoals
 from rollmill.plans import bridges as b
 from rollmill.sources.shared import shared_path
 from rollmill.streaming import barrier
@@ -582,6 +582,112 @@ def event_windows(spark, sf_dir):
     return out.select(F.col("window.start").alias("start"), "event_type", "n", (F.round("value", 4) + F.lit(0.0)).alias("value"))
 
 
+# Records, annotations and sets
+
+
+@query(
+    b.with_(b.TURNS)
+    + """SELECT trajectory_id, turn, start, start + tokens AS "end", coalesce(start < lag(start + tokens) OVER (PARTITION BY trajectory_id ORDER BY turn), false) AS overlaps FROM (
+  SELECT *, prompt_len - first_value(prompt_len) OVER (PARTITION BY trajectory_id ORDER BY turn) AS start FROM (
+    SELECT trajectory_id, turn, tokens, 100 + 30 * turn AS prompt_len FROM b_turns))"""
+)
+def token_offsets(spark, sf_dir):
+    rows = b.turns(spark, sf_dir).select("trajectory_id", F.col("turn").cast("long").alias("turn"), (100 + 30 * F.col("turn")).cast("long").alias("prompt_len"), F.col("tokens").alias("output_len"))
+    return progress.token_offsets(rows, order="turn").select("trajectory_id", "turn", "start", "end", "overlaps")
+
+
+@query(
+    b.with_(b.MESSAGES)
+    + """, n AS NOT MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY dialog_id, role, content ORDER BY message_index) AS rn FROM b_messages),
+v AS NOT MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY dialog_id, role, content ORDER BY message_index) AS rn FROM b_messages WHERE role <> 'system' AND message_index % 3 > 0)
+SELECT n.dialog_id, n.message_index, v.message_index AS visible_message_index, v.message_index IS NULL AS has_content FROM n LEFT JOIN v ON n.dialog_id = v.dialog_id AND n.role = v.role AND n.content = v.content AND n.rn = v.rn"""
+)
+def compacted_transcript(spark, sf_dir):
+    rows = b.messages(spark, sf_dir).withColumn("tool_calls", F.lit(None).cast("string"))
+    out = records.compacted(rows, rows.where("role <> 'system' and message_index % 3 > 0"), by="dialog_id")
+    return out.select("dialog_id", "message_index", "visible_message_index", F.col("content").isNotNull().alias("has_content"))
+
+
+@query(
+    b.with_(b.TOOL_EVENTS)
+    + """, failed AS NOT MATERIALIZED (SELECT trajectory_id, 'rule-' || name AS rule_id, min(CASE WHEN name = 'error' THEN turn_id END) AS blamed, min(CASE WHEN name = 'click' THEN event_id END) AS event_id FROM b_tool_events WHERE name IN ('error', 'click', 'view') GROUP BY 1, name),
+moved AS NOT MATERIALIZED (SELECT trajectory_id, min(turn_id) AS turn_id FROM b_tool_events WHERE name = 'signup' GROUP BY 1)
+SELECT trajectory_id, rule_id, blamed - 1 AS turn, 'judge_explicit_blame' AS source FROM failed WHERE blamed IS NOT NULL
+UNION ALL SELECT f.trajectory_id, f.rule_id, e.turn_id - 1, 'tool_event_id' FROM failed f JOIN b_tool_events e ON f.trajectory_id = e.trajectory_id AND f.event_id = e.event_id WHERE f.blamed IS NULL
+UNION ALL SELECT trajectory_id, 'invalid_transfer', turn_id - 1, 'executed_tool' FROM moved"""
+)
+def policy_attribution(spark, sf_dir):
+    rows = b.tool_events(spark, sf_dir)
+    one = lambda value, name: F.array_compact(F.array(F.min(F.when(F.col("name") == name, F.col(value)))))
+    failed = rows.where("name in ('error', 'click', 'view')").groupBy("trajectory_id", F.concat(F.lit("rule-"), F.col("name")).alias("rule_id")).agg(one("turn_id", "error").alias("blamed_turns"), one("event_id", "click").alias("event_ids"))
+    moved = rows.where("name = 'signup'").groupBy("trajectory_id").agg(F.min("turn_id").alias("turn_id"))
+    return longs(records.policy_attribution(failed, rows, moved)[0], "turn")
+
+
+@query(b.with_(b.TOOL_EVENTS) + "SELECT trajectory_id, event_id, NOT bad AND rn = 1 AS awarded FROM (SELECT trajectory_id, event_id, NOT success AS bad, row_number() OVER (PARTITION BY NOT success, trajectory_id, args ORDER BY turn_id) AS rn FROM b_tool_events)")
+def first_clean_refusal(spark, sf_dir):
+    rows = b.tool_events(spark, sf_dir).select("trajectory_id", "event_id", "args", (~F.col("success")).alias("bad"), F.col("turn_id").alias("turn"))
+    return events.first_clean_refusals(rows, ["trajectory_id", "args"]).select("trajectory_id", "event_id", "awarded")
+
+
+@query(
+    b.with_(b.TOOL_EVENTS)
+    + """, t AS NOT MATERIALIZED (SELECT trajectory_id, min(sequence) AS at FROM b_tool_events WHERE name = 'signup' AND success GROUP BY 1),
+m AS NOT MATERIALIZED (SELECT e.trajectory_id, e.name FROM b_tool_events e JOIN t ON e.trajectory_id = t.trajectory_id WHERE e.success AND e.sequence < t.at AND e.name IN ('view', 'click') GROUP BY 1, 2 HAVING count(*) >= CASE e.name WHEN 'view' THEN 2 ELSE 1 END)
+SELECT t.trajectory_id, count(m.name) / 2.0::DOUBLE AS value FROM t LEFT JOIN m ON t.trajectory_id = m.trajectory_id GROUP BY 1"""
+)
+def pre_transfer_actions(spark, sf_dir):
+    rows = b.tool_events(spark, sf_dir)
+    wanted = spark.createDataFrame([("g1", "view", 2), ("g2", "click", 1)], "group_id string, name string, min_count int")
+    return events.pre_transfer_share(rows, events.first_transfer(rows, "signup"), wanted)
+
+
+@query(b.with_(b.TURNS, _PHI) + "SELECT trajectory_id, bool_or(NOT satisfied) AS included, CASE WHEN bool_or(NOT satisfied) THEN 'verified_unmet_progress' ELSE 'no_unmet_progress' END AS reason FROM phi GROUP BY 1")
+def training_selection(spark, sf_dir):
+    checks = b.turns(spark, sf_dir).select(F.col("trajectory_id").alias("task_id"), F.lit(True).alias("included"), F.col("satisfied").alias("initial"))
+    return records.training_selection(checks.select("task_id").distinct(), checks).select(F.col("task_id").alias("trajectory_id"), "included", "reason")
+
+
+@query("SELECT item_id || ':policy:' || rule AS criterion_id FROM benchmark, (VALUES ('user_identity'), ('refund_destination'), ('passenger_count')) AS r(rule)")
+def policy_rubric(spark, sf_dir):
+    tasks = b.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("task_id"))
+    return records.policy_rows(tasks, ["user_identity", "refund_destination", "passenger_count"]).select("criterion_id")
+
+
+@query("SELECT DISTINCT doc_id AS id FROM (SELECT doc_id FROM documents WHERE source = 'src1' UNION ALL SELECT doc_id FROM documents WHERE n_chars < 200)")
+def cleanup_union(spark, sf_dir):
+    docs = b.table(spark, sf_dir, "documents")
+    tagged = docs.where("source = 'src1'").select(F.lit("dynamic").alias("set_name"), F.col("doc_id").alias("id")).unionByName(docs.where("n_chars < 200").select(F.lit("template").alias("set_name"), F.col("doc_id").alias("id"))).unionByName(docs.select(F.lit("ablation").alias("set_name"), F.col("doc_id").alias("id")))
+    return curation.cleanup_sets(tagged, ["dynamic", "template"])
+
+
+@query("SELECT c_custkey, CASE WHEN s_suppkey IS NULL THEN c_acctbal ELSE s_acctbal END AS c_acctbal FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey")
+def repair_overlay(spark, sf_dir):
+    repairs = b.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_acctbal").alias("c_acctbal"))
+    return curation.overlay(b.table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), repairs, "c_custkey", ["c_acctbal"])
+
+
+@query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE n_chars > 500)")
+def manifest_gaps(spark, sf_dir):
+    """Labelled ids that no longer document has."""
+    docs = b.table(spark, sf_dir, "documents").where("n_chars > 500").select("doc_id")
+    return curation.unmatched_manifest(docs, b.table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
+
+
+@query("SELECT o_orderkey AS trajectory_id, o_custkey AS task_id FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1")
+def latest_validation(spark, sf_dir):
+    rows = b.rollouts(spark, sf_dir).select("trajectory_id", "task_id")
+    return groups.latest_by_session(rows, ["task_id"], "trajectory_id")
+
+
+@query(b.with_(b.ROLLOUTS, b.TURNS) + ", a AS NOT MATERIALIZED (SELECT trajectory_id, reward FROM b_rollouts), c AS NOT MATERIALIZED (SELECT trajectory_id, count(*) FILTER (WHERE satisfied) > 2 AS ok FROM b_turns GROUP BY 1) SELECT a.trajectory_id, reward AS base, CASE WHEN ok THEN 1.0 ELSE reward END::DOUBLE AS other FROM a JOIN c ON a.trajectory_id = c.trajectory_id WHERE abs(reward - CASE WHEN ok THEN 1.0 ELSE reward END) > 1e-12")
+def replay_changes(spark, sf_dir):
+    base = b.rollouts(spark, sf_dir).select("trajectory_id", "reward")
+    enough = b.turns(spark, sf_dir).groupBy("trajectory_id").agg((F.count_if("satisfied") > 2).alias("ok"))
+    both = base.join(enough, "trajectory_id")
+    return replay.changed(both, both.withColumn("reward", F.when(F.col("ok"), 1.0).otherwise(F.col("reward"))), ["trajectory_id"], "reward")
+
+
 # Without an equivalent in SQL
 
 
