@@ -63,7 +63,13 @@ class WordEncoder:
         self.specials = [token.content.lower().encode() for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.by_word = all(self._ids(x) == self._ids("a") + self._ids("b.") for x in ("a b.", "a\tb.", "A  B.\n")) and len(self._ids(self.SEPARATOR)) == 1
         self.mark = self._ids(self.SEPARATOR)[0]
+        self.model = self.tokenizer.model
+        self.marks = {m.encode(): self.direct(m) for m in ".,;:!?"}
+        # the shortcut holds for this tokenizer only if it gives these words the same ids
+        tests = ["a", "word", "unbelievably", "thes", "word.", "a,", "ing?", "zzxqy!", "i;", "ll:", "s", "re."]
         self.cache: dict[bytes, bytes] = {}
+        self.by_word = self.by_word and all(self._plain(w.encode()) and self.cache[w.encode()] == self.direct(w) for w in tests)
+        self.cache = {}
         self.older: dict[bytes, bytes] = {}
 
     def _ids(self, text: str) -> list[int]:
@@ -82,6 +88,7 @@ class WordEncoder:
                     self.cache[word] = ids
                 else:
                     new.append(word)
+        new = [word for word in new if not self._plain(word)]
         for i in range(0, len(new), 256):
             part = new[i : i + 256]
             ids = np.array(self.tokenizer.encode_batch_fast([f" {self.SEPARATOR} ".join([w.decode() for w in part])], add_special_tokens=False)[0].ids, self.kind)
@@ -91,6 +98,17 @@ class WordEncoder:
                 self.cache[word] = flat[at:end]
                 at = end + self.kind.itemsize
 
+    def _plain(self, word: bytes) -> bool:
+        """Keeps the ids of a word of ASCII letters, with or without one mark at its end; false for others.
+
+        Such letters are a piece of their own to every step before the merges, and so is a mark after them.
+        """
+        stem, mark = (word, b"") if word.isalpha() else (word[:-1], word[-1:])
+        if not self.by_word or not stem.isalpha() or (mark and mark not in self.marks):
+            return False
+        self.cache[word] = np.array([t.id for t in self.model.tokenize(stem.decode())], self.kind).tobytes() + self.marks.get(mark, b"")
+        return True
+
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         split: list[list[bytes] | None] = []
         for text in texts:
