@@ -2,38 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollmill.sources.shared import checkpointed, shared_dir, shared_path
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests on one machine) a temporary folder is made and set.
-    """
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    current = context.getCheckpointDir()
-    if current is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="rollmill-"))
-        current = context.getCheckpointDir()
-    return current.rstrip("/")
-
-
-def shared_path(spark: SparkSession, kind: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+__all__ = ["buckets_for", "checkpointed", "id_fold", "shared_dir", "shared_path", "shuffle_partitions", "text_bytes", "utf8_crc32"]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -168,7 +168,8 @@ def draw(docs: DataFrame, budget_tokens: int | None = None, entropy_share: float
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, **options) -> DataFrame:
     """``docs`` with each row as often as it is drawn, all columns kept."""
     drawn = draw(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    copies = drawn.select("__key", F.struct(F.col("source").isNull(), F.coalesce(F.col("source").cast("string"), F.lit(""))).alias("__s"), "copies").dropDuplicates(["__key", "__s"])
-    keyed = docs.withColumn("__key", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))).withColumn("__s", F.struct(F.col(source_col).isNull(), F.coalesce(F.col(source_col).cast("string"), F.lit(""))))
-    joined = keyed.join(copies.where("copies > 0"), ["__key", "__s"])
-    return joined.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[joined[c] for c in docs.columns])
+    named = lambda c: F.struct(c.isNull(), F.coalesce(c.cast("string"), F.lit("")))
+    copies = drawn.where("copies > 0").select("__key", named(F.col("source")).alias("__s"), F.col("copies").alias("__copies")).dropDuplicates(["__key", "__s"])
+    keyed = docs.withColumn("__key", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))).withColumn("__s", named(F.col(source_col)))
+    joined = keyed.join(copies, ["__key", "__s"])
+    return joined.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

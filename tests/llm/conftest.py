@@ -1,6 +1,6 @@
 import pytest
 
-DOC = "doc_id long, text string, lang string, source string, n_chars long, row_number string, place string, score string, shard string"
+DOC = "doc_id long, text string, lang string, source string, n_chars long, row_number string, place string, score string, shard string, copies string, id string, th string, rid string, n string, chunk string"
 
 
 @pytest.fixture(scope="session")
@@ -8,7 +8,7 @@ def make(spark):
     """Documents of (doc_id, text) or (doc_id, text, lang, source), with extra columns whose names the operators use themselves."""
 
     def build(rows, partitions=3):
-        full = [(*r, *[None] * (4 - len(r)), 0, "x", "y", "z", "w") for r in rows]
+        full = [(*r, *[None] * (4 - len(r)), 0, *"abcdefghij") for r in rows]
         return spark.createDataFrame(full, DOC).repartition(partitions) if full else spark.createDataFrame([], DOC)
 
     return build
