@@ -57,7 +57,7 @@ def coverage_complete(tasks: DataFrame, records: DataFrame, n: int, task: str =
 def report(records: DataFrame, tasks: DataFrame, n: int, ks: tuple[int, ...] = (1, 4)) -> DataFrame:
     """Macro metrics of a complete evaluation; no row while slots are missing."""
     gap = missing_slots(tasks, records, n).limit(1).agg(F.count(F.lit(1)).alias("gaps"))
-    return pass_hat_macro(records, ks).crossJoin(F.broadcast(gap)).where("gaps = 0").drop("gaps")  # one row with one row
+    return pass_hat_macro(records, ks).where(gap.scalar() == 0)
 
 
 def repaired_reward(db: Column, communicate: Column, normal_stop: Column) -> Column:

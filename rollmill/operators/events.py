@@ -121,7 +121,8 @@ def pre_transfer_share(events: DataFrame, transfers: DataFrame, groups: DataFram
     """Share of required action groups (group_id, name, min_count) met by successful events before the transfer."""
     before = events.join(transfers, by).where(F.col("success") & (F.col("sequence") < F.col("transfer_sequence")))
     met = before.join(groups, "name").groupBy(by, "group_id", "min_count").agg(F.count(F.lit(1)).alias("n")).where("n >= min_count")
-    return transfers.select(by).join(met.groupBy(by).agg(F.countDistinct("group_id").alias("m")), by, "left").crossJoin(groups.agg(F.countDistinct("group_id").alias("g"))).select(by, F.try_divide(F.coalesce("m", F.lit(0)), F.col("g")).alias("value"))
+    done = transfers.select(by).join(met.groupBy(by).agg(F.countDistinct("group_id").alias("m")), by, "left")
+    return done.select(by, F.try_divide(F.coalesce("m", F.lit(0)), groups.agg(F.countDistinct("group_id")).scalar()).alias("value"))
 
 
 def latest_snapshot(events: DataFrame, by: str = "trajectory_id", order: str = "sequence") -> DataFrame:

@@ -28,8 +28,7 @@ def select_valid_groups(rows: DataFrame, size: int, target: int, group: str = "t
     whole = placed.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min("__first").alias("first_arrival"), (F.max(reward) - F.min(reward)).alias("spread"))
     good = whole.where((F.col("n") == size) & (F.col("spread") > MIXED_EPSILON))
     best = good.orderBy("first_arrival", group).limit(target)  # a bounded top-k
-    enough = best.agg(F.count(F.lit(1)).alias("__have"))
-    chosen = best.crossJoin(F.broadcast(enough)).where(F.col("__have") == target).select(group, "first_arrival")  # against a single row
+    chosen = best.where(best.agg(F.count(F.lit(1))).scalar() == target).select(group, "first_arrival")
     return placed.join(chosen, group).drop("__first").withColumnRenamed("__rn", "place")
 
 

@@ -178,7 +178,7 @@ def leak_verify(spark, sf_dir):
     docs, manifest = b.table(spark, sf_dir, "documents").select("doc_id", "source"), _leaked(spark, sf_dir)
     kept = curation.leak_filter(docs, manifest, "doc_id")
     left = curation.residual(kept, manifest, "doc_id").agg(F.count(F.lit(1)).alias("residual"))
-    return left.crossJoin(F.broadcast(curation.unmatched_manifest(docs, manifest, "doc_id").agg(F.count(F.lit(1)).alias("unmatched"))))  # one row with one row
+    return left.withColumn("unmatched", curation.unmatched_manifest(docs, manifest, "doc_id").agg(F.count(F.lit(1))).scalar())
 
 
 _TAG = "regexp_matches(text, '(?i)</?think(?:\\s[^>]*)?>')"
