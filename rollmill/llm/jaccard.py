@@ -20,7 +20,7 @@ picked by a bit filter of fixed size.
 Results: class_id, the least id of the class; n_links, the number of other texts (of different
 words) with a similarity of ``threshold`` or more; n_copies, the rows with the same words.
 Nulls and texts without words have no shingles: they link to nothing and are classes of their own.
-Null ids sort before others in no comparison (a class of null ids alone has a null class_id).
+A class takes the least id that is not null (null, if all are).
 Repeated rows are copies of each other. Empty tables give empty results. Extra columns are ignored
 by ``classes`` and kept by ``keep_one``.
 """
@@ -359,8 +359,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **o
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each class: that of the least id (of equal rows, one). Rows without words all stay."""
     _, found = linked(docs, id_col=id_col, text_col=text_col, **options)
-    heads = found.select(F.col("class_id").alias("__id"), F.col("class_th").alias("__th")).distinct()
-    keyed = docs.withColumn("__t", F.xxhash64(F.col(text_col)))
+    # one exchange of the texts serves the join and the removal of equal rows: both go by the same keys
+    name = lambda row, th: F.xxhash64(row.cast("long"), th)
+    heads = found.select(name(F.col("class_id"), F.col("class_th")).alias("__j"), F.col("class_th").alias("__t")).distinct()
+    th = F.xxhash64(F.col(text_col))
+    keyed = docs.withColumn("__t", th).withColumn("__j", name(F.col(id_col), th))
     blank = F.col(text_col).isNull() | ~F.col(text_col).rlike(r"[^\x20\x09-\x0D]")
-    kept = keyed.where(~blank).join(heads, (F.col(id_col).cast("long").eqNullSafe(F.col("__id"))) & (F.col("__t") == F.col("__th")), "left_semi").dropDuplicates([id_col, "__t"])
-    return kept.drop("__t").unionByName(docs.where(blank))
+    kept = keyed.where(~blank).join(heads, ["__j", "__t"], "left_semi").dropDuplicates(["__j", "__t"])
+    return kept.select(*docs.columns).unionByName(docs.where(blank))
