@@ -40,13 +40,13 @@ def contains_reasoning(column: pa.Array) -> pa.Array:
     return jsonrules.each(column, lambda x: jsonrules.reasons(x, True), pa.bool_(), False)
 
 
-def arguments_key(unordered: dict[str, set[tuple[str, ...]]] | None = None, fields: dict[str, dict[str, frozenset[str]]] | None = None) -> Callable[[Column, Column], Column]:
+def arguments_key(unordered: dict[str, set[tuple[str, ...]]] | None = None, fields: dict[str, dict[str, frozenset[str]]] | None = None, without: tuple[str, ...] = ()) -> Callable[[Column, Column], Column]:
     """A UDF (tool, arguments JSON) -> canonical string, so that semantic equality becomes an equi-join key."""
-    loose, kept = unordered or {}, fields or {}
+    loose, kept = jsonrules.UNORDERED if unordered is None else unordered, jsonrules.MODEL_INPUTS if fields is None else fields
 
     @F.arrow_udf(T.StringType())
     def key(tool: pa.Array, arguments: pa.Array) -> pa.Array:
-        return pa.array([jsonrules.arguments_string(n, t, loose, kept) for n, t in zip(tool.to_pylist(), arguments.to_pylist(), strict=True)], pa.string())
+        return pa.array([jsonrules.arguments_string(n, t, loose, kept, without) for n, t in zip(tool.to_pylist(), arguments.to_pylist(), strict=True)], pa.string())
 
     return key
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollmill.functions.scalars import MUTATING_TOOLS
@@ -18,6 +18,23 @@ def candidates(actions: DataFrame, events: DataFrame, by: list[str], args: str =
     return actions.join(keep, [*[c for c in by if c in actions.columns], "name", args])
 
 
+def waived(expected: Column, state: Column) -> Column:
+    """Whether a baggage update costs nothing, so that how it is paid does not matter: no paid bag, or, with the state before it, no more than the reservation had."""
+    target = F.get_json_object(expected, "$.nonfree_baggages").try_cast("double")
+    prior = F.get_json_object(state, "$.nonfree_baggages").try_cast("int")
+    same = F.get_json_object(state, "$.reservation_id") == F.get_json_object(expected, "$.reservation_id")
+    return F.coalesce(F.when(state.isNull(), target == 0).otherwise(same & (prior >= 0) & target.between(F.lit(0.0), prior.cast("double"))), F.lit(False))
+
+
+def waived_candidates(actions: DataFrame, events: DataFrame, by: list[str]) -> DataFrame:
+    """Edges of free baggage updates, on the arguments without their payment (loose_key), with the waiver as what is left to test."""
+    name = "update_reservation_baggages"
+    usable = events.where((F.col("name") == name) & F.col("success") & F.col("db_effect").eqNullSafe(F.lit(True)))
+    keep = usable.select(*by, "loose_key", "event_id", "sequence", "turn_id", "state_before")
+    wanted = actions.where(F.col("name") == name)
+    return wanted.join(keep, [*[c for c in by if c in actions.columns], "loose_key"]).where(waived(F.col("arguments"), F.col("state_before")))
+
+
 def largest_match(edges: dict[str, list[tuple[int, int]]], order: Iterable[tuple[str, str]] = ()) -> dict[str, int]:
     """action -> event of the largest match. edges: action -> [(event, turn)]; order: (before, after) pairs.
 

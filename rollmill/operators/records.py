@@ -150,12 +150,18 @@ def baggage_changes(events: DataFrame, by: str = "trajectory_id") -> DataFrame:
     return rows.where("__delta <> 0").select(by, F.when(F.col("__delta") > 0, "baggage_pricing").otherwise("baggage_removal").alias("rule_id")).distinct()
 
 
+# Patterns of a reason that calls its turn bad.
+QUOTED = r"\"[^\"\n]*\"|`[^`\n]*`|(?<!\w)'[^'\n]+'(?!\w)"
+VERDICT = r"(?i)(?:^|[.!?;\n])\s*(?:(?:therefore|thus|so|verdict)[:,]?\s*)?(?:this is a bad turn|i(?:'ll| will) mark bad_turn true|bad_turn\s*[:=]\s*true)\s*(?:[.!;]|$)"
+CONCLUSION = r"(?i),\s*making it a bad turn\s*$"
+HEDGE = r"(?i)\b(?:if|unless|whether|uncertain|cannot conclude)\b"
+
+
 def contradicts(reason: Column, bad: Column, refusal: Column) -> Column:
     """A label that its own reason, quotes aside, contradicts."""
-    text = F.regexp_replace(reason, r"\"[^\"\n]*\"|`[^`\n]*`|(?<!\w)'[^'\n]+'(?!\w)", "")
-    asserts = text.rlike(r"(?i)(?:^|[.!?;\n])\s*(?:(?:therefore|thus|so|verdict)[:,]?\s*)?(?:this is a bad turn|i(?:'ll| will) mark bad_turn true|bad_turn\s*[:=]\s*true)\s*(?:[.!;]|$)")
-    ends = F.exists(F.split(text, r"[.!?;\n]"), lambda s: s.rlike(r"(?i),\s*making it a bad turn\s*$") & ~s.rlike(r"(?i)\b(?:if|unless|whether|uncertain|cannot conclude)\b"))
-    return F.when(bad, refusal).otherwise(F.coalesce(asserts | ends, F.lit(False)))
+    text = F.regexp_replace(reason, QUOTED, "")
+    concludes = F.exists(F.split(text, r"[.!?;\n]"), lambda s: s.rlike(CONCLUSION) & ~s.rlike(HEDGE))
+    return F.when(bad, refusal).otherwise(F.coalesce(text.rlike(VERDICT) | concludes, F.lit(False)))
 
 
 def decision_rules(target: str = "target_message_index", evidence: str = "evidence_message_indices") -> dict[str, Column]:

@@ -43,14 +43,17 @@ CREDIT_ROW_DDL = "uid string, session int, trajectory_id string, task_id string,
 SFT_ROW_DDL = "sample_id string, source_dialog_id string, turn_index int, messages array<struct<role:string,content:string,name:string,tool_calls:array<struct<name:string,arguments:string>>>>, tools_json string"
 
 # Enumerations of records.
-TERMINATIONS = ("user_stop", "agent_stop", "human_transfer", "max_steps", "max_errors", "parse_error", "hard_turn_limit", "budget_exhausted", "generation_truncated", "context_window_exceeded", "infrastructure_error", "environment_error", "user_simulator_error", "judge_error", "timeout", "unknown")
+TERMINATIONS = (
+    "agent_stop", "user_stop", "human_transfer", "environment_terminated", "budget_exhausted", "generation_truncated", "hard_turn_limit", "infrastructure_failure",
+    "max_steps", "timeout", "too_many_errors", "agent_error", "user_error", "infrastructure_error", "context_window_exceeded", "unexpected_error",
+)
 
 
 def trajectory_rules() -> dict[str, Column]:
     """Rules of a trajectory row, for ``checked``."""
     return {
         "identity": F.col("trajectory_id").isNotNull() & F.col("task_id").isNotNull(),
-        "termination": F.col("termination_reason").isNotNull(),
+        "termination": F.col("termination_reason").isin(*TERMINATIONS),
         "token_lengths": F.forall("token_turns", lambda t: F.size(t["output_token_ids"]) == F.size(t["output_old_log_probs"])),
         "inapplicable_checks_pass": F.forall("judge_checks", lambda c: c["applicable"] | (c["passed"] & (F.coalesce(F.size(c["violation_assistant_turn_ids"]), F.lit(0)) == 0))),
         "components": F.forall(F.map_values("custom_reward.components"), lambda c: c["applicable"] == c["value"].isNotNull()),

@@ -210,6 +210,14 @@ def test_match_in_a_plan(spark):
     assert {r.action_id for r in got.collect()} == {"a", "b"}
 
 
+def test_free_baggage_needs_no_payment(spark):
+    want = spark.createDataFrame([(1, "a", "update_reservation_baggages", '{"reservation_id": "r", "nonfree_baggages": 1, "payment_id": "p"}', "k")], "trajectory_id int, action_id string, name string, arguments string, loose_key string")
+    kind = "trajectory_id int, event_id int, sequence int, turn_id int, name string, loose_key string, success boolean, db_effect boolean, state_before string"
+    states = [None, '{"reservation_id": "r", "nonfree_baggages": 1}', '{"reservation_id": "r", "nonfree_baggages": 0}', '{"reservation_id": "q", "nonfree_baggages": 4}']
+    done = spark.createDataFrame([(1, i, i, i + 1, "update_reservation_baggages", "k", True, True, s) for i, s in enumerate(states)], kind)
+    assert [r.event_id for r in matching.waived_candidates(want, done, ["trajectory_id"]).collect()] == [1]
+
+
 def test_subgoals_pay_once_and_charge_once():
     write = lambda turn, ok, state: {"turn": turn, "matches": {0} if ok else set(), "names": {0}, "state": state, "effect": True, "outside": False}
     t = subgoals.trace(2, [False, False], 4, [write(1, True, [True, False]), write(2, False, [False, False]), write(3, True, [True, False]), write(4, False, [False, False])], set())

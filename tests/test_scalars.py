@@ -91,3 +91,14 @@ def test_patterns_and_quotes():
     assert not jsonrules.pattern_holds('{"a": {"eq": 1}}', '{"a": true}')
     assert jsonrules.quoted("the **very same** words", "x the very  same words y")
     assert not jsonrules.quoted("short", "short text")
+
+
+def test_affirmatives_say_nothing_else(spark):
+    replies = ["Yes.", "yes, please go ahead!", "YES book it please", "Yes, but cancel B instead", "ok", None]
+    assert one(spark, *[scalars.is_affirmative(F.lit(r).cast("string")) for r in replies]) == [True, True, True, False, False, False]
+
+
+def test_model_inputs_keep_their_fields():
+    f = lambda text: jsonrules.arguments_string("book_reservation", text, jsonrules.UNORDERED, jsonrules.MODEL_INPUTS)
+    assert f('{"passengers": [{"first_name": "A", "x": 1}, {"first_name": "B"}]}') == f('{"passengers": [{"first_name": "B"}, {"first_name": "A"}]}')
+    assert f('{"flights": [{"date": "1"}, {"date": "2"}]}') != f('{"flights": [{"date": "2"}, {"date": "1"}]}')
