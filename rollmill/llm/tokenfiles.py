@@ -22,6 +22,7 @@ texts. Extra input columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -41,6 +42,12 @@ SEQUENCES_PER_BATCH = 256
 CACHE_WORDS = 400_000
 ENCODE_ROWS = 256
 
+#: Words of a-z, ß-ö and ø-ÿ in UTF-8, and a mark or none.
+_PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([.,;:!?]?)")
+#: The byte-level alphabet of these letters' bytes: printable Latin-1 stands for itself, other bytes for 256 and on, in order.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_LEVEL = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
+
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -66,7 +73,7 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.marks = {m.encode(): self.direct(m) for m in ".,;:!?"}
         # the shortcut holds for this tokenizer only if it gives these words the same ids
-        tests = ["a", "word", "unbelievably", "thes", "word.", "a,", "ing?", "zzxqy!", "i;", "ll:", "s", "re."]
+        tests = ["a", "word", "unbelievably", "thes", "word.", "a,", "ing?", "zzxqy!", "i;", "ll:", "s", "re.", "é", "straße", "über,", "ñandú", "àâçèêëîïôûœ"[:10], "ÿö."]
         self.cache: dict[bytes, bytes] = {}
         self.by_word = self.by_word and all(self._plain(w.encode()) and self.cache[w.encode()] == self.direct(w) for w in tests)
         self.cache = {}
@@ -99,14 +106,17 @@ class WordEncoder:
                 at = end + self.kind.itemsize
 
     def _plain(self, word: bytes) -> bool:
-        """Keeps the ids of a word of ASCII letters, with or without one mark at its end; false for others.
+        """Keeps the ids of a word of lower-case Latin-1 letters, with or without one mark at its end; false for others.
 
-        Such letters are a piece of their own to every step before the merges, and so is a mark after them.
+        Such letters are a piece of their own to every step before the merges, which changes nothing but
+        the alphabet their bytes are written in, and so is a mark after them.
         """
-        stem, mark = (word, b"") if word.isalpha() else (word[:-1], word[-1:])
-        if not self.by_word or not stem.isalpha() or (mark and mark not in self.marks):
+        found = _PLAIN.fullmatch(word) if self.by_word else None
+        if not found:
             return False
-        self.cache[word] = np.array([t.id for t in self.model.tokenize(stem.decode())], self.kind).tobytes() + self.marks.get(mark, b"")
+        stem, mark = found.groups()
+        text = stem.decode() if stem.isascii() else stem.decode("latin-1").translate(_BYTE_LEVEL)
+        self.cache[word] = np.array([t.id for t in self.model.tokenize(text)], self.kind).tobytes() + self.marks.get(mark, b"")
         return True
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
