@@ -2,7 +2,8 @@
 
 Labels stay in distributed tables: each step is one aggregate and one join, cut by a reliable
 checkpoint, and the driver only compares a count and a hash. Hubs are pre-aggregated before the
-exchange, and the joins can be split by adaptive execution.
+exchange, and the least neighbours are tables of their own, so that adaptive execution can split
+the joins at a hub.
 """
 
 from __future__ import annotations
@@ -15,13 +16,13 @@ from rollmill.llm.cluster import checkpointed
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    least = checkpointed(both.groupBy("a").agg(F.min("b").alias("m"))).select("a", F.least("a", "m").alias("m"))
     return both.join(least, "a").where("b > a and b <> m").select(F.col("m").alias("a"), "b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     # here each edge has a < b; b's neighbours below it are tied to the least of them
-    least = edges.groupBy("b").agg(F.min("a").alias("m"))
+    least = checkpointed(edges.groupBy("b").agg(F.min("a").alias("m")))
     tied = edges.join(least, "b").where("a <> m").select("a", "m").unionAll(least.select(F.col("b").alias("a"), "m"))
     return tied.select(F.least("a", "m").alias("a"), F.greatest("a", "m").alias("b")).where("a <> b").distinct()
 
