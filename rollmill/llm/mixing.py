@@ -35,6 +35,8 @@ from rollmill.llm.textkernel import SPACE, groups, spans
 BLOCK_BITS = 10
 BLOCKS = 1 << BLOCK_BITS
 CUTS = 16
+#: Sources up to which their tables (some hundred bytes a row) are broadcast.
+BROADCAST_SOURCES = 20_000
 
 
 @F.arrow_udf(T.LongType())
@@ -88,17 +90,17 @@ def temperature(sources: DataFrame, budget: float, entropy_share: float | None,
 
 
 def _edge(units: DataFrame, block: str, before: list[str]) -> DataFrame:
-    """Per source: the block at the edge of the quota (null: all fit) and the tokens left for it."""
+    """Per source: the block at the edge of the quota (null: all fit) and the tokens left for it.
+
+    The blocks' sums are a table of their own, so that they are added up by source and block and
+    only they, not each task's share of them, meet in the source's window.
+    """
     w = Window.partitionBy("__src", *before).orderBy(block)
-    return (
-        units.groupBy("__src", *before, "__left", block)
-        .agg(F.sum("__tokens").alias("__t"))
-        .withColumn("__cum", F.sum("__t").over(w))
-        .where(F.col("__cum") > F.col("__left"))
-        .groupBy("__src", *before)
-        .agg(F.min_by(F.struct(F.col(block), (F.col("__left") - F.col("__cum") + F.col("__t")).alias("left")), block).alias("e"))
-        .select("__src", *before, F.col(f"e.{block}").alias(block), F.col("e.left").alias("__left"))
-    )
+    sums = checkpointed(units.groupBy("__src", *before, "__left", block).agg(F.sum("__tokens").alias("__t")))
+    over = sums.withColumn("__cum", F.sum("__t").over(w)).where(F.col("__cum") > F.col("__left"))
+    left = (F.col("__left") - F.col("__cum") + F.col("__t")).alias("left")
+    edge = over.groupBy("__src", *before).agg(F.min_by(F.struct(F.col(block), left), block).alias("e"))
+    return edge.select("__src", *before, F.col(f"e.{block}").alias(block), F.col("e.left").alias("__left"))
 
 
 def draw(docs: DataFrame, budget_tokens: int | None = None, entropy_share: float | None = 0.95, max_repetition: float | None = 4.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -116,7 +118,9 @@ def draw(docs: DataFrame, budget_tokens: int | None = None, entropy_share: float
         )
     )
     sources = checkpointed(units.groupBy("__src").agg(F.sum("__tokens").alias("n_tokens")))
-    total = sources.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    total, n_sources = sources.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count(F.lit(1))).first()
+    # tables of a row for each source: sent to all tasks if they are few, else joined by an exchange that a hot source may skew
+    small = F.broadcast if n_sources <= BROADCAST_SOURCES else lambda df: df
     budget = float(total if budget_tokens is None else budget_tokens)
     alpha = temperature(sources, budget, entropy_share, max_repetition)
     power = F.when(F.col("n_tokens") > 0, F.pow(F.col("n_tokens") / F.lit(float(max(total, 1))), F.lit(alpha))).otherwise(0.0)
@@ -134,14 +138,14 @@ def draw(docs: DataFrame, budget_tokens: int | None = None, entropy_share: float
     head = F.shiftrightunsigned(F.col("__key"), 64 - BLOCK_BITS)
     block = F.pmod(head * (F.pmod(turn, F.lit(BLOCKS // 2)) * 2 + 1) + F.shiftrightunsigned(turn, 32), F.lit(BLOCKS))
     placed = (
-        units.join(quotas, "__src")
+        units.join(small(quotas), "__src")
         .withColumn("__b1", block.cast("int"))
         .withColumn("__b2", F.shiftrightunsigned(F.shiftleft(F.col("__key"), BLOCK_BITS), 64 - BLOCK_BITS).cast("int"))
     )
     narrow = placed.select("__src", "__left", "__b1", "__b2", "__key", "__tokens")
     first = checkpointed(_edge(narrow, "__b1", []))
-    second = checkpointed(_edge(narrow.drop("__left").join(first, ["__src", "__b1"]), "__b2", ["__b1"]))
-    at = narrow.drop("__left").join(second, ["__src", "__b1", "__b2"])
+    second = checkpointed(_edge(narrow.drop("__left").join(small(first), ["__src", "__b1"]), "__b2", ["__b1"]))
+    at = narrow.drop("__left").join(small(second), ["__src", "__b1", "__b2"])
     third = _edge(at, "__key", ["__b1", "__b2"])
     # rows strictly before the edge, in the order (block, sub-block, key), are drawn once more
     edges = (
@@ -153,7 +157,7 @@ def draw(docs: DataFrame, budget_tokens: int | None = None, entropy_share: float
     b1, b2, key, e1, e2, e3 = (F.col(c) for c in ("__b1", "__b2", "__key", "__e1", "__e2", "__e3"))
     again = e1.isNull() | (b1 < e1) | ((b1 == e1) & (e2.isNull() | (b2 < e2) | ((b2 == e2) & (e3.isNull() | (key < e3)))))
     again = again & (F.col("__left") > 0)
-    return placed.join(edges, "__src", "left").select(
+    return placed.join(small(edges), "__src", "left").select(
         id_col,
         F.col("__name").alias("source"),
         F.col("__tokens").alias("n_tokens"),

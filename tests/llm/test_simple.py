@@ -163,3 +163,10 @@ def test_token_files_round_trip(spark, make, odd, tmp_path):
 
 def test_token_files_of_nothing(make, tmp_path):
     assert tokenfiles.token_table(make([]), P.path("word_bpe_49k.json"), lambda: str(tmp_path / "e")).count() == 0
+
+
+def test_many_sources_are_drawn_alike(make, words, monkeypatch):
+    rows = [(i, words(i, 10 + i % 5), "en", f"s{i % 6}") for i in range(120)] + [(500, "x", "en", None)]
+    few = {(r.doc_id, r.copies) for r in mixing.draw(make(rows), max_repetition=1.2).collect()}
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert {(r.doc_id, r.copies) for r in mixing.draw(make(rows), max_repetition=1.2).collect()} == few
