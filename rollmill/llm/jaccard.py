@@ -38,6 +38,7 @@ from rollmill.llm.cluster import checkpointed, shuffle_partitions
 from rollmill.llm.components import components
 from rollmill.llm.filters import FILTER_BITS, bit_filter, passes
 from rollmill.llm.textkernel import WORD_BASE, Words, mix, span_hashes, windows, word_groups
+from rollmill.llm.tidy import tidy
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, LEAST_DEPTH = 20, 5, 3
@@ -83,6 +84,7 @@ def _fixed(blobs: np.ndarray) -> pa.Array:
     return pa.array([row.tobytes() for row in blobs], pa.binary())
 
 
+@tidy
 def _describe(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for words in word_groups(batch.column("text")):
@@ -227,6 +229,7 @@ def _stars(n: int, a: np.ndarray, b: np.ndarray, names: np.ndarray) -> tuple[np.
 FOUND = "kind int, a long, b long, n long, missed double"
 
 
+@tidy
 def _verified(batches: Iterator[pa.RecordBatch], depth: int, before: int | None, threshold: float) -> Iterator[pa.RecordBatch]:
     for table, cuts in sorted_groups(batches, ["bucket", "lo", "hi"], 2_000):
         rid = table["rid"].to_numpy()
@@ -288,6 +291,7 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD
         members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).select("bucket", "tree", "rid", "side", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"))
         keys = ["bucket", "lo", "hi"]
 
+        @tidy
         def worth(batches: Iterator[pa.RecordBatch], depth=depth, before=before) -> Iterator[pa.RecordBatch]:
             for table, cuts in sorted_groups(batches, keys):
                 used = np.zeros(table.num_rows, bool)
@@ -307,6 +311,7 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD
 
         wanted = spark.sparkContext.broadcast(bit_filter(near.select("k1", "id").mapInArrow(hashed, "h long"), "h"))
 
+        @tidy
         def sets(batches: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = _ids(batch.column("id"))

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from rollmill.llm.cluster import id_fold
 from rollmill.llm.textkernel import BYTE_BASE, SPACE, _BYTE_VALUE, groups, mix, span_hashes, spans
+from rollmill.llm.tidy import tidy
 
 FOLDS, THRESHOLD = 5, 0.3
 #: Bound of the sample that the model is fitted on.
@@ -235,6 +236,7 @@ def keep_good(docs: DataFrame, crf: Crf, text_col: str = "text", threshold: floa
     """``docs`` without those the classifier rejects; no exchange of rows."""
     sent = docs.sparkSession.sparkContext.broadcast(crf)
 
+    @tidy
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(predict(batch.column(text_col), sent.value) >= threshold))

@@ -38,6 +38,7 @@ from rollmill.llm.chunks import PACKED, chunked, digest, pack, unpack
 from rollmill.llm.cluster import buckets_for, text_bytes
 from rollmill.llm.filters import FILTER_BITS, bit_filter, passes
 from rollmill.llm.textkernel import Words, windows, word_groups
+from rollmill.llm.tidy import release, tidy
 
 LENGTH, PERIOD = 35, 21
 #: Anchors that a task gathers before it sends them.
@@ -147,6 +148,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, period: int = PERIOD, id_
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     bucket_bits = max(1, (buckets_for(spark, text_bytes(docs, text_col) // 2) - 1).bit_length())
 
+    @tidy
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
@@ -166,6 +168,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, period: int = PERIOD, id_
     frequent = source.mapInArrow(anchors, REQUEST).groupBy("bucket").applyInArrow(common, "hash long")
     bitmap = spark.sparkContext.broadcast(bit_filter(frequent, "hash", bits))
 
+    @tidy
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, ids, texts in chunked(batches):
             held = []
@@ -217,7 +220,9 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, period: int = PERIOD, id_
     schema = f"{id_col} long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if keep_text else "")
 
     def named(left: pa.Table, right: pa.Table) -> pa.Table:
-        return cover(left, right).rename_columns([id_col, "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * keep_text)
+        out = cover(left, right)
+        release()
+        return out.rename_columns([id_col, "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * keep_text)
 
     return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(named, schema)
 

@@ -50,6 +50,11 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def forget() -> None:
+    """Drops the kept powers."""
+    _powers.clear()
+
+
 def span_hashes(values: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of values[start:end], equal for equal runs wherever they stand."""
     total = np.zeros(len(values) + 1, np.uint64)

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollmill.llm.textkernel import BYTE_BASE, WORD_BASE, Words, _BYTE_VALUE, groups, span_hashes, spans, windows
+from rollmill.llm.tidy import tidy
 
 MIN_TILE, COVERAGE = 5, 0.5
 #: Bytes of benchmark text that one block, and so one broadcast, holds at most (but for a longer single item).
@@ -177,6 +178,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE
     for block in blocks(benchmark, min_tile, item_col, item_text_col):
         sent = spark.sparkContext.broadcast(block)
 
+        @tidy
         def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             b = sent.value
             for batch in batches:
@@ -196,6 +198,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TIL
     for block in blocks(benchmark, min_tile, item_col, item_text_col):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
+        @tidy
         def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 mask = np.ones(len(batch), bool)

@@ -34,12 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollmill.llm.cluster import buckets_for, shared_path, text_bytes
+from rollmill.llm.tidy import tidy
 
 END_ID = 2
 SEQUENCE = 2048
 SEQUENCES_PER_BATCH = 256
 #: Words of each of the cache's two generations.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 ENCODE_ROWS = 256
 
 #: Words of a-z, ß-ö and ø-ÿ in UTF-8, and a mark or none.
@@ -215,6 +216,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     # the shard of an id: how many cuts are at or below it
     shard = F.when(F.col(id_col).isNull(), 0).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(id_col)))) if cuts else F.lit(0)
 
+    @tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, end, out, done = encoder(tokenizer), None, None, []
         end = np.array([end_id], code.kind).tobytes()
@@ -266,6 +268,7 @@ def sequence(folder: str, ids_file: str, k: int) -> tuple[np.ndarray, np.ndarray
 def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
     """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, shard."""
 
+    @tidy
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
