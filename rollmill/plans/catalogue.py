@@ -33,7 +33,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-#: Rewards are often exact ties of the sixth digit, which sums in another order would round either way.
+#: Rewards and credits are often exact ties of the sixth digit, which sums in another order would round either way.
 TIE = 1e-9
 
 
@@ -471,13 +471,13 @@ def _credit_sql(version: str) -> str:
     return (
         b.with_(b.ROLLOUTS, b.TURNS, _PHI, _MEMBERS)
         + f", returned AS NOT MATERIALIZED (SELECT *, {returns} AS ret FROM joined), localised AS NOT MATERIALIZED (SELECT *, {local} AS local FROM returned)"
-        + f" SELECT trajectory_id, turn, round(CASE WHEN multiplier = 0 THEN 0 ELSE {value} END, 6) + 0.0 AS advantage FROM localised"
+        + f" SELECT trajectory_id, turn, round(CASE WHEN multiplier = 0 THEN 0 ELSE {value} END + 1e-9, 6) + 0.0 AS advantage FROM localised"
     )
 
 
 def _credit(spark, sf_dir, version, **options):
     out = credits.assign(*_credit_frames(spark, sf_dir), version=version, **options)
-    return longs(out.select("trajectory_id", "turn", r6("advantage").alias("advantage")), "turn")
+    return longs(out.select("trajectory_id", "turn", r6(F.col("advantage") + TIE).alias("advantage")), "turn")
 
 
 @query(_credit_sql("v1"))
@@ -500,11 +500,11 @@ def credit_v4_immediate(spark, sf_dir):
     return _credit(spark, sf_dir, "v4")
 
 
-_GUARDED = _credit_sql("v4").replace(" SELECT trajectory_id, turn, round(", ", final AS NOT MATERIALIZED (SELECT *, (").replace(", 6) + 0.0 AS advantage FROM localised", ") AS a FROM localised)")
+_GUARDED = _credit_sql("v4").replace(" SELECT trajectory_id, turn, round(", ", final AS NOT MATERIALIZED (SELECT *, (").replace(" + 1e-9, 6) + 0.0 AS advantage FROM localised", ") AS a FROM localised)")
 _LABELLED = "CASE WHEN multiplier = 0 THEN 0 WHEN bad THEN least(a, -1) WHEN refusal THEN greatest(a + 1, 1) ELSE a END"
 
 
-@query(_GUARDED + f" SELECT trajectory_id, turn, round({_LABELLED}, 6) + 0.0 AS advantage FROM final")
+@query(_GUARDED + f" SELECT trajectory_id, turn, round({_LABELLED} + 1e-9, 6) + 0.0 AS advantage FROM final")
 def credit_sign_guards(spark, sf_dir):
     return _credit(spark, sf_dir, "v4", labels=True)
 
