@@ -79,6 +79,6 @@ def transfer_scores(values: dict[str, Column], valid: Column, self_caused: Colum
     return F.when(void, 0.0).otherwise(progress), F.when(void, 0.0).otherwise(strict)
 
 
-def uses_transfer_branch(version: str, required: Column, executed: Column) -> Column:
-    """By annotation in the later rules, by what happened in the first ones."""
-    return F.coalesce(required, F.lit(False)) if version in ("transfer-policy-v2", "procredit-turn-v4") else F.coalesce(executed, F.lit(False))
+def uses_transfer_branch(by_annotation: bool, required: Column, executed: Column) -> Column:
+    """By what the annotation requires in the later rules, by what happened in the first ones."""
+    return F.coalesce(required if by_annotation else executed, F.lit(False))

@@ -274,3 +274,15 @@ def test_rules_raise_or_flag(spark):
     assert [list(r.violations) for r in flagged] == [["positive"], ["positive"], []]
     with pytest.raises(Exception, match="rule broken: positive"):
         common.checked(df, {"positive": F.col("x") > 0}).count()
+
+
+def test_transfer_branch(spark):
+    kind = "call double, pre double, said double, meant double, valid boolean, own boolean, required boolean"
+    df = spark.createDataFrame([(1.0, None, 0.5, None, True, False, True), (1.0, None, None, None, True, True, None)], kind)
+    values = {k: F.col(c) for k, c in zip(reward.TRANSFER_WEIGHTS, ("call", "pre", "said", "meant"))}
+    later, first = (reward.transfer_scores(values, F.col("valid"), F.col("own"), dynamic) for dynamic in (True, False))
+    got = df.select(*later, *first, reward.uses_transfer_branch(True, F.col("required"), F.lit(True))).collect()
+    assert [round(x, 9) if isinstance(x, float) else x for x in got[0]] == [0.8, 0.0, 0.8, 0.0, True]
+    assert list(got[1]) == [0.0, 0.0, 1.0, 1.0, False]
+    ok = spark.range(1).select(reward.transfer_valid(F.lit(True), F.lit(True), F.lit(False), F.lit(False)), reward.transfer_valid_v2(F.lit(True), F.lit(False), F.lit(True), F.lit(True), F.lit(True))).first()
+    assert list(ok) == [True, False]
