@@ -2,15 +2,17 @@
 
 The language model is a modified Kneser-Ney model of character 4-grams over 64 symbols (letters,
 an upper-case class, digits, single punctuation marks, classes of other code points). Spark counts
-the 4-grams of all texts of each language; lower orders, their continuation counts and the
+the 4-grams of all distinct texts of each language; lower orders, their continuation counts and the
 discounts follow from those counts. A model is a handful of sorted arrays, n-gram key to log
 probability and context key to log back-off weight. A key has 24 bits, so a language's model has
 at most 2**24 entries whatever the corpus holds; where the languages' models together pass
 MODEL_ENTRIES they go out in blocks of languages, a pass for each.
 
 A document's verdict: its bits per symbol must lie within the band of its language, the median of
-that language's documents plus and minus a multiple of their spread (medians of the deviations
-below and above), which widens for short texts as the variance of a mean does.
+that language's distinct texts plus and minus a multiple of their spread (medians of the deviations
+below and above, a quarter of the spread of single symbols at least), which widens for short texts as
+the variance of a mean does. Copies count once in model, median and spreads: a text that half of a
+language's rows hold neither draws the band to itself nor leaves it.
 
 Nulls and texts without words have no words and fail the base rules; a null language is one of its
 own. Repeated rows are treated alike. Languages of few documents have wide bands of their own.
@@ -37,6 +39,8 @@ ORDER, SYMBOLS, SYMBOL_BITS = 4, 64, 6
 MODEL_ENTRIES = 1 << 23
 #: Half-width of a band in spreads.
 SPREADS = 5.0
+#: A spread is at least this share of the standard deviation of a symbol's bits (0.47 to 0.69 of it in the test tables).
+LEAST_SHARE = 0.25
 
 _MARKS = ".,'-!?:\"(|#*$%&<>/=@_"  # signs with a symbol of their own
 
@@ -237,13 +241,13 @@ def base_rules(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return words.counts, chars, per_doc(_SIGNS[data], offsets), duplicate_lines(data, offsets, words), repeated
 
 
-SCORES = "id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_keys long, bits double"
+SCORES = "id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_keys long, bits double, deviation double, hash long"
 
 
 def score(docs: DataFrame, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Base figures of every row, and its bits per symbol under its language's model."""
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("hash"))
     sizes = sorted(((r["n"], r["lang"]) for r in counts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()), key=lambda x: (x[0], x[1] or ""))
     blocks: list[list[str | None]] = [[]]
     room = MODEL_ENTRIES
@@ -273,9 +277,10 @@ def score(docs: DataFrame, counts: DataFrame, id_col: str = "doc_id", text_col:
                     for k in np.unique(codes[rows]):
                         here = np.flatnonzero(code == k)
                         bits[here] = sent.value[names[k]].log2p(keys[here])
-                    total = np.add.reduceat(bits, bounds[:-1])  # every text has its end at least
                     n = np.diff(bounds)
-                    yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows)), batch.column("lang").take(pa.array(rows)), *[pa.array(x.astype(np.int64)) for x in base], pa.array(n), pa.array(-total / n)], names=[c.split()[0] for c in SCORES.split(", ")])
+                    mean = -np.add.reduceat(bits, bounds[:-1]) / n  # every text has its end at least
+                    deviation = np.sqrt(np.maximum(np.add.reduceat(bits * bits, bounds[:-1]) / n - mean * mean, 0))
+                    yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows)), batch.column("lang").take(pa.array(rows)), *[pa.array(x.astype(np.int64)) for x in base], pa.array(n), pa.array(mean), pa.array(deviation), batch.column("hash").take(pa.array(rows))], names=[c.split()[0] for c in SCORES.split(", ")])
 
         part = (source if len(blocks) == 1 else source.where(mine)).mapInArrow(rate, SCORES)
         out = part if out is None else out.unionAll(part)
@@ -293,10 +298,11 @@ def median(rows: DataFrame, key: str, value: Column, step: float, name: str) ->
 
 def judge(docs: DataFrame, spreads: float = SPREADS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
     """Per row: id, base figures, base_failed, bits, low and high of its language's band, kept."""
-    counts = checkpointed(count_ngrams(docs, text_col, lang_col))
+    counts = checkpointed(count_ngrams(docs.select(F.col(text_col), F.col(lang_col)).distinct(), text_col, lang_col))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     scored = checkpointed(score(docs, counts, id_col, text_col, lang_col)).withColumn("base_failed", failed)
-    good = scored.where(~F.col("base_failed"))
+    # equal texts of a language have equal figures, and count once
+    good = checkpointed(scored.where(~F.col("base_failed")).groupBy("lang", "hash").agg(*[F.min(c).alias(c) for c in ("bits", "deviation", "n_keys")]))
     middle = median(good, "lang", F.col("bits"), 1e-4, "mid")
     # deviations are scaled by the square root of the length: means of n symbols spread as 1/sqrt(n)
     scale = F.sqrt(F.lit(1.0) / (F.lit(1.0) / F.lit(4000.0) + F.lit(1.0) / F.col("n_keys")))
@@ -304,9 +310,12 @@ def judge(docs: DataFrame, spreads: float = SPREADS, id_col: str = "doc_id", tex
     off = checkpointed(paired.select("m.lang", "m.mid", ((F.col("bits") - F.col("mid")) * scale).alias("d")))
     below = median(off.where("d <= 0"), "lang", -F.col("d"), 1e-3, "below")
     above = median(off.where("d >= 0"), "lang", F.col("d"), 1e-3, "above")
-    named = middle.alias("m").join(below.alias("l"), F.col("m.lang").eqNullSafe(F.col("l.lang")), "left").join(above.alias("u"), F.col("m.lang").eqNullSafe(F.col("u.lang")), "left")
-    bands = named.select("m.lang", "mid", "below", "above")
-    bands = checkpointed(bands.select("lang", "mid", (F.greatest("below", F.lit(1e-3)) * 1.4826).alias("below"), (F.greatest("above", F.lit(1e-3)) * 1.4826).alias("above")))
+    symbol = median(good, "lang", F.col("deviation"), 1e-3, "symbol")
+    named = middle.alias("m")
+    for part, name in ((below, "l"), (above, "u"), (symbol, "y")):
+        named = named.join(part.alias(name), F.col("m.lang").eqNullSafe(F.col(f"{name}.lang")), "left")
+    bands = named.select("m.lang", "mid", "below", "above", (F.col("symbol") * LEAST_SHARE).alias("least"))
+    bands = checkpointed(bands.select("lang", "mid", *[F.greatest(F.col(c) * 1.4826, "least").alias(c) for c in ("below", "above")]))
     joined = scored.alias("s").join(bands.alias("b"), F.col("s.lang").eqNullSafe(F.col("b.lang")), "left")
     low, high = F.col("mid") - F.lit(spreads) * F.col("below") / scale, F.col("mid") + F.lit(spreads) * F.col("above") / scale
     return joined.select(

@@ -77,6 +77,20 @@ def test_odd_texts_leave_the_band(make):
     assert sum(r.kept for i, r in got.items() if i < 900 and not r.base_failed) >= 0.98 * sum(not r.base_failed for i, r in got.items() if i < 900)
 
 
+@pytest.mark.parametrize("copies", [150, 300])
+def test_copies_that_hold_half_of_a_language(make, copies):
+    rng = random.Random(3)
+    lexicon = ["".join(rng.choice("aeioubdgklmnprst") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    prose = lambda: " ".join(rng.choices(lexicon, k=rng.randrange(150, 400)))
+    hot = prose()
+    rows = [(i, prose(), "en", None) for i in range(150)] + [(1000 + i, hot, "en", None) for i in range(copies)]
+    noise = " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(6)) for _ in range(200))
+    got = {r.doc_id: r for r in perplexity.judge(make([*rows, (9999, noise, "en", None)])).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert sum(got[i].kept for i in range(150)) >= 147
+    assert all(got[1000 + i].kept for i in range(copies)) and not got[9999].kept
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_marginals_against_all_labellings(seed):
     rng = np.random.default_rng(seed)
