@@ -10,9 +10,8 @@ class, the smoothed share of the token's count, with one place for all unknown t
    the buckets add up and answer each chunk, which gives every token's count over all training
    documents without a table of the vocabulary in any one place.
 2. The network starts from the unigram model and learns by truncated backpropagation through time
-   with Adagrad: first on a bounded sample on the driver (WARM_TOKENS), then every partition on a
-   fixed share (one in SHARE) of its training texts, which grows with the corpus; the partitions'
-   weights are averaged by tokens.
+   with Adagrad: first on a bounded sample on the driver (WARM_TOKENS), then every partition on all
+   of its training texts, to the last token; the partitions' weights are averaged by tokens.
 3. Each chunk, joined with its answers, is scored with all its documents side by side, in windows
    whose last state begins the next, so a document's log-likelihood is that of all of it.
 
@@ -42,7 +41,6 @@ HIDDEN = 16
 HEAD, CLASS_WORDS, ENDINGS = 4096, 64, 64
 WINDOW = 32
 WARM_TOKENS, WARM_PASSES, STREAMS = 600_000, 2, 96
-SHARE = 12
 RATE = 0.08
 CHUNK = {"max_rows": 1 << 16, "max_bytes": 8 << 20}
 ALPHA = 0.1
@@ -330,23 +328,33 @@ def _stream(column: pa.Array, lexicon: Lexicon) -> Iterator[tuple[np.ndarray, np
 
 @tidy
 def _tune(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
-    """The weights after this partition's share of texts, times its tokens."""
+    """The weights after this partition's texts, times its tokens."""
     lexicon, flat, memory = sent.value
     model = Gru(lexicon)
     model.load(flat)
     memory = {k: v.copy() for k, v in memory.items()}
     seen, held, size = 0, [], 0
     streams = STREAMS // 3
+
+    def learn(streams: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Learns from what is held, in streams of one length; gives back the tokens past them."""
+        codes, fresh = map(np.concatenate, zip(*held, strict=True))
+        whole = len(codes) // streams * streams
+        model.learn(codes[:whole], fresh[:whole], streams, memory, RATE / 2)
+        return [(codes[whole:], fresh[whole:])] if whole < len(codes) else []
+
     for batch in batches:
         for part in _stream(batch.column("text"), lexicon):
             held.append(part)
             size += len(part[0])
+            seen += len(part[0])
             if size >= streams * WINDOW * 16:
-                model.learn(*map(np.concatenate, zip(*held, strict=True)), streams, memory, RATE / 2)
-                seen, held, size = seen + size, [], 0
+                held = learn(streams)
+                size = sum(len(codes) for codes, _ in held)
     if size >= streams:
-        model.learn(*map(np.concatenate, zip(*held, strict=True)), streams, memory, RATE / 2)
-        seen += size
+        held = learn(streams)
+    if held:
+        learn(1)
     if seen:
         yield pa.RecordBatch.from_pydict({"n": [seen], "w": [(model.weights().astype(np.float64) * seen).tobytes()]})
 
@@ -383,7 +391,7 @@ def train(source: DataFrame, lexicon: Lexicon) -> Gru:
     for k in range(WARM_PASSES):
         model.learn(codes, fresh, min(STREAMS, max(1, len(codes) // WINDOW)), memory, RATE / (1 + k))
     sent = source.sparkSession.sparkContext.broadcast((lexicon, model.weights(), memory))
-    tuned = learned.where(F.pmod(rank, F.lit(SHARE)) == 1).select("text").mapInArrow(partial(_tune, sent=sent), "n long, w binary")
+    tuned = learned.select("text").mapInArrow(partial(_tune, sent=sent), "n long, w binary")
     total, flat = 0, 0.0
     left = shuffle_partitions(source.sparkSession)
     while left > 2:  # a tree: each task adds about eight partitions' weights

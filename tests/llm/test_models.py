@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -166,6 +167,33 @@ def small():
     return lexicon, grulm.Gru(lexicon, hidden=4)
 
 
+def test_all_training_texts_are_learned_from(spark, make, words, monkeypatch, tmp_path):
+    rows = [(i, words(i, 7 + i % 90, 200)) for i in range(400)]
+    lexicon, _ = small()
+    plain = grulm.Gru.learn
+
+    def learn(self, codes, fresh, streams, *rest):
+        with open(tmp_path / f"{os.getpid()}.txt", "a") as f:
+            f.write(f"{len(codes) // streams * streams} {int(fresh.sum())}\n")
+        return plain(self, codes, fresh, streams, *rest)
+
+    tune = grulm._tune
+
+    def counted(batches, sent):
+        grulm.Gru.learn = learn
+        try:
+            yield from tune(batches, sent)
+        finally:
+            grulm.Gru.learn = plain
+
+    monkeypatch.setattr(grulm, "_tune", counted)
+    grulm.train(make(rows).selectExpr("doc_id AS id", "text"), lexicon)
+    mine = [t for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    figures = [tuple(map(int, line.split())) for path in tmp_path.glob("*.txt") for line in path.read_text().splitlines()]
+    assert sum(n for n, _ in figures) == sum(len(tokens_of(t)) for t in mine)
+    assert sum(n for _, n in figures) == len(mine)
+
+
 def test_outputs_are_a_distribution():
     _, model = small()
     state = np.random.default_rng(0).normal(size=(1, 4)).astype(np.float32)
