@@ -1,4 +1,4 @@
-"""Texts of well-known short licences (fixed values), without their copyright lines."""
+"""Texts of well-known short licences (fixed values), without their copyright lines, and digests of long ones."""
 
 _PERMISSION = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
@@ -95,3 +95,18 @@ subject to the following restrictions:
 3. This notice may not be removed or altered from any source distribution.
 """,
 }
+
+#: SHA-256 of the canonical form, without its head, of published texts (licences.known_digests).
+DIGESTS: dict[str, list[str]] = {
+    "Apache-2.0": ["e87dea5078ce2faaea46d3475af18d30a5c0ac0f09425b60b3e0c6569f72f8d2", "f45538b138cf9aea39fa205de037a0bede8305e68281650e7ab809a8b3ebb2f0"],
+    "CC0-1.0": ["96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"],
+    "GPL-1.0": ["ec8a6b7d70e9f225b63d3962ed5b4721373f5535d7b967a06722b0d621f6892a"],
+    "GPL-2.0": ["331b500eb3c5ee796906547305df82fff4a35b3aa03c1d3ea84d32078292b2e6"],
+    "GPL-3.0": ["3c39b58d51baf32b2a21a55c429305f51cfd82e53cad05134293933580b4cd84"],
+    "LGPL-2.0": ["61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"],
+    "LGPL-2.1": ["4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"],
+    "LGPL-3.0": ["aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"],
+    "MPL-1.1": ["a1b36de49a400e3d3385d5987188db954a084f9876243aa7207cd91de3f24a7b"],
+    "MPL-2.0": ["f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"],
+    "Unlicense": ["7a4d92cdb11d254973a073803be1148a5402f1b2ca67808cdb3ef78b596102cd"],
+}

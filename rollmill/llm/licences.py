@@ -3,8 +3,9 @@
 Everything is DataFrame functions; there is no Python on the executors. Normalisation: ASCII
 letters to lower case, typographic quotes and dashes to spaces, copyright and "all rights
 reserved" lines away, every run of ASCII punctuation and white space to one space, then
-equivalent spellings to one form. The SHA-256 of what is left is joined to the same digest of the
-known texts.
+equivalent spellings to one form. The SHA-256 of what is left is the document's digest. The join
+to the known texts takes the digest of the text without its head: lines at its start that are a
+licence's title or any copyright line.
 
 Nulls: a null text has a null digest and no licence. Empty texts, and texts of punctuation alone,
 have the digest of the empty string, which no known licence has. Repeated rows and ties give a
@@ -23,6 +24,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Typographic signs that count as punctuation.
 SIGNS = "“”‘’«»–—…•·"
 COPYRIGHT_LINE = r"(^|\n)[ \t\r#*/;%-]*(copyright[ \t]*(\(c\)|©|[0-9]{4}|<year>|\[year\]|\[yyyy\])|(\(c\)|©)[ \t]*[0-9]{4}|all rights reserved)[^\n]*"
+_TITLE = r"""(?:the[ \t]+)?(?:(?:mit|isc|zlib|(?:new|modified|revised|simplified|original)[ \t]+bsd|bsd)(?:[ \t-]+(?:zero|[0-4])[ \t-]?clause)?(?:[ \t]+["“]?(?:new|simplified|revised|freebsd)["”]?(?:[ \t]+or[ \t]+["“]?(?:revised|freebsd)["”]?)?)?[ \t]+licen[sc]e|mit[ \t]+no[ \t]+attribution(?:[ \t]+licen[sc]e)?|(?:mit-0|0bsd|zero-clause[ \t]+bsd)(?:[ \t]+licen[sc]e)?)(?:[ \t]*\([a-z0-9 \t-]+\))?[ \t.:*=#-]*(?=[\r\n]|$)"""
+#: Title and copyright lines at the start of a text; further down, "copyright" may begin a wrapped line of the licence itself.
+HEAD = rf"(?i)^(?:[\s#*/;%=-]*+(?:{_TITLE}|(?:(?:portions[ \t]+)?copyright\b|\(c\)|©|all rights reserved)[^\n]*+))++"
 PUNCTUATION = r"[\x01-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Equivalent spellings, as stems: British to American, and compounds to one word.
 SPELLINGS = (
@@ -78,15 +82,29 @@ def known_licences(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.inline(rows))
 
 
+def known_digests(licences: DataFrame) -> DataFrame:
+    """licence_id, digest of each text without its head."""
+    return licences.select("licence_id", F.regexp_replace("text", HEAD, "").alias("text")).select("licence_id", F.sha2(canonical(F.col("text")), 256).alias("digest"))
+
+
+def published_digests(spark: SparkSession) -> DataFrame:
+    """licence_id, digest of the long licences, as they are published."""
+    rows = F.array(*[F.struct(F.lit(k).alias("licence_id"), F.lit(d).alias("digest")) for k, digests in licence_texts.DIGESTS.items() for d in digests])
+    return spark.range(1).select(F.inline(rows))
+
+
 def scan_licences(docs: DataFrame, licences: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, canonical_sha256, licence_id (null: not the text of a known licence).
 
     ``licences``: licence_id and text, of any size (Spark picks the join by its statistics); by default the known ones.
     """
-    known = known_licences(docs.sparkSession) if licences is None else licences
-    digests = known.select("licence_id", F.sha2(canonical(F.col("text")), 256).alias("canonical_sha256")).groupBy("canonical_sha256").agg(F.min("licence_id").alias("licence_id"))
-    scanned = docs.select(F.col(id_col), F.sha2(canonical(F.col(text_col)), 256).alias("canonical_sha256"))
-    return scanned.join(digests, "canonical_sha256", "left").select(id_col, "canonical_sha256", "licence_id")
+    known = known_digests(known_licences(docs.sparkSession)).unionAll(published_digests(docs.sparkSession)) if licences is None else known_digests(licences)
+    digests = known.where(F.col("digest") != F.sha2(F.lit(""), 256)).groupBy("digest").agg(F.min("licence_id").alias("licence_id"))
+    bare = F.regexp_replace(F.col(text_col), HEAD, "")
+    scanned = docs.select(F.col(id_col), F.col(text_col).alias("__text"), bare.alias("__bare"), F.sha2(canonical(F.col(text_col)), 256).alias("canonical_sha256"))
+    same = F.octet_length("__text") == F.octet_length("__bare")  # most texts have no such head
+    scanned = scanned.select(id_col, "canonical_sha256", F.when(same, F.col("canonical_sha256")).otherwise(F.sha2(canonical(F.col("__bare")), 256)).alias("digest"))
+    return scanned.join(digests, "digest", "left").select(id_col, "canonical_sha256", "licence_id")
 
 
 def _quoted(text: str) -> str:

@@ -1,5 +1,6 @@
 """Sharding, mixing, licences and token files."""
 
+import os
 import zlib
 from collections import Counter
 
@@ -122,6 +123,31 @@ def test_licences_in_disguise(make):
     assert licences.scan_licences(make([])).count() == 0
 
 
+def test_licences_with_title_and_copyright_lines(make):
+    heads = {
+        "MIT": ["MIT License\n\nCopyright (c) 2020 X\n\n", "The MIT License (MIT)\r\nCopyright The Authors\r\n\r\n", "# The MIT License\n\nCopyright by X\nCopyright Joyent, Inc. and other Node contributors.\n"],
+        "MIT-0": ["MIT No Attribution\n\nCopyright 2020 X\n\n"],
+        "BSD-2-Clause": ["BSD 2-Clause License\n\nCopyright (c) 2020, X\nAll rights reserved.\n\n", 'BSD 2-Clause "Simplified" License\n'],
+        "BSD-3-Clause": ["BSD 3-Clause License\n\nCopyright (c) 2020, X\n\n", 'BSD 3-Clause "New" or "Revised" License\n'],
+        "ISC": ["ISC License\n\nCopyright (c) X\n\n", "The ISC License\n"],
+        "0BSD": ["BSD Zero Clause License\n\nCopyright (c) 2020 X\n\n", "Zero-Clause BSD\n=============\n"],
+        "Zlib": ["zlib License\n\n(C) 2020 X\n\n"],
+    }
+    rows = [(f"{k}", h + licence_texts.TEXTS[k]) for k, hs in heads.items() for h in hs]
+    rows += [(None, "MIT License\n\nCopyright (c) 2020 X\n"), (None, "MIT License applies here\n" + licence_texts.TEXTS["MIT"]), (None, "The MIT License (MIT)\n" + licence_texts.TEXTS["MIT"] + "more")]
+    got = {r.doc_id: r.licence_id for r in licences.scan_licences(make([(i, t) for i, (_, t) in enumerate(rows)])).collect()}
+    assert [got[i] for i in range(len(rows))] == [k for k, _ in rows]
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no published texts here")
+def test_published_licences(make):
+    files = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0"}
+    texts = [open(f"/usr/share/common-licenses/{v}", encoding="utf-8").read() for v in files.values()]
+    texts.append(texts[0].replace("[yyyy] [name of copyright owner]", "2020 X"))
+    got = {r.doc_id: r.licence_id for r in licences.scan_licences(make(list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(len(texts))] == [*files, "Apache-2.0"]
+
+
 def test_licence_sql_agrees(spark, make, odd, tmp_path):
     import duckdb
 
