@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rollmill.functions import canon, scalars
@@ -728,17 +729,18 @@ def task_cap_with_dedup(spark, sf_dir):
 
 @query()
 def stream_group_barrier(spark, sf_dir):
-    """Groups of each task's first eight rollouts, held until all have settled; infrastructure errors leave the group.
+    """Groups of eight of each task's rollouts, and of those left over, held until all have settled; infrastructure errors leave the group.
 
     The rows go through a file stream in one run to its end, into a table in the shared folder.
     """
-    rows = b.rollouts(spark, sf_dir).where("slot < 8")
+    run = F.floor(F.col("slot") / 8)
+    rows = b.rollouts(spark, sf_dir).withColumn("size", F.least(F.lit(8), F.count(F.lit(1)).over(W.partitionBy("task_id")) - 8 * run).cast("int"))
     status = F.when(F.col("termination") == "infrastructure_error", "failed").otherwise("finished")
-    shaped = rows.select(F.col("task_id").cast("string").alias("uid"), F.col("slot").alias("session"), status.alias("status"), "reward")
+    shaped = rows.select(F.concat_ws(":", "task_id", run).alias("uid"), (F.col("slot") % 8).alias("session"), status.alias("status"), "reward", "size")
     queue, out, at = (shared_path(spark, k) for k in ("queue", "groups", "progress"))
     shaped.write.parquet(queue)
     stream = spark.readStream.schema(shaped.schema).parquet(queue)
-    barrier.group_barrier(stream, 8).writeStream.format("parquet").option("path", out).option("checkpointLocation", at).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    barrier.group_barrier(stream, "size").writeStream.format("parquet").option("path", out).option("checkpointLocation", at).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(barrier.SETTLED).parquet(out)
 
 

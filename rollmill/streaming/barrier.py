@@ -14,18 +14,21 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 SETTLED = "uid string, members int, failed int, reward_sum double"
 
 
-def group_barrier(stream: DataFrame, size: int) -> DataFrame:
+def group_barrier(stream: DataFrame, size: int | str) -> DataFrame:
     """Emits a group (uid) once all its sessions have settled; failed ones leave the membership and never return.
 
     stream: uid, session, status (finished or failed; others leave a session open), reward. Works
-    on a batch frame too. State is the set of settled sessions, at most ``size`` of them, and a
-    mark once the group is out, so repeated deliveries change nothing.
+    on a batch frame too. ``size`` is that of every group, or the column that has each group's own.
+    State is the set of settled sessions, at most as many as the group's size, and a mark once the group is out, so repeated deliveries change nothing.
     """
 
     def settle(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         done, failed, total, sent = state.get if state.exists else ([], [], 0.0, False)
         done, failed = set(done), set(failed)
+        wanted = size
         for pdf in batches:
+            if isinstance(size, str):
+                wanted = int(pdf[size].iloc[0])
             for row in pdf.itertuples():
                 if row.session in done or row.session in failed:
                     continue
@@ -34,7 +37,7 @@ def group_barrier(stream: DataFrame, size: int) -> DataFrame:
                 elif row.status == "finished":
                     done.add(row.session)
                     total += float(row.reward)
-        ready = not sent and len(done) + len(failed) >= size
+        ready = not sent and len(done) + len(failed) >= wanted
         state.update((sorted(done), sorted(failed), total, sent or ready))
         if ready:
             yield pd.DataFrame({"uid": [key[0]], "members": [len(done)], "failed": [len(failed)], "reward_sum": [total]})

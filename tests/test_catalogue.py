@@ -41,6 +41,16 @@ def test_the_rest_runs(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
 
 
+def test_barrier_takes_all_rollouts(spark, duck):
+    got = sorted(map(tuple, catalogue.QUERIES["stream_group_barrier"](spark, SF).collect()))
+    want = duck.sql(
+        "SELECT task || ':' || run, count(*) FILTER (WHERE NOT failed), count(*) FILTER (WHERE failed), sum(CASE WHEN failed THEN 0 ELSE reward END) FROM (SELECT o_custkey AS task, "
+        "(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 8 AS run, o_orderpriority = '4-NOT SPECIFIED' AS failed, CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'P' THEN 0.5 ELSE 0.0 END::DOUBLE AS reward FROM orders) GROUP BY task, run"
+    )
+    assert got == sorted(map(tuple, want.fetchall()))
+    assert sum(r[1] + r[2] for r in got) == duck.sql("SELECT count(*) FROM orders").fetchall()[0][0]
+
+
 def test_entry_works_without_llm(tmp_path):
     root = Path(__file__).resolve().parents[1]
     for item in ("__spark_entry__.py", "rollmill"):
