@@ -694,7 +694,11 @@ def replay_changes(spark, sf_dir):
 
 @query()
 def action_matching(spark, sf_dir):
-    """Required actions of each user: the five events of the least ids as annotations, matched one-to-one among all events."""
+    """Required actions of each user, matched one-to-one among all events.
+
+    The tables have no annotations. The first five events of each user, in order of time and then of id, stand for
+    the short list of required actions of a task; the events they are matched among are all of the user's.
+    """
     rows = b.tool_events(spark, sf_dir).withColumn("args_key", canon.arguments_key()(F.col("name"), F.col("args")))
     wanted = rows.where("sequence < 5").select("trajectory_id", F.col("event_id").cast("string").alias("action_id"), "name", "args_key")
     return matching.match_actions(matching.candidates(wanted, rows, ["trajectory_id"]))
