@@ -451,8 +451,9 @@ base AS NOT MATERIALIZED (SELECT *, (score - avg(score) OVER g) / (stddev_pop(sc
 joined AS NOT MATERIALIZED (SELECT phi.*, grp, terminal, multiplier, complete, baseline, tokens >= 3 AS present, phi_after - phi_before AS step, last_value(phi_after) OVER (PARTITION BY phi.trajectory_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS phi_end FROM phi JOIN base ON phi.trajectory_id = base.trajectory_id)"""
 
 
-def _credit_frames(spark, sf_dir):
-    rows = b.rollouts(spark, sf_dir).where((F.col("termination") != "infrastructure_error") & (F.col("slot") < 8))
+def _credit_frames(spark, sf_dir, whole=False):
+    """Turns and members; without ``whole``, the first eight rollouts of each task, as in the SQL."""
+    rows = b.rollouts(spark, sf_dir).where((F.col("termination") != "infrastructure_error") & (F.lit(whole) | (F.col("slot") < 8)))
     alive = (F.col("termination") != "hard_turn_limit").cast("double")
     members = rows.select(F.col("task_id").alias("group"), "trajectory_id", (F.col("reward") * alive).alias("score"), (F.col("reward") == 1).cast("double").alias("terminal"), alive.alias("multiplier"), (F.col("termination") != "human_transfer").alias("complete"))
     return _phi(spark, sf_dir).withColumn("present", F.col("tokens") >= 3), members
@@ -523,7 +524,7 @@ def credit_group_signal(spark, sf_dir):
 @query()
 def credit_token_arrays(spark, sf_dir):
     """Token advantages of whole responses, by digest; the arrays themselves stay in the operator."""
-    turns, members = _credit_frames(spark, sf_dir)
+    turns, members = _credit_frames(spark, sf_dir, whole=True)
     mapping = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("turn", "tokens"))), lambda s: F.concat(F.array_repeat(s["turn"], s["tokens"]), F.array(F.lit(-1)))))
     responses = turns.groupBy("trajectory_id").agg(mapping.alias("response_turn_ids"))
     out = credits.broadcast_tokens(responses, credits.assign(turns, members, version="v4", labels=True))

@@ -51,6 +51,12 @@ def test_barrier_takes_all_rollouts(spark, duck):
     assert sum(r[1] + r[2] for r in got) == duck.sql("SELECT count(*) FROM orders").fetchall()[0][0]
 
 
+def test_token_arrays_of_all_rollouts(spark, duck):
+    got = sorted(r.trajectory_id for r in catalogue.QUERIES["credit_token_arrays"](spark, SF).collect())
+    want = duck.sql("SELECT DISTINCT o_orderkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderpriority <> '4-NOT SPECIFIED'").fetchall()
+    assert got == sorted(r[0] for r in want)
+
+
 def test_entry_works_without_llm(tmp_path):
     root = Path(__file__).resolve().parents[1]
     for item in ("__spark_entry__.py", "rollmill"):
