@@ -10,8 +10,11 @@ class, the smoothed share of the token's count, with one place for all unknown t
    the buckets add up and answer each chunk, which gives every token's count over all training
    documents without a table of the vocabulary in any one place.
 2. The network starts from the unigram model and learns by truncated backpropagation through time
-   with Adagrad: first on a bounded sample on the driver (WARM_TOKENS), then every partition on all
-   of its training texts, to the last token; the partitions' weights are averaged by tokens.
+   with Adagrad, once from every training text and to its last token. Hashes of id and text deal the
+   texts into rounds that grow by four, and a round's texts into shards of about SHARD_TOKENS; the
+   shards learn side by side, each in the order of the hashes, from where the last round ended, and
+   their weights, averaged by tokens in a fixed order, begin the next. Neither partitions nor the
+   order of the input matter. Rows equal in id and text go to one shard, which streams them.
 3. Each chunk, joined with its answers, is scored with all its documents side by side, in windows
    whose last state begins the next, so a document's log-likelihood is that of all of it.
 
@@ -22,6 +25,7 @@ empty result; without training tokens every count is 0. Extra columns are ignore
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -37,11 +41,14 @@ from rollmill.llm.textkernel import BYTE_BASE, SPACE, _BYTE_VALUE, groups, mix,
 from rollmill.llm.tidy import release, tidy
 
 FOLDS = 10
-HIDDEN = 16
+HIDDEN = 32
 HEAD, CLASS_WORDS, ENDINGS = 4096, 64, 64
 WINDOW = 32
-WARM_TOKENS, WARM_PASSES, STREAMS = 600_000, 2, 96
-RATE = 0.08
+#: Training texts are dealt into PARTS by hash; a round learns from the parts up to its end, in shards of about so many tokens.
+PARTS, ROUND_ENDS, SHARD_TOKENS = 64, (1, 4, 16, 64), 1 << 21
+#: Parallel streams of a shard in each round, tokens of a stream before the shard is cut anew, and shards whose weights one task adds up.
+STREAMS, STREAM_TOKENS, FAN = (24, 96, 192, 384), 2048, 8
+RATE = 0.25
 CHUNK = {"max_rows": 1 << 16, "max_bytes": 8 << 20}
 ALPHA = 0.1
 #: Hash and ending class of the end token.
@@ -111,19 +118,23 @@ class Gru:
         counts = np.zeros(places)
         counts[: len(lexicon.head_counts)] = lexicon.head_counts
         by_class = counts.reshape(self.heads, CLASS_WORDS)
-        self.bo = np.where(by_class > 0, np.log(np.maximum(by_class, 1e-9)), -60).astype(np.float32)
+        self.bo = np.where(by_class > 0, np.log(np.maximum(by_class, 1e-9) / np.maximum(by_class.max(1, keepdims=True), 1e-9)), -60).astype(np.float32)
         total = np.append(by_class.sum(1), lexicon.rest_tokens + ALPHA * (lexicon.rest_types + 1))
         self.bc = np.log(np.maximum(total, 1e-9) / max(total.sum(), 1e-9)).astype(np.float32)
 
-    def weights(self) -> np.ndarray:
-        return np.concatenate([getattr(self, k).ravel() for k in self.NAMES])
+    def all(self, memory: dict[str, np.ndarray]) -> np.ndarray:
+        """The weights and what the optimiser remembers of each, in one run."""
+        return np.concatenate([x.ravel() for k in self.NAMES for x in (getattr(self, k), memory.get(k, np.ones_like(getattr(self, k))))])
 
-    def load(self, flat: np.ndarray) -> None:
-        at = 0
+    def load_all(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        """Takes the weights from such a run; gives back the memory."""
+        at, memory = 0, {}
         for k in self.NAMES:
             old = getattr(self, k)
-            setattr(self, k, flat[at : at + old.size].reshape(old.shape).astype(np.float32))
-            at += old.size
+            new, memory[k] = (flat[at + i * old.size : at + (i + 1) * old.size].reshape(old.shape).astype(np.float32) for i in range(2))
+            setattr(self, k, new)
+            at += 2 * old.size
+        return memory
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         n = self.h
@@ -133,26 +144,34 @@ class Gru:
         c = np.tanh(x[:, 2 * n :] + r * a[:, 2 * n :])
         return c + z * (h - c), z, r, c, a[:, 2 * n :]
 
+    @staticmethod
+    def _level(logits: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> None:
+        """Takes each row's greatest value away, unless no row's can be too great or too small to exponentiate (states are within 1)."""
+        if np.abs(weights).sum(0).max() + abs(bias.max()) > 60:
+            logits -= logits.max(1, keepdims=True)
+
     def outputs(self, states: np.ndarray, codes: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """ln P of the class, and of the word in a head class; with ``grads``, also the gradient by state."""
         places = self.heads * CLASS_WORDS
         cls = np.where(codes < places, codes // CLASS_WORDS, codes - places + self.heads)
+        every = np.arange(len(cls))
         logits = states @ self.Wc
         logits += self.bc
-        logits -= logits.max(1, keepdims=True)
-        own = logits[np.arange(len(cls)), cls]
+        self._level(logits, self.Wc, self.bc)
+        own = logits[every, cls]
         np.exp(logits, out=logits)
-        total = logits.sum(1)
+        total = logits @ np.ones(logits.shape[1], logits.dtype)
         out = own - np.log(total)
         back = None
         if grads is not None:
-            logits /= -total[:, None]
-            logits[np.arange(len(cls)), cls] += 1
+            logits *= (-1 / total)[:, None]
+            logits[every, cls] += 1
             grads["Wc"], grads["bc"] = states.T @ logits, logits.sum(0)
             back = logits @ self.Wc.T
             grads["Wo"], grads["bo"] = np.zeros_like(self.Wo), np.zeros_like(self.bo)
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.heads + 1))
+        order = np.argsort(cls.astype(np.uint16), kind="stable")
+        cuts = np.append(0, np.cumsum(np.bincount(cls, minlength=self.heads)[: self.heads]))
+        ones = np.ones(CLASS_WORDS, logits.dtype)
         for k in range(self.heads):
             rows = order[cuts[k] : cuts[k + 1]]
             if not len(rows):
@@ -161,14 +180,14 @@ class Gru:
             mine = states[rows]
             logits = mine @ self.Wo[k]
             logits += self.bo[k]
-            logits -= logits.max(1, keepdims=True)
-            own = logits[np.arange(len(rows)), word]
+            self._level(logits, self.Wo[k], self.bo[k])
+            own = logits[every[: len(rows)], word]
             np.exp(logits, out=logits)
-            total = logits.sum(1)
+            total = logits @ ones
             out[rows] += own - np.log(total)
             if grads is not None:
-                logits /= -total[:, None]
-                logits[np.arange(len(rows)), word] += 1
+                logits *= (-1 / total)[:, None]
+                logits[every[: len(rows)], word] += 1
                 grads["Wo"][k], grads["bo"][k] = mine.T @ logits, logits.sum(0)
                 back[rows] += logits @ self.Wo[k].T
         return out, back
@@ -233,8 +252,8 @@ class Gru:
         state = np.zeros((len(sizes), self.h), np.float32)
         before = np.full(len(sizes), self.start, np.int32)
         held, at, rows = [], [], 0
-        for t in range(int(sizes[0]) if len(sizes) else 0):
-            n = int(np.searchsorted(-sizes, -t, "left"))  # texts longer than t
+        longer = np.searchsorted(-sizes, -np.arange(int(sizes[0]) if len(sizes) else 0), "left").tolist()
+        for t, n in enumerate(longer):  # texts longer than t
             state, before = state[:n], before[:n]
             state = self.step(self.X[before], state)[0]
             here = start[:n] + t
@@ -254,7 +273,6 @@ class Gru:
 
 def _fold(ids: list) -> np.ndarray:
     import zlib
-
     return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % FOLDS for i in ids], np.int64)
 
 
@@ -319,100 +337,138 @@ def lexicon_of(answers: DataFrame) -> Lexicon:
     return Lexicon(hashes[order], order.astype(np.int64), counts, rest[0], rest[1], int(total[0]), int(total[1]))
 
 
-def _stream(column: pa.Array, lexicon: Lexicon) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for _, hashes, classes, bounds in tokens(column):
-        fresh = np.zeros(len(hashes), bool)
-        fresh[bounds[:-1]] = True
-        yield lexicon.code(hashes, classes), fresh
+ENCODED = "round int, shard int, place long, codes binary"
+LEARNED = "shard int, n long, w binary"
+
+
+@dataclass(frozen=True)
+class Rounds:
+    """How training texts are dealt out, by the hash of id and text and the number of training tokens alone."""
+
+    shards: tuple[int, ...]
+
+    @staticmethod
+    def of(n_tokens: int, shard_tokens: int) -> Rounds:
+        cuts = (0, *ROUND_ENDS)
+        return Rounds(tuple(max(1, -(-n_tokens * (b - a) // (PARTS * shard_tokens))) for a, b in itertools.pairwise(cuts)))
+
+    def deal(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(round, shard) of texts by their hashes."""
+        spread = mix(place.view(np.uint64))
+        turn = np.searchsorted(ROUND_ENDS, (spread % np.uint64(PARTS)).astype(np.int64), "right")
+        return turn.astype(np.int32), (spread // np.uint64(PARTS) % np.array(self.shards, np.uint64)[turn]).astype(np.int32)
 
 
 @tidy
-def _tune(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
-    """The weights after this partition's texts, times its tokens."""
-    lexicon, flat, memory = sent.value
-    model = Gru(lexicon)
-    model.load(flat)
-    memory = {k: v.copy() for k, v in memory.items()}
+def _encode(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    """One row for each training text: its tokens' codes, and where they are learned."""
+    lexicon, rounds = sent.value
+    kind = np.uint16 if lexicon.head_classes * CLASS_WORDS + ENDINGS < 1 << 16 else np.uint32
+    for batch in batches:
+        places = batch.column("place").to_numpy()
+        for rows, hashes, classes, bounds in tokens(batch.column("text")):
+            codes = lexicon.code(hashes, classes).astype(kind)
+            turn, shard = rounds.deal(places[rows])
+            blobs = pa.array([codes[a:b].tobytes() for a, b in itertools.pairwise(bounds)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(turn), pa.array(shard), pa.array(places[rows]), blobs], names=["round", "shard", "place", "codes"])
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[np.ndarray]]]:
+    """(shard, its texts' codes as a stream) of rows sorted by shard."""
+
+    def rows() -> Iterator[tuple[int, bytes]]:
+        for batch in batches:
+            yield from zip(batch.column("shard").to_pylist(), batch.column("codes").to_pylist(), strict=True)
+
+    for shard, part in itertools.groupby(rows(), lambda row: row[0]):
+        yield shard, (row[1] for row in part)
+
+
+def learn_shard(model: Gru, texts: Iterator[np.ndarray], streams: int, memory: dict[str, np.ndarray], rate: float = RATE) -> int:
+    """Learns from all tokens of texts, one after the other; gives back how many they were.
+
+    Tokens are cut into parallel streams of one length; those that are left over begin the next cut,
+    and the last few are a stream of their own.
+    """
     seen, held, size = 0, [], 0
-    streams = STREAMS // 3
 
-    def learn(streams: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Learns from what is held, in streams of one length; gives back the tokens past them."""
+    def learn(streams: int) -> None:
+        nonlocal held, size
         codes, fresh = map(np.concatenate, zip(*held, strict=True))
         whole = len(codes) // streams * streams
-        model.learn(codes[:whole], fresh[:whole], streams, memory, RATE / 2)
-        return [(codes[whole:], fresh[whole:])] if whole < len(codes) else []
-
-    for batch in batches:
-        for part in _stream(batch.column("text"), lexicon):
-            held.append(part)
-            size += len(part[0])
-            seen += len(part[0])
-            if size >= streams * WINDOW * 16:
-                held = learn(streams)
-                size = sum(len(codes) for codes, _ in held)
+        model.learn(codes[:whole], fresh[:whole], streams, memory, rate)
+        held, size = ([(codes[whole:], fresh[whole:])] if whole < len(codes) else []), len(codes) - whole
+
+    for codes in texts:
+        fresh = np.zeros(len(codes), bool)
+        fresh[:1] = True
+        held.append((codes, fresh))
+        size, seen = size + len(codes), seen + len(codes)
+        if size >= streams * STREAM_TOKENS:
+            learn(streams)
     if size >= streams:
-        held = learn(streams)
-    if held:
+        learn(streams)
+    if size:
         learn(1)
-    if seen:
-        yield pa.RecordBatch.from_pydict({"n": [seen], "w": [(model.weights().astype(np.float64) * seen).tobytes()]})
+    return seen
 
 
 @tidy
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n, total = 0, None
-    for batch in batches:
-        for k, w in zip(batch.column("n").to_pylist(), batch.column("w"), strict=True):
-            w = np.frombuffer(w.as_py(), np.float64)
-            n, total = n + k, w.copy() if total is None else total + w
-    if n:
-        yield pa.RecordBatch.from_pydict({"n": [n], "w": [total.tobytes()]})
-
-
-def train(source: DataFrame, lexicon: Lexicon) -> Gru:
-    """``source``: id and text; learns from the rows outside the held-out fold."""
-    model, memory = Gru(lexicon), {}
-    learned = source.where(id_fold(F.col("id"), FOLDS) != 0)
-    rank = F.xxhash64("id", "text")
-    size = F.octet_length(F.col("text")).cast("double")
-    mean = learned.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0.0))).first()
-    if not mean[0]:
-        return model
-    rows = int(max(16, min(mean[0], WARM_TOKENS * 6.4 * mean[0] / max(mean[1], 1.0))))
-    share = min(1.0, 1.2 * rows / mean[0])
-    sample = learned.where(F.pmod(rank, F.lit(1_000_003)) < F.lit(int(share * 1_000_003) + 1)).orderBy(rank).limit(rows).select("text")
-    held, n = [], 0
-    texts = [r["text"] for r in sample.collect()]
-    for part in _stream(pa.array(texts, pa.large_string()), lexicon):
-        held.append(part)
-        n += len(part[0])
-    codes, fresh = map(np.concatenate, zip(*held, strict=True))
-    for k in range(WARM_PASSES):
-        model.learn(codes, fresh, min(STREAMS, max(1, len(codes) // WINDOW)), memory, RATE / (1 + k))
-    sent = source.sparkSession.sparkContext.broadcast((lexicon, model.weights(), memory))
-    tuned = learned.select("text").mapInArrow(partial(_tune, sent=sent), "n long, w binary")
-    total, flat = 0, 0.0
-    left = shuffle_partitions(source.sparkSession)
-    while left > 2:  # a tree: each task adds about eight partitions' weights
-        left = -(-left // 8)
-        tuned = tuned.repartition(left).mapInArrow(_added, "n long, w binary")
-    for n, w in tuned.collect():
-        total, flat = total + n, flat + np.frombuffer(bytes(w), np.float64)
-    if total:
-        model.load(flat / total)
+def _tune(batches: Iterator[pa.RecordBatch], sent, streams: int) -> Iterator[pa.RecordBatch]:
+    """The weights and the optimiser's memory after each shard, times the shard's tokens."""
+    lexicon, hidden, flat = sent.value
+    kind = np.uint16 if lexicon.head_classes * CLASS_WORDS + ENDINGS < 1 << 16 else np.uint32
+    for shard, blobs in _shards(batches):
+        model = Gru(lexicon, hidden)
+        memory = model.load_all(flat)
+        seen = learn_shard(model, (np.frombuffer(blob, kind).astype(np.int32) for blob in blobs), streams, memory)
+        if seen:
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n": [seen], "w": [(model.all(memory).astype(np.float64) * seen).tobytes()]})
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """The sums of up to FAN shards, in the order of shards, so that they round alike wherever they come from."""
+    total = 0.0
+    for k in np.argsort(table["shard"].to_numpy()):
+        total = total + np.frombuffer(table["w"][int(k)].as_buffer(), np.float64)
+    return pa.table({"shard": pa.array([table["shard"][0].as_py() // FAN], pa.int32()), "n": [sum(table["n"].to_pylist())], "w": [total.tobytes()]})
+
+
+def train(source: DataFrame, lexicon: Lexicon, hidden: int = HIDDEN, shard_tokens: int = SHARD_TOKENS) -> Gru:
+    """``source``: id and text; learns once from every row outside the held-out fold."""
+    model = Gru(lexicon, hidden)
+    flat = model.all({})
+    context = source.sparkSession.sparkContext
+    rounds = Rounds.of(lexicon.n_tokens, shard_tokens)
+    learned = source.where(id_fold(F.col("id"), FOLDS) != 0).select("text", F.xxhash64("id", "text").alias("place"))
+    sent = context.broadcast((lexicon, rounds))
+    encoded = checkpointed(learned.mapInArrow(partial(_encode, sent=sent), ENCODED))
+    for turn, shards in enumerate(rounds.shards):
+        weights = context.broadcast((lexicon, hidden, flat))
+        mine = encoded.where(F.col("round") == turn).select("shard", "place", "codes")
+        dealt = mine.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "place", "codes")
+        tuned = checkpointed(dealt.mapInArrow(partial(_tune, sent=weights, streams=STREAMS[turn]), LEARNED))
+        while shards > FAN:
+            tuned, shards = tuned.groupBy(F.floor(F.col("shard") / FAN)).applyInArrow(_added, LEARNED), -(-shards // FAN)
+        rows = sorted(tuned.collect())  # at most FAN
+        if rows:
+            flat = (sum(np.frombuffer(bytes(w), np.float64) for _, _, w in rows) / sum(n for _, n, _ in rows)).astype(np.float32)
+    model.load_all(flat)
     return model
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities)."""
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hidden: int = HIDDEN, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities).
+
+    hidden: units of the network; shard_tokens: training tokens that one task learns from in a round.
+    """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     bucket_bits = max(1, (buckets_for(spark, text_bytes(docs, text_col) // 2) - 1).bit_length())
     tops = HEAD // (1 << bucket_bits) + 12 * int((HEAD / (1 << bucket_bits)) ** 0.5 + 1) + 16
     answers = checkpointed(source.mapInArrow(partial(_ask, bucket_bits=bucket_bits), REQUEST).groupBy("bucket").applyInArrow(lambda table: _answer(table, tops), ANSWER))
     lexicon = lexicon_of(answers)
-    model = train(source, lexicon)
+    model = train(source, lexicon, hidden, shard_tokens)
     sent = spark.sparkContext.broadcast((lexicon, model))
 
     def rate(left: pa.Table, right: pa.Table) -> pa.Table:

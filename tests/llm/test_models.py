@@ -179,21 +179,61 @@ def test_all_training_texts_are_learned_from(spark, make, words, monkeypatch, tm
 
     tune = grulm._tune
 
-    def counted(batches, sent):
+    def counted(batches, sent, streams):
         grulm.Gru.learn = learn
         try:
-            yield from tune(batches, sent)
+            yield from tune(batches, sent, streams)
         finally:
             grulm.Gru.learn = plain
 
     monkeypatch.setattr(grulm, "_tune", counted)
-    grulm.train(make(rows).selectExpr("doc_id AS id", "text"), lexicon)
+    grulm.train(make(rows).selectExpr("doc_id AS id", "text"), lexicon, shard_tokens=500)
     mine = [t for i, t in rows if zlib.crc32(str(i).encode()) % 10]
     figures = [tuple(map(int, line.split())) for path in tmp_path.glob("*.txt") for line in path.read_text().splitlines()]
     assert sum(n for n, _ in figures) == sum(len(tokens_of(t)) for t in mine)
     assert sum(n for _, n in figures) == len(mine)
 
 
+def test_scores_do_not_depend_on_partitions(make, words, odd):
+    rows = [(r[0], r[1]) for r in odd] + [(100 + i, words(i, 5 + i % 200, 300)) for i in range(120)]
+    runs = [{(r.doc_id, r.n_tokens, round(r.base_score, 6)): r.score for r in grulm.score_documents(make(rows, n), hidden=8, shard_tokens=900).collect()} for n in (2, 7)]
+    assert runs[0].keys() == runs[1].keys() and len(grulm.Rounds.of(15_000, 900).shards) == 4 and max(grulm.Rounds.of(15_000, 900).shards) > grulm.FAN
+    assert all(math.isclose(runs[0][k], runs[1][k], rel_tol=1e-5) for k in runs[0])
+
+
+def test_scores_against_loops(make, words, monkeypatch):
+    """The trained network's scores, computed again unit by unit from its weights, the texts and the definition."""
+    rows = [(i, words(i, 3 + i % 30, 90)) for i in range(60)] + [(200, None), (201, "never seen words")]
+    train, kept = grulm.train, []
+    monkeypatch.setattr(grulm, "train", lambda source, lexicon, *rest: kept.append((lexicon, train(source, lexicon, *rest))) or kept[0][1])
+    got = {r.doc_id: r.score for r in grulm.score_documents(make(rows), hidden=5).collect()}
+    lexicon, model = kept[0]
+    seen = Counter(t for i, text in rows if zlib.crc32(str(i).encode()) % 10 for t in tokens_of(text))
+    X, U, Wc, bc, Wo, bo = (getattr(model, k).tolist() for k in model.NAMES)
+    sigmoid = lambda a: 1 / (1 + math.exp(-a))
+
+    def log_softmax(logits, k):
+        return logits[k] - math.log(sum(map(math.exp, logits)))
+
+    for doc_id, text in rows:
+        (_, hashes, classes, _) = next(grulm.tokens(pa.array([text], pa.string())))
+        codes, state, before, total = lexicon.code(hashes, classes).tolist(), [0.0] * 5, model.start, 0.0
+        for token, code, ending in zip(tokens_of(text), codes, classes.tolist(), strict=True):
+            a = [sum(state[i] * U[i][j] for i in range(5)) for j in range(15)]
+            z, r = ([sigmoid(X[before][k + j] + a[k + j]) for j in range(5)] for k in (0, 5))
+            c = [math.tanh(X[before][10 + j] + r[j] * a[10 + j]) for j in range(5)]
+            state = [(1 - z[j]) * c[j] + z[j] * state[j] for j in range(5)]
+            head = code < model.heads * 64
+            cls = code // 64 if head else model.heads + ending
+            total += log_softmax([sum(state[i] * Wc[i][k] for i in range(5)) + bc[k] for k in range(model.heads + 64)], cls)
+            if head:
+                total += log_softmax([sum(state[i] * Wo[cls][i][k] for i in range(5)) + bo[cls][k] for k in range(64)], code % 64)
+            else:
+                total += math.log((seen[token] + 0.1) / (lexicon.rest_tokens[ending] + 0.1 * (lexicon.rest_types[ending] + 1)))
+            before = code
+        assert math.isclose(got[doc_id], total / math.log(10), rel_tol=1e-4)
+
+
 def test_outputs_are_a_distribution():
     _, model = small()
     state = np.random.default_rng(0).normal(size=(1, 4)).astype(np.float32)
