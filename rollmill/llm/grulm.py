@@ -37,15 +37,15 @@ from pyspark.sql import functions as F
 
 from rollmill.llm.chunks import PACKED, chunked, digest, pack, unpack
 from rollmill.llm.cluster import buckets_for, checkpointed, id_fold, shuffle_partitions, text_bytes
-from rollmill.llm.textkernel import BYTE_BASE, SPACE, _BYTE_VALUE, groups, mix, span_hashes, spans
+from rollmill.llm.textkernel import BYTE_BASE, SPACE, _BYTE_VALUE, groups, mix, places, span_hashes, spans
 from rollmill.llm.tidy import release, tidy
 
 FOLDS = 10
-HIDDEN = 32
+HIDDEN = 16
 HEAD, CLASS_WORDS, ENDINGS = 4096, 64, 64
 WINDOW = 32
 #: Training texts are dealt into PARTS by hash; a round learns from the parts up to its end, in shards of about so many tokens.
-PARTS, ROUND_ENDS, SHARD_TOKENS = 64, (1, 4, 16, 64), 1 << 21
+PARTS, ROUND_ENDS, SHARD_TOKENS = 64, (1, 4, 16, 64), 1 << 22
 #: Parallel streams of a shard in each round, tokens of a stream before the shard is cut anew, and shards whose weights one task adds up.
 STREAMS, STREAM_TOKENS, FAN = (24, 96, 192, 384), 2048, 8
 RATE = 0.25
@@ -94,12 +94,11 @@ class Lexicon:
 
     def code(self, hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """Rank of a head token, or the number of head places plus the ending class."""
-        out = self.head_classes * CLASS_WORDS + classes.astype(np.int64)
+        out = self.head_classes * CLASS_WORDS + classes.astype(np.int32)
         if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-            hit = self.hashes[at] == hashes
-            out[hit] = self.rank[at[hit]]
-        return out.astype(np.int32)
+            at = places(self.hashes, hashes)
+            return np.where(self.hashes[at] == hashes, self.rank[at], out).astype(np.int32)
+        return out
 
 
 class Gru:
@@ -110,12 +109,12 @@ class Gru:
     def __init__(self, lexicon: Lexicon, hidden: int = HIDDEN, seed: int = 5):
         rng = np.random.default_rng(seed)
         self.h, self.heads = hidden, lexicon.head_classes
-        places = self.heads * CLASS_WORDS
-        self.start = places + ENDINGS
+        heads = self.heads * CLASS_WORDS
+        self.start = heads + ENDINGS
         draw = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
         self.X, self.U = draw(self.start + 1, 3 * hidden), draw(hidden, 3 * hidden)
         self.Wc, self.Wo = draw(hidden, self.heads + ENDINGS), draw(self.heads, hidden, CLASS_WORDS)
-        counts = np.zeros(places)
+        counts = np.zeros(heads)
         counts[: len(lexicon.head_counts)] = lexicon.head_counts
         by_class = counts.reshape(self.heads, CLASS_WORDS)
         self.bo = np.where(by_class > 0, np.log(np.maximum(by_class, 1e-9) / np.maximum(by_class.max(1, keepdims=True), 1e-9)), -60).astype(np.float32)
@@ -152,8 +151,8 @@ class Gru:
 
     def outputs(self, states: np.ndarray, codes: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """ln P of the class, and of the word in a head class; with ``grads``, also the gradient by state."""
-        places = self.heads * CLASS_WORDS
-        cls = np.where(codes < places, codes // CLASS_WORDS, codes - places + self.heads)
+        words = self.heads * CLASS_WORDS
+        cls = np.where(codes < words, codes // CLASS_WORDS, codes - words + self.heads)
         every = np.arange(len(cls))
         logits = states @ self.Wc
         logits += self.bc
@@ -365,12 +364,12 @@ def _encode(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]
     lexicon, rounds = sent.value
     kind = np.uint16 if lexicon.head_classes * CLASS_WORDS + ENDINGS < 1 << 16 else np.uint32
     for batch in batches:
-        places = batch.column("place").to_numpy()
+        order = batch.column("place").to_numpy()
         for rows, hashes, classes, bounds in tokens(batch.column("text")):
             codes = lexicon.code(hashes, classes).astype(kind)
-            turn, shard = rounds.deal(places[rows])
+            turn, shard = rounds.deal(order[rows])
             blobs = pa.array([codes[a:b].tobytes() for a, b in itertools.pairwise(bounds)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(turn), pa.array(shard), pa.array(places[rows]), blobs], names=["round", "shard", "place", "codes"])
+            yield pa.RecordBatch.from_arrays([pa.array(turn), pa.array(shard), pa.array(order[rows]), blobs], names=["round", "shard", "place", "codes"])
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[np.ndarray]]]:
@@ -406,8 +405,8 @@ def learn_shard(model: Gru, texts: Iterator[np.ndarray], streams: int, memory: d
         size, seen = size + len(codes), seen + len(codes)
         if size >= streams * STREAM_TOKENS:
             learn(streams)
-    if size >= streams:
-        learn(streams)
+    if size:
+        learn(min(streams, max(1, size // (4 * WINDOW))))
     if size:
         learn(1)
     return seen
@@ -415,7 +414,7 @@ def learn_shard(model: Gru, texts: Iterator[np.ndarray], streams: int, memory: d
 
 @tidy
 def _tune(batches: Iterator[pa.RecordBatch], sent, streams: int) -> Iterator[pa.RecordBatch]:
-    """The weights and the optimiser's memory after each shard, times the shard's tokens."""
+    """The weights and the optimiser's memory after each shard, and the shard's tokens."""
     lexicon, hidden, flat = sent.value
     kind = np.uint16 if lexicon.head_classes * CLASS_WORDS + ENDINGS < 1 << 16 else np.uint32
     for shard, blobs in _shards(batches):
@@ -423,15 +422,21 @@ def _tune(batches: Iterator[pa.RecordBatch], sent, streams: int) -> Iterator[pa.
         memory = model.load_all(flat)
         seen = learn_shard(model, (np.frombuffer(blob, kind).astype(np.int32) for blob in blobs), streams, memory)
         if seen:
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n": [seen], "w": [(model.all(memory).astype(np.float64) * seen).tobytes()]})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n": [seen], "w": [model.all(memory).tobytes()]})
+
+
+def _mean(parts: list[tuple[int, int, bytes]]) -> tuple[int, np.ndarray]:
+    """Tokens and mean weights of (shard, tokens, weights), added up in the order of shards, so that they round alike wherever they come from."""
+    n, total = 0, 0.0
+    for _, k, w in sorted(parts):
+        n, total = n + k, total + np.frombuffer(w, np.float32).astype(np.float64) * k
+    return n, (total / n).astype(np.float32)
 
 
 def _added(table: pa.Table) -> pa.Table:
-    """The sums of up to FAN shards, in the order of shards, so that they round alike wherever they come from."""
-    total = 0.0
-    for k in np.argsort(table["shard"].to_numpy()):
-        total = total + np.frombuffer(table["w"][int(k)].as_buffer(), np.float64)
-    return pa.table({"shard": pa.array([table["shard"][0].as_py() // FAN], pa.int32()), "n": [sum(table["n"].to_pylist())], "w": [total.tobytes()]})
+    """The mean of up to FAN shards."""
+    n, mean = _mean([tuple(row.values()) for row in table.select(["shard", "n", "w"]).to_pylist()])
+    return pa.table({"shard": pa.array([table["shard"][0].as_py() // FAN], pa.int32()), "n": [n], "w": [mean.tobytes()]})
 
 
 def train(source: DataFrame, lexicon: Lexicon, hidden: int = HIDDEN, shard_tokens: int = SHARD_TOKENS) -> Gru:
@@ -447,12 +452,12 @@ def train(source: DataFrame, lexicon: Lexicon, hidden: int = HIDDEN, shard_token
         weights = context.broadcast((lexicon, hidden, flat))
         mine = encoded.where(F.col("round") == turn).select("shard", "place", "codes")
         dealt = mine.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "place", "codes")
-        tuned = checkpointed(dealt.mapInArrow(partial(_tune, sent=weights, streams=STREAMS[turn]), LEARNED))
+        tuned = dealt.mapInArrow(partial(_tune, sent=weights, streams=STREAMS[turn]), LEARNED)
         while shards > FAN:
             tuned, shards = tuned.groupBy(F.floor(F.col("shard") / FAN)).applyInArrow(_added, LEARNED), -(-shards // FAN)
-        rows = sorted(tuned.collect())  # at most FAN
+        rows = [tuple(row) for row in tuned.collect()]  # at most FAN
         if rows:
-            flat = (sum(np.frombuffer(bytes(w), np.float64) for _, _, w in rows) / sum(n for _, n, _ in rows)).astype(np.float32)
+            _, flat = _mean(rows)
     model.load_all(flat)
     return model
 
@@ -482,15 +487,17 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         hashes, classes = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
         sizes = np.concatenate([np.diff(p[3]) for p in parts])
         bounds = np.append(0, np.cumsum(sizes))
-        c = counts[np.searchsorted(known, hashes)]
+        # what depends on the token alone is worked out once for each distinct token
+        at = places(known, hashes)
+        ending = np.zeros(len(known), np.uint8)
+        ending[at] = classes
         total = lexicon.n_tokens + ALPHA * (lexicon.n_types + 1)
-        base = np.log10((c + ALPHA) / total)
-        codes = lexicon.code(hashes, classes)
-        ln = model.log_likelihood(codes, bounds)
-        ending = codes - model.heads * CLASS_WORDS
-        rare = ending >= 0
+        base = np.log10((counts + ALPHA) / total)[at]
+        code = lexicon.code(known, ending)
         rest = lexicon.rest_tokens + ALPHA * (lexicon.rest_types + 1)
-        ln[rare] += np.log((c[rare] + ALPHA) / rest[ending[rare]])
+        within = np.where(code >= model.heads * CLASS_WORDS, np.log((counts + ALPHA) / rest[ending]), 0.0)
+        ln = model.log_likelihood(code[at], bounds) + within[at]
+        c = counts[at]
         add = lambda x: np.add.reduceat(x, bounds[:-1])
         out = [table["id"], pa.array(_fold(table["id"].to_pylist()) == 0), pa.array(sizes.astype(np.int64)), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(len(sizes), lexicon.n_tokens, np.int64)), pa.array(add(base)), pa.array(add(ln) / np.log(10))]
         release()

@@ -64,6 +64,25 @@ def span_hashes(values: np.ndarray, base: int, starts: np.ndarray, ends: np.ndar
     return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
+def places(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Where each 64-bit hash stands in ``known`` (sorted, distinct, evenly spread, not empty), as searchsorted has it but never past the end.
+
+    The head of a hash names the few places where it can stand, which takes less time than halving.
+    """
+    bits = np.uint64(64 - max(1, len(known).bit_length() + 1))
+    table = np.zeros((1 << (64 - int(bits))) + 1, np.int32 if len(known) < 1 << 31 else np.int64)
+    np.cumsum(np.bincount((known >> bits).astype(np.int64), minlength=len(table) - 1), out=table[1:])
+    at = table[(hashes >> bits).astype(np.int64)]
+    last = len(known) - 1
+    np.minimum(at, last, out=at)
+    left = np.flatnonzero(known[at] < hashes)
+    left = left[at[left] < last]
+    while len(left):
+        at[left] += 1
+        left = left[(known[at[left]] < hashes[left]) & (at[left] < last)]
+    return at
+
+
 @dataclass
 class Words:
     """Words of a group of documents.
