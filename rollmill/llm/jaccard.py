@@ -3,12 +3,16 @@
 A document's shingles are its runs of five consecutive words (words as they stand; a text of
 fewer words is one shingle). Texts of equal words are one class of copies, with one representative
 in the forest, so copies are never expanded into pairs. Each of TREES prefix tries holds every
-representative under a label of DEPTH MinHash values; a trie is kept as its sorted label list, in
-which a prefix is a run of neighbours. The join starts with the longest prefixes and shortens them
-round by round: in a round it verifies the pairs whose prefixes match in some tree at this depth
-and in none at the depth before, each in the first such tree alone. From the exact similarities of
-the pairs found it estimates what the depth still misses (a pair of similarity s is met with
-probability 1 - (1 - s**depth)**TREES), and stops once the estimated recall reaches the target.
+representative under a label of DEPTH MinHash values: OWN of the tree's own, then the first of the
+next tree's. A trie is its sorted label list, made by one range exchange for all trees; each label
+keeps the number of values that it shares with a neighbour, so the labels that share a prefix of
+any depth are picked without another look at the others. The join starts with the longest prefixes.
+A round verifies the pairs whose prefixes match in some tree at this depth and in none at the depth
+before, each in the first such tree alone. From the exact similarities of all pairs found it
+estimates how many there are (each found pair stands for one over its chance of being met, and some
+more at the threshold for kinds of pairs of which none was found) and which share a depth would
+meet; prefixes are then shortened to the greatest depth that reaches the target recall, until the
+depth at hand does. If no depth does, the last one is 1, and a warning names the recall.
 Verification counts the common shingles (64-bit hashes) exactly.
 
 No pair is ever a row: tasks return each representative's number of links and a star of links that
@@ -27,7 +31,10 @@ by ``classes`` and kept by ``keep_one``.
 
 from __future__ import annotations
 
+import math
+import warnings
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -41,15 +48,19 @@ from rollmill.llm.textkernel import WORD_BASE, Words, mix, span_hashes, windows,
 from rollmill.llm.tidy import tidy
 
 SHINGLE, THRESHOLD = 5, 0.8
-TREES, DEPTH, LEAST_DEPTH = 20, 5, 3
+TREES, OWN, DEPTH = 20, 5, 8
+#: Depth down to which the first look at the tries keeps labels; a shorter prefix needs another look.
+KEPT_DEPTH = 3
 TARGET_RECALL = 0.9995
+#: Pairs at the threshold that may be there though none was found (the 95 % bound of a count of none), and steps of similarity of a histogram.
+UNSEEN, BINS = 3, 200
 #: Representatives of one side of a block of pairs.
 BLOCK = 256
 #: Signatures that agree in less than threshold - SLACK of their values are not verified (over five standard deviations).
 SLACK = 0.2
 
 _rng = np.random.default_rng(20240229)
-_MULTIPLY = _rng.integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MULTIPLY = _rng.integers(1, 1 << 63, TREES * OWN, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -72,10 +83,10 @@ def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 def signatures(found: np.ndarray, first: np.ndarray, last: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """MinHash values (uint32) of the given documents, all with shingles; documents' shingles follow one another."""
-    out = np.empty((len(docs), TREES * DEPTH), np.uint32)
+    out = np.empty((len(docs), TREES * OWN), np.uint32)
     if len(docs):
         starts = first[docs]
-        for k in range(TREES * DEPTH):
+        for k in range(TREES * OWN):
             out[:, k] = np.minimum.reduceat((found * _MULTIPLY[k]) >> np.uint64(32), starts)
     return out
 
@@ -132,7 +143,79 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least_rows
 
 
 def _sigs(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in column), np.uint32).reshape(-1, TREES * DEPTH)
+    return np.frombuffer(b"".join(x.as_py() for x in column), np.uint32).reshape(-1, TREES * OWN)
+
+
+def met(similarity: np.ndarray, depth: int, least: float) -> np.ndarray:
+    """Chance that a pair is met at ``depth`` and not put aside for a signature that agrees in less than ``least`` of its values.
+
+    Beyond OWN values a tree matches if all its own and the first of the next tree's agree, so
+    neighbouring trees are not independent: no tree matches if no block of OWN values that agrees in
+    full is followed, around the circle of trees, by one that agrees at its head.
+    """
+    s = np.atleast_1d(np.asarray(similarity, np.float64))
+    n = TREES * OWN
+    short = sum(math.comb(n, k) * s**k * (1 - s) ** (n - k) for k in range(math.ceil(least * n)))
+    if depth <= OWN:
+        missed = (1 - s**depth) ** TREES
+    else:
+        full, head = s**OWN, s ** (depth - OWN)
+        chance = np.stack([full, head - full, 1 - head], 1)
+        step = np.repeat(chance[:, None, :], 3, 1)
+        step[:, 0, :2] = 0
+        missed = np.trace(np.linalg.matrix_power(step, TREES), axis1=1, axis2=2)
+    return np.clip(1 - missed - short, 1e-12, 1)
+
+
+def recall_at(found: np.ndarray, at: int, depth: int, threshold: float) -> float:
+    """The share of all pairs that ``depth`` meets, estimated from a histogram of the similarities of those met at depth ``at``."""
+    edges = threshold + (1 - threshold) * np.arange(len(found)) / (len(found) - 1)
+    there = found.astype(np.float64)
+    there[0] += UNSEEN
+    there /= met(edges, at, threshold - SLACK)
+    return float((there * met(edges, depth, threshold - SLACK)).sum() / there.sum())
+
+
+def _matched(same: np.ndarray, depth: int) -> np.ndarray:
+    """Whether pairs match at ``depth``, by tree; ``same``: by pair, tree and place, whether the trees' own values agree."""
+    out = same[:, :, : min(depth, OWN)].all(2)
+    if depth > OWN:
+        out &= np.roll(same[:, :, : depth - OWN].all(2), -1, axis=1)
+    return out
+
+
+@tidy
+def _neighbours(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Labels of sorted tries with the number of values shared with a neighbour, where that is ``least`` or more.
+
+    The first and the last label of a partition, whose neighbours are elsewhere, pass as if they shared all.
+    """
+    held, before = None, DEPTH
+
+    def part(table: pa.Table, shared: np.ndarray) -> list[pa.RecordBatch]:
+        return table.append_column("shared", pa.array(shared.astype(np.int32))).filter(pa.array(shared >= least)).to_batches()
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
+        label = np.frombuffer(b"".join(x.as_buffer() for x in table["label"]), np.uint32).reshape(-1, DEPTH)
+        tree = table["tree"].to_numpy()
+        common = np.cumprod(label[1:] == label[:-1], axis=1).sum(1) * (tree[1:] == tree[:-1])
+        yield from part(table.slice(0, len(table) - 1), np.maximum(np.append(before, common[:-1])[: len(common)], common))
+        held, before = table.slice(len(table) - 1), common[-1] if len(common) else before
+    if held is not None:
+        yield from part(held, np.array([DEPTH]))
+
+
+def tries(reps: DataFrame, least: int) -> DataFrame:
+    """rid, tree, label, shared of the labels that share ``least`` values or more with a neighbour in their sorted trie."""
+    around = F.concat("sig", F.substring("sig", 1, 4 * DEPTH))
+    labels = reps.select("rid", around.alias("around"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    labels = labels.select("rid", "tree", F.substring("around", F.col("tree") * F.lit(4 * OWN) + 1, F.lit(4 * DEPTH)).alias("label"))
+    order = ["tree", "label", "rid"]
+    ordered = labels.repartitionByRange(shuffle_partitions(reps.sparkSession), *order).sortWithinPartitions(*order)
+    return checkpointed(ordered.mapInArrow(partial(_neighbours, least=least), "rid long, tree int, label binary, shared int"))
 
 
 def _group_pairs(cuts: np.ndarray, side: np.ndarray, lo: np.ndarray, hi: np.ndarray, limit: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -168,12 +251,12 @@ def _candidates(table: pa.Table, cuts: np.ndarray, depth: int, before: int | Non
             a, b = i[k : k + 16384], j[k : k + 16384]
             same = sig[a] == sig[b]
             close = same.mean(1) >= least
-            a, b, same = a[close], b[close], same[close].reshape(-1, TREES, DEPTH)
-            match = same[:, :, :depth].all(2)
+            a, b, same = a[close], b[close], same[close].reshape(-1, TREES, OWN)
+            match = _matched(same, depth)
             good = match.argmax(1) == tree[a]
             good &= match[np.arange(len(a)), tree[a]]
             if before is not None:
-                good &= ~same[:, :, :before].all(2).any(1)
+                good &= ~_matched(same, before).any(1)
             yield a[good], b[good]
 
 
@@ -226,7 +309,7 @@ def _stars(n: int, a: np.ndarray, b: np.ndarray, names: np.ndarray) -> tuple[np.
     return names[roots[other]], names[nodes[other]]
 
 
-FOUND = "kind int, a long, b long, n long, missed double"
+FOUND = "kind int, a long, b long, n long"
 
 
 @tidy
@@ -251,23 +334,18 @@ def _verified(batches: Iterator[pa.RecordBatch], depth: int, before: int | None,
         a, b, similarity = a[good], b[good], similarity[good]
         if not len(a):
             continue
-        met = 1 - (1 - similarity**depth) ** TREES
         links = np.bincount(np.concatenate([a, b]), minlength=len(rid))
         some = np.flatnonzero(links)
         # a row may stand in several groups of the table: stars join rows by name
         names, where = np.unique(rid, return_inverse=True)
         hub, leaf = _stars(len(names), where[a], where[b], names)
-        kinds = np.concatenate([np.zeros(len(some), np.int32), np.ones(len(hub), np.int32), [2]]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(kinds),
-                pa.array(np.concatenate([rid[some], hub, [0]]).astype(np.int64)),
-                pa.array(np.concatenate([np.zeros(len(some), np.int64), leaf, [0]]).astype(np.int64)),
-                pa.array(np.concatenate([links[some], np.zeros(len(hub), np.int64), [len(a)]]).astype(np.int64)),
-                pa.array(np.concatenate([np.zeros(len(some) + len(hub)), [float(((1 - met) / met).sum())]])),
-            ],
-            names=["kind", "a", "b", "n", "missed"],
-        )
+        histogram = np.bincount(np.clip((similarity - threshold) / max(1 - threshold, 1e-9) * BINS + 1e-6, 0, BINS).astype(np.int64))
+        steps = np.flatnonzero(histogram)
+        # each row's links; stars; how many pairs are of a step of similarity
+        parts = [(rid[some], np.zeros(len(some)), links[some]), (hub, leaf, np.zeros(len(hub))), (steps, np.zeros(len(steps)), histogram[steps])]
+        columns = [np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(3)]
+        kinds = np.repeat(np.arange(3, dtype=np.int32), [len(p[0]) for p in parts])
+        yield pa.RecordBatch.from_arrays([pa.array(kinds), *map(pa.array, columns)], names=["kind", "a", "b", "n"])
 
 
 def linked(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -282,10 +360,13 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD
     reps = described.groupBy("k1", "k2").agg(F.min(least).alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("sig").alias("sig"))
     reps = checkpointed(reps.select("k1", "k2", "rep", "n_copies", "sig")).withColumn("rid", F.monotonically_increasing_id())
     n = shuffle_partitions(spark)
-    before, found = None, None
-    for depth in range(DEPTH, LEAST_DEPTH - 1, -1):
-        prefix = F.xxhash64("tree", F.substring("sig", F.col("tree") * F.lit(4 * DEPTH) + 1, F.lit(4 * depth)))
-        labels = reps.select("rid", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("rid", "tree", prefix.alias("bucket"))
+    before, found, depth, kept_depth = None, None, DEPTH, KEPT_DEPTH
+    forest = tries(reps, kept_depth)
+    while True:
+        if depth < kept_depth:
+            kept_depth = depth
+            forest = tries(reps, kept_depth)
+        labels = forest.where(F.col("shared") >= depth).select("rid", "tree", F.xxhash64("tree", F.substring("label", 1, 4 * depth)).alias("bucket"))
         shared = labels.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
         members = labels.join(shared, "bucket").withColumn("sides", F.ceil(F.col("m") / F.lit(block)).cast("int")).withColumn("side", F.pmod(F.xxhash64("rid"), F.col("sides")).cast("int"))
         members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).select("bucket", "tree", "rid", "side", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"))
@@ -331,12 +412,17 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD
         ready = kept.join(own, "rid").select(*columns, "sig", "shingles").repartition(n, *keys).sortWithinPartitions(*keys)
         here = checkpointed(ready.mapInArrow(lambda it, depth=depth, before=before: _verified(it, depth, before, threshold), FOUND))
         found = here if found is None else found.unionAll(here)
-        pairs, missed = found.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("missed"), F.lit(0.0))).first()
-        # what earlier rounds missed is found now, so only this depth's own estimate counts for the pairs it met
-        missed = here.where("kind = 2").agg(F.coalesce(F.sum("missed"), F.lit(0.0))).first()[0] if before is None else missed_after(found, depth)
-        if pairs / max(pairs + missed, 1e-9) >= target_recall or not pairs:
+        histogram = np.zeros(BINS + 1, np.int64)
+        for step, count in found.where("kind = 2").groupBy("a").agg(F.sum("n")).collect():
+            histogram[step] = count
+        recall = recall_at(histogram, depth, depth, threshold)
+        if recall >= target_recall:
+            break
+        if depth == 1:
+            warnings.warn(f"the estimated recall {recall} is under the target {target_recall}", stacklevel=2)
             break
-        before = depth
+        enough = [d for d in range(1, depth) if recall_at(histogram, depth, d, threshold) >= target_recall]
+        before, depth = depth, max(enough, default=1)
     links = found.where("kind = 0").groupBy(F.col("a").alias("rid")).agg(F.sum("n").alias("n_links"))
     parts = components(found.where("kind = 1").select("a", "b")).withColumnRenamed("node", "rid")
     tagged = checkpointed(reps.drop("sig").join(parts, "rid", "left").join(links, "rid", "left").withColumn("component", F.coalesce("component", "rid")))
@@ -345,13 +431,6 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD
     return described.drop("sig"), out.select("k1", "k2", F.col("head.id").alias("class_id"), F.col("head.th").alias("class_th"), F.col("rep.id").alias("rep"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
 
 
-def missed_after(found: DataFrame, depth: int) -> float:
-    """An upper estimate of what all rounds up to ``depth`` miss: the estimates of the first round, scaled to this depth at the threshold."""
-    total = found.where("kind = 2").agg(F.coalesce(F.sum("missed"), F.lit(0.0))).first()[0]
-    rate = lambda d: (1 - THRESHOLD**d) ** TREES
-    return total * rate(depth) / max(rate(DEPTH), 1e-30)
-
-
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Per row: id, class_id, n_links, n_copies."""
     rows, found = linked(docs, id_col=id_col, text_col=text_col, **options)

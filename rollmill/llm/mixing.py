@@ -1,17 +1,21 @@
 """Mixing sources by temperature, realised as budgeted block permutations.
 
-Weights: with n_s tokens in source s, w_s is proportional to n_s**alpha, 0 <= alpha <= 1. The
-exponent is bisected so that the entropy of the weights is the target (a share of the greatest
-entropy, that of equal weights), and no smaller than what keeps every source at or below the
-repetition limit, w_s * budget <= limit * n_s. Each step of the search is one aggregate over the
-table of sources, which therefore never comes to the driver.
+Weights: with n_s tokens in source s, w_s is proportional to n_s**alpha, 0 <= alpha <= TOP_EXPONENT.
+The exponent is bisected so that the entropy of the weights is the target (a share of the greatest
+entropy, that of equal weights): below 1 it evens the sources out, above 1 it sharpens them. If a
+source would then be repeated beyond the limit, w_s * budget > limit * n_s, the exponent goes back
+towards 1, where all sources are repeated alike, until none is. What is reached is returned with
+every row: the entropy's share, the greatest repetition, and whether all stated targets are met
+(equal sources have the greatest entropy whatever the exponent, which then stays 1; a budget beyond
+the limit for all sources together cannot be met). The search runs over the token counts of up to
+BROADCAST_SOURCES sources on the driver, and beyond that by aggregates over their table.
 
 Draw: a source's quota is w_s * budget tokens: whole passes over it, plus the head of one more
-pass whose order is a permutation of blocks. A document's block is the head of its hash; the
-blocks are permuted for each pass; whole blocks are taken while they fit, the block at the edge is
-cut by its sub-blocks, and the sub-block at the edge by single documents. Only tables of at most
-BLOCKS rows for each source, and one sub-block of about a millionth of a source, are ever ordered
-in one task.
+pass whose order is a permutation of blocks. A document's block is the head of its hash; a Feistel
+network permutes the blocks anew for each source and pass; whole blocks are taken while they fit,
+the block at the edge is cut by its sub-blocks, and the sub-block at the edge by single documents.
+Only tables of at most BLOCKS rows for each source, and one sub-block of about a millionth of a
+source, are ever ordered in one task.
 
 Nulls: a null source is a source of its own, a null text has no tokens. Empty texts cost nothing
 and go with their block. Rows of equal id and text are drawn together, as one unit that is not
@@ -22,10 +26,11 @@ table gives an empty result. Extra input columns pass through ``mix`` unchanged.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,7 +39,14 @@ from rollmill.llm.textkernel import SPACE, groups, spans
 
 BLOCK_BITS = 10
 BLOCKS = 1 << BLOCK_BITS
-CUTS = 16
+#: Bits that hashes of units have: 15 hexadecimal digits of an MD5.
+KEY_BITS = 60
+ROUNDS, HALF = 4, BLOCK_BITS // 2
+TOP_EXPONENT, STEPS, CUTS = 64.0, 56, 16
+#: Digits that exponents and weights are rounded to, and how near an entropy (as a share) and a repetition (relatively) must come to its target.
+EXPONENT_DIGITS, WEIGHT_DIGITS, NEAR = 6, 12, 1e-4
+#: Tokens that the query and the pipeline draw, as a share of those there are, and the entropy they ask for.
+BUDGET_SHARE, ENTROPY_SHARE, MAX_REPETITION = 1.5, 0.95, 4.0
 #: Sources up to which their tables (some hundred bytes a row) are broadcast.
 BROADCAST_SOURCES = 20_000
 
@@ -48,20 +60,30 @@ def n_words(text: pa.Array) -> pa.Array:
     return pa.array(np.concatenate(counts), pa.int64())
 
 
-def temperature(sources: DataFrame, budget: float, entropy_share: float | None, max_repetition: float | None, steps: int = 9) -> float:
-    """The exponent, from a table of ``n_tokens`` per source.
+Measure = Callable[[list[float]], list[tuple[float, float]]]
 
-    Entropy falls and the greatest repetition falls as alpha rises, so both are bisected; each
-    round asks for CUTS exponents at once.
-    """
+
+def measured(counts: np.ndarray, budget: float) -> Measure:
+    """(entropy, greatest repetition) of exponents, from the sources' token counts."""
+    share = counts / counts.max()
+
+    def measure(alphas: list[float]) -> list[tuple[float, float]]:
+        out = []
+        for a in alphas:
+            w = share**a
+            z = w.sum()
+            out.append((math.log(z) - a * float((w * np.log(share)).sum()) / z, float((w / counts).max()) / z * budget))
+        return out
+
+    return measure
+
+
+def measured_by_job(sources: DataFrame, budget: float) -> Measure:
+    """The same from a table of sources, by one aggregate for all exponents asked for."""
     some = sources.where("n_tokens > 0")
-    n, most = some.agg(F.count(F.lit(1)), F.max("n_tokens")).first()
-    if not n:
-        return 1.0
-    share = F.col("n_tokens") / F.lit(float(most))
+    share = F.col("n_tokens") / F.lit(float(some.agg(F.max("n_tokens")).first()[0]))
 
     def measure(alphas: list[float]) -> list[tuple[float, float]]:
-        """(entropy, greatest repetition) of each exponent."""
         aggs = []
         for a in alphas:
             w = F.pow(share, F.lit(a))
@@ -69,24 +91,53 @@ def temperature(sources: DataFrame, budget: float, entropy_share: float | None,
         row = some.agg(*aggs).first()
         return [(math.log(z) - a * y / z, x / z * budget) for a, z, y, x in zip(alphas, row[::3], row[1::3], row[2::3], strict=True)]
 
-    def search(good) -> float:
-        """The least exponent in [0, 1] from which ``good`` holds; 1 if it never does."""
-        low, high = 0.0, 1.0
-        if good(measure([0.0])[0]):
-            return 0.0
-        for _ in range(steps):
-            grid = [low + (high - low) * i / CUTS for i in range(1, CUTS)]
-            found = [good(m) for m in measure(grid)]
-            k = found.index(True) if True in found else CUTS - 1
-            low, high = (grid[k - 1] if k else low), (grid[k] if k < CUTS - 1 else high)
-        return high
-
-    out = 0.0 if entropy_share is not None or max_repetition is not None else 1.0
+    return measure
+
+
+def least_exponent(measure: Measure, good: Callable[[tuple[float, float]], bool], low: float, high: float, cuts: int = 2) -> float | None:
+    """The exponent next to ``low`` (which may lie above ``high``) from which ``good`` holds towards ``high``; None if it does not hold there."""
+    if good(measure([low])[0]):
+        return low
+    if not good(measure([high])[0]):
+        return None
+    for _ in range(math.ceil(STEPS / math.log2(cuts))):
+        grid = [low + (high - low) * i / cuts for i in range(1, cuts)]
+        found = [good(m) for m in measure(grid)]
+        k = found.index(True) if True in found else cuts - 1
+        low, high = (grid[k - 1] if k else low), (grid[k] if k < cuts - 1 else high)
+    return high
+
+
+def temperature(measure: Measure, n: int, entropy_share: float | None, max_repetition: float | None, cuts: int = 2) -> tuple[float, float, float, bool]:
+    """The exponent, the share of the greatest entropy and the greatest repetition that it reaches, and whether these are what was asked for."""
+    most = math.log(n) if n > 1 else 1.0
+    alpha = 1.0 if max_repetition is None else 0.0
     if entropy_share is not None and n > 1:
-        out = max(out, search(lambda m: m[0] <= entropy_share * math.log(n)))
+        found = least_exponent(measure, lambda m: m[0] <= entropy_share * most, 0.0, TOP_EXPONENT, cuts)
+        alpha = 1.0 if found is None else found
     if max_repetition is not None:
-        out = max(out, search(lambda m: m[1] <= max_repetition))
-    return out
+        found = least_exponent(measure, lambda m: m[1] <= max_repetition, alpha, 1.0, cuts)
+        alpha = 1.0 if found is None else found
+    alpha = round(alpha, EXPONENT_DIGITS)
+    entropy, repetition = measure([alpha])[0]
+    share = entropy / most if n > 1 else 1.0
+    met = (entropy_share is None or abs(share - entropy_share) <= NEAR) and (max_repetition is None or repetition <= max_repetition * (1 + NEAR))
+    return alpha, share, repetition, met
+
+
+def unit_key(seed: int, doc_id: Column, text: Column) -> Column:
+    """60 bits of the MD5 of seed, id and text; nulls apart from all values."""
+    part = lambda c: F.coalesce(F.concat(F.lit("1"), c.cast("string")), F.lit("0"))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), part(doc_id), F.lit("|"), part(text)).cast("binary")), 1, KEY_BITS // 4), 16, 10).cast("long")
+
+
+def block_place(block: Column, turn: Column) -> Column:
+    """The place of a block in the order named by ``turn``: a Feistel network over the two halves of its bits."""
+    left, right = F.shiftright(block, HALF), block.bitwiseAND(F.lit((1 << HALF) - 1))
+    for k in range(ROUNDS):
+        mixed = F.conv(F.substring(F.md5(F.concat(turn, F.lit(f"|{k}|"), right.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+        left, right = right, left.bitwiseXOR(mixed.bitwiseAND(F.lit((1 << HALF) - 1)))
+    return F.shiftleft(left, HALF).bitwiseOR(right)
 
 
 def _edge(units: DataFrame, block: str, before: list[str]) -> DataFrame:
@@ -103,10 +154,11 @@ def _edge(units: DataFrame, block: str, before: list[str]) -> DataFrame:
     return edge.select("__src", *before, F.col(f"e.{block}").alias(block), F.col("e.left").alias("__left"))
 
 
-def draw(docs: DataFrame, budget_tokens: int | None = None, entropy_share: float | None = 0.95, max_repetition: float | None = 4.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per row: id, source, n_tokens, weight, alpha, passes, copies and the unit's __key; ``copies`` is how often the row is drawn.
+def draw(docs: DataFrame, budget_tokens: int | None = None, budget_share: float = 1.0, entropy_share: float | None = ENTROPY_SHARE, max_repetition: float | None = MAX_REPETITION, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Per row: id, source, n_tokens, weight, alpha, entropy_share, repetition, on_target, passes, copies and the unit's __key.
 
-    budget_tokens: tokens to draw in all; by default as many as there are.
+    ``copies`` is how often the row is drawn. budget_tokens: tokens to draw in all; by default
+    ``budget_share`` of those there are.
     """
     units = checkpointed(
         docs.select(
@@ -114,33 +166,37 @@ def draw(docs: DataFrame, budget_tokens: int | None = None, entropy_share: float
             F.col(source_col).alias("__name"),
             F.struct(F.col(source_col).isNull().alias("n"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("v")).alias("__src"),
             n_words(F.col(text_col)).alias("__tokens"),
-            F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("__key"),
+            unit_key(seed, F.col(id_col), F.col(text_col)).alias("__key"),
         )
     )
     sources = checkpointed(units.groupBy("__src").agg(F.sum("__tokens").alias("n_tokens")))
-    total, n_sources = sources.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count(F.lit(1))).first()
+    total, n_sources, n, most = sources.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("n_tokens") > 0), F.coalesce(F.max("n_tokens"), F.lit(0))).first()
     # tables of a row for each source: sent to all tasks if they are few, else joined by an exchange that a hot source may skew
-    small = F.broadcast if n_sources <= BROADCAST_SOURCES else lambda df: df
-    budget = float(total if budget_tokens is None else budget_tokens)
-    alpha = temperature(sources, budget, entropy_share, max_repetition)
-    power = F.when(F.col("n_tokens") > 0, F.pow(F.col("n_tokens") / F.lit(float(max(total, 1))), F.lit(alpha))).otherwise(0.0)
+    few = n_sources <= BROADCAST_SOURCES
+    small = F.broadcast if few else lambda df: df
+    budget = float(math.floor(total * budget_share) if budget_tokens is None else budget_tokens)
+    alpha, share, repetition, met = 1.0, 1.0, 1.0, True
+    if n and few:
+        counts = np.array(sorted(r["n_tokens"] for r in sources.where("n_tokens > 0").select("n_tokens").collect()), np.float64)
+        alpha, share, repetition, met = temperature(measured(counts, budget), n, entropy_share, max_repetition)
+    elif n:
+        alpha, share, repetition, met = temperature(measured_by_job(sources, budget), n, entropy_share, max_repetition, CUTS)
+    power = F.when(F.col("n_tokens") > 0, F.pow(F.col("n_tokens") / F.lit(float(max(most, 1))), F.lit(alpha))).otherwise(0.0)
     z = sources.agg(F.coalesce(F.sum(power), F.lit(0.0))).first()[0] or 1.0
     quotas = (
-        sources.withColumn("weight", power / F.lit(z))
+        sources.withColumn("weight", F.round(power / F.lit(z), WEIGHT_DIGITS))
         .withColumn("__quota", F.col("weight") * F.lit(budget))
         .withColumn("passes", F.when(F.col("n_tokens") > 0, F.floor(F.col("__quota") / F.col("n_tokens") + F.lit(1e-9))).otherwise(1).cast("long"))
         .withColumn("__left", F.greatest(F.lit(0), F.floor(F.col("__quota") - F.col("passes") * F.col("n_tokens") + F.lit(1e-6))).cast("long"))
         .select("__src", "weight", "passes", "__left")
     )
     quotas = checkpointed(quotas)
-    turn = F.xxhash64(F.lit(seed), F.col("passes"), F.col("__src.v"))
-    # an affine permutation of the blocks, another for each source and pass
-    head = F.shiftrightunsigned(F.col("__key"), 64 - BLOCK_BITS)
-    block = F.pmod(head * (F.pmod(turn, F.lit(BLOCKS // 2)) * 2 + 1) + F.shiftrightunsigned(turn, 32), F.lit(BLOCKS))
+    turn = F.concat(F.lit(f"{seed}|"), F.col("passes").cast("string"), F.lit("|"), F.col("__src.v"))
+    bits = lambda shift: F.shiftright(F.col("__key"), KEY_BITS - shift).bitwiseAND(F.lit(BLOCKS - 1))
     placed = (
         units.join(small(quotas), "__src")
-        .withColumn("__b1", block.cast("int"))
-        .withColumn("__b2", F.shiftrightunsigned(F.shiftleft(F.col("__key"), BLOCK_BITS), 64 - BLOCK_BITS).cast("int"))
+        .withColumn("__b1", block_place(bits(BLOCK_BITS), turn).cast("int"))
+        .withColumn("__b2", bits(2 * BLOCK_BITS).cast("int"))
     )
     narrow = placed.select("__src", "__left", "__b1", "__b2", "__key", "__tokens")
     first = checkpointed(_edge(narrow, "__b1", []))
@@ -163,6 +219,9 @@ def draw(docs: DataFrame, budget_tokens: int | None = None, entropy_share: float
         F.col("__tokens").alias("n_tokens"),
         F.col("weight"),
         F.lit(alpha).alias("alpha"),
+        F.lit(share).alias("entropy_share"),
+        F.lit(repetition).alias("repetition"),
+        F.lit(met).alias("on_target"),
         F.col("passes"),
         (F.col("passes") + again.cast("long")).alias("copies"),
         F.col("__key"),
@@ -174,6 +233,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     drawn = draw(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     named = lambda c: F.struct(c.isNull(), F.coalesce(c.cast("string"), F.lit("")))
     copies = drawn.where("copies > 0").select("__key", named(F.col("source")).alias("__s"), F.col("copies").alias("__copies")).dropDuplicates(["__key", "__s"])
-    keyed = docs.withColumn("__key", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))).withColumn("__s", named(F.col(source_col)))
+    keyed = docs.withColumn("__key", unit_key(seed, F.col(id_col), F.col(text_col))).withColumn("__s", named(F.col(source_col)))
     joined = keyed.join(copies, ["__key", "__s"])
     return joined.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

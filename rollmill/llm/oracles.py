@@ -52,3 +52,39 @@ walk AS (SELECT row_number, (row_number::UBIGINT >> half) AS l, (row_number::UBI
   WHERE NOT (k = {ROUNDS} AND ((l << half) | r) < n)),
 placed AS (SELECT row_number, ((l << half) | r)::BIGINT AS place FROM walk, total WHERE k = {ROUNDS} AND ((l << half) | r) < n)
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(place % {n_shards} AS INTEGER) AS shard, place // {n_shards} AS slot, NULL::INTEGER AS grown_shard, row_number FROM numbered JOIN placed USING (row_number)"""
+
+
+def mixing_sql(seed: int = 7) -> str:
+    """Tokens by source, the exponent by bisection over the list of them, and each unit's place in the order of its source's last pass."""
+    from rollmill.llm import mixing as m
+
+    key = f"('0x' || substr(md5('{seed}|' || coalesce('1' || doc_id, '0') || '|' || coalesce('1' || text, '0')), 1, {m.KEY_BITS // 4}))::BIGINT"
+    weights = "list_transform(ns, lambda x: pow(x / most, {a}))"
+    entropy = f"(ln(list_sum({weights})) - {{a}} * list_sum(list_transform(ns, lambda x: pow(x / most, {{a}}) * ln(x / most))) / list_sum({weights}))"
+    repetition = f"(list_max(list_transform(ns, lambda x: pow(x / most, {{a}}) / x)) / list_sum({weights}) * budget)"
+
+    def bisect(name: str, start: str, end: str, good: str) -> str:
+        """From start towards end: the exponent from which ``good`` holds; null where it does not hold at the end."""
+        middle = good.format(a="((lo + hi) / 2)")
+        return f"""{name}_steps AS (SELECT 0 AS k, {start}::DOUBLE AS lo, {end}::DOUBLE AS hi, * FROM {name}_of UNION ALL
+  SELECT k + 1, CASE WHEN {middle} THEN lo ELSE (lo + hi) / 2 END, CASE WHEN {middle} THEN (lo + hi) / 2 ELSE hi END, * EXCLUDE (k, lo, hi) FROM {name}_steps WHERE k < {m.STEPS}),
+{name} AS MATERIALIZED (SELECT * EXCLUDE (k, lo, hi), coalesce(CASE WHEN {good.format(a=f"({start}::DOUBLE)")} THEN {start}::DOUBLE WHEN {good.format(a=f"({end}::DOUBLE)")} THEN hi END, 1) AS alpha_{name} FROM {name}_steps WHERE k = {m.STEPS})"""
+
+    rounds = "numbered"
+    for k in range(m.ROUNDS):
+        mixed = f"(('0x' || substr(md5('{seed}|' || passes || '|' || name || '|{k}|' || r), 1, 8))::BIGINT & {(1 << m.HALF) - 1})"
+        rounds = f"(SELECT * EXCLUDE (l, r), r AS l, xor(l, {mixed}) AS r FROM {rounds})"
+    met = f"abs(entropy / ln(n) - {m.ENTROPY_SHARE}) <= {m.NEAR} AND repetition <= {m.MAX_REPETITION} * (1 + {m.NEAR})"
+    return f"""WITH RECURSIVE units AS MATERIALIZED (SELECT doc_id, source, coalesce(source, '') AS name, source IS NULL AS none, CAST(len({WORDS}) AS BIGINT) AS n_tokens, {key} AS key FROM documents),
+sources AS MATERIALIZED (SELECT name, none, CAST(sum(n_tokens) AS BIGINT) AS t FROM units GROUP BY ALL),
+entropic_of AS (SELECT list(t::DOUBLE ORDER BY t) AS ns, max(t)::DOUBLE AS most, floor(sum(t) * {m.BUDGET_SHARE})::DOUBLE AS budget, count(*) AS n FROM sources WHERE t > 0),
+{bisect("entropic", "0", str(m.TOP_EXPONENT), f"({entropy} <= {m.ENTROPY_SHARE} * ln(n))")},
+limited_of AS (SELECT * FROM entropic),
+{bisect("limited", "alpha_entropic", "1", f"({repetition} <= {m.MAX_REPETITION})")},
+chosen AS MATERIALIZED (SELECT *, round(alpha_limited, {m.EXPONENT_DIGITS}) AS alpha FROM limited),
+reached AS MATERIALIZED (SELECT *, {entropy.format(a="alpha")} AS entropy, {repetition.format(a="alpha")} AS repetition, list_sum({weights.format(a="alpha")}) AS z FROM chosen),
+weighed AS MATERIALIZED (SELECT name, none, t, alpha, entropy / ln(n) AS entropy_share, repetition, {met} AS on_target, budget, CASE WHEN t > 0 THEN round(pow(t / most, alpha) / z, {m.WEIGHT_DIGITS}) ELSE 0 END AS weight FROM sources, reached),
+quotas AS MATERIALIZED (SELECT *, greatest(0, floor(weight * budget - passes * t + 1e-6))::BIGINT AS left_over FROM (SELECT *, CASE WHEN t > 0 THEN floor(weight * budget / t + 1e-9) ELSE 1 END::BIGINT AS passes FROM weighed)),
+numbered AS (SELECT u.*, q.* EXCLUDE (name, none), (key >> {m.KEY_BITS - m.HALF}) AS l, ((key >> {m.KEY_BITS - m.BLOCK_BITS}) & {(1 << m.HALF) - 1}) AS r FROM units u JOIN quotas q ON u.name = q.name AND u.none = q.none),
+placed AS (SELECT *, sum(n_tokens) OVER (PARTITION BY name, none ORDER BY (l << {m.HALF}) | r, (key >> {m.KEY_BITS - 2 * m.BLOCK_BITS}) & {m.BLOCKS - 1}, key RANGE UNBOUNDED PRECEDING) AS upto FROM {rounds})
+SELECT doc_id, source, n_tokens, weight, alpha, entropy_share, repetition, on_target, passes, passes + (left_over > 0 AND upto <= left_over)::BIGINT AS copies FROM placed"""

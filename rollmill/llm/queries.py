@@ -29,9 +29,9 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from rollmill.llm.mixing import draw
+    from rollmill.llm.mixing import BUDGET_SHARE, draw
 
-    return draw(table(spark, sf_dir, "documents")).drop("__key")
+    return draw(table(spark, sf_dir, "documents"), budget_share=BUDGET_SHARE).drop("__key")
 
 
 def op4_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +96,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     from rollmill.llm.licences import scan_sql
-    from rollmill.llm.oracles import jaccard_sql, sharding_sql, substring_sql
+    from rollmill.llm.oracles import jaccard_sql, mixing_sql, sharding_sql, substring_sql
 
-    return {"op1_sharding": sharding_sql(), "op2_jaccard_join": jaccard_sql(), "op5_substring_dedup": substring_sql(), "op6_licences": scan_sql()}
+    return {"op1_sharding": sharding_sql(), "op2_jaccard_join": jaccard_sql(), "op3_mixing": mixing_sql(), "op5_substring_dedup": substring_sql(), "op6_licences": scan_sql()}

@@ -102,6 +102,34 @@ def test_mixing_meets_its_targets(make, words, share, limit):
     assert again == {(r.doc_id, r.copies) for r in got}
 
 
+def test_exponents_beyond_one_and_targets_out_of_reach(make, words):
+    rows = [(i, words(i, 10 + i % 3), "en", "abcd"[min(3, i % 5)]) for i in range(300)]
+    sharp = mixing.draw(make(rows), entropy_share=0.7, max_repetition=None, budget_share=1.5).collect()
+    assert sharp[0].alpha > 1 and all(r.on_target and abs(r.entropy_share - 0.7) < 1e-4 for r in sharp)
+    assert {r.copies for r in sharp} >= {0, 1, 3}
+    held = mixing.draw(make(rows), entropy_share=0.7, max_repetition=2.0, budget_share=1.5).collect()
+    assert 1 < held[0].alpha < sharp[0].alpha and abs(held[0].repetition - 2) < 1e-3 and not held[0].on_target
+    never = mixing.draw(make(rows), entropy_share=0.9, max_repetition=2.0, budget_share=2.5).collect()
+    assert never[0].alpha == 1 and not never[0].on_target
+    even = mixing.draw(make([(i, "two words", "en", "ab"[i % 2]) for i in range(10)]), entropy_share=0.5).collect()
+    assert even[0].alpha == 1 and even[0].entropy_share == 1 and not even[0].on_target
+
+
+def test_exponents_by_jobs_are_those_of_the_driver(spark):
+    counts = [5, 70, 300, 4100]
+    table = spark.createDataFrame([(n,) for n in counts], "n_tokens long")
+    for share, limit in [(0.9, None), (0.3, 4.0), (None, 1.5)]:
+        a = mixing.temperature(mixing.measured(np.array(counts, float), 4475.0), 4, share, limit)
+        b = mixing.temperature(mixing.measured_by_job(table, 4475.0), 4, share, limit, mixing.CUTS)
+        assert a[3] == b[3] and np.allclose(a[:3], b[:3], atol=1e-5)
+
+
+def test_blocks_are_permuted(spark):
+    for turn in ("7|1|a", "7|2|a"):
+        places = [r[0] for r in spark.range(mixing.BLOCKS).select(mixing.block_place(mixing.F.col("id"), mixing.F.lit(turn))).collect()]
+        assert sorted(places) == list(range(mixing.BLOCKS)) and places != sorted(places)
+
+
 def test_mixed_rows_are_the_drawn_ones(make, odd):
     docs = make(odd)
     drawn = mixing.draw(docs, max_repetition=2.0)

@@ -110,6 +110,34 @@ def test_later_rounds_find_what_the_first_misses(make, words, monkeypatch):
     assert got == brute_classes(rows)
 
 
+def test_prefixes_are_shortened_until_the_target_is_met(make, words, monkeypatch):
+    """Default parameters start deep and go on; each round adds what the one before missed, and none is lost."""
+    depths, plain = [], jaccard.recall_at
+    monkeypatch.setattr(jaccard, "recall_at", lambda found, at, depth, threshold: (depths.append(at), plain(found, at, depth, threshold))[1])
+    rows = near_rows(words)
+    assert Counter(map(tuple, jaccard.classes(make(rows)).collect())) == brute_classes(rows)
+    assert depths[0] == jaccard.DEPTH and len(set(depths)) > 1
+    depths.clear()
+    jaccard.classes(make(rows), target_recall=0.9).count()
+    assert set(depths) == {jaccard.DEPTH}  # enough at once
+
+
+def test_chances_of_meeting():
+    rng = np.random.default_rng(3)
+    same = rng.random((40_000, jaccard.TREES, jaccard.OWN)) < 0.8
+    same = same[same.mean((1, 2)) >= 0.6]
+    for depth in (8, 7, 5, 3):
+        got = jaccard._matched(same, depth).any(1).mean()
+        assert abs(got - jaccard.met(0.8, depth, 0.6)[0]) < 0.006
+
+
+def test_a_hot_prefix(make, words):
+    """A third of all rows in one group of near copies, whose tries' runs are cut into many blocks."""
+    base = words(77, 120).split()
+    rows = [(i, " ".join([*base[:i], f"own{i}", *base[i + 1 :]])) for i in range(70)] + [(100 + i, words(300 + i, 60)) for i in range(140)]
+    assert Counter(map(tuple, jaccard.classes(make(rows), block=8).collect())) == brute_classes(rows)
+
+
 def test_one_of_each_class_stays(make, words, odd):
     rows = near_rows(words) + [(1000 + i, r[1]) for i, r in enumerate(odd)] + [(2000, "a row that comes again")] * 3
     docs = make(rows)
