@@ -41,8 +41,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the sources' temperature weights draw them, from a budget of as many tokens as there are."""
-    return mixing.mix(docs)
+    """Documents as often as the sources' temperature weights draw them, from a budget of half as many tokens again as there are."""
+    return mixing.mix(docs, budget_share=mixing.BUDGET_SHARE)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
