@@ -27,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rollmill.llm.textkernel import BYTE_BASE, WORD_BASE, Words, _BYTE_VALUE, groups, span_hashes, spans, windows
 from rollmill.llm.tidy import tidy
@@ -35,6 +36,8 @@ MIN_TILE, COVERAGE = 5, 0.5
 #: Bytes of benchmark text that one block, and so one broadcast, holds at most (but for a longer single item).
 BLOCK_BYTES = 8 << 20
 _TABLE_BITS = 20
+#: Seeds that are held at once while they are joined to runs.
+PAIRS = 1 << 20
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -89,72 +92,90 @@ def tile(i: np.ndarray, j: np.ndarray, n: int, item_len: int, least: int) -> lis
     new = np.ones(len(i), bool)
     new[1:] = (j[1:] - i[1:] != j[:-1] - i[:-1]) | (i[1:] != i[:-1] + 1)
     cuts = np.flatnonzero(new)
-    lengths = np.diff(np.append(cuts, len(i))) + n - 1
-    heap = [(-int(s), int(a), int(b)) for s, a, b in zip(lengths, i[cuts], j[cuts], strict=True)]
-    heapq.heapify(heap)
-    in_item = np.zeros(item_len, bool)
-    in_doc: set[int] = set()
-    out = []
-    while heap:
+    return tile_runs(i[cuts], j[cuts], np.diff(np.append(cuts, len(i))) + n - 1, item_len, least)
+
+
+def tile_runs(i: np.ndarray, j: np.ndarray, sizes: np.ndarray, item_len: int, least: int) -> list[tuple[int, int, int]]:
+    """The same from the longest matches themselves, ``sizes`` tokens at (i, j)."""
+    from_doc = int(j.min())
+    in_item, in_doc = np.zeros(item_len, bool), np.zeros(int((j + sizes).max()) - from_doc, bool)
+    order = np.lexsort((j, i, -sizes))
+    heap = list(zip((-sizes[order]).tolist(), i[order].tolist(), j[order].tolist(), strict=True))  # sorted, so a heap already
+    out, room = [], item_len
+    while heap and room >= least:
         size, a, b = heapq.heappop(heap)
         size = -size
-        free = [not in_item[a + k] and b + k not in in_doc for k in range(size)]
-        if all(free):
-            in_item[a : a + size] = True
-            in_doc.update(range(b, b + size))
+        taken = in_item[a : a + size] | in_doc[b - from_doc : b - from_doc + size]
+        if not taken.any():
+            in_item[a : a + size] = in_doc[b - from_doc : b - from_doc + size] = True
+            room -= size
             out.append((a, b, size))
             continue
-        k = 0
-        while k < size:  # what is left of an occluded match competes again
-            if not free[k]:
-                k += 1
-                continue
-            e = k
-            while e < size and free[e]:
-                e += 1
-            if e - k >= least:
+        edges = np.flatnonzero(np.diff(taken.astype(np.int8), prepend=1, append=1))
+        for k, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if e - k >= least:  # what is left of an occluded match competes again
                 heapq.heappush(heap, (-(e - k), a + k, b + k))
-            k = e
     return out
 
 
+def _runs(doc: np.ndarray, item: np.ndarray, i: np.ndarray, j: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of seeds (``seeds`` of them, one token apart, from (i, j)) with those that go on where another ends made one."""
+    order = np.lexsort((i, j - i, item, doc))
+    doc, item, i, j, seeds = (x[order] for x in (doc, item, i, j, seeds))
+    new = np.ones(len(i), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (j[1:] - i[1:] != j[:-1] - i[:-1]) | (i[1:] != i[:-1] + seeds[:-1])
+    cuts = np.flatnonzero(new)
+    return doc[cuts], item[cuts], i[cuts], j[cuts], np.add.reduceat(seeds, cuts) if len(cuts) else seeds
+
+
+def _seed_runs(words: Words, hashes: np.ndarray, n: int, block: Block) -> tuple[np.ndarray, ...] | None:
+    """(document, item, start in the item, start in the document, seeds) of the runs of seeds of n tokens.
+
+    A token run that stands often on both sides has a seed for each pair of places; they are made
+    some at a time and joined to runs at once, so only the runs are held.
+    """
+    seed, item, at, table = block.seeds[n]
+    starts, found = windows(words, hashes, n)
+    maybe = np.flatnonzero(table[(found >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
+    low = np.searchsorted(seed, found[maybe], "left")
+    count = np.searchsorted(seed, found[maybe], "right") - low
+    starts, low, count = starts[maybe][count > 0], low[count > 0], count[count > 0]
+    if not len(starts):
+        return None
+    doc = words.doc_of_word()[starts]
+    place = starts - words.first[doc]
+    upto = np.cumsum(count)
+    parts, x = [], 0
+    while x < len(starts):
+        y = max(x + 1, int(np.searchsorted(upto, (upto[x - 1] if x else 0) + PAIRS, "right")))
+        own = np.repeat(np.arange(x, y), count[x:y])
+        pick = low[own] + np.arange(len(own)) - np.repeat(np.cumsum(count[x:y]) - count[x:y], count[x:y])
+        parts.append(_runs(doc[own], item[pick], at[pick], place[own], np.ones(len(own), np.int64)))
+        x = y
+    return parts[0] if len(parts) == 1 else _runs(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+
+
 def matches(column: pa.Array | pa.ChunkedArray, block: Block, coverage: float) -> Iterator[tuple[int, int, float, int, int]]:
     """(row, item, coverage, tiles, longest tile) of the pairs that reach the coverage."""
     for words, hashes in token_groups(column):
-        rows, items, at_item, at_doc, sizes = [], [], [], [], []
-        for n, (seed, item, at, table) in block.seeds.items():
-            starts, found = windows(words, hashes, n)
-            maybe = np.flatnonzero(table[(found >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
-            low = np.searchsorted(seed, found[maybe], "left")
-            count = np.searchsorted(seed, found[maybe], "right") - low
-            maybe, low, count = maybe[count > 0], low[count > 0], count[count > 0]
-            if not len(maybe):
+        for n in block.seeds:
+            runs = _seed_runs(words, hashes, n, block)
+            if runs is None:
                 continue
-            pick = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            start = np.repeat(starts[maybe], count)
-            doc = words.doc_of_word()[start]
-            rows.append(doc)
-            items.append(item[pick])
-            at_item.append(at[pick])
-            at_doc.append(start - words.first[doc])
-            sizes.append(np.full(len(pick), n))
-        if not rows:
-            continue
-        doc, item, i, j, n = map(np.concatenate, (rows, items, at_item, at_doc, sizes))
-        order = np.lexsort((j, i, item, doc))
-        doc, item, i, j, n = doc[order], item[order], i[order], j[order], n[order]
-        cuts = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])))
-        for a, b in zip(cuts, np.append(cuts[1:], len(doc)), strict=True):
-            size = len(block.tokens[item[a]])
-            covered = np.zeros(size + 1, np.int64)
-            np.add.at(covered, i[a:b], 1)
-            np.add.at(covered, i[a:b] + n[a], -1)
-            if np.count_nonzero(np.cumsum(covered)[:-1]) < coverage * size:
-                continue  # not even all seeds together cover enough
-            tiles = tile(i[a:b], j[a:b], int(n[a]), size, min(block.min_tile, size))
-            share = sum(s for _, _, s in tiles) / size
-            if share >= coverage:
-                yield int(words.rows[doc[a]]), int(item[a]), share, len(tiles), max(s for _, _, s in tiles)
+            doc, item, i, j, seeds = runs
+            length = seeds + n - 1
+            cuts = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])))
+            for a, b in zip(cuts, np.append(cuts[1:], len(doc)), strict=True):
+                size = len(block.tokens[item[a]])
+                covered = np.zeros(size + 1, np.int64)
+                np.add.at(covered, i[a:b], 1)
+                np.add.at(covered, i[a:b] + length[a:b], -1)
+                if np.count_nonzero(np.cumsum(covered)[:-1]) < coverage * size:
+                    continue  # not even all seeds together cover enough
+                tiles = tile_runs(i[a:b], j[a:b], length[a:b], size, min(block.min_tile, size))
+                share = sum(s for _, _, s in tiles) / size
+                if share >= coverage:
+                    yield int(words.rows[doc[a]]), int(item[a]), share, len(tiles), max(s for _, _, s in tiles)
 
 
 def blocks(benchmark: DataFrame, min_tile: int, item_col: str, text_col: str) -> Iterator[Block]:
@@ -174,7 +195,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     out = None
-    schema = f"{id_col} long, item_id long, coverage double, n_tiles int, longest_tile int"
+    kind = benchmark.schema[item_col].dataType
+    schema = f"{id_col} long, item_id {kind.simpleString()}, coverage double, n_tiles int, longest_tile int"
+    kinds = (pa.int64(), to_arrow_type(kind), pa.float64(), pa.int32(), pa.int32())
     for block in blocks(benchmark, min_tile, item_col, item_text_col):
         sent = spark.sparkContext.broadcast(block)
 
@@ -185,7 +208,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE
                 ids = batch.column("id")
                 rows = [(ids[r].as_py(), b.items[i], c, k, s) for r, i, c, k, s in matches(batch.column("text"), b, coverage)]
                 if rows:
-                    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[id_col, "item_id", "coverage", "n_tiles", "longest_tile"])
 
         found = source.mapInArrow(find, schema)

@@ -5,6 +5,8 @@ import math
 import os
 import random
 import re
+import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -12,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from rollmill.llm import grulm, linecrf, perplexity
+from rollmill.llm import grulm, linecrf, perplexity, textkernel
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -135,6 +137,46 @@ def test_classifier_on_held_out_rows(spark, make, words):
     assert kept.columns == docs.columns and 100 < kept.count() < len(rows)
 
 
+def test_long_texts_in_segments_and_blocks(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = ["\n".join("aB 1.,x"[: rng.integers(0, 8)] * int(rng.integers(0, 3)) for _ in range(n)) for n in (1, 40, 7, 700, 3)] + [None, ""]
+    (_, data, offsets), = linecrf.groups(pa.array(texts))
+    weights, moves = rng.normal(size=linecrf.FEATURES), rng.normal(size=(2, 2))
+    x, _, bounds = linecrf.line_features(data, offsets)
+    whole = linecrf.forward_backward(x @ weights, bounds, moves, pairs=True)
+    monkeypatch.setattr(linecrf, "SEGMENT", 5)
+    monkeypatch.setattr(linecrf, "BLOCK_LINES", 11)
+    energy, _, again = linecrf.line_energies(data, offsets, weights)
+    assert (again == bounds).all() and np.allclose(energy, x @ weights) and np.allclose(linecrf.line_features(data, offsets)[0], x)
+    parts = linecrf.forward_backward(energy, bounds, moves, pairs=True)
+    assert np.allclose(whole[0], parts[0]) and np.allclose(whole[1], parts[1])
+
+
+@pytest.mark.parametrize("text", ["\n" * 1_000_000, "a b\n" * 250_000, "x" * 1_000_000])
+def test_degenerate_texts_take_bounded_memory(text):
+    rng = np.random.default_rng(5)
+    crf = linecrf.Crf(rng.normal(size=linecrf.FEATURES) * 0.1, rng.normal(size=(2, 2)), (1.0, 0.0), 0.5)
+    column = pa.array([text])
+    textkernel.forget()
+    tracemalloc.start()
+    began = time.perf_counter()
+    score = linecrf.predict(column, crf)
+    took, peak = time.perf_counter() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 0 <= score[0] <= 1 and peak < 100e6 and took < 20
+
+
+def test_the_sample_is_bounded(make, words, monkeypatch):
+    rows = [(i, words(i, 30) if i % 3 else "\n" * 5000) for i in range(60)]
+    labels = make([]).sparkSession.createDataFrame([(i, int(i % 3 > 0)) for i in range(60)], "doc_id long, quality int")
+    seen, plain = [], linecrf.fit
+    monkeypatch.setattr(linecrf, "fit", lambda texts, y: seen.append((texts, y)) or plain(texts, y))
+    monkeypatch.setattr(linecrf, "TRAIN_BYTES", 2000)
+    linecrf.train(make(rows), labels)
+    texts, y = seen[0]
+    assert 0 < len(texts) < 40 and sum(len(t) + 400 * t.count("\n") for t in texts) <= 2000 and set(y) == {1}
+
+
 def tokens_of(text):
     lower = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
     return [*WORD.findall((text or "").translate(lower)), None]

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -230,6 +231,34 @@ def test_tiles_against_brute_force(seed):
         assert brute_tiles(p, t, 3) == []
 
 
+@pytest.mark.parametrize("pairs", [3, 50])
+def test_seeds_some_at_a_time(words, monkeypatch, pairs):
+    rng = random.Random(6)
+    few = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    items = [few(30), few(12), "a " * 20, words(3, 25), "b c"]
+    texts = pa.array([few(200), "a " * 90, items[3] + " " + few(50), None, "b c a"])
+    block = tiling.block_of(list(range(len(items))), items)
+    whole = sorted(tiling.matches(texts, block, 0.3))
+    monkeypatch.setattr(tiling, "PAIRS", pairs)
+    assert sorted(tiling.matches(texts, block, 0.3)) == whole and len(whole) > 5
+    tokens = [t.split() if t else [] for t in texts.to_pylist()]
+    for d, t in enumerate(tokens):
+        for k, item in enumerate(items):
+            p = item.split()
+            tiles = brute_tiles(p, t, min(5, len(p))) if t else []
+            share = sum(n for _, _, n in tiles) / len(p)
+            assert ((d, k) in {(r[0], r[1]) for r in whole}) == (share >= 0.3)
+
+
+def test_one_word_again_and_again():
+    """400 KB of one word against an item of a thousand of it: a seed for each pair of places, a run for each diagonal."""
+    tracemalloc.start()
+    got = list(tiling.matches(pa.array(["word " * 80_000]), tiling.block_of([1], ["word " * 1000]), 0.5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(0, 0, 1.0, 1, 1000)] and peak < 200e6
+
+
 def test_contaminated_documents(spark, make, words, odd):
     items = [(1, words(900, 30)), (2, words(901, 12)), (3, "tiny item"), (4, None), (5, ""), (6, words(902, 20))]
     a, b = items[0][1].split(), items[5][1].split()
