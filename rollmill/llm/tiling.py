@@ -1,13 +1,14 @@
 """Benchmark decontamination by greedy string tiling.
 
 Tokens are runs of ASCII letters and digits (in lower case) and of non-ASCII bytes. The texts of
-a block of benchmark items, of bounded size, go to every task with the Karp-Rabin hashes of all
+the benchmark, if they keep to BLOCK_BYTES, go to every task with the Karp-Rabin hashes of all
 their runs of ``min_tile`` tokens. Each document's own running hashes are looked up among them:
 shared runs are the seeds, and only pairs of document and item with enough seeds go on. There the
 longest match of tokens that are marked on neither side is marked as a tile, again and again, until
 no match of ``min_tile`` tokens is left; the share of the item's tokens under tiles is its
-coverage. As tiles may lie in any order, reordered passages are found too. A larger benchmark is
-cut into several blocks, each run against all documents.
+coverage. As tiles may lie in any order, reordered passages are found too. A benchmark of more
+than BLOCK_BYTES is not sent: its seeds are joined to the documents' by hash, in one pass over the
+documents, and the texts of the pairs that share enough are joined for tiling.
 
 Nulls: null texts have no tokens and match nothing; a null item or document id is passed through.
 Items of fewer than ``min_tile`` tokens match as a whole only, those without tokens never. Very
@@ -21,6 +22,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -29,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from rollmill.llm.textkernel import BYTE_BASE, WORD_BASE, Words, _BYTE_VALUE, groups, span_hashes, spans, windows
+from rollmill.llm.cluster import checkpointed
+from rollmill.llm.filters import FILTER_BITS, bit_filter, passes
+from rollmill.llm.textkernel import BYTE_BASE, WORD_BASE, Words, _BYTE_VALUE, groups, mix, span_hashes, spans, windows
 from rollmill.llm.tidy import tidy
 
 MIN_TILE, COVERAGE = 5, 0.5
-#: Bytes of benchmark text that one block, and so one broadcast, holds at most (but for a longer single item).
+#: Bytes of benchmark text that are broadcast at most.
 BLOCK_BYTES = 8 << 20
 _TABLE_BITS = 20
 #: Seeds that are held at once while they are joined to runs.
@@ -178,55 +182,123 @@ def matches(column: pa.Array | pa.ChunkedArray, block: Block, coverage: float) -
                     yield int(words.rows[doc[a]]), int(item[a]), share, len(tiles), max(s for _, _, s in tiles)
 
 
-def blocks(benchmark: DataFrame, min_tile: int, item_col: str, text_col: str) -> Iterator[Block]:
-    """The benchmark in blocks of bounded size, one at a time."""
+def whole_block(benchmark: DataFrame, min_tile: int, item_col: str, text_col: str) -> Block | None:
+    """The benchmark as one block, if it keeps to BLOCK_BYTES."""
     some = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    total = some.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    n = max(1, -(-2 * total // BLOCK_BYTES)) if total > BLOCK_BYTES else 1
-    for k in range(n):
-        part: pd.DataFrame = (some if n == 1 else some.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)).toPandas()
-        if len(part):
-            part = part.sort_values(["item", "text"], kind="stable")
-            yield block_of([None if pd.isna(x) else x for x in part["item"]], list(part["text"]), min_tile)
+    total = some.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    if total > BLOCK_BYTES:
+        return None
+    part: pd.DataFrame = some.toPandas()
+    part = part.sort_values(["item", "text"], kind="stable")
+    return block_of([None if pd.isna(x) else x for x in part["item"]], list(part["text"]), min_tile)
+
+
+@tidy
+def _item_seeds(batches: Iterator[pa.RecordBatch], min_tile: int) -> Iterator[pa.RecordBatch]:
+    """The distinct seeds of items, with how many tokens they can cover at most; an item is named by its row."""
+    for batch in batches:
+        for words, hashes in token_groups(batch.column("text")):
+            parts = []
+            for d in np.flatnonzero(words.counts > 0):
+                size = int(words.counts[d])
+                n = min(min_tile, size)
+                starts = np.arange(words.first[d], words.last[d] - n + 1)
+                seeds, times = np.unique(span_hashes(hashes, WORD_BASE, starts, starts + n), return_counts=True)
+                parts.append((seeds, times * n, np.full(len(seeds), words.rows[d]), np.full(len(seeds), size), np.full(len(seeds), n)))
+            if parts:
+                seeds, covers, rows, sizes, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), batch.column("row").take(pa.array(rows)), pa.array(covers.astype(np.int64)), pa.array(sizes.astype(np.int64)), pa.array(n.astype(np.int32))], names=["seed", "row", "covers", "size", "n"])
+
+
+@tidy
+def _doc_seeds(batches: Iterator[pa.RecordBatch], lengths: list[int], sent) -> Iterator[pa.RecordBatch]:
+    """The distinct seeds of documents that pass the filter of the items' seeds."""
+    for batch in batches:
+        for words, hashes in token_groups(batch.column("text")):
+            for n in lengths:
+                starts, found = windows(words, hashes, n)
+                keep = np.flatnonzero(passes(sent.value, found, FILTER_BITS))
+                if len(keep):
+                    doc, found = words.doc_of_word()[starts[keep]], found[keep]
+                    first = np.unique(mix(found ^ mix(doc.astype(np.uint64))), return_index=True)[1]
+                    rows = pa.array(words.rows[doc[first]])
+                    yield pa.RecordBatch.from_arrays([pa.array(found[first].view(np.int64)), batch.column("id").take(rows), batch.column("th").take(rows)], names=["seed", "id", "th"])
+
+
+def joined_pairs(docs: DataFrame, benchmark: DataFrame, min_tile: int, coverage: float, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """id, th, item, coverage, n_tiles, longest_tile of the pairs that reach the coverage, for a benchmark of any size.
+
+    The seeds of items and documents are joined by hash; a bit filter of fixed size keeps the
+    documents' other seeds at home. Only pairs whose shared seeds could cover enough are tiled, with
+    their texts joined to them. th is the hash of the document's text.
+    """
+    spark = docs.sparkSession
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+    items = checkpointed(benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where(F.col("text").isNotNull())).withColumn("row", F.monotonically_increasing_id())
+    seeds = checkpointed(items.select("row", "text").mapInArrow(partial(_item_seeds, min_tile=min_tile), "seed long, row long, covers long, size long, n int"))
+    lengths = sorted(r["n"] for r in seeds.select("n").distinct().collect())  # at most min_tile
+    sent = spark.sparkContext.broadcast(bit_filter(seeds.select("seed"), "seed"))
+    hits = source.mapInArrow(partial(_doc_seeds, lengths=lengths, sent=sent), "seed long, id long, th long").distinct()
+    shared = hits.join(seeds.drop("n"), "seed").groupBy("id", "th", "row").agg(F.sum("covers").alias("covers"), F.first("size").alias("size"))
+    pairs = checkpointed(shared.where(F.col("covers") >= F.lit(coverage) * F.col("size")).select("id", "th", "row"))
+    texts = source.dropDuplicates(["id", "th"]).alias("d").join(pairs.alias("p"), F.col("d.id").eqNullSafe(F.col("p.id")) & F.col("d.th").eqNullSafe(F.col("p.th")))
+    both = texts.join(items.withColumnRenamed("text", "item_text").alias("i"), F.col("p.row") == F.col("i.row")).select("d.id", "d.th", "d.text", "item", "item_text")
+
+    @tidy
+    def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for k, (text, item) in enumerate(zip(batch.column("text").to_pylist(), batch.column("item_text").to_pylist(), strict=True)):
+                found += [(k, *m[2:]) for m in matches(pa.array([text], pa.large_string()), block_of([0], [item], min_tile), coverage)]
+            if found:
+                rows, *figures = zip(*found, strict=True)
+                at = pa.array(rows, pa.int64())
+                kinds = (pa.float64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("id", "th", "item")), *(pa.array(x, t) for x, t in zip(figures, kinds, strict=True))], names=["id", "th", "item", "coverage", "n_tiles", "longest_tile"])
+
+    return both.mapInArrow(tiled, f"id long, th long, item {benchmark.schema[item_col].dataType.simpleString()}, coverage double, n_tiles int, longest_tile int")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc id, item_id, coverage, n_tiles, longest_tile of every pair that reaches the coverage."""
-    spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    out = None
     kind = benchmark.schema[item_col].dataType
-    schema = f"{id_col} long, item_id {kind.simpleString()}, coverage double, n_tiles int, longest_tile int"
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    names = [id_col, "item_id", "coverage", "n_tiles", "longest_tile"]
+    block = whole_block(benchmark, min_tile, item_col, item_text_col)
+    if block is None:
+        pairs = joined_pairs(docs, benchmark, min_tile, coverage, id_col, text_col, item_col, item_text_col)
+        rows = source.select(F.col("id"), F.xxhash64("text").alias("th")).alias("r")
+        own = rows.join(pairs.alias("p"), F.col("r.id").eqNullSafe(F.col("p.id")) & F.col("r.th").eqNullSafe(F.col("p.th")))
+        return own.select("r.id", "item", "coverage", "n_tiles", "longest_tile").toDF(*names)
+    sent = docs.sparkSession.sparkContext.broadcast(block)
     kinds = (pa.int64(), to_arrow_type(kind), pa.float64(), pa.int32(), pa.int32())
-    for block in blocks(benchmark, min_tile, item_col, item_text_col):
-        sent = spark.sparkContext.broadcast(block)
-
-        @tidy
-        def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            b = sent.value
-            for batch in batches:
-                ids = batch.column("id")
-                rows = [(ids[r].as_py(), b.items[i], c, k, s) for r, i, c, k, s in matches(batch.column("text"), b, coverage)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[id_col, "item_id", "coverage", "n_tiles", "longest_tile"])
-
-        found = source.mapInArrow(find, schema)
-        out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], schema) if out is None else out
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, coverage: float = COVERAGE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that cover a benchmark item; no exchange of rows."""
-    for block in blocks(benchmark, min_tile, item_col, item_text_col):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-
-        @tidy
-        def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                mask = np.ones(len(batch), bool)
-                for row, *_ in matches(batch.column(text_col), sent.value, coverage):
-                    mask[row] = False
-                yield batch.filter(pa.array(mask))
-
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+
+    @tidy
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = sent.value
+        for batch in batches:
+            ids = batch.column("id")
+            rows = [(ids[r].as_py(), b.items[i], c, k, s) for r, i, c, k, s in matches(batch.column("text"), b, coverage)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return source.mapInArrow(find, f"{id_col} long, item_id {kind.simpleString()}, coverage double, n_tiles int, longest_tile int")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that cover a benchmark item; with a benchmark of one block, no exchange of rows."""
+    block = whole_block(benchmark, min_tile, item_col, item_text_col)
+    if block is None:
+        found = joined_pairs(docs, benchmark, min_tile, coverage, id_col, text_col, item_col, item_text_col).select(F.col("id").alias("__i"), F.col("th").alias("__t")).distinct()
+        return docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("__i")) & (F.xxhash64(F.col(text_col)) == F.col("__t")), "left_anti")
+    sent = docs.sparkSession.sparkContext.broadcast(block)
+
+    @tidy
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mask = np.ones(len(batch), bool)
+            for row, *_ in matches(batch.column(text_col), sent.value, coverage):
+                mask[row] = False
+            yield batch.filter(pa.array(mask))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -274,9 +274,16 @@ def test_contaminated_documents(spark, make, words, odd):
     assert tiling.contaminated(make([]), bench).count() == 0
 
 
-def test_benchmarks_in_blocks(spark, make, words, monkeypatch):
-    items = [(i, words(500 + i, 25)) for i in range(12)]
-    docs, bench = make([(i, words(i, 30) + " " + t) for i, t in items]), spark.createDataFrame(items, "item_id long, text string")
-    whole = sorted(map(tuple, tiling.contaminated(docs, bench).collect()))
+def test_benchmarks_beyond_a_broadcast(spark, make, words, odd, monkeypatch):
+    """Joined by seeds, a benchmark gives the same pairs and the same documents."""
+    items = [(i, words(500 + i, 25)) for i in range(12)] + [(100, "two words"), (101, None), (102, ""), (103, "a b a b a b a b")]
+    rows = [(i, words(i, 30) + " " + t) for i, t in items[:12]] + [(r[0], r[1]) for r in odd] + [(300, "a b " * 30), (300, "a b " * 30)]
+    docs, bench = make(rows), spark.createDataFrame(items, "item_id int, text string")
+    order = lambda out: sorted(map(tuple, out.collect()), key=repr)
+    whole, kept = order(tiling.contaminated(docs, bench)), order(tiling.decontaminate(docs, bench))
     monkeypatch.setattr(tiling, "BLOCK_BYTES", 400)
-    assert sorted(map(tuple, tiling.contaminated(docs, bench).collect())) == whole and len(whole) == 12
+    assert order(tiling.contaminated(docs, bench)) == whole and len(whole) > 15
+    assert order(tiling.decontaminate(docs, bench)) == kept
+    assert tiling.contaminated(make([]), bench).count() == 0
+
+
