@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollmill.functions import jsonrules
+from rollmill.functions import jsonrules, jsonschemas
 
 
 @F.arrow_udf(T.StringType())
@@ -57,5 +57,24 @@ def argument_pattern_matches(pattern: pa.Array, arguments: pa.Array) -> pa.Array
 
 
 @F.arrow_udf(T.BooleanType())
-def quote_in_generation(quote: pa.Array, text: pa.Array) -> pa.Array:
-    return pa.array([jsonrules.quoted(q, t) for q, t in zip(quote.to_pylist(), text.to_pylist(), strict=True)], pa.bool_())
+def quote_in_generation(quote: pa.Array, text: pa.Array, has_tools: pa.Array) -> pa.Array:
+    """See ``jsonrules.quoted``; a null flag counts as no tool calls."""
+    columns = (quote.to_pylist(), text.to_pylist(), has_tools.to_pylist())
+    return pa.array([jsonrules.quoted(q, t, bool(h)) for q, t, h in zip(*columns, strict=True)], pa.bool_())
+
+
+def call_error(schemas: dict[str, dict]) -> Callable[[Column, Column], Column]:
+    """A UDF (tool, arguments JSON) -> struct of error_kind and detail, both null for a valid call.
+
+    Arguments that are no JSON object are schema_invalid, whatever the tool; a tool without a
+    schema is unknown_tool; the detail names the first fault by its place.
+    """
+    kind = T.StructType([T.StructField("error_kind", T.StringType()), T.StructField("detail", T.StringType())])
+    shape = pa.struct([("error_kind", pa.string()), ("detail", pa.string())])
+
+    @F.arrow_udf(kind)
+    def check(tool: pa.Array, arguments: pa.Array) -> pa.Array:
+        found = [jsonschemas.call_error(n, t, schemas) for n, t in zip(tool.to_pylist(), arguments.to_pylist(), strict=True)]
+        return pa.array([{"error_kind": k, "detail": d} for k, d in found], shape)
+
+    return check

@@ -102,3 +102,88 @@ def test_model_inputs_keep_their_fields():
     f = lambda text: jsonrules.arguments_string("book_reservation", text, jsonrules.UNORDERED, jsonrules.MODEL_INPUTS)
     assert f('{"passengers": [{"first_name": "A", "x": 1}, {"first_name": "B"}]}') == f('{"passengers": [{"first_name": "B"}, {"first_name": "A"}]}')
     assert f('{"flights": [{"date": "1"}, {"date": "2"}]}') != f('{"flights": [{"date": "2"}, {"date": "1"}]}')
+
+
+def test_reasoning_keys_in_any_case_and_by_emptiness():
+    assert jsonrules.reasons({"a": [{"Reasoning": "x"}]}, False) and jsonrules.reasons({"THINKING": None}, True)
+    assert [jsonrules.reasons({"thinking": v}, False) for v in (0, False, [0], {"a": None}, None, "", [], {})] == [True] * 4 + [False] * 4
+    assert not jsonrules.reasons(["thinking", {"x": "reasoning"}, None, 3], True)
+
+
+def test_patterns_compare_as_arguments_do():
+    holds = jsonrules.pattern_holds
+    assert not holds('{"eq": {"a": 1}}', '{"a": true}') and holds('{"eq": {"a": [1, "b"]}}', '{"a": [1, "b"]}')
+    assert holds('{"a": {"eq": {"amount": 2}}}', '{"a": {"amount": "2.0"}, "b": 1}') and not holds('{"a": {"eq": {"amount": "x"}}}', '{"a": {"amount": "x"}}')
+    assert holds('{"l": [{"k": 1}, {}]}', '{"l": [{"k": 1, "m": 2}, {"n": 3}]}') and not holds('{"l": [1]}', '{"l": [1, 2]}')
+    assert not holds('{"l": {"0": 1}}', '{"l": [1]}') and not holds('{"a": {"eq": null}}', "{}") and holds('{"a": {"eq": null}}', '{"a": null}')
+    assert holds("{}", '{"a": 1}') and not holds("{}", "[1]") and not holds('{"a": 1}', '{"a": 1.0}')
+
+
+def test_what_is_no_number_equals_nothing():
+    f = lambda text: jsonrules.arguments_string("t", text, {}, {})
+    assert f('{"amount": "never"}') is None and f('{"x": NaN}') is None and f('{"amount": true}') is None
+    assert f('{"amount": "1e2"}') == f('{"amount": 100}') == f('{"amount": 100.0}') != f('{"amount": 10}')
+    assert f('{"amount": 0}') == f('{"amount": -0.0}') == f('{"amount": "0e5"}')
+    assert f('{"amount": "1234567890123456789012345678901"}') != f('{"amount": "1234567890123456789012345678902"}')
+
+
+def test_quotes():
+    q = jsonrules.quoted
+    assert q("Done.", "Done.") and not q("Don", "Done.") and not q("a quote that is not there", "some other text, longer")
+    assert q("the total is right", "**the total** is\n right<|im_end|>\n") and not q("a_b and c_d are names", "ab and cd are names, yes")
+    assert q("a long enough text<|im_end|>", "a long enough text <|im_end|><|endoftext|>")
+    call = '[{"name": "book", "arguments": {"total_baggages": 20, "user": "x y"}}]'
+    assert not q('{"total_baggages": 2', call, True) and not q('"name": "book", "arguments": {"total_baggages": 2', call, True)
+    assert q('{"total_baggages":20, "user"', call, True) and q('{"total_baggages": 20', call, True) and q('"arguments" : {"total_baggages": 20}', call, True)
+    assert q('"a summary of what was done"', '[{"s": "well, a summary of what was done today"}]', True)
+    assert q("", "<|im_end|>") and not q("", "", True) and not q("x", "") and not q(None, "x")
+
+
+def test_prose_and_tokens(spark):
+    texts = ["a_b > *x* **bold  words** __under__ `c`", "x\u00a0 y\x1cz"]
+    assert one(spark, *[scalars.plain_prose(F.lit(t)) for t in texts]) == [jsonrules.prose(t) for t in texts] == ["a_b > *x* bold words under `c`", "x y z"]
+    assert one(spark, scalars.without_end(F.lit("done <|im_end|> <|endoftext|>\n")), scalars.without_end(F.lit("a <|im_end|> b"))) == ["done", "a <|im_end|> b"]
+    assert one(spark, scalars.json_tokens(F.lit('{"a b": -1.5e3, x:[true]}')))[0] == ["{", '"a b"', ":", "-1.5e3", ",", "x", ":", "[", "true", "]", "}"]
+    f = lambda text, n: scalars.tool_turn_error(F.lit(text), F.lit(n))
+    assert one(spark, f("<tool_call>{}</tool_call><|im_end|>", 1), f("</tool_call>x<tool_call>", 1)) == [None, "parse_error"]
+
+
+def test_terminations(spark):
+    f = lambda reason, moved: scalars.termination(F.lit(reason).cast("string"), F.lit(moved).cast("boolean"))
+    assert one(spark, f("max_steps", True), f("user_stop", True), f("user_stop", None), f("other", False), f(None, True)) == ["max_steps", "human_transfer", "user_stop", "environment_terminated", "human_transfer"]
+    s = lambda reason, used, limit, train: tuple(one(spark, scalars.truncation_state(F.lit(reason), F.lit(used), F.lit(limit), F.lit(train), F.lit("zero")))[0])
+    assert s("max_steps", 1, 2, True) == (True, "max_steps", "zero", 1, 2, True, False)
+    assert s("max_steps", 2, 2, True)[-2:] == (False, True) and s("max_steps", 0, 2, False)[-3:] == (0, False, False) and s("user_stop", 0, 2, True)[:2] == (False, None)
+
+
+def test_calls_against_schemas(spark):
+    schemas = {
+        "book": {
+            "type": "object",
+            "properties": {"user": {"type": "string", "minLength": 2}, "n": {"$ref": "#/$defs/count"}, "legs": {"type": "array", "items": {"enum": ["out", "back"]}, "uniqueItems": True}},
+            "required": ["user"],
+            "additionalProperties": False,
+            "$defs": {"count": {"anyOf": [{"type": "integer", "minimum": 1}, {"type": "null"}]}},
+        },
+        "any": {},
+    }
+    cases = [
+        ("book", '{"user": "ab", "n": 2.0, "legs": ["out", "back"]}', None),
+        ("book", '{"user": "ab", "n": null}', None),
+        ("any", '{"x": [1]}', None),
+        ("book", '{"n": 1}', "arguments: 'user' is a required property"),
+        ("book", '{"user": "a"}', 'user: "a" is too short, at least 2'),
+        ("book", '{"user": "ab", "n": 0}', "n: fits none of anyOf"),
+        ("book", '{"user": "ab", "n": true}', "n: fits none of anyOf"),
+        ("book", '{"user": "ab", "legs": ["out", "up"]}', 'legs.1: "up" is not one of ["out", "back"]'),
+        ("book", '{"user": "ab", "x": 1}', "arguments: 'x' is an additional property"),
+        ("book", "[1]", "arguments must be an object"),
+        ("other", "{", "invalid JSON"),
+        ("other", "{}", "unknown tool: other"),
+        (None, None, "invalid JSON"),
+    ]
+    rows = spark.createDataFrame([(i, n, a) for i, (n, a, _) in enumerate(cases)], "i int, n string, a string")
+    got = {r.i: r.e for r in rows.select("i", canon.call_error(schemas)("n", "a").alias("e")).collect()}
+    for i, (_, _, detail) in enumerate(cases):
+        kind = None if detail is None else "unknown_tool" if detail.startswith("unknown") else "schema_invalid"
+        assert tuple(got[i]) == (kind, detail), cases[i]
