@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rollmill.functions import scalars
 from rollmill.sources.shared import checkpointed
@@ -31,27 +37,43 @@ def residual(rows: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
     return rows.join(manifest.select(key).distinct(), key, "left_semi")
 
 
-def leaking(docs: DataFrame, benchmark: DataFrame, key: str, text: str = "text", item_text: str = "text", words: int = 4) -> DataFrame:
+#: Words of the runs that passages are found by, and passages that one scan compares with all documents.
+RUN_WORDS, FEW = 4, 64
+
+
+def leaking(docs: DataFrame, benchmark: DataFrame, key: str, text: str = "text", item_text: str = "text", words: int = RUN_WORDS) -> DataFrame:
     """Keys of documents that contain a passage verbatim.
 
-    An equi-join on a run of ``words`` words from the passage's second word on (which any document
-    with the passage shows whole), then ``contains`` decides. The few shorter passages are a
-    stated set that is compared with all documents.
+    A passage is found by one of its runs of ``words`` whole words (all but its first and last word
+    are whole in any document that shows it), the one that the fewest documents hold; an equi-join
+    on the run gives candidates, and ``contains`` decides. Shorter passages have shorter runs, one
+    join for each length. Passages without a whole word of their own have to be looked for at every
+    place; they are compared with all documents, FEW of them in a scan's one condition.
     """
     cut = lambda c: F.array_remove(F.split(c, r"\s+"), "")
-    run = lambda a, i: F.xxhash64(*[F.get(a, i + k) for k in range(words)])
-    runs = lambda a: F.transform(F.sequence(F.lit(0), F.size(a) - words), lambda i: run(a, i))
-    items = benchmark.select(F.col(item_text).alias("__p")).where(F.length("__p") > 0).distinct().withColumn("__w", cut(F.col("__p")))
-    long = items.where(F.size("__w") >= words + 2).select("__p", run(F.col("__w"), F.lit(1)).alias("__h"))
-    short = items.where(F.size("__w") < words + 2).select("__p")
-    # the words are bound once, as the variable of an outer lambda, and not cut again for each run
-    grams = F.transform(F.array(cut(F.col(text))), lambda a: F.when(F.size(a) >= words, F.array_distinct(runs(a))))
-    grams = docs.select(key, F.explode(F.flatten(grams)).alias("__h"))
-    # texts meet candidates alone: no text travels with its runs
-    likely = grams.join(long, "__h").select(key, "__p").distinct()
-    hits = docs.select(key, text).join(likely, key).where(F.contains(F.col(text), F.col("__p"))).select(key)
-    few = docs.join(short, F.contains(F.col(text), F.col("__p")), "left_semi").select(key)
-    return hits.union(few).distinct()
+    hashed = lambda a, i, n: F.xxhash64(F.lit(n), *[F.get(a, i + k) for k in range(n)])
+    runs = lambda a, n: F.when(F.size(a) >= n, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(a) - n), lambda i: hashed(a, i, n))))
+    items = benchmark.select(F.col(item_text).alias("__p")).where(F.length("__p") > 0).distinct()
+    inner = items.withColumn("__w", cut(F.col("__p"))).withColumn("__w", F.slice("__w", F.lit(2), F.greatest(F.size("__w") - 2, F.lit(0)))).withColumn("__n", F.least(F.size("__w"), F.lit(words)))
+    inner = checkpointed(inner)
+    found = None
+    for n in sorted(r["__n"] for r in inner.select("__n").distinct().collect() if r["__n"]):
+        mine = inner.where(F.col("__n") == n).select("__p", F.explode(runs(F.col("__w"), n)).alias("__h"))
+        # the words are bound once, as the variable of an outer lambda, and not cut again for each run
+        held = docs.select(key, F.explode(F.flatten(F.transform(F.array(cut(F.col(text))), lambda a: runs(a, n)))).alias("__h"))
+        held = checkpointed(held.join(mine.select("__h").distinct(), "__h", "left_semi"))
+        rarity = mine.join(held.groupBy("__h").agg(F.count(F.lit(1)).alias("__c")), "__h", "left")
+        # a run that no document holds says that none holds the passage
+        best = rarity.groupBy("__p").agg(F.min_by("__h", F.coalesce("__c", F.lit(0))).alias("__h"), F.min(F.coalesce("__c", F.lit(0))).alias("__c")).where("__c > 0")
+        likely = held.join(best, "__h").select(key, "__p").distinct()
+        hits = docs.select(key, text).join(likely, key).where(F.contains(F.col(text), F.col("__p"))).select(key)
+        found = hits if found is None else found.union(hits)
+    rest = [r["__p"] for r in inner.where("__n = 0").select("__p").toLocalIterator()]  # texts of two words at most
+    for k in range(0, len(rest), FEW):
+        some = reduce(lambda a, b: a | b, [F.contains(F.col(text), F.lit(p)) for p in rest[k : k + FEW]])
+        hits = docs.where(some).select(key)
+        found = hits if found is None else found.union(hits)
+    return docs.select(key).limit(0) if found is None else found.distinct()
 
 
 def first_reason(rules: list[tuple[str, Column]]) -> Column:
@@ -94,19 +116,41 @@ def normalize_tool_calls(calls: Column) -> Column:
     return F.when(F.size(calls) > 0, F.transform(calls, lambda c: F.struct(F.coalesce(c["function"]["name"], c["name"]).alias("name"), F.coalesce(c["function"]["arguments"], c["arguments"]).alias("arguments"))))
 
 
+TARGET = "n_history long, history_sha256 string, answer_sha256 string"
+
+
 def prefix_targets(messages: DataFrame, dialog: str = "dialog_id", index: str = "message_index") -> DataFrame:
     """One row for each assistant message right after a user or tool message, with the history's size and digest.
 
-    The history of a row is all earlier messages; joining it as text is quadratic by nature, so it
-    is built only for dialogs, one window each.
+    The history of a row is all earlier messages as role:content lines. One pass over a dialog's
+    sorted messages carries the digest along, so no history is ever built: memory and work are
+    those of the messages. Messages whose role or content is null count for the size and show as
+    nothing in the history.
     """
-    w = W.partitionBy(dialog).orderBy(index)
-    line = F.concat(F.col("role"), F.lit(":"), F.col("content"))
-    history = F.collect_list(line).over(w.rowsBetween(W.unboundedPreceding, -1))
-    rows = messages.withColumn("__before", F.lag("role").over(w)).withColumn("__history", history)
-    return rows.where((F.col("role") == "assistant") & F.col("__before").isin("user", "tool")).select(
-        dialog, index, F.size("__history").cast("long").alias("n_history"), F.sha2(F.concat_ws("\n", "__history"), 256).alias("history_sha256"), F.sha2("content", 256).alias("answer_sha256")
-    )
+    kinds = dict(messages.dtypes)
+    rows = messages.select(dialog, index, "role", "content").repartition(dialog).sortWithinPartitions(dialog, index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, n, before, digest = object(), 0, None, None  # digest: None before the first line
+        for batch in batches:
+            out: list[tuple] = []
+            for d, i, role, content in zip(*(batch.column(c).to_pylist() for c in (dialog, index, "role", "content")), strict=True):
+                if d != here:
+                    here, n, before, digest = d, 0, None, None
+                if role == "assistant" and before in ("user", "tool"):
+                    out.append((d, i, n, (digest or hashlib.sha256()).hexdigest(), None if content is None else hashlib.sha256(content.encode()).hexdigest()))
+                if role is not None and content is not None:
+                    line = f"{role}:{content}"
+                    if digest is None:
+                        digest = hashlib.sha256(line.encode())
+                    else:
+                        digest.update(f"\n{line}".encode())
+                n, before = n + 1, role
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[dialog, index, "n_history", "history_sha256", "answer_sha256"])
+
+    types = [to_arrow_type(messages.schema[dialog].dataType), to_arrow_type(messages.schema[index].dataType), pa.int64(), pa.string(), pa.string()]
+    return rows.mapInArrow(run, f"{dialog} {kinds[dialog]}, {index} {kinds[index]}, {TARGET}")
 
 
 def first_by_fingerprint(rows: DataFrame, fingerprint: Column, order: list[Column | str]) -> DataFrame:
@@ -158,14 +202,25 @@ def group_split(rows: DataFrame, group: str, ratio: float, seed: int) -> DataFra
     return rows.join(chosen, group, "left").withColumn("split", F.coalesce("split", F.lit("train")))
 
 
-def sample_rows(rows: DataFrame, n: int, seed: int, key: list[str]) -> DataFrame:
-    """A uniform sample of n rows without replacement, by a keyed hash; reproducible, in no order of its own."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+def sample_rows(rows: DataFrame, n: int, seed: int, key: list[str], order: list[str] | None = None) -> DataFrame:
+    """A uniform sample of n rows without replacement, by a keyed hash, and reproducible; fewer rows fail. With ``order``, in that order."""
+    drawn = rows.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+    few = drawn.limit(n).agg(F.count(F.lit(1))).scalar() < n
+    drawn = drawn.where(F.when(few, F.raise_error(F.lit(f"fewer than {n} rows")).cast("boolean")).otherwise(F.lit(True)))
+    return drawn.orderBy(*order) if order else drawn
 
 
-def shuffled(rows: DataFrame, seed: int, key: list[str]) -> DataFrame:
-    """Rows with ``place``, their order under a keyed hash within a hash range; a distributed shuffle."""
-    return rows.withColumn("place", F.xxhash64(F.lit(seed), *key)).repartitionByRange("place", *key).sortWithinPartitions("place", *key)
+def shuffled(rows: DataFrame, seed: int, key: list[str], batch: int | None = None) -> DataFrame:
+    """Rows with ``place``, their order under a keyed hash within a hash range; a distributed shuffle.
+
+    batch: rows that do not fill a last batch of so many are dropped, those of the greatest places.
+    """
+    placed = rows.withColumn("place", F.xxhash64(F.lit(seed), *key))
+    if batch:
+        over = rows.count() % batch
+        last = placed.select("place", *key).orderBy(F.desc("place"), *[F.desc(k) for k in key]).limit(over)  # fewer than a batch
+        placed = placed.join(F.broadcast(last), ["place", *key], "left_anti")
+    return placed.repartitionByRange("place", *key).sortWithinPartitions("place", *key)
 
 
 def valid_sft_rows(messages: Column, answer: Column, tools: Column) -> dict[str, Column]:

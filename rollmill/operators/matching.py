@@ -35,77 +35,118 @@ def waived_candidates(actions: DataFrame, events: DataFrame, by: list[str]) -> D
     return wanted.join(keep, [*[c for c in by if c in actions.columns], "loose_key"]).where(waived(F.col("arguments"), F.col("state_before")))
 
 
-def largest_match(edges: dict[str, list[tuple[int, int]]], order: Iterable[tuple[str, str]] = ()) -> dict[str, int]:
+Edges = dict[str, list[tuple[int, int]]]
+
+
+def _most_free(edges: Edges) -> int:
+    """Size of a largest match without order, by augmenting paths (edges times actions steps)."""
+    owner: dict[int, str] = {}
+    owned: dict[str, int] = {}
+
+    def place(action: str) -> bool:
+        came: dict[int, str] = {}
+        todo = [action]
+        while todo:
+            here = todo.pop()
+            for event, _ in edges[here]:
+                if event in came:
+                    continue
+                came[event] = here
+                if event in owner:
+                    todo.append(owner[event])
+                    continue
+                at: int | None = event
+                while at is not None:  # every event on the way back goes to the action that came for it
+                    taker = came[at]
+                    owner[at], owned[taker], at = taker, at, owned.get(taker)
+                return True
+        return False
+
+    return sum(place(action) for action in edges)
+
+
+def _most_ordered(edges: Edges, order: list[tuple[str, str]], forced: set[str]) -> int:
+    """Size of a largest match under order that has all forced actions; -1 if there is none.
+
+    Events are taken turn by turn; a state is the set of actions matched in earlier turns and in
+    this one. With a actions and e events there are at most 3**a states and e * a steps for each,
+    whatever the number of matches.
+    """
+    names = list(edges)
+    bit = {a: 1 << k for k, a in enumerate(names)}
+    needs = [sum(bit.get(b, 0) for b, x in order if x == a) for a in names]
+    never = [any(b not in bit for b, x in order if x == a) for a in names]
+    takers: dict[tuple[int, int], list[int]] = {}
+    for k, a in enumerate(names):
+        for event, turn in edges[a]:
+            takers.setdefault((turn, event), []).append(k)
+    states, at = {(0, 0)}, None
+    for (turn, _), actions in sorted(takers.items()):
+        if turn != at:
+            states, at = {(earlier | now, 0) for earlier, now in states}, turn
+        states |= {(earlier, now | 1 << k) for earlier, now in states for k in actions if not (earlier | now) >> k & 1 and needs[k] & ~earlier == 0 and not never[k]}
+    must = sum(bit[a] for a in forced)
+    return max(((earlier | now).bit_count() for earlier, now in states if (earlier | now) & must == must), default=-1)
+
+
+def largest_match(edges: Edges, order: Iterable[tuple[str, str]] = ()) -> dict[str, int]:
     """action -> event of the largest match. edges: action -> [(event, turn)]; order: (before, after) pairs.
 
-    A dependent action counts only if its predecessor is matched in an earlier turn. Without
-    order pairs, augmenting paths; with them, a search with a bound, most constrained first.
+    A dependent action counts only if its predecessor is matched in an earlier turn. Of the largest
+    matches it is the one that gives the actions of fewest events first, and those given before
+    them, the earliest events they can have.
     """
     order = list(order)
-    if not order:
-        owner: dict[int, str] = {}
-
-        def place(action: str, tried: set[int]) -> bool:
-            for event, _ in edges[action]:
-                if event not in tried:
-                    tried.add(event)
-                    if event not in owner or place(owner[event], tried):
-                        owner[event] = action
-                        return True
-            return False
-
-        for action in sorted(edges, key=lambda a: len(edges[a])):
-            place(action, set())
-        return {a: e for e, a in owner.items()}
     actions = sorted(edges, key=lambda a: len(edges[a]))
-    turn = {e: t for found in edges.values() for e, t in found}
-    best: dict[str, int] = {}
-    chosen: dict[str, int] = {}
-
-    def sound(final: bool) -> bool:
-        for before, after in order:
-            if after in chosen:
-                if before in chosen:
-                    if turn[chosen[before]] >= turn[chosen[after]]:
-                        return False
-                elif final:
-                    return False
-        return True
-
-    def extend(k: int) -> None:
-        nonlocal best
-        if len(chosen) + len(actions) - k <= len(best):
-            return
-        if k == len(actions):
-            if sound(True):
-                best = dict(chosen)
-            return
-        used = set(chosen.values())
-        for event, _ in edges[actions[k]]:
-            if event not in used:
-                chosen[actions[k]] = event
-                if sound(False):
-                    extend(k + 1)
-                del chosen[actions[k]]
-        extend(k + 1)
-
-    extend(0)
-    return best
-
-
-def match_actions(edges: DataFrame, by: str = "trajectory_id", dependencies: list[tuple[str, str]] | None = None) -> DataFrame:
-    """Matched (by, action_id, event_id), one group of edges (a trajectory's few required actions) at a time."""
-    pairs = dependencies or []
+    chosen: dict[str, tuple[int, int]] = {}
+    skipped: set[str] = set()
+
+    def most() -> int:
+        """The size of a largest match that has what is chosen and lacks what is skipped."""
+        taken = {event for event, _ in chosen.values()}
+        rest = {a: [e for e in edges[a] if e[0] not in taken] for a in actions if a not in chosen and a not in skipped}
+        if not order:
+            return len(chosen) + _most_free(rest)
+        return _most_ordered({a: [chosen[a]] for a in chosen} | rest, order, set(chosen))
+
+    size = most()
+    for action in actions:
+        for event in edges[action]:
+            if event[0] in {e for e, _ in chosen.values()}:
+                continue
+            chosen[action] = event
+            if most() == size:
+                break
+            del chosen[action]
+        else:
+            skipped.add(action)
+    return {a: e for a, (e, _) in chosen.items()}
+
+
+def match_actions(edges: DataFrame, by: str = "trajectory_id", dependencies: list[tuple[str, str]] | DataFrame | None = None, task: str = "task_id") -> DataFrame:
+    """Matched (by, action_id, event_id), one group of edges (a trajectory's few required actions) at a time.
+
+    dependencies: pairs for all trajectories, or a frame (task, before, after) with those of each
+    task; edges then have the task, too.
+    """
+    pairs = dependencies if isinstance(dependencies, list) else []
+    if isinstance(dependencies, DataFrame):
+        own = dependencies.groupBy(task).agg(F.sort_array(F.collect_set(F.struct(F.col("before").cast("string").alias("before"), F.col("after").cast("string").alias("after")))).alias("__order"))  # a task's few pairs
+        edges = edges.join(own, task, "left")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        found: dict[str, list[tuple[int, int]]] = {}
-        for row in pdf.sort_values("sequence").itertuples():
-            found.setdefault(str(row.action_id), []).append((row.event_id, row.turn_id))
-        best = largest_match(found, [p for p in pairs if p[0] in found or p[1] in found])
-        return pd.DataFrame({by: [pdf[by].iloc[0]] * len(best), "action_id": list(best), "event_id": [int(e) for e in best.values()]})
-
-    kind = dict(edges.dtypes)[by]
-    return edges.groupBy(by).applyInPandas(solve, f"{by} {kind}, action_id string, event_id long")
+        found: Edges = {}
+        ordered = pdf.sort_values(["sequence", "event_id", "action_id"])
+        for action, event, turn in zip(*(ordered[c].tolist() for c in ("action_id", "event_id", "turn_id")), strict=True):
+            found.setdefault(str(action), []).append((event, turn))
+        order = pairs
+        if "__order" in pdf and pdf["__order"].iloc[0] is not None:
+            order = [(str(p["before"]), str(p["after"])) for p in pdf["__order"].iloc[0]]
+        best = largest_match(found, [p for p in order if p[1] in found])
+        return pd.DataFrame({by: [pdf[by].iloc[0]] * len(best), "action_id": list(best), "event_id": list(best.values())})
+
+    kinds = dict(edges.dtypes)
+    return edges.groupBy(by).applyInPandas(solve, f"{by} {kinds[by]}, action_id string, event_id {kinds['event_id']}")
 
 
 def component(matched: DataFrame, required: DataFrame, by: str = "trajectory_id") -> DataFrame:

@@ -174,7 +174,10 @@ def leak_removed_by_source(spark, sf_dir):
     return hit.groupBy("source").agg(F.count(F.lit(1)).alias("n_removed"))
 
 
-@query("SELECT 0::BIGINT AS residual, 0::BIGINT AS unmatched")
+@query(
+    b.with_(_LEAKED, "kept AS NOT MATERIALIZED (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM leaked))")
+    + "SELECT (SELECT count(*) FROM kept JOIN leaked USING (doc_id)) AS residual, (SELECT count(*) FROM leaked WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS unmatched"
+)
 def leak_verify(spark, sf_dir):
     docs, manifest = b.table(spark, sf_dir, "documents").select("doc_id", "source"), _leaked(spark, sf_dir)
     kept = curation.leak_filter(docs, manifest, "doc_id")
@@ -343,13 +346,12 @@ def turn_labels(spark, sf_dir):
 
 @query(
     """WITH f AS NOT MATERIALIZED (SELECT s_suppkey AS number, s_nationkey % 5 AS origin, s_suppkey % 5 AS destination, lpad(CAST(s_suppkey % 24 AS VARCHAR), 2, '0') || ':00' AS departs, lpad(CAST((s_suppkey * 7) % 24 AS VARCHAR), 2, '0') || ':30' AS arrives FROM supplier)
-SELECT a.number AS first_number, b.number AS second_number FROM f a JOIN f b ON a.destination = b.origin AND b.departs >= a.arrives WHERE a.number % 10 = b.number % 10"""
+SELECT a.number AS first_number, b.number AS second_number FROM f a JOIN f b ON a.destination = b.origin AND b.departs >= a.arrives"""
 )
 def one_stop_flights(spark, sf_dir):
     clock = lambda h, m: F.concat(F.lpad((h % 24).cast("string"), 2, "0"), F.lit(m))
     key = F.col("s_suppkey")
-    # the gate keeps connections within one of ten carriers, as part of the airports' names
-    flights = b.table(spark, sf_dir, "supplier").select(key.alias("number"), F.concat_ws(":", F.col("s_nationkey") % 5, key % 10).alias("origin"), F.concat_ws(":", key % 5, key % 10).alias("destination"), clock(key, ":00").alias("departs"), clock(key * 7, ":30").alias("arrives"), F.lit("2024-05-10").alias("date"))
+    flights = b.table(spark, sf_dir, "supplier").select(key.alias("number"), (F.col("s_nationkey") % 5).cast("long").alias("origin"), (key % 5).alias("destination"), clock(key, ":00").alias("departs"), clock(key * 7, ":30").alias("arrives"), F.lit("2024-05-10").alias("date"))
     return events.one_stop(flights).select("first_number", "second_number")
 
 
@@ -446,14 +448,14 @@ def reward_turn_local(spark, sf_dir):
 # Credit
 
 _MEMBERS = """members AS NOT MATERIALIZED (SELECT task_id AS grp, trajectory_id, reward * (termination <> 'hard_turn_limit')::INT AS score, (reward = 1)::INT::DOUBLE AS terminal, (termination <> 'hard_turn_limit')::INT::DOUBLE AS multiplier,
-  termination <> 'human_transfer' AS complete FROM b_rollouts WHERE termination <> 'infrastructure_error' AND slot < 8),
+  termination <> 'human_transfer' AS complete FROM b_rollouts WHERE termination <> 'infrastructure_error'),
 base AS NOT MATERIALIZED (SELECT *, (score - avg(score) OVER g) / (stddev_pop(score) OVER g + 1e-6) AS baseline FROM members WINDOW g AS (PARTITION BY grp)),
 joined AS NOT MATERIALIZED (SELECT phi.*, grp, terminal, multiplier, complete, baseline, tokens >= 3 AS present, phi_after - phi_before AS step, last_value(phi_after) OVER (PARTITION BY phi.trajectory_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS phi_end FROM phi JOIN base ON phi.trajectory_id = base.trajectory_id)"""
 
 
-def _credit_frames(spark, sf_dir, whole=False):
-    """Turns and members; without ``whole``, the first eight rollouts of each task, as in the SQL."""
-    rows = b.rollouts(spark, sf_dir).where((F.col("termination") != "infrastructure_error") & (F.lit(whole) | (F.col("slot") < 8)))
+def _credit_frames(spark, sf_dir):
+    """Turns and members; a task's rollouts are one group."""
+    rows = b.rollouts(spark, sf_dir).where(F.col("termination") != "infrastructure_error")
     alive = (F.col("termination") != "hard_turn_limit").cast("double")
     members = rows.select(F.col("task_id").alias("group"), "trajectory_id", (F.col("reward") * alive).alias("score"), (F.col("reward") == 1).cast("double").alias("terminal"), alive.alias("multiplier"), (F.col("termination") != "human_transfer").alias("complete"))
     return _phi(spark, sf_dir).withColumn("present", F.col("tokens") >= 3), members
@@ -524,7 +526,7 @@ def credit_group_signal(spark, sf_dir):
 @query()
 def credit_token_arrays(spark, sf_dir):
     """Token advantages of whole responses, by digest; the arrays themselves stay in the operator."""
-    turns, members = _credit_frames(spark, sf_dir, whole=True)
+    turns, members = _credit_frames(spark, sf_dir)
     mapping = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("turn", "tokens"))), lambda s: F.concat(F.array_repeat(s["turn"], s["tokens"]), F.array(F.lit(-1)))))
     responses = turns.groupBy("trajectory_id").agg(mapping.alias("response_turn_ids"))
     out = credits.broadcast_tokens(responses, credits.assign(turns, members, version="v4", labels=True))
@@ -693,12 +695,19 @@ def replay_changes(spark, sf_dir):
 # Without an equivalent in SQL
 
 
-@query()
+@query(
+    b.with_(b.TOOL_EVENTS)
+    + """, wanted AS NOT MATERIALIZED (SELECT trajectory_id, CAST(event_id AS VARCHAR) AS action_id, name, args FROM b_tool_events WHERE sequence < 5),
+ranked AS NOT MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY trajectory_id, name, args ORDER BY action_id) AS k FROM wanted),
+usable AS NOT MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY trajectory_id, name, args ORDER BY sequence) AS k FROM b_tool_events WHERE success)
+SELECT r.trajectory_id, r.action_id, u.event_id FROM ranked r JOIN usable u ON r.trajectory_id = u.trajectory_id AND r.name = u.name AND r.args = u.args AND r.k = u.k"""
+)
 def action_matching(spark, sf_dir):
     """Required actions of each user, matched one-to-one among all events.
 
     The tables have no annotations. The first five events of each user, in order of time and then of id, stand for
-    the short list of required actions of a task; the events they are matched among are all of the user's.
+    the short list of required actions of a task; the events they are matched among are all of the user's. Equal
+    actions have equal candidates, so the first takes the first, and so on.
     """
     rows = b.tool_events(spark, sf_dir).withColumn("args_key", canon.arguments_key()(F.col("name"), F.col("args")))
     wanted = rows.where("sequence < 5").select("trajectory_id", F.col("event_id").cast("string").alias("action_id"), "name", "args_key")
@@ -713,15 +722,17 @@ def db_subgoal_trace(spark, sf_dir):
     return subgoals.subgoal_credit(shaped, goals.index, len(goals)).withColumn("credit", r6("credit")).withColumn("phi", r6("phi"))
 
 
-@query()
+@query("SELECT event_id, sha256(replace(props, ' ', '')) AS fingerprint FROM events")
 def canonical_json_hash(spark, sf_dir):
     return b.table(spark, sf_dir, "events").select("event_id", canon.fingerprint("props").alias("fingerprint"))
 
 
-@query()
+@query("SELECT conv_id AS dialog_id, turn AS message_index, turn % 5 IN (1, 2) OR regexp_matches(text, '(?i)</?think(?:\\s[^>]*)?>') AS has_reasoning, turn % 5 IN (1, 2, 3) OR regexp_matches(text, '(?i)</?think(?:\\s[^>]*)?>') AS contains_reasoning FROM conversations")
 def reasoning_scan(spark, sf_dir):
-    """Whether a message's JSON holds reasoning, under the lenient and the strict rule."""
-    as_json = F.to_json(F.struct("role", "content"))
+    """Whether a message's JSON holds reasoning, under the lenient and the strict rule; some messages are given reasoning fields, with and without a value."""
+    turn = F.col("message_index") % 5
+    fields = [F.when(turn == 1, F.lit("so")).alias("Reasoning"), F.when(turn == 2, F.lit(0)).alias("thinking"), F.when(turn == 3, F.lit("")).alias("reasoning_content")]
+    as_json = F.to_json(F.struct("role", "content", F.array(F.struct(*fields)).alias("parts")))
     return b.messages(spark, sf_dir).select("dialog_id", "message_index", canon.has_reasoning(as_json).alias("has_reasoning"), canon.contains_reasoning(as_json).alias("contains_reasoning"))
 
 

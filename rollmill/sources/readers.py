@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollmill import schemas
@@ -69,32 +70,101 @@ def covers(found: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return a.exceptAll(b).withColumn("only_in", F.lit("found")).unionByName(b.exceptAll(a).withColumn("only_in", F.lit("wanted")))
 
 
-def bundle(spark: SparkSession, source: str, limit: int = 32 << 20) -> DataFrame:
-    """path and text of the JSON members of a folder, or of tar archives in it; unsafe paths and members over the limit fail.
+#: Files of a saved run that matter, by their paths below the run's root (fixed values).
+RUN_MARK = "base_model_identity.json"
+RUN_FILES = r"^(base_model_identity\.json|rl_resume_identity\.json|ppo_audit/step_1\.json|(launches|group_audits|trajectories)/[^/]+\.json)$"
 
-    Archives are read whole, one a row, so an archive has to fit a task.
-    """
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import io
-        import tarfile
-
-        for batch in batches:
-            for content in batch.column("content"):
-                with tarfile.open(fileobj=io.BytesIO(content.as_py())) as tar:
-                    for item in tar:
-                        parts = item.name.split("/")
-                        if item.name.startswith("/") or ".." in parts or item.issym() or item.islnk():
-                            raise ValueError(f"unsafe member: {item.name}")
-                        if item.isfile() and item.name.endswith(".json"):
-                            if item.size > limit:
-                                raise ValueError(f"member too large: {item.name}")
-                            yield pa.RecordBatch.from_pydict({"path": [item.name], "text": [tar.extractfile(item).read().decode()]})
+def unsafe(path: str) -> bool:
+    """Whether a member's name could lead out of its folder."""
+    return path.startswith("/") or "\\" in path or ".." in path.split("/")
+
 
+def bundle(spark: SparkSession, source: str, limit: int = 32 << 20, run: bool = False) -> DataFrame:
+    """path and text of the JSON members of a folder, or of a tar archive; unsafe paths, links and members over the limit fail.
+
+    run: a saved run. Exactly one folder must hold RUN_MARK; paths are those below it, and only the
+    files of a run are given, each once. An archive is one stream without an index, so one task
+    reads it, member by member.
+    """
     if source.endswith((".tar", ".tar.gz", ".tgz")):
-        return spark.read.format("binaryFile").load(source).select("content").mapInArrow(members, "path string, text string")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(source)
-    return checked(files, {"size": F.col("length") <= limit}).select("path", F.col("content").cast("string").alias("text"))
+
+        def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import io
+            import tarfile
+
+            for batch in batches:
+                for content in batch.column("content"):
+                    with tarfile.open(fileobj=io.BytesIO(content.as_py())) as tar:
+                        for item in tar:
+                            if unsafe(item.name) or item.issym() or item.islnk():
+                                raise ValueError(f"unsafe member: {item.name}")
+                            if item.isfile() and item.name.endswith(".json"):
+                                if item.size > limit:
+                                    raise ValueError(f"member too large: {item.name}")
+                                yield pa.RecordBatch.from_pydict({"path": [item.name], "text": [tar.extractfile(item).read().decode()]})
+
+        files = spark.read.format("binaryFile").load(source).select("content").mapInArrow(members, "path string, text string")
+    else:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(source)
+        root = re.sub(r"^[a-z]+:(?=/)|/+$", "", source)
+        below = F.element_at(F.split("path", re.escape(f"{root}/"), 2), 2) if run else F.col("path")
+        files = checked(found, {"size": F.col("length") <= limit}).select(below.alias("path"), F.col("content").cast("string").alias("text"))
+    return run_files(files) if run else files
+
+
+def run_files(files: DataFrame) -> DataFrame:
+    """The files (path, text) of the one run among them, by their paths below its root; none or two runs, or two files of one path, fail."""
+    roots = [r["root"] for r in files.where(F.regexp_extract("path", r"([^/]+)$", 1) == RUN_MARK).select(F.regexp_replace("path", r"[^/]+$", "").alias("root")).limit(2).collect()]
+    if len(roots) != 1:
+        raise ValueError(f"{len(roots) or 'no'} runs in the bundle")
+    root = F.lit(roots[0])
+    mine = files.where(F.col("path").startswith(root)).withColumn("path", F.substring("path", F.length(root) + 1, F.length("path"))).where(F.col("path").rlike(RUN_FILES))
+    doubled = mine.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1)
+    if doubled:
+        raise ValueError(f"two files: {doubled[0]['path']}")
+    return mine
+
+
+def dependencies(spark: SparkSession, path: str) -> DataFrame:
+    """task_id, before, after: the order that tasks ask of their actions; a task named twice fails."""
+    rows = keyed_list(spark, path, "task_id string, dependencies array<array<string>>", "task_id")
+    pairs = rows.select("task_id", F.explode("dependencies").alias("p"))
+    pairs = checked(pairs, {"pair": F.size("p") == 2})
+    return pairs.select("task_id", F.col("p")[0].alias("before"), F.col("p")[1].alias("after"))
+
+
+def judge_guidance(spark: SparkSession, path: str, tasks: DataFrame) -> DataFrame:
+    """task_id and guidance, of exactly the configured tasks (task_id) and never blank."""
+    rows = keyed_list(spark, path, "task_id string, id string, guidance string", "task_id", "id")
+    if gap := covers(rows, tasks, "task_id").take(1):
+        raise ValueError(f"guidance and tasks differ: {gap[0].asDict()}")
+    return checked(rows, {"guidance": F.length(F.trim("guidance")) > 0})
+
+
+def exported_context(policy: str, tools: DataFrame, name: str = "name", schema: str = "schema") -> DataFrame:
+    """One row: the system prompt, its digest, and the tools' schemas (JSON) in the order of their names."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(name).alias("n"), F.col(schema).alias("s")))), lambda t: t["s"])  # a run's few tools
+    return tools.agg(F.lit(policy).alias("system_prompt"), F.sha2(F.lit(policy), 256).alias("system_prompt_sha256"), ordered.alias("tools"))
+
+
+#: Marks of the policy's block, and sentences that tell the prompts of one and of many tool calls (fixed values).
+POLICY_START, POLICY_END = "\n<policy>\n", "\n</policy>"
+ONE_CALL, MANY_CALLS = "You should only make one tool call at a time", "one or more tool calls"
+
+
+def policy_of(prompt: Column) -> Column:
+    """The text of a system prompt's one policy block; null if there is none, more than one, or a blank one."""
+    once = lambda mark: F.size(F.split(prompt, mark)) == 2
+    inside = F.substring_index(F.substring_index(prompt, POLICY_START, -1), POLICY_END, 1)
+    return F.when(once(POLICY_START) & once(POLICY_END) & (F.length(F.trim(inside)) > 0), inside)
+
+
+def system_prompt_rules(pinned_sha256: str, archived: bool = False) -> dict[str, Column]:
+    """Rules of a prompt artifact (system_prompt, system_prompt_sha256), for ``checked``."""
+    digest = F.sha2("system_prompt", 256)
+    rules = {"text": F.length(F.trim("system_prompt")) > 0, "pinned": (digest == pinned_sha256) & (digest == F.col("system_prompt_sha256")), "policy": policy_of(F.col("system_prompt")).isNotNull()}
+    return rules if archived else rules | {"one_tool_call": F.contains("system_prompt", F.lit(ONE_CALL)) & ~F.contains("system_prompt", F.lit(MANY_CALLS))}
 
 
 def tree_digest(spark: SparkSession, folder: str) -> DataFrame:
@@ -116,10 +186,34 @@ def profile(config: dict, pick: Callable[[dict], bool] = lambda p: bool(p.get("c
     return found[0]
 
 
-def expand(value, environment: dict[str, str]):
-    """``${NAME:-default}`` in all strings of a configuration; a missing name without a default fails."""
-    import re
+def load_yaml(text: str) -> dict:
+    """A YAML mapping; anything else at the root fails."""
+    import yaml
+
+    out = yaml.safe_load(text)
+    if not isinstance(out, dict):
+        raise ValueError("the root is no mapping")
+    return out
+
 
+def load_config(text: str, environment: dict[str, str]) -> dict:
+    """A configuration from YAML: sound by its rules, a switched-off judge without its settings, and every variable filled in."""
+    from rollmill.functions.configs import broken_rules
+
+    config = load_yaml(text)
+    if broken := broken_rules(config):
+        raise ValueError(f"broken rules: {', '.join(broken)}")
+    if config.get("judge", {}).get("enabled") is False:
+        config["judge"] = {"enabled": False}
+    return expand(config, environment)
+
+
+#: What marks a value that a user has to fill in (fixed value).
+PLACEHOLDER = "FIX_EXACT_"
+
+
+def expand(value, environment: dict[str, str]):
+    """``${NAME:-default}`` and ``${NAME}`` in all strings of a configuration; what stays empty, missing or a placeholder fails."""
     if isinstance(value, dict):
         return {k: expand(v, environment) for k, v in value.items()}
     if isinstance(value, list):
@@ -128,10 +222,12 @@ def expand(value, environment: dict[str, str]):
         return value
 
     def put(m: re.Match) -> str:
-        if m[1] in environment:
-            return environment[m[1]]
-        if m[2] is None:
+        found = environment.get(m[1], m[2])
+        if found is None or (not found and m[0] == value):
             raise KeyError(m[1])
-        return m[2]
+        return found
 
-    return re.sub(r"\$\{(\w+)(?::-([^}]*))?\}", put, value)
+    out = re.sub(r"\$\{([A-Za-z_]\w*)(?::-([^}]*))?\}", put, value)
+    if out.startswith(PLACEHOLDER):
+        raise KeyError(out)
+    return out

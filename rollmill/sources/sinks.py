@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-from pathlib import PurePosixPath
+import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollmill.operators.common import empty
+from rollmill.operators import prompts
+from rollmill.operators.common import empty, unique
+from rollmill.operators.integrity import changed_audits, overlapping
+from rollmill.sources.shared import checkpointed
 
 
 def save_trajectories(rows: DataFrame, path: str, existing: DataFrame | None = None) -> None:
@@ -23,13 +29,52 @@ def append_metrics(spark: SparkSession, path: str, metrics: dict) -> None:
     spark.createDataFrame([(json.dumps(metrics, sort_keys=True, separators=(",", ":")),)], "value string").write.mode("append").text(path)
 
 
-def write_lines(rows: DataFrame, path: str, value: str = "value") -> tuple[int, str]:
-    """Lines with trailing CR and LF away, and (count, digest); the digest does not depend on the rows' order."""
-    lines = rows.select(F.regexp_replace(value, r"[\r\n]+$", "").alias("value"))
-    lines.write.mode("overwrite").text(path)
-    back = rows.sparkSession.read.text(path, lineSep="\n").select(F.sha2("value", 256).alias("h"))
-    n, x, y = back.agg(F.count(F.lit(1)), F.bit_xor(F.conv(F.substring("h", 1, 15), 16, 10).cast("long")), F.bit_xor(F.conv(F.substring("h", 16, 15), 16, 10).cast("long"))).first()
-    return n, f"{x or 0:015x}{y or 0:015x}"
+def replace_folder(spark: SparkSession, new: str, path: str) -> None:
+    """Puts a written folder in the place of ``path``; what was there goes only once the new one is in place."""
+    jvm = spark.sparkContext._jvm
+    make = jvm.org.apache.hadoop.fs.Path
+    target, old = make(path), make(f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = files.exists(target)
+    if there and not files.rename(target, old):
+        raise OSError(f"cannot move {path}")
+    if not files.rename(make(new), target):
+        if there:
+            files.rename(old, target)
+        raise OSError(f"cannot put {new} in place")
+    if there:
+        files.delete(old, True)
+
+
+def _file_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    n, digest = 0, hashlib.sha256()
+    for batch in batches:
+        for line in batch.column(0).to_pylist():
+            digest.update(f"{line or ''}\n".encode())
+            n += 1
+    yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "n": [n], "sha256": [digest.hexdigest()]})
+
+
+def write_lines(rows: DataFrame, path: str, value: str = "value", one_file: bool = True) -> tuple[int, str]:
+    """Lines, each ended by one line feed whatever ended it before, and (count, SHA-256).
+
+    One file, in the rows' order, and its SHA-256: a SHA-256 is one chain, so one task writes and
+    one reads. For more than a task can take, ``one_file=False`` keeps the partitions and gives the
+    SHA-256 over the files' SHA-256s in their order. A job that fails leaves an old file as it was.
+    """
+    spark = rows.sparkSession
+    lines = rows.select(F.regexp_replace(F.coalesce(value, F.lit("")), r"[\r\n]+$", "").alias("value"))
+    lines = checkpointed(lines.coalesce(1) if one_file else lines)
+    fresh = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    lines.write.option("lineSep", "\n").text(fresh)
+    parts = [r for r in lines.mapInArrow(_file_digest, "part long, n long, sha256 string").orderBy("part").toLocalIterator() if r["n"] or one_file]
+    replace_folder(spark, fresh, path)
+    count = sum(r["n"] for r in parts)
+    if one_file:
+        return count, parts[0]["sha256"] if parts else hashlib.sha256().hexdigest()
+    return count, hashlib.sha256("".join(r["sha256"] for r in parts).encode()).hexdigest()
 
 
 def write_split(rows: DataFrame, path: str, by: str = "split") -> None:
@@ -42,22 +87,62 @@ def route(rows: DataFrame, state, path: str) -> None:
     write_split(rows.withColumn("state", state), path, "state")
 
 
-def write_once(rows: DataFrame, root: str, keys: list[str]) -> str:
-    """A table named by its content's digest, with its key digest beside it; equal content is left as it is, and a table is never replaced."""
-    spark = rows.sparkSession
-    n, digest = rows.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*rows.columns))).first()
-    path = str(PurePosixPath(root) / f"{n}-{(digest or 0) & (1 << 64) - 1:016x}") if "://" not in root else f"{root.rstrip('/')}/{n}-{(digest or 0) & (1 << 64) - 1:016x}"
+def content_name(rows: DataFrame) -> str:
+    """A name for a table's content, whatever the order of its rows: their number and sums of pieces of their SHA-256s, so that no rows cancel out."""
+    row = F.sha2(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}), 256)
+    piece = lambda k: F.sum(F.conv(F.substring("h", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)"))
+    n, *sums = rows.select(row.alias("h")).agg(F.count(F.lit(1)), *[piece(k) for k in range(4)]).first()
+    return f"{n}-" + hashlib.sha256(",".join(str(x or 0) for x in sums).encode()).hexdigest()
+
+
+def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        have = spark.read.parquet(path)
+        return spark.read.parquet(path)
     except Exception as missing:  # Spark's own error for a path that is not there
         if "PATH_NOT_FOUND" not in str(missing):
             raise
+        return None
+
+
+def write_once(rows: DataFrame, root: str, keys: list[str]) -> str:
+    """A table under the name of its content; equal content is left as it is, and a table is never replaced. Repeated keys fail."""
+    spark = rows.sparkSession
+    empty(unique(rows, keys), "a key of several rows")
+    path = f"{root.rstrip('/')}/{content_name(rows)}"
+    have = _read_if_there(spark, path)
+    if have is None:
         rows.write.parquet(path)
         return path
-    empty(have.join(rows, keys, "left_anti").select(*keys), "a table of this digest has other rows")
+    empty(have.exceptAll(rows.select(*have.columns)).select(*keys), "a table of this name has other rows")
+    empty(rows.select(*have.columns).exceptAll(have).select(*keys), "a table of this name lacks rows")
     return path
 
 
+def save_audits(reports: DataFrame, path: str, key: str = "uid", report: str = "report") -> int:
+    """Appends the reports whose key is new, and says how many; a saved key with another report fails, an equal one is left."""
+    saved = _read_if_there(reports.sparkSession, path)
+    if saved is None:
+        empty(unique(reports, [key]), "a key of several reports")
+        fresh = checkpointed(reports.select(key, report))
+    else:
+        both = checkpointed(reports.select(key, report))
+        empty(unique(both, [key]), "a key of several reports")
+        empty(changed_audits(saved, both, key, report), "a saved report has changed")
+        fresh = checkpointed(both.join(saved.select(key), key, "left_anti"))
+    n = fresh.count()
+    if n or saved is None:
+        fresh.write.mode("append").parquet(path)
+    return n
+
+
+def prompt_report(rows: DataFrame, expected: DataFrame, path: str) -> bool:
+    """Writes the report over inspected prompts beside their rows; an existing report is never overwritten. Says whether all passed."""
+    summary = checkpointed(prompts.report(rows, expected))
+    summary.write.mode("error").json(f"{path.rstrip('/')}/summary")
+    rows.write.mode("error").json(f"{path.rstrip('/')}/rows")
+    return bool(summary.first()["all_requested_samples_passed"])
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("encoding", "UTF-8").csv(path, header=True)
 
@@ -67,10 +152,12 @@ def report(metrics: dict[str, float]) -> str:
     return "\n".join(["| metric | value |", "| --- | --- |", *(f"| {k} | {v:.6f} |" if isinstance(v, float) else f"| {k} | {v} |" for k, v in metrics.items())])
 
 
-def split_bundles(parts: dict[str, DataFrame], path: str) -> None:
-    """Tagged frames as one table of bundles."""
+def split_bundles(parts: dict[str, DataFrame], path: str, key: str | None = None, subsets: tuple[str, ...] = ()) -> None:
+    """Tagged frames as one table of bundles; with a key, bundles that are no subsets of others must share none."""
     out = None
     for name, part in parts.items():
         tagged = part.withColumn("bundle", F.lit(name))
         out = tagged if out is None else out.unionByName(tagged)
+    if key is not None:
+        empty(overlapping(out.where(~F.col("bundle").isin(*subsets)), key, "bundle"), "a key of two bundles")
     write_split(out, path, "bundle")

@@ -286,3 +286,54 @@ def test_transfer_branch(spark):
     assert list(got[1]) == [0.0, 0.0, 1.0, 1.0, False]
     ok = spark.range(1).select(reward.transfer_valid(F.lit(True), F.lit(True), F.lit(False), F.lit(False)), reward.transfer_valid_v2(F.lit(True), F.lit(False), F.lit(True), F.lit(True), F.lit(True))).first()
     assert list(ok) == [True, False]
+
+
+def test_order_of_each_task(spark):
+    """Dependencies go by task; of a chain without its first action nothing counts."""
+    data = [(t, a, e, e, turn) for t in (1, 2, 3) for a, e, turn in (("a", 0, 1), ("b", 1, 1), ("b", 2, 2))]
+    edges = spark.createDataFrame(data, "trajectory_id int, action_id string, event_id int, sequence int, turn_id int").withColumn("task_id", F.col("trajectory_id"))
+    order = spark.createDataFrame([(1, "a", "b"), (2, "z", "b")], "task_id int, before string, after string")
+    assert rows(matching.match_actions(edges, dependencies=order)) == [(1, "a", 0), (1, "b", 2), (2, "a", 0), (3, "a", 0), (3, "b", 1)]
+
+
+def test_many_equal_actions_and_events():
+    edges = {f"a{i}": [(e, e // 4) for e in range(24)] for i in range(12)}
+    order = [(f"a{i}", f"a{i + 1}") for i in range(4)]
+    assert len(matching.largest_match(edges, order)) == 12
+    assert len(matching.largest_match({a: e[:5] for a, e in edges.items()})) == 5
+
+
+def test_history_digests(spark):
+    import hashlib
+
+    talk = [(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a"), (1, 3, "tool", None), (1, 4, "assistant", "b"), (1, 5, "assistant", "c"), (2, 0, "user", "x"), (2, 1, "assistant", "é"), (3, 0, "assistant", "no")]
+    df = spark.createDataFrame(talk, "dialog_id int, message_index int, role string, content string").repartition(4)
+    sha = lambda *x: hashlib.sha256("\n".join(x).encode()).hexdigest()
+    want = [(1, 2, 2, sha("system:s", "user:u"), sha("a")), (1, 4, 4, sha("system:s", "user:u", "assistant:a"), sha("b")), (2, 1, 1, sha("user:x"), sha("é"))]
+    assert rows(curation.prefix_targets(df)) == want
+
+
+def test_leaks_of_all_lengths(spark):
+    rng = random.Random(8)
+    word = lambda: rng.choice(["aa", "bb", "cc", "dd", "ee", "ff"])
+    texts = [" ".join(word() for _ in range(rng.randrange(1, 40))) for _ in range(80)] + [None, "", "x-one two three four five six seven-y"]
+    items = ["a b", "aa", "aa bb", "bb cc dd", "a cc dd ee f", "one two three four five six seven", "ee aa bb cc dd ee ff aa", " ", "", None] + [" ".join(word() for _ in range(n)) for n in (3, 4, 5, 6, 7, 7)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    bench = spark.createDataFrame([(i,) for i in items], "text string")
+    want = {i for i, t in enumerate(texts) if t is not None and any(p and p in t for p in items)}
+    assert {r.doc_id for r in curation.leaking(docs, bench, "doc_id").collect()} == want and want
+    only = [p for p in items if p and len(p.split()) > 4]
+    assert {r.doc_id for r in curation.leaking(docs, spark.createDataFrame([(p,) for p in only], "text string"), "doc_id").collect()} == {i for i, t in enumerate(texts) if t and any(p in t for p in only)}
+    assert curation.leaking(docs, bench.limit(0), "doc_id").count() == 0
+
+
+def test_samples_and_shuffles(spark):
+    df = spark.range(103).withColumnRenamed("id", "i")
+    drawn = curation.sample_rows(df, 10, 7, ["i"], ["i"])
+    got = [r.i for r in drawn.collect()]
+    assert got == sorted(got) and len(set(got)) == 10 and set(got) == {r.i for r in curation.sample_rows(df.repartition(5), 10, 7, ["i"]).collect()}
+    with pytest.raises(Exception, match="fewer than 200"):
+        curation.sample_rows(df, 200, 7, ["i"]).collect()
+    whole = {r.i: r.place for r in curation.shuffled(df, 3, ["i"]).collect()}
+    batches = {r.i: r.place for r in curation.shuffled(df, 3, ["i"], 25).collect()}
+    assert len(batches) == 100 and batches.items() <= whole.items() and max(batches.values()) < min(whole[i] for i in whole.keys() - batches.keys())
