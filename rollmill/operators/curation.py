@@ -225,7 +225,7 @@ def shuffled(rows: DataFrame, seed: int, key: list[str], batch: int | None = Non
 
 def valid_sft_rows(messages: Column, answer: Column, tools: Column) -> dict[str, Column]:
     """Rules of a training row, for ``checked``."""
-    last = F.element_at(messages, -1)["role"]
+    last = F.try_element_at(messages, F.lit(-1))["role"]
     return {
         "messages_empty": F.size(messages) > 0,
         "last_role": last.isin("user", "tool"),

@@ -94,8 +94,8 @@ def progress_trace_rules(turns: str = "turns", dedup: str = "progress-v2") -> di
         "check_ids": F.size(F.array_distinct(ids)) == F.size(ids),
         "included": F.forall(checks, lambda c: c["included"] == included(c)),
         "states": (F.size(values) == n + 1) & F.forall(values, lambda s: (F.size(s) == F.size(checks)) & F.forall(s, lambda v: v.isNotNull())),
-        "initial": F.element_at(values, 1) == F.transform(checks, lambda c: c["initial"]),
-        "phi": (F.size(phi) == n + 1) & (F.element_at(phi, 1) == 0) & F.forall(phi, lambda p: p.between(0.0, 1.0)),
+        "initial": F.try_element_at(values, F.lit(1)) == F.transform(checks, lambda c: c["initial"]),
+        "phi": (F.size(phi) == n + 1) & (F.try_element_at(phi, F.lit(1)) == 0) & F.forall(phi, lambda p: p.between(0.0, 1.0)),
         "fractions": F.forall(F.zip_with(phi, values, lambda p, s: near(p, share(s))), lambda ok: ok),
     }
 
@@ -108,18 +108,18 @@ def subgoal_trace_rules(turns: str = "turns") -> dict[str, Column]:
     once = lambda c: F.size(F.array_distinct(flat(c))) == F.size(flat(c))
     blocked = F.array_union("violating", "wrong_writes")
     at = lambda goal: F.array_position(ids, goal).cast("int")
-    true_after = lambda goals, t: F.forall(goals, lambda g: ~F.element_at(initial, at(g)) & F.element_at(F.element_at(values, t + 2), at(g)))
+    true_after = lambda goals, t: F.forall(goals, lambda g: ~F.try_element_at(initial, at(g)) & F.try_element_at(F.try_element_at(values, t + 2), at(g)))
     met = lambda state: F.size(F.filter(state, lambda v: v)) / F.greatest(F.size(ids), F.lit(1))
     return {
         "goals": F.size(F.array_distinct(ids)) == F.size(ids),
-        "states": (F.size(values) == n + 1) & F.forall(values, lambda s: F.size(s) == F.size(ids)) & (F.element_at(values, 1) == initial),
+        "states": (F.size(values) == n + 1) & F.forall(values, lambda s: F.size(s) == F.size(ids)) & (F.try_element_at(values, F.lit(1)) == initial),
         "phi": (F.size("phi") == n + 1) & F.forall(F.zip_with(F.col("phi"), values, lambda p, s: near(p, met(s))), lambda ok: ok),
         "lengths": (F.size("positive") == n) & (F.size("negative") == n) & (F.size("turn_credits") == n),
         "known_goals": F.size(F.array_except(F.concat(flat("positive"), flat("negative")), ids)) == 0,
         "once": once("positive") & once("negative"),
         "blocked": F.forall(F.transform("positive", lambda p, t: (F.size(p) == 0) | ~F.array_contains(blocked, t)), lambda ok: ok),
         "came_true": F.forall(F.transform("positive", true_after), lambda ok: ok),
-        "credits": F.forall(F.transform("turn_credits", lambda c, t: near(c, weight * (F.size(F.element_at("positive", t + 1)) - F.size(F.element_at("negative", t + 1))))), lambda ok: ok),
+        "credits": F.forall(F.transform("turn_credits", lambda c, t: near(c, weight * (F.size(F.try_element_at("positive", t + 1)) - F.size(F.try_element_at("negative", t + 1))))), lambda ok: ok),
     }
 
 
@@ -127,8 +127,8 @@ def completion_trace_rules(turns: str = "turns") -> dict[str, Column]:
     """Rules of completion traces (official, db: by prefix; regressions, first_success: turns from 1; first_safe, floor_turn, bonus, db_positive, violating: turns from 0)."""
     done, db, n, bonus = F.col("official"), F.col("db"), F.col(turns), F.col("bonus")
     after = F.slice(done, F.lit(2), n)
-    first = F.when(~F.element_at(done, 1) & F.exists(after, lambda v: v), F.array_position(after, True).cast("int"))
-    ran = lambda t: F.element_at(db, t) & ~F.element_at(db, t + 1) & F.exists(F.slice(done, F.lit(1), t), lambda v: v)
+    first = F.when(~F.try_element_at(done, F.lit(1)) & F.exists(after, lambda v: v), F.array_position(after, True).cast("int"))
+    ran = lambda t: F.try_element_at(db, t) & ~F.try_element_at(db, t + 1) & F.exists(F.slice(done, F.lit(1), t), lambda v: v)
     safe = F.coalesce("first_safe", F.lit(False))
     expected_floor = F.when((F.size("regressions") > 0) & safe, F.col("first_success"))
     paid = F.aggregate(bonus, F.lit(0.0), lambda a, x: a + x)
@@ -187,7 +187,7 @@ def credit_rows(members: DataFrame, progress: DataFrame, policy: DataFrame, cost
             "violating": F.coalesce("violating", F.array().cast("array<int>")),
             "attributed": F.coalesce("attributed", F.lit(True)),
             "turn_costs": F.coalesce("turn_costs", zeros),
-            "phi_last": F.element_at("phi", -1),
+            "phi_last": F.try_element_at("phi", F.lit(-1)),
         }
     )
 
@@ -212,7 +212,7 @@ def completion_summary(traces: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("trajectories"),
         F.coalesce(F.sum(F.size("regressions")), F.lit(0)).alias("regression_turns"),
         F.count_if(undone).alias("regression_trajectories"),
-        F.count_if(undone & F.element_at("official", 1)).alias("initially_complete_regression_trajectories"),
+        F.count_if(undone & F.try_element_at("official", F.lit(1))).alias("initially_complete_regression_trajectories"),
         F.count_if(paid > 0).alias("completion_bonus_trajectories"),
         F.count_if(F.col("floor_turn").isNotNull()).alias("completion_floor_trajectories"),
         F.count_if(undone & (F.col("final_reward") == 1)).alias("recovered_final_success_trajectories"),

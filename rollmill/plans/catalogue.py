@@ -743,7 +743,11 @@ def task_cap_with_dedup(spark, sf_dir):
     return curation.cap_with_dedup(docs, "task", "unit", "place", "fingerprint", 4).select("task", "unit", "fingerprint")
 
 
-@query()
+@query(
+    b.with_(b.ROLLOUTS)
+    + """SELECT task_id || ':' || slot // 8 AS uid, CAST(count(*) FILTER (WHERE termination <> 'infrastructure_error') AS INTEGER) AS members, CAST(count(*) FILTER (WHERE termination = 'infrastructure_error') AS INTEGER) AS failed,
+  coalesce(sum(reward) FILTER (WHERE termination <> 'infrastructure_error'), 0)::DOUBLE AS reward_sum FROM b_rollouts GROUP BY task_id, slot // 8"""
+)
 def stream_group_barrier(spark, sf_dir):
     """Groups of eight of each task's rollouts, and of those left over, held until all have settled; infrastructure errors leave the group.
 
@@ -761,8 +765,12 @@ def stream_group_barrier(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from rollmill.plans import checks  # noqa: F401  registers its queries here
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from rollmill.plans import checks  # noqa: F401
+
     return dict(ORACLES)

@@ -65,7 +65,7 @@ def credit_rules() -> dict[str, Column]:
     """Rules of a credit row: phi from 0 within [0, 1], one more value than turns, a mapping onto those turns that owns a token."""
     turns = F.size("phi") - 1
     return {
-        "phi_start": F.element_at("phi", 1) == 0,
+        "phi_start": F.try_element_at("phi", F.lit(1)) == 0,
         "phi_range": F.forall("phi", lambda x: x.between(0.0, 1.0)),
         "costs": F.size("turn_costs") == turns,
         "mapping": F.forall("response_turn_ids", lambda t: (t >= -1) & (t < turns)),

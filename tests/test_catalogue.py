@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from rollmill.plans import catalogue
+from rollmill.plans import catalogue, checks  # noqa: F401  checks adds queries to the catalogue
 
 SF = "/root/testdata/sf0.001"
 TABLES = "customer supplier part orders lineitem events documents embeddings benchmark labels conversations nation region".split()

@@ -337,3 +337,19 @@ def test_samples_and_shuffles(spark):
     whole = {r.i: r.place for r in curation.shuffled(df, 3, ["i"]).collect()}
     batches = {r.i: r.place for r in curation.shuffled(df, 3, ["i"], 25).collect()}
     assert len(batches) == 100 and batches.items() <= whole.items() and max(batches.values()) < min(whole[i] for i in whole.keys() - batches.keys())
+
+
+def test_ranks_over_many_ranges(spark):
+    rng = random.Random(11)
+    values = [float(rng.randrange(50)) for _ in range(700)] + [None] * 5
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    known = sorted(v for v in values if v is not None)
+    shares = (0.0, 0.01, 0.25, 0.5, 0.731, 1.0)
+    got = profiling.quantiles(df, "x", shares)
+    for q in shares:
+        place = (len(known) - 1) * q
+        low, high = known[math.floor(place)], known[math.ceil(place)]
+        assert math.isclose(got[q], low + (high - low) * (place - math.floor(place)))
+    r = profiling.nearest_rank(df, "x").first()
+    assert (r.n, r.least, r.p50, r.p90, r.p99, r.greatest) == (700, known[0], known[349], known[629], known[692], known[-1])
+    assert profiling.quantiles(df.limit(0), "x", (0.5,)) == {0.5: None} and profiling.nearest_rank(df.limit(0), "x").first().p50 is None
