@@ -1,12 +1,13 @@
 """Quality rules on whole texts, and n-gram perplexity bands by language.
 
-The language model is a modified Kneser-Ney model of character 4-grams over 64 symbols (letters,
-an upper-case class, digits, single punctuation marks, classes of other code points). Spark counts
-the 4-grams of all distinct texts of each language; lower orders, their continuation counts and the
-discounts follow from those counts. A model is a handful of sorted arrays, n-gram key to log
-probability and context key to log back-off weight. A key has 24 bits, so a language's model has
-at most 2**24 entries whatever the corpus holds; where the languages' models together pass
-MODEL_ENTRIES they go out in blocks of languages, a pass for each.
+The language model is an interpolated modified Kneser-Ney model of character ORDER-grams, in every
+script: a symbol is a code point, but that white space of any length is one blank, all decimal
+digits of ASCII are one symbol, and a mark ends each text. Spark counts the n-grams of all distinct
+texts of each language; continuation counts, discounts, the masses of contexts and the
+interpolation from single symbols up are aggregates and joins over tables of n-grams. Every n-gram
+that is scored was counted, so the model is one table: the 64-bit hash of language and n-gram, and
+its log probability. It is sent out as sorted hash arrays while it has at most MODEL_ENTRIES; a
+larger one goes out in ranges of hashes, a pass over the texts for each, whose sums add up.
 
 A document's verdict: its bits per symbol must lie within the band of its language, the median of
 that language's distinct texts plus and minus a multiple of their spread (medians of the deviations
@@ -21,75 +22,81 @@ Empty tables give empty results. Extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rollmill.llm.cluster import checkpointed
-from rollmill.llm.textkernel import BYTE_BASE, _BYTE_VALUE, groups, mix, span_hashes, spans, windows, SPACE, Words
+from rollmill.llm.textkernel import BYTE_BASE, _BYTE_VALUE, groups, mix, places, span_hashes, spans, windows, SPACE, Words
 from rollmill.llm.tidy import tidy
 
-ORDER, SYMBOLS, SYMBOL_BITS = 4, 64, 6
-#: 4-grams that one broadcast holds at most, but for those of a single language (2**24 at most).
+ORDER = 5
+#: n-grams that one broadcast holds at most, 12 bytes each.
 MODEL_ENTRIES = 1 << 23
+#: Marks before and after each text, the blank and the digit (code points).
+BEFORE, END, BLANK, DIGIT = 2, 3, 32, 48
+#: Distinct n-grams of a language that a task holds before it sends them on.
+HELD = 1 << 21
 #: Half-width of a band in spreads.
-SPREADS = 5.0
-#: A spread is at least this share of the standard deviation of a symbol's bits (0.47 to 0.69 of it in the test tables).
+SPREADS = 3.5
+#: A spread is at least this share of the standard deviation of a symbol's bits .
 LEAST_SHARE = 0.25
 
-_MARKS = ".,'-!?:\"(|#*$%&<>/=@_"  # signs with a symbol of their own
+GRAM_BASE = 0xC2B2AE3D27D4EB4F
 
 
-def _symbol_table() -> np.ndarray:
-    out = 48 + np.arange(1 << 16) % 16
-    for c in range(128):
-        out[c] = 28 + 1 + len(_MARKS) if c > 32 else 0
-    for k, c in enumerate("abcdefghijklmnopqrstuvwxyz"):
-        out[ord(c)] = 1 + k
-        out[ord(c.upper())] = 27
-    for c in "0123456789":
-        out[ord(c)] = 28
-    for k, c in enumerate(_MARKS):
-        out[ord(c)] = min(29 + k, 47)
-    out[[ord(c) for c in ";)[]{}\\^`~+"]] = 47
-    return np.minimum(out, SYMBOLS - 1).astype(np.int32)
-
-
-_SYMBOL = _symbol_table()
-
-
-def symbol_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """4-gram keys of a group of texts and the bounds of each text's keys; runs of white space are one symbol, and one ends each text."""
+def symbols_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols (code points) of a group of texts, each after ORDER - 1 marks and before one, and the bounds of the texts."""
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     heads = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=heads[1:])
     bounds = heads[offsets]
-    symbols = _SYMBOL[np.minimum(points, (1 << 16) - 1)]
-    symbols[points >= 1 << 16] = 63
-    keep = np.ones(len(symbols), bool)
-    keep[1:] = (symbols[1:] != 0) | (symbols[:-1] != 0)
-    inner = bounds[:-1][bounds[:-1] < len(symbols)]
-    keep[inner] = True
-    kept = np.zeros(len(symbols) + 1, np.int64)
+    small = points < 128
+    blank = small & SPACE[np.where(small, points, 0)]
+    points = np.where(blank, BLANK, np.where((points >= 48) & (points <= 57), DIGIT, points)).astype(np.uint32)
+    keep = np.ones(len(points), bool)
+    keep[1:] = ~(blank[1:] & blank[:-1])
+    keep[bounds[:-1][bounds[:-1] < len(points)]] = True
+    kept = np.zeros(len(points) + 1, np.int64)
     np.cumsum(keep, out=kept[1:])
-    symbols, bounds = symbols[keep], kept[bounds]
+    points, bounds = points[keep], kept[bounds]
     n = len(offsets) - 1
     text = np.repeat(np.arange(n), np.diff(bounds))
-    padded = np.zeros(len(symbols) + ORDER * n, np.int32)
-    padded[np.arange(len(symbols)) + ORDER * text + ORDER - 1] = symbols
-    keys = padded.copy()
-    for k in range(1, ORDER):
-        keys[k:] |= padded[:-k] << SYMBOL_BITS * k
-    ends = bounds + ORDER * np.arange(n + 1)
-    whole = np.ones(len(keys), bool)
-    for k in range(ORDER - 1):
-        whole[ends[:-1] + k] = False  # the padding before a text
-    return keys[whole], bounds + np.arange(n + 1)
+    out = np.full(len(points) + ORDER * n, BEFORE, np.uint32)
+    out[np.arange(len(points)) + ORDER * text + ORDER - 1] = points
+    bounds = bounds + ORDER * np.arange(n + 1)
+    out[bounds[1:] - 1] = END
+    return out, bounds
+
+
+def gram_hashes(symbols: np.ndarray) -> np.ndarray:
+    """Hashes of the ORDER symbols that end at each place from ORDER - 1 on."""
+    out = np.zeros(max(len(symbols) - ORDER + 1, 0), np.uint64)
+    for k in range(ORDER):
+        out *= np.uint64(GRAM_BASE)
+        out += symbols[k : len(symbols) - ORDER + 1 + k].astype(np.uint64) + np.uint64(1)
+    return out
+
+
+def language_hash(lang: str | None) -> np.uint64:
+    return np.uint64(int.from_bytes(hashlib.blake2b(b"0" if lang is None else b"1" + lang.encode(), digest_size=8).digest(), "little"))
+
+
+def key_of(hashes: np.ndarray, lang: np.ndarray | np.uint64) -> np.ndarray:
+    return mix(hashes ^ lang)
+
+
+def text_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, hashes, where each text's n-grams start among the hashes, how many they are); hashes between texts are no n-grams."""
+    symbols, bounds = symbols_of(data, offsets)
+    return symbols, gram_hashes(symbols), bounds[:-1], np.diff(bounds) - ORDER + 1
 
 
 def _languages(column: pa.Array) -> tuple[np.ndarray, list[str | None]]:
@@ -97,94 +104,131 @@ def _languages(column: pa.Array) -> tuple[np.ndarray, list[str | None]]:
     return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
 
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[cuts], np.add.reduceat(counts, cuts)
+Grams = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _merged(parts: list[Grams]) -> Grams:
+    """Distinct hashes with their counts and symbols."""
+    hashes, counts, symbols = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(hashes, kind="stable")
+    hashes, counts = hashes[order], counts[order]
+    cuts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+    return hashes[cuts], np.add.reduceat(counts, cuts), symbols[order[cuts]]
+
+
+def _as_text(symbols: np.ndarray) -> pa.Array:
+    """Rows of ORDER symbols as strings."""
+    shown = symbols.astype("<u4").tobytes().decode("utf-32-le", "replace")
+    return pa.array([shown[k : k + ORDER] for k in range(0, len(shown), ORDER)], pa.string())
 
 
 @tidy
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str | None, list[tuple[np.ndarray, np.ndarray]]] = {}
+    held: dict[str | None, list[Grams]] = {}
+
+    def sent(name: str | None) -> pa.RecordBatch:
+        _, counts, symbols = _merged(held.pop(name))
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(counts), pa.string()), _as_text(symbols), pa.array(counts)], names=["lang", "gram", "n"])
+
     for batch in batches:
         codes, names = _languages(batch.column("lang"))
         for rows, data, offsets in groups(batch.column("text")):
-            keys, bounds = symbol_keys(data, offsets)
-            code = np.repeat(codes[rows], np.diff(bounds))
+            symbols, hashes, first, sizes = text_grams(data, offsets)
             for k in np.unique(codes[rows]):
-                own = np.sort(keys[code == k])
+                mine = np.flatnonzero(codes[rows] == k)
+                at = np.repeat(first[mine] - np.cumsum(sizes[mine]) + sizes[mine], sizes[mine]) + np.arange(sizes[mine].sum())
+                own = hashes[at]
+                order = np.argsort(own)
+                own = own[order]
                 cuts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                places = at[order[cuts]]
                 parts = held.setdefault(names[k], [])
-                parts.append((own[cuts], np.diff(np.append(cuts, len(own)))))
-                if len(parts) >= 32:
-                    held[names[k]] = [_merged(parts)]
-    for name, parts in held.items():
-        keys, counts = _merged(parts)
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys.astype(np.int32)), pa.array(counts.astype(np.int64))], names=["lang", "key", "n"])
+                parts.append((own[cuts], np.diff(np.append(cuts, len(own))), symbols[places[:, None] + np.arange(ORDER)]))
+                if len(parts) >= 16:
+                    parts[:] = [_merged(parts)]
+                    if len(parts[0][0]) > HELD:
+                        yield sent(names[k])
+    for name in list(held):
+        yield sent(name)
 
 
 def count_ngrams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """lang, key, n: the 4-grams of all texts."""
-    counted = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(_count, "lang string, key int, n long")
-    return counted.groupBy("lang", "key").agg(F.sum("n").alias("n"))
-
-
-class KneserNey:
-    """Sorted arrays of an interpolated modified Kneser-Ney model, from its highest-order counts."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order].astype(np.int64), counts[order].astype(np.float64)
-        levels = [(keys, counts)]
-        for n in range(ORDER - 1, 0, -1):  # continuation counts: distinct longer n-grams that end so
-            lower, cont = np.unique(levels[0][0] & (1 << SYMBOL_BITS * n) - 1, return_counts=True)
-            levels.insert(0, (lower, cont.astype(np.float64)))
-        self.keys, self.logp, self.contexts, self.backoff = [], [], [], []
-        below = np.full(0, 0.0)
-        for n, (keys, counts) in enumerate(levels, 1):
-            discount = self._discounts(counts)
-            cut = discount[np.minimum(counts, 3).astype(int)]
-            context = keys >> SYMBOL_BITS
-            heads, first = np.unique(context, return_index=True)
-            where = np.repeat(np.arange(len(heads)), np.diff(np.append(first, len(keys))))
-            total = np.add.reduceat(counts, first)
-            weight = np.add.reduceat(cut, first) / total
-            if n == 1:
-                lower = np.full(len(keys), 1 / SYMBOLS)
-            else:
-                lower = below[np.searchsorted(self.keys[-1], keys & (1 << SYMBOL_BITS * (n - 1)) - 1)]
-            below = np.maximum(counts - cut, 0) / total[where] + weight[where] * lower
-            self.keys.append(keys.astype(np.int32))
-            self.logp.append(np.log2(below).astype(np.float32))
-            self.contexts.append(heads.astype(np.int32))
-            self.backoff.append(np.log2(np.maximum(weight, 1e-12)).astype(np.float32))
-
-    @staticmethod
-    def _discounts(counts: np.ndarray) -> np.ndarray:
-        n = [np.count_nonzero(counts == k) for k in range(5)]
-        if min(n[1:]) == 0:
-            return np.array([0, 0.5, 0.75, 0.9])
-        y = n[1] / (n[1] + 2 * n[2])
-        return np.array([0.0, *(min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05), k - 0.05) for k in (1, 2, 3))])
-
-    def log2p(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), np.float32)
-        left = np.arange(len(keys))
-        for n in range(ORDER, 0, -1):
-            mine = keys[left] & (1 << SYMBOL_BITS * n) - 1
-            at = np.minimum(np.searchsorted(self.keys[n - 1], mine), len(self.keys[n - 1]) - 1)
-            hit = self.keys[n - 1][at] == mine
-            out[left[hit]] += self.logp[n - 1][at[hit]]
-            left, mine = left[~hit], mine[~hit]
-            if not len(left):
-                return out
-            at = np.minimum(np.searchsorted(self.contexts[n - 1], mine >> SYMBOL_BITS), len(self.contexts[n - 1]) - 1)
-            seen = self.contexts[n - 1][at] == mine >> SYMBOL_BITS
-            out[left[seen]] += self.backoff[n - 1][at[seen]]
-        out[left] += np.float32(-SYMBOL_BITS)
-        return out
+    """lang, gram, n: the ORDER-grams of all texts."""
+    counted = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(_count, "lang string, gram string, n long")
+    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """lang, gram, log2p of every counted ORDER-gram, under the interpolated modified Kneser-Ney model.
+
+    Lower orders count the distinct longer n-grams that end in them. Each order has three discounts
+    of each language, from its numbers of n-grams of one to four; where one of these is 0, fixed
+    ones. Contexts are grouped by (language, context), of at most as many rows as there are symbols.
+    """
+    named = counts.select(F.coalesce(F.concat(F.lit("1"), "lang"), F.lit("0")).alias("l"), "gram", "n")
+    levels = [named]
+    for n in range(ORDER - 1, 0, -1):
+        levels.insert(0, levels[0].groupBy("l", F.substring("gram", 2, n).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+    below = None
+    for n, level in enumerate(levels, 1):
+        level = checkpointed(level)
+        singles = level.groupBy("l").agg(*[F.count_if(F.col("n") == k).cast("double").alias(f"n{k}") for k in range(1, 5)], F.count(F.lit(1)).alias("symbols"))
+        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+        known = F.least("n1", "n2", "n3", "n4") > 0
+        cuts = [F.when(known, F.least(F.greatest(k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"), F.lit(0.05)), F.lit(k - 0.05))).otherwise(fixed).alias(f"d{k}") for k, fixed in ((1, 0.5), (2, 0.75), (3, 0.9))]
+        rows = level.join(singles.select("l", "symbols", *cuts), "l").withColumn("cut", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
+        context = ["l", F.substring("gram", 1, n - 1).alias("context")]
+        masses = rows.groupBy(*context).agg(F.sum("n").alias("total"), F.sum("cut").alias("mass"))
+        rows = rows.select("*", context[1]).join(masses, ["l", "context"])
+        lower = F.lit(1.0) / F.col("symbols")
+        if below is not None:
+            rows = rows.withColumn("suffix", F.substring("gram", 2, n - 1)).join(below, ["l", "suffix"])
+            lower = F.col("lower")
+        p = F.greatest(F.col("n") - F.col("cut"), F.lit(0.0)) / F.col("total") + F.col("mass") / F.col("total") * lower
+        if n < ORDER:
+            below = checkpointed(rows.select("l", F.col("gram").alias("suffix"), p.alias("lower")))
+        else:
+            return rows.select(F.when(F.col("l") != "0", F.substring("l", 2, 1 << 30)).alias("lang"), "gram", F.log2(p).alias("log2p"))
+
+
+@tidy
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        codes, names = _languages(batch.column("lang"))
+        marks = np.array([language_hash(x) for x in names], np.uint64)
+        points = np.frombuffer("".join(batch.column("gram").to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
+        hashes = np.zeros(len(points), np.uint64)
+        for k in range(ORDER):
+            hashes = hashes * np.uint64(GRAM_BASE) + points[:, k].astype(np.uint64) + np.uint64(1)
+        yield pa.RecordBatch.from_arrays([pa.array(key_of(hashes, marks[codes]).view(np.int64)), batch.column("log2p").cast(pa.float32())], names=["key", "log2p"])
+
+
+@dataclass
+class Model:
+    """Log probabilities of n-grams by the sorted hashes of language and n-gram; of a range of hashes, those within."""
+
+    keys: np.ndarray
+    log2p: np.ndarray
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys), np.float32)
+        at = places(self.keys, keys)
+        return np.where(self.keys[at] == keys, self.log2p[at], np.float32(0))
+
+
+def model_blocks(counts: DataFrame) -> Iterator[Model]:
+    """The model, whole if it has at most MODEL_ENTRIES, else by ranges of hashes of about so many."""
+    rows = checkpointed(kneser_ney(counts).mapInArrow(_keys, "key long, log2p float"))
+    n = rows.count()
+    blocks = -(-n // MODEL_ENTRIES) if n > MODEL_ENTRIES else 1
+    head = F.shiftrightunsigned("key", 32)
+    for k in range(blocks):
+        low, high = (k << 32) // blocks, (k + 1 << 32) // blocks
+        part = (rows if blocks == 1 else rows.where((head >= low) & (head < high))).toPandas()
+        keys = part["key"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        yield Model(keys[order], part["log2p"].to_numpy(np.float32)[order])
 
 
 _SIGNS = np.zeros(256, bool)
@@ -241,50 +285,47 @@ def base_rules(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return words.counts, chars, per_doc(_SIGNS[data], offsets), duplicate_lines(data, offsets, words), repeated
 
 
-SCORES = "id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_keys long, bits double, deviation double, hash long"
+SCORES = "id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_keys long, total double, squares double, hash long"
+
+
+def _rated(batches: Iterator[pa.RecordBatch], sent, base: bool) -> Iterator[pa.RecordBatch]:
+    """Sums of the bits and of their squares of every row's n-grams that the block has, and, with ``base``, the base figures."""
+    names = [c.split()[0] for c in SCORES.split(", ")]
+    for batch in batches:
+        codes, langs = _languages(batch.column("lang"))
+        marks = np.array([language_hash(x) for x in langs], np.uint64)
+        for rows, data, offsets in groups(batch.column("text")):
+            _, hashes, first, sizes = text_grams(data, offsets)
+            mark = np.zeros(len(hashes), np.uint64)
+            spread = np.repeat(marks[codes[rows]], sizes + ORDER - 1)
+            mark[:] = spread[: len(hashes)]
+            bits = -sent.value.of(key_of(hashes, mark)).astype(np.float64)
+            sums = []
+            for x in (bits, bits * bits):
+                upto = np.append(0.0, np.cumsum(x))
+                sums.append(upto[first + sizes] - upto[first])
+            figures = base_rules(data, offsets) if base else [np.zeros(len(rows), np.int64)] * 5
+            at = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("lang").take(at), *[pa.array(x.astype(np.int64)) for x in figures], pa.array(sizes), *map(pa.array, sums), batch.column("hash").take(at)], names=names)
 
 
 def score(docs: DataFrame, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Base figures of every row, and its bits per symbol under its language's model."""
+    """Base figures of every row, and its bits per symbol (mean and standard deviation) under its language's model."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("hash"))
-    sizes = sorted(((r["n"], r["lang"]) for r in counts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()), key=lambda x: (x[0], x[1] or ""))
-    blocks: list[list[str | None]] = [[]]
-    room = MODEL_ENTRIES
-    for n, lang in sizes:
-        if n > room and blocks[-1]:
-            blocks.append([])
-            room = MODEL_ENTRIES
-        blocks[-1].append(lang)
-        room -= n
     out = None
-    for block in blocks:
-        named = [x for x in block if x is not None]
-        mine = (F.col("lang").isin(named) if named else F.lit(False)) | (F.col("lang").isNull() if None in block else F.lit(False))
-        own: pd.DataFrame = (counts if len(blocks) == 1 else counts.where(mine)).toPandas()
-        models = {None if lang is None or pd.isna(lang) else lang: KneserNey(part["key"].to_numpy(), part["n"].to_numpy()) for lang, part in own.groupby("lang", dropna=False, sort=False)}
-        sent = spark.sparkContext.broadcast(models)
-
-        @tidy
-        def rate(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                codes, names = _languages(batch.column("lang"))
-                for rows, data, offsets in groups(batch.column("text")):
-                    base = base_rules(data, offsets)
-                    keys, bounds = symbol_keys(data, offsets)
-                    bits = np.zeros(len(keys))
-                    code = np.repeat(codes[rows], np.diff(bounds))
-                    for k in np.unique(codes[rows]):
-                        here = np.flatnonzero(code == k)
-                        bits[here] = sent.value[names[k]].log2p(keys[here])
-                    n = np.diff(bounds)
-                    mean = -np.add.reduceat(bits, bounds[:-1]) / n  # every text has its end at least
-                    deviation = np.sqrt(np.maximum(np.add.reduceat(bits * bits, bounds[:-1]) / n - mean * mean, 0))
-                    yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows)), batch.column("lang").take(pa.array(rows)), *[pa.array(x.astype(np.int64)) for x in base], pa.array(n), pa.array(mean), pa.array(deviation), batch.column("hash").take(pa.array(rows))], names=[c.split()[0] for c in SCORES.split(", ")])
-
-        part = (source if len(blocks) == 1 else source.where(mine)).mapInArrow(rate, SCORES)
-        out = part if out is None else out.unionAll(part)
-    return out
+    for model in model_blocks(counts):
+        sent = spark.sparkContext.broadcast(model)
+        if out is None:
+            out = source.mapInArrow(tidy(partial(_rated, sent=sent, base=True)), SCORES)
+            continue
+        # a further range of hashes: the sums of each distinct text are added to its rows'
+        more = source.mapInArrow(tidy(partial(_rated, sent=sent, base=False)), SCORES).groupBy("lang", "hash").agg(F.min("total").alias("__t"), F.min("squares").alias("__s"))
+        joined = out.alias("o").join(more.alias("m"), F.col("o.lang").eqNullSafe(F.col("m.lang")) & F.col("o.hash").eqNullSafe(F.col("m.hash")))
+        out = checkpointed(joined.select("o.*", "__t", "__s").withColumn("total", F.col("total") + F.col("__t")).withColumn("squares", F.col("squares") + F.col("__s")).drop("__t", "__s"))
+    mean = F.col("total") / F.col("n_keys")
+    deviation = F.sqrt(F.greatest(F.col("squares") / F.col("n_keys") - F.col("bits") * F.col("bits"), F.lit(0.0)))
+    return out.withColumn("bits", mean).withColumn("deviation", deviation).drop("total", "squares")
 
 
 def median(rows: DataFrame, key: str, value: Column, step: float, name: str) -> DataFrame:

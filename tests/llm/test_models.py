@@ -43,23 +43,102 @@ def test_base_rules(make, odd, words):
     assert perplexity.judge(make([])).count() == 0
 
 
-def test_4grams_are_counted(make):
-    got = {(r.lang, r.key): r.n for r in perplexity.count_ngrams(make([(1, "ab  ab", "en"), (2, "ab", None), (3, "", "en"), (4, None, "en")])).collect()}
-    a, b = 1, 2
-    key = lambda *s: sum(x << 6 * k for k, x in enumerate(reversed(s)))
-    first = {key(0, 0, 0, a): 1, key(0, 0, a, b): 1, key(0, a, b, 0): 1}
-    assert {k[1]: n for k, n in got.items() if k[0] is None} == first
-    want = Counter({key(0, 0, 0, a): 1, key(0, 0, a, b): 1, key(0, a, b, 0): 2, key(a, b, 0, a): 1, key(b, 0, a, b): 1, key(0, 0, 0, 0): 2})
-    assert {k[1]: n for k, n in got.items() if k[0] == "en"} == dict(want)
-
-
-def test_kneser_ney_sums_to_one():
-    rng = np.random.default_rng(1)
-    keys = np.unique(rng.integers(0, 1 << 24, 4000) & 0x0C30C7)
-    model = perplexity.KneserNey(keys, rng.integers(1, 9, len(keys)))
-    for context in [*(keys[:5] >> 6), 12345]:
-        p = 2.0 ** model.log2p(np.array([int(context) << 6 | s for s in range(64)], np.int64))
-        assert math.isclose(p.sum(), 1, abs_tol=1e-3)
+def symbols(text):
+    plain = re.sub(r"[0-9]", "0", re.sub(r"[\x20\x09-\x0D]+", " ", text or ""))
+    return "\x02" * (perplexity.ORDER - 1) + plain + "\x03"
+
+
+def grams_of(text):
+    t, n = symbols(text), perplexity.ORDER
+    return [t[k : k + n] for k in range(len(t) - n + 1)]
+
+
+def test_ngrams_are_counted(make):
+    rows = [(1, "ab  ab", "en"), (2, "ab\t1\n 2", None), (3, "", "en"), (4, None, "en"), (5, "日本語 のテキスト", "ja"), (6, "Ωμέγα και 7𝔘", "el"), (7, "ab", "en")]
+    got = {(r.lang, r.gram): r.n for r in perplexity.count_ngrams(make(rows)).collect()}
+    assert got == dict(Counter((lang, g) for _, text, lang in rows for g in grams_of(text)))
+
+
+def brute_model(counts):
+    """Interpolated modified Kneser-Ney over a Counter of n-grams: n-gram -> probability, from the definition."""
+    levels = [counts]
+    for _ in range(perplexity.ORDER - 1):
+        levels.insert(0, Counter(g[1:] for g in levels[0]))
+    below = {}
+    for level in levels:
+        n = [sum(c == k for c in level.values()) for k in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else 0
+        cut = [0.5, 0.75, 0.9] if min(n[1:]) == 0 else [min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05), k - 0.05) for k in (1, 2, 3)]
+        total, mass = Counter(), Counter()
+        for g, c in level.items():
+            total[g[:-1]] += c
+            mass[g[:-1]] += cut[min(c, 3) - 1]
+        below = {g: max(c - cut[min(c, 3) - 1], 0) / total[g[:-1]] + mass[g[:-1]] / total[g[:-1]] * (below[g[1:]] if below else 1 / len(level)) for g, c in level.items()}
+    return below
+
+
+@pytest.mark.parametrize("lang", [None, "en"])
+def test_kneser_ney_against_its_definition(make, words, lang):
+    rows = [(i, words(i, 60, 30), lang) for i in range(20)]
+    got = {r.gram: r.log2p for r in perplexity.kneser_ney(perplexity.count_ngrams(make(rows))).collect()}
+    counts = Counter(g for _, text, _ in rows for g in grams_of(text))
+    want = brute_model(counts)
+    assert got.keys() == want.keys() and all(math.isclose(2 ** got[g], want[g], rel_tol=1e-9) for g in want)
+    by_context = Counter()
+    for g, p in want.items():
+        by_context[g[:-1]] += p
+    assert all(0 < p <= 1 + 1e-9 for p in by_context.values())  # what unseen n-grams of a context would have is the rest
+
+
+def test_verdicts_against_the_definition(make, words):
+    """Bits, band and verdict of every row, worked out text by text."""
+    rng = random.Random(9)
+    rows = [(i, words(i % 40, 60 + i % 40 * 3, 50), "en" if i % 3 else "el") for i in range(120)]
+    rows += [(200, " ".join("".join(rng.choice("xyzqj") for _ in range(7)) for _ in range(80)), "en"), (201, words(3, 10), "en"), (202, None, None)]
+    got = {r.doc_id: r for r in perplexity.judge(make(rows)).collect()}
+    bits, spread, length = {}, {}, {}
+    for lang in ("en", "el", None):
+        texts = {t for _, t, x in rows if x == lang}
+        model = brute_model(Counter(g for t in texts for g in grams_of(t)))
+        for t in texts:
+            b = [-math.log2(model[g]) for g in grams_of(t)]
+            bits[lang, t], spread[lang, t], length[lang, t] = sum(b) / len(b), float(np.std(b)), len(b)
+    failed = {(lang, t): brute_base(t)[0] < 50 or 100 * brute_base(t)[4] > 50 * brute_base(t)[0] for _, t, lang in rows}
+
+    def median(values, step):
+        """The middle of the bin that holds the (upper) median."""
+        bins = sorted(math.floor(v / step) for v in values)
+        return (bins[(len(bins) + 1) // 2 - 1] + 0.5) * step
+
+    for lang in ("en", "el"):
+        good = [k for k in bits if k[0] == lang and not failed[k]]
+        mid = median([bits[k] for k in good], 1e-4)
+        scale = {k: math.sqrt(1 / (1 / 4000 + 1 / length[k])) for k in bits}
+        off = {k: (bits[k] - mid) * scale[k] for k in good}
+        least = median([spread[k] for k in good], 1e-3) * perplexity.LEAST_SHARE
+        sides = [max(1.4826 * median([s * d for d in off.values() if s * d >= 0], 1e-3), least) for s in (-1, 1)]
+        for i, t, x in rows:
+            if x != lang:
+                continue
+            r, k = got[i], (lang, t)
+            low, high = (mid + s * perplexity.SPREADS * side / scale[k] for s, side in zip((-1, 1), sides, strict=True))
+            assert math.isclose(r.bits, bits[k], rel_tol=1e-5) and math.isclose(r.low, low, abs_tol=2e-3) and math.isclose(r.high, high, abs_tol=2e-3)
+            assert r.base_failed == failed[k]
+            if min(abs(bits[k] - low), abs(bits[k] - high)) > 3e-3:
+                assert r.kept == (not failed[k] and low <= bits[k] <= high)
+    assert not got[200].kept and got[201].base_failed and got[202].base_failed
+
+
+@pytest.mark.parametrize("script", ["αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "的一是不了人我在有他这中大来上国个到说们为子和你地出道也时年得就那要下以生会"])
+def test_scripts(make, script):
+    """Text of another script is judged by its own letters: a scrambled one leaves the band of ordered ones."""
+    rng = random.Random(len(script))
+    syllables = [a + b for a in script[:14] for b in script[14:20]][:40]
+    prose = lambda: " ".join("".join(rng.choices(syllables, k=rng.randrange(1, 4))) for _ in range(rng.randrange(80, 300)))
+    mixed = lambda: " ".join("".join(rng.choices(script, k=5)) for _ in range(150))
+    rows = [(i, prose(), "x") for i in range(150)] + [(500, mixed(), "x")]
+    got = {r.doc_id: r.kept for r in perplexity.judge(make(rows)).collect()}
+    assert not got[500] and sum(got[i] for i in range(150)) >= 145
 
 
 def test_languages_in_blocks(make, words, monkeypatch):
