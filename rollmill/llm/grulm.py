@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from rollmill.llm.chunks import PACKED, chunked, digest, pack, unpack
 from rollmill.llm.cluster import buckets_for, checkpointed, id_fold, shuffle_partitions, text_bytes
 from rollmill.llm.textkernel import BYTE_BASE, SPACE, _BYTE_VALUE, groups, mix, places, span_hashes, spans
-from rollmill.llm.tidy import release, tidy
+from rollmill.llm.tidy import one_thread, release, tidy
 
 FOLDS = 10
 HIDDEN = 16
@@ -477,6 +477,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sent = spark.sparkContext.broadcast((lexicon, model))
 
     def rate(left: pa.Table, right: pa.Table) -> pa.Table:
+        one_thread()
         table = unpack(left, right["digest"].to_pylist())
         lexicon, model = sent.value
         known = np.frombuffer(b"".join(x.as_py() for x in right["hashes"]), np.uint64)

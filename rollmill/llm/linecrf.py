@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from rollmill.llm.cluster import id_fold
 from rollmill.llm.textkernel import BYTE_BASE, SPACE, _BYTE_VALUE, groups, mix, span_hashes, spans
-from rollmill.llm.tidy import tidy
+from rollmill.llm.tidy import one_thread, tidy
 
 FOLDS, THRESHOLD = 5, 0.3
 #: Bound of the sample that the model is fitted on.
@@ -343,6 +343,7 @@ def classify(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str =
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
+        one_thread()
         return pa.array(predict(text, sent.value))
 
     scored = docs.select(F.col(id_col), (id_fold(F.col(id_col), FOLDS) == 0).alias("held_out"), score(F.col(text_col)).alias("score"))

@@ -165,30 +165,24 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     of each language, from its numbers of n-grams of one to four; where one of these is 0, fixed
     ones. Contexts are grouped by (language, context), of at most as many rows as there are symbols.
     """
-    named = counts.select(F.coalesce(F.concat(F.lit("1"), "lang"), F.lit("0")).alias("l"), "gram", "n")
-    levels = [named]
-    for n in range(ORDER - 1, 0, -1):
-        levels.insert(0, levels[0].groupBy("l", F.substring("gram", 2, n).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
-    below = None
-    for n, level in enumerate(levels, 1):
-        level = checkpointed(level)
-        singles = level.groupBy("l").agg(*[F.count_if(F.col("n") == k).cast("double").alias(f"n{k}") for k in range(1, 5)], F.count(F.lit(1)).alias("symbols"))
+    # all orders go through one plan: lengths are taken from the n-grams, so Spark compiles it once
+    shorter, context = F.substring("gram", F.lit(2), F.length("gram")), F.substring("gram", F.lit(1), F.length("gram") - 1)
+    levels = [checkpointed(counts.select(F.coalesce(F.concat(F.lit("1"), "lang"), F.lit("0")).alias("l"), "gram", "n"))]
+    for _ in range(ORDER - 1):
+        levels.append(checkpointed(levels[-1].groupBy("l", shorter.alias("gram")).agg(F.count(F.lit(1)).alias("n"))))
+    below = levels[-1].groupBy("l").agg(F.lit("").alias("suffix"), (F.lit(1.0) / F.count(F.lit(1))).alias("lower"))
+    while levels:
+        level = levels.pop()
+        singles = level.groupBy("l").agg(*[F.count_if(F.col("n") == k).cast("double").alias(f"n{k}") for k in range(1, 5)])
         y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
         known = F.least("n1", "n2", "n3", "n4") > 0
         cuts = [F.when(known, F.least(F.greatest(k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"), F.lit(0.05)), F.lit(k - 0.05))).otherwise(fixed).alias(f"d{k}") for k, fixed in ((1, 0.5), (2, 0.75), (3, 0.9))]
-        rows = level.join(singles.select("l", "symbols", *cuts), "l").withColumn("cut", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
-        context = ["l", F.substring("gram", 1, n - 1).alias("context")]
-        masses = rows.groupBy(*context).agg(F.sum("n").alias("total"), F.sum("cut").alias("mass"))
-        rows = rows.select("*", context[1]).join(masses, ["l", "context"])
-        lower = F.lit(1.0) / F.col("symbols")
-        if below is not None:
-            rows = rows.withColumn("suffix", F.substring("gram", 2, n - 1)).join(below, ["l", "suffix"])
-            lower = F.col("lower")
-        p = F.greatest(F.col("n") - F.col("cut"), F.lit(0.0)) / F.col("total") + F.col("mass") / F.col("total") * lower
-        if n < ORDER:
-            below = checkpointed(rows.select("l", F.col("gram").alias("suffix"), p.alias("lower")))
-        else:
-            return rows.select(F.when(F.col("l") != "0", F.substring("l", 2, 1 << 30)).alias("lang"), "gram", F.log2(p).alias("log2p"))
+        cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        rows = level.join(singles.select("l", *cuts), "l").select("l", "gram", "n", cut.alias("cut"), context.alias("context"), shorter.alias("suffix"))
+        masses = rows.groupBy("l", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("mass"))
+        p = (F.greatest(F.col("n") - F.col("cut"), F.lit(0.0)) + F.col("mass") * F.col("lower")) / F.col("total")
+        below = checkpointed(rows.join(masses, ["l", "context"]).join(below, ["l", "suffix"]).select("l", F.col("gram").alias("suffix"), p.alias("lower")))
+    return below.select(F.when(F.col("l") != "0", F.substring("l", 2, 1 << 30)).alias("lang"), F.col("suffix").alias("gram"), F.log2("lower").alias("log2p"))
 
 
 @tidy
@@ -225,10 +219,10 @@ def model_blocks(counts: DataFrame) -> Iterator[Model]:
     head = F.shiftrightunsigned("key", 32)
     for k in range(blocks):
         low, high = (k << 32) // blocks, (k + 1 << 32) // blocks
-        part = (rows if blocks == 1 else rows.where((head >= low) & (head < high))).toPandas()
-        keys = part["key"].to_numpy(np.int64).view(np.uint64)
+        part = (rows if blocks == 1 else rows.where((head >= low) & (head < high))).toArrow()
+        keys = part["key"].to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        yield Model(keys[order], part["log2p"].to_numpy(np.float32)[order])
+        yield Model(keys[order], part["log2p"].to_numpy()[order])
 
 
 _SIGNS = np.zeros(256, bool)
