@@ -41,8 +41,8 @@ from rollmill.llm.textkernel import BYTE_BASE, SPACE, _BYTE_VALUE, groups, mix,
 from rollmill.llm.tidy import one_thread, release, tidy
 
 FOLDS = 10
-HIDDEN = 16
-HEAD, CLASS_WORDS, ENDINGS = 4096, 64, 64
+HIDDEN = 20
+HEAD, CLASS_WORDS, ENDINGS = 2048, 64, 64
 WINDOW = 32
 #: Training texts are dealt into PARTS by hash; a round learns from the parts up to its end, in shards of about so many tokens.
 PARTS, ROUND_ENDS, SHARD_TOKENS = 64, (1, 4, 16, 64), 1 << 22
@@ -51,15 +51,21 @@ STREAMS, STREAM_TOKENS, FAN = (24, 96, 192, 384), 2048, 8
 RATE = 0.25
 CHUNK = {"max_rows": 1 << 16, "max_bytes": 8 << 20}
 ALPHA = 0.1
-#: Hash and ending class of the end token.
-END_HASH, END_CLASS = np.uint64(0x1D), 0
+#: The ending class is the tail of a token's hash.
+CLASS_MASK = np.uint64(63)
+#: Hash of the end token, of class 0.
+END_HASH = np.uint64(0x1D << 6)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def tokens(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, hashes, ending classes, bounds) of groups of texts, end tokens included."""
+def class_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & CLASS_MASK).astype(np.int32)
+
+
+def tokens(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, hashes, bounds) of groups of texts, end tokens included."""
     for rows, data, offsets in groups(column):
         data = _LOWER[data]
         starts, ends = spans(data, offsets, SPACE[data])
@@ -68,12 +74,10 @@ def tokens(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
         count = np.diff(np.searchsorted(starts, offsets))
         bounds = np.append(0, np.cumsum(count + 1))
         all_hashes = np.full(bounds[-1], END_HASH)
-        classes = np.full(bounds[-1], END_CLASS, np.uint8)
         words = np.ones(bounds[-1], bool)
         words[bounds[1:] - 1] = False
-        all_hashes[words] = hashes
-        classes[words] = (tail % np.uint64(ENDINGS)).astype(np.uint8)
-        yield rows, all_hashes, classes, bounds
+        all_hashes[words] = hashes & ~CLASS_MASK | tail % np.uint64(ENDINGS)
+        yield rows, all_hashes, bounds
 
 
 @dataclass
@@ -92,9 +96,9 @@ class Lexicon:
     def head_classes(self) -> int:
         return -(-len(self.hashes) // CLASS_WORDS)
 
-    def code(self, hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    def code(self, hashes: np.ndarray) -> np.ndarray:
         """Rank of a head token, or the number of head places plus the ending class."""
-        out = self.head_classes * CLASS_WORDS + classes.astype(np.int32)
+        out = self.head_classes * CLASS_WORDS + class_of(hashes)
         if len(self.hashes):
             at = places(self.hashes, hashes)
             return np.where(self.hashes[at] == hashes, self.rank[at], out).astype(np.int32)
@@ -136,12 +140,22 @@ class Gru:
         return memory
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The next state, and what the way back needs: update and reset gates, candidate, and its recurrent part."""
         n = self.h
         a = h @ self.U
-        zr = 1 / (1 + np.exp(-(x[:, : 2 * n] + a[:, : 2 * n])))
+        zr = x[:, : 2 * n] + a[:, : 2 * n]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
         z, r = zr[:, :n], zr[:, n:]
-        c = np.tanh(x[:, 2 * n :] + r * a[:, 2 * n :])
-        return c + z * (h - c), z, r, c, a[:, 2 * n :]
+        c = r * a[:, 2 * n :]
+        c += x[:, 2 * n :]
+        np.tanh(c, out=c)
+        new = h - c
+        new *= z
+        new += c
+        return new, z, r, c, a[:, 2 * n :]
 
     @staticmethod
     def _level(logits: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> None:
@@ -275,41 +289,48 @@ def _fold(ids: list) -> np.ndarray:
     return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % FOLDS for i in ids], np.int64)
 
 
-REQUEST = "bucket long, chunk long, digest long, hashes binary, counts binary, classes binary"
+REQUEST = "bucket long, chunk long, digest long, hashes binary, counts binary"
 ANSWER = "kind int, chunk long, digest long, hashes binary, counts binary, n long, v long, c int"
 
 
+def _runs(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and how often each occurs."""
+    ordered = np.sort(hashes)
+    cuts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
+    return ordered[cuts], np.diff(np.append(cuts, len(ordered)))
+
+
 @tidy
 def _ask(batches: Iterator[pa.RecordBatch], bucket_bits: int) -> Iterator[pa.RecordBatch]:
     for chunk, ids, texts in chunked(batches, **CHUNK):
         parts = []
         train = _fold(ids) != 0
-        for rows, hashes, classes, bounds in tokens(pa.array(texts, pa.large_string())):
+        for rows, hashes, bounds in tokens(pa.array(texts, pa.large_string())):
             own = np.repeat(train[rows], np.diff(bounds))
-            values, first, where = np.unique(hashes, return_index=True, return_inverse=True)
-            parts.append((values, np.bincount(where, weights=own, minlength=len(values)).astype(np.int64), classes[first]))
-        hashes, counts, classes = map(np.concatenate, zip(*parts, strict=True))
+            for some, weight in ((hashes[own], 1), (hashes[~own], 0)):
+                values, times = _runs(some)
+                parts.append((values, times * weight))
+        hashes, counts = map(np.concatenate, zip(*parts, strict=True))
         order = np.argsort(hashes, kind="stable")
-        hashes, counts, classes = hashes[order], counts[order], classes[order]
+        hashes, counts = hashes[order], counts[order]
         new = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
-        counts, hashes, classes = np.add.reduceat(counts, new), hashes[new], classes[new]
+        counts, hashes = np.add.reduceat(counts, new), hashes[new]
         bucket = (hashes >> np.uint64(64 - bucket_bits)).astype(np.int64)
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
         ends = np.append(cuts[1:], len(hashes))
         same = np.full(len(cuts), chunk, np.int64)
         mark = np.full(len(cuts), digest(ids, texts), np.int64)
-        blobs = [pa.array([x[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()) for x in (hashes, counts, classes)]
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array(same), pa.array(mark), *blobs], names=["bucket", "chunk", "digest", "hashes", "counts", "classes"])
+        blobs = [pa.array([x[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()) for x in (hashes, counts)]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array(same), pa.array(mark), *blobs], names=["bucket", "chunk", "digest", "hashes", "counts"])
 
 
 def _answer(table: pa.Table, tops: int) -> pa.Table:
     blobs = [x.as_py() for x in table["hashes"]]
     hashes = np.frombuffer(b"".join(blobs), np.uint64)
     counts = np.frombuffer(b"".join(x.as_py() for x in table["counts"]), np.int64)
-    classes = np.frombuffer(b"".join(x.as_py() for x in table["classes"]), np.uint8)
-    values, first, where = np.unique(hashes, return_index=True, return_inverse=True)
+    values, where = np.unique(hashes, return_inverse=True)
     total = np.bincount(where, weights=counts, minlength=len(values)).astype(np.int64)
-    cls = classes[first]
+    cls = class_of(values)
     cuts = np.append(0, np.cumsum([len(b) // 8 for b in blobs]))
     every = total[where]
     replies = [(0, c, d, b, every[x:y].tobytes(), 0, 0, 0) for c, d, b, x, y in zip(table["chunk"].to_pylist(), table["digest"].to_pylist(), blobs, cuts[:-1], cuts[1:], strict=True)]
@@ -365,8 +386,8 @@ def _encode(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]
     kind = np.uint16 if lexicon.head_classes * CLASS_WORDS + ENDINGS < 1 << 16 else np.uint32
     for batch in batches:
         order = batch.column("place").to_numpy()
-        for rows, hashes, classes, bounds in tokens(batch.column("text")):
-            codes = lexicon.code(hashes, classes).astype(kind)
+        for rows, hashes, bounds in tokens(batch.column("text")):
+            codes = lexicon.code(hashes).astype(kind)
             turn, shard = rounds.deal(order[rows])
             blobs = pa.array([codes[a:b].tobytes() for a, b in itertools.pairwise(bounds)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(turn), pa.array(shard), pa.array(order[rows]), blobs], names=["round", "shard", "place", "codes"])
@@ -485,16 +506,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         order = np.argsort(known, kind="stable")
         known, counts = known[order], counts[order]
         parts = list(tokens(table["text"]))
-        hashes, classes = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
-        sizes = np.concatenate([np.diff(p[3]) for p in parts])
+        hashes = np.concatenate([p[1] for p in parts])
+        sizes = np.concatenate([np.diff(p[2]) for p in parts])
         bounds = np.append(0, np.cumsum(sizes))
         # what depends on the token alone is worked out once for each distinct token
         at = places(known, hashes)
-        ending = np.zeros(len(known), np.uint8)
-        ending[at] = classes
+        ending = class_of(known)
         total = lexicon.n_tokens + ALPHA * (lexicon.n_types + 1)
         base = np.log10((counts + ALPHA) / total)[at]
-        code = lexicon.code(known, ending)
+        code = lexicon.code(known)
         rest = lexicon.rest_tokens + ALPHA * (lexicon.rest_types + 1)
         within = np.where(code >= model.heads * CLASS_WORDS, np.log((counts + ALPHA) / rest[ending]), 0.0)
         ln = model.log_likelihood(code[at], bounds) + within[at]

@@ -34,6 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rollmill.llm.cluster import checkpointed
+from rollmill.llm.filters import FILTER_BITS, bit_filter, passes
 from rollmill.llm.textkernel import BYTE_BASE, _BYTE_VALUE, groups, mix, places, span_hashes, spans, windows, SPACE, Words
 from rollmill.llm.tidy import tidy
 
@@ -158,6 +159,27 @@ def count_ngrams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def count_distinct(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The ORDER-grams of the distinct texts of each language.
+
+    Texts whose hash no other row has are counted where they lie; a bit filter of fixed size tells
+    them. Only the others, and a few strangers that the filter lets through, meet in an exchange.
+    """
+    source = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).withColumn("h", F.xxhash64("lang", "text"))
+    again = source.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    sent = docs.sparkSession.sparkContext.broadcast(bit_filter(again, "h"))
+
+    def part(batches: Iterator[pa.RecordBatch], shared: bool) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = passes(sent.value, batch.column("h").to_numpy().view(np.uint64), FILTER_BITS)
+            yield batch.filter(pa.array(hit == shared)).drop_columns(["h"])
+
+    alone = source.mapInArrow(tidy(lambda batches: _count(part(batches, False))), "lang string, gram string, n long")
+    copies = source.mapInArrow(tidy(partial(part, shared=True)), "text string, lang string").distinct()
+    both = alone.unionAll(copies.mapInArrow(_count, "lang string, gram string, n long"))
+    return both.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
 def kneser_ney(counts: DataFrame) -> DataFrame:
     """lang, gram, log2p of every counted ORDER-gram, under the interpolated modified Kneser-Ney model.
 
@@ -333,7 +355,7 @@ def median(rows: DataFrame, key: str, value: Column, step: float, name: str) ->
 
 def judge(docs: DataFrame, spreads: float = SPREADS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
     """Per row: id, base figures, base_failed, bits, low and high of its language's band, kept."""
-    counts = checkpointed(count_ngrams(docs.select(F.col(text_col), F.col(lang_col)).distinct(), text_col, lang_col))
+    counts = checkpointed(count_distinct(docs, text_col, lang_col))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     scored = checkpointed(score(docs, counts, id_col, text_col, lang_col)).withColumn("base_failed", failed)
     # equal texts of a language have equal figures, and count once

@@ -59,6 +59,12 @@ def test_ngrams_are_counted(make):
     assert got == dict(Counter((lang, g) for _, text, lang in rows for g in grams_of(text)))
 
 
+def test_copies_are_counted_once(make, words, odd):
+    rows = [(r[0], r[1], r[2]) for r in odd] * 2 + [(i, words(i % 7, 20), "en" if i % 2 else "de") for i in range(60)]
+    got = {(r.lang, r.gram): r.n for r in perplexity.count_distinct(make(rows, 5)).collect()}
+    assert got == dict(Counter((lang, g) for text, lang in {(r[1], r[2]) for r in rows} for g in grams_of(text)))
+
+
 def brute_model(counts):
     """Interpolated modified Kneser-Ney over a Counter of n-grams: n-gram -> probability, from the definition."""
     levels = [counts]
@@ -337,9 +343,9 @@ def test_scores_against_loops(make, words, monkeypatch):
         return logits[k] - math.log(sum(map(math.exp, logits)))
 
     for doc_id, text in rows:
-        (_, hashes, classes, _) = next(grulm.tokens(pa.array([text], pa.string())))
-        codes, state, before, total = lexicon.code(hashes, classes).tolist(), [0.0] * 5, model.start, 0.0
-        for token, code, ending in zip(tokens_of(text), codes, classes.tolist(), strict=True):
+        (_, hashes, _) = next(grulm.tokens(pa.array([text], pa.string())))
+        codes, state, before, total = lexicon.code(hashes).tolist(), [0.0] * 5, model.start, 0.0
+        for token, code, ending in zip(tokens_of(text), codes, grulm.class_of(hashes).tolist(), strict=True):
             a = [sum(state[i] * U[i][j] for i in range(5)) for j in range(15)]
             z, r = ([sigmoid(X[before][k + j] + a[k + j]) for j in range(5)] for k in (0, 5))
             c = [math.tanh(X[before][10 + j] + r[j] * a[10 + j]) for j in range(5)]
@@ -404,6 +410,6 @@ def test_gradients(monkeypatch):
 
 def test_tokens_of_batches():
     column = pa.array(["Ab cd\tAB", None, "", "é Z"])
-    out = [(h.tolist(), b.tolist()) for _, h, _, b in grulm.tokens(column)]
+    out = [(h.tolist(), b.tolist()) for _, h, b in grulm.tokens(column)]
     (hashes, bounds), = out
     assert bounds == [0, 4, 5, 6, 9] and hashes[0] == hashes[2] and hashes[3] == hashes[4] == int(grulm.END_HASH)
