@@ -145,7 +145,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 places = at[order[cuts]]
                 parts = held.setdefault(names[k], [])
                 parts.append((own[cuts], np.diff(np.append(cuts, len(own))), symbols[places[:, None] + np.arange(ORDER)]))
-                if len(parts) >= 16:
+                if len(parts) >= 8:
                     parts[:] = [_merged(parts)]
                     if len(parts[0][0]) > HELD:
                         yield sent(names[k])
