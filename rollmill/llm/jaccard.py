@@ -55,7 +55,9 @@ TARGET_RECALL = 0.9995
 #: Pairs at the threshold that may be there though none was found (the 95 % bound of a count of none), and steps of similarity of a histogram.
 UNSEEN, BINS = 3, 200
 #: Representatives of one side of a block of pairs.
-BLOCK = 256
+BLOCK = 512
+#: Type and bytes of a MinHash value.
+VALUE, WIDTH = np.uint16, 2
 #: Signatures that agree in less than threshold - SLACK of their values are not verified (over five standard deviations).
 SLACK = 0.2
 
@@ -82,12 +84,15 @@ def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def signatures(found: np.ndarray, first: np.ndarray, last: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """MinHash values (uint32) of the given documents, all with shingles; documents' shingles follow one another."""
-    out = np.empty((len(docs), TREES * OWN), np.uint32)
+    """MinHash values of the given documents, all with shingles; documents' shingles follow one another.
+
+    A value is 16 bits of the hash of the least: the head of the least itself would be much alike for all long texts.
+    """
+    out = np.empty((len(docs), TREES * OWN), VALUE)
     if len(docs):
         starts = first[docs]
         for k in range(TREES * OWN):
-            out[:, k] = np.minimum.reduceat((found * _MULTIPLY[k]) >> np.uint64(32), starts)
+            out[:, k] = np.minimum.reduceat(found * _MULTIPLY[k], starts) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)
     return out
 
 
@@ -143,7 +148,7 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least_rows
 
 
 def _sigs(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in column), np.uint32).reshape(-1, TREES * OWN)
+    return np.frombuffer(b"".join(x.as_py() for x in column), VALUE).reshape(-1, TREES * OWN)
 
 
 def met(similarity: np.ndarray, depth: int, least: float) -> np.ndarray:
@@ -199,7 +204,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Re
         if not len(batch):
             continue
         table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
-        label = np.frombuffer(b"".join(x.as_buffer() for x in table["label"]), np.uint32).reshape(-1, DEPTH)
+        label = np.frombuffer(b"".join(x.as_buffer() for x in table["label"]), VALUE).reshape(-1, DEPTH)
         tree = table["tree"].to_numpy()
         common = np.cumprod(label[1:] == label[:-1], axis=1).sum(1) * (tree[1:] == tree[:-1])
         yield from part(table.slice(0, len(table) - 1), np.maximum(np.append(before, common[:-1])[: len(common)], common))
@@ -210,9 +215,9 @@ def _neighbours(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Re
 
 def tries(reps: DataFrame, least: int) -> DataFrame:
     """rid, tree, label, shared of the labels that share ``least`` values or more with a neighbour in their sorted trie."""
-    around = F.concat("sig", F.substring("sig", 1, 4 * DEPTH))
+    around = F.concat("sig", F.substring("sig", 1, WIDTH * DEPTH))
     labels = reps.select("rid", around.alias("around"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    labels = labels.select("rid", "tree", F.substring("around", F.col("tree") * F.lit(4 * OWN) + 1, F.lit(4 * DEPTH)).alias("label"))
+    labels = labels.select("rid", "tree", F.substring("around", F.col("tree") * F.lit(WIDTH * OWN) + 1, F.lit(WIDTH * DEPTH)).alias("label"))
     order = ["tree", "label", "rid"]
     ordered = labels.repartitionByRange(shuffle_partitions(reps.sparkSession), *order).sortWithinPartitions(*order)
     return checkpointed(ordered.mapInArrow(partial(_neighbours, least=least), "rid long, tree int, label binary, shared int"))
@@ -366,7 +371,7 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD
         if depth < kept_depth:
             kept_depth = depth
             forest = tries(reps, kept_depth)
-        labels = forest.where(F.col("shared") >= depth).select("rid", "tree", F.xxhash64("tree", F.substring("label", 1, 4 * depth)).alias("bucket"))
+        labels = forest.where(F.col("shared") >= depth).select("rid", "tree", F.xxhash64("tree", F.substring("label", 1, WIDTH * depth)).alias("bucket"))
         shared = labels.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
         members = labels.join(shared, "bucket").withColumn("sides", F.ceil(F.col("m") / F.lit(block)).cast("int")).withColumn("side", F.pmod(F.xxhash64("rid"), F.col("sides")).cast("int"))
         members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).select("bucket", "tree", "rid", "side", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"))
