@@ -88,3 +88,26 @@ quotas AS MATERIALIZED (SELECT *, greatest(0, floor(weight * budget - passes * t
 numbered AS (SELECT u.*, q.* EXCLUDE (name, none), (key >> {m.KEY_BITS - m.HALF}) AS l, ((key >> {m.KEY_BITS - m.BLOCK_BITS}) & {(1 << m.HALF) - 1}) AS r FROM units u JOIN quotas q ON u.name = q.name AND u.none = q.none),
 placed AS (SELECT *, sum(n_tokens) OVER (PARTITION BY name, none ORDER BY (l << {m.HALF}) | r, (key >> {m.KEY_BITS - 2 * m.BLOCK_BITS}) & {m.BLOCKS - 1}, key RANGE UNBOUNDED PRECEDING) AS upto FROM {rounds})
 SELECT doc_id, source, n_tokens, weight, alpha, entropy_share, repetition, on_target, passes, passes + (left_over > 0 AND upto <= left_over)::BIGINT AS copies FROM placed"""
+
+
+def trie_sql() -> str:
+    """Every prefix of every rebuilt conversation, grouped; sums of subtrees by joining each node with the prefixes of its least member."""
+    from rollmill.llm.prefixtrie import BLOCK, DIGEST, HEADS
+
+    return f"""WITH RECURSIVE bits AS (SELECT unnest(generate_series(0, 255)) AS b),
+steps AS (SELECT b, b::UBIGINT AS v, 0 AS k FROM bits UNION ALL SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(v ORDER BY b) AS t FROM steps WHERE k = 8),
+turns AS MATERIALIZED (SELECT conv_id, digest, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS place FROM (
+  SELECT conv_id, turn, substr(sha256(strlen(r) || ':' || r || t), 1, {2 * DIGEST}) AS digest, CAST(len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS words
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL))),
+ids AS MATERIALIZED (SELECT conv_id, conv_id - conv_id % {BLOCK} AS block, CAST(xor(list_reduce(list_transform(range(length(s)), lambda i: ascii(substr(s, CAST(i AS INTEGER) + 1, 1))::UBIGINT), lambda a, x: xor(a >> 8, crc.t[CAST(xor(a & 255::UBIGINT, x) AS BIGINT) + 1]), 4294967295::UBIGINT), 4294967295::UBIGINT) % {HEADS} AS BIGINT) AS h
+  FROM (SELECT DISTINCT conv_id, conv_id::VARCHAR AS s FROM turns), crc),
+rebuilt AS (SELECT i.conv_id, place, digest, words FROM ids i JOIN turns t ON t.conv_id = i.block AND place <= h UNION ALL SELECT i.conv_id, place, digest, words FROM ids i JOIN turns t ON t.conv_id = i.conv_id AND place > h),
+paths AS MATERIALIZED (SELECT ids.conv_id, coalesce(ds, []) AS ds, coalesce(ws, []) AS ws FROM ids LEFT JOIN (SELECT conv_id, list(digest ORDER BY place) AS ds, list(words ORDER BY place) AS ws FROM rebuilt GROUP BY 1) r ON ids.conv_id = r.conv_id),
+seen AS MATERIALIZED (SELECT conv_id, d, md5(array_to_string(list_slice(ds, 1, d), '')) AS node, CASE WHEN d > 0 THEN ws[d] ELSE 0 END AS words, d = len(ds) AS ended FROM (SELECT *, unnest(generate_series(0, len(ds))) AS d FROM paths)),
+nodes AS MATERIALIZED (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256 FROM seen GROUP BY ALL),
+parents AS MATERIALIZED (SELECT n.node, n.d, p.node AS parent FROM nodes n JOIN seen p ON p.conv_id = n.conv_id AND p.d = n.d - 1),
+kids AS MATERIALIZED (SELECT parent AS node, d - 1 AS d, count(*) AS n FROM parents GROUP BY ALL),
+sums AS (SELECT a.node, a.d, count(*) FILTER (kids.n IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.words) AS saved FROM nodes n JOIN seen a ON a.conv_id = n.conv_id AND a.d <= n.d LEFT JOIN kids ON kids.node = n.node AND kids.d = n.d GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums ON sums.node = n.node AND sums.d = n.d LEFT JOIN kids ON kids.node = n.node AND kids.d = n.d LEFT JOIN parents p ON p.node = n.node AND p.d = n.d LEFT JOIN nodes up ON up.node = p.parent AND up.d = n.d - 1"""

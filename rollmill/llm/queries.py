@@ -79,6 +79,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollmill.llm.prefixtrie import trie
+
+    return trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_sharding": op1_sharding,
@@ -91,11 +97,12 @@ def queries() -> dict[str, Query]:
         "op8_tiling": op8_tiling,
         "op9_gru_lm": op9_gru_lm,
         "op10_token_files": op10_token_files,
+        "op12_prefix_trie": op12_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     from rollmill.llm.licences import scan_sql
-    from rollmill.llm.oracles import jaccard_sql, mixing_sql, sharding_sql, substring_sql
+    from rollmill.llm.oracles import jaccard_sql, mixing_sql, sharding_sql, substring_sql, trie_sql
 
-    return {"op1_sharding": sharding_sql(), "op2_jaccard_join": jaccard_sql(), "op3_mixing": mixing_sql(), "op5_substring_dedup": substring_sql(), "op6_licences": scan_sql()}
+    return {"op1_sharding": sharding_sql(), "op2_jaccard_join": jaccard_sql(), "op3_mixing": mixing_sql(), "op5_substring_dedup": substring_sql(), "op6_licences": scan_sql(), "op12_prefix_trie": trie_sql()}
