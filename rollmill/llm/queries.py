@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER, PIECE_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +80,14 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from rollmill.llm.alignment import align
+
+    return align(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.path(PIECE_TOKENIZER))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rollmill.llm.prefixtrie import trie
 
@@ -97,6 +106,7 @@ def queries() -> dict[str, Query]:
         "op8_tiling": op8_tiling,
         "op9_gru_lm": op9_gru_lm,
         "op10_token_files": op10_token_files,
+        "op11_alignment": op11_alignment,
         "op12_prefix_trie": op12_prefix_trie,
     }
 
