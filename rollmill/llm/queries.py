@@ -94,6 +94,12 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollmill.llm.suffixdedup import deduplicate
+
+    return deduplicate(table(spark, sf_dir, "documents"), length=400)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_sharding": op1_sharding,
@@ -108,6 +114,7 @@ def queries() -> dict[str, Query]:
         "op10_token_files": op10_token_files,
         "op11_alignment": op11_alignment,
         "op12_prefix_trie": op12_prefix_trie,
+        "op13_suffix_dedup": op13_suffix_dedup,
     }
 
 
