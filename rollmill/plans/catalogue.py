@@ -765,12 +765,12 @@ def stream_group_barrier(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    from rollmill.plans import checks  # noqa: F401  registers its queries here
+    from rollmill.plans import checks, mechanisms  # noqa: F401  registers their queries here
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from rollmill.plans import checks  # noqa: F401
+    from rollmill.plans import checks, mechanisms  # noqa: F401
 
     return dict(ORACLES)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rollmill import schemas
 from rollmill.functions import canon, scalars
-from rollmill.operators import curation, evaluation, events, failures, groups, integrity, judging, progress, prompts, querystate, records, replay
+from rollmill.operators import curation, evaluation, events, failures, groups, integrity, judging, progress, prompts, querystate, records, replay, scans
 from rollmill.operators.common import checked, unique
 from rollmill.plans import bridges as b
 from rollmill.plans.catalogue import longs, query, r6
@@ -85,8 +85,8 @@ def task_orders(spark, sf_dir):
     name = F.concat((F.col("doc_id") % 40).cast("string"), F.when(F.col("doc_id") % 7 == 0, "x").otherwise(""))
     rows = b.table(spark, sf_dir, "documents").select("doc_id", name.alias("source"))
     order = scalars.task_order(F.col("source"), F.substring_index("source", "_", -1), F.col("doc_id"))
-    place = F.row_number().over(W.orderBy(*order))  # the report's order is one list, by definition
-    return rows.select("doc_id", "source", place.cast("long").alias("place"), scalars.trailing_int(F.concat(F.lit("s_"), F.col("source"))).alias("tail"))
+    keyed = rows.select("doc_id", "source", *(c.alias(f"key{k}") for k, c in enumerate(order)))
+    return scans.numbered(keyed, ["key0", "key1", "key2"]).select("doc_id", "source", "place", scalars.trailing_int(F.concat(F.lit("s_"), F.col("source"))).alias("tail"))
 
 
 # JSON rules
