@@ -145,7 +145,7 @@ def has_think_tag(text: Column) -> Column:
 
 def is_affirmative(reply: Column) -> Column:
     """Whether a reply, but for case, commas, stops and white space, is one that confirms and says nothing else."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(reply), "[,.!]", " "), r"\s+", " "))
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(reply), "[,.!]", " "), r"(?U)[\s\x1c-\x1f]+", " "))
     return F.coalesce(plain.isin(*AFFIRMATIVES), F.lit(False))
 
 

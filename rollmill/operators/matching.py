@@ -19,11 +19,18 @@ def candidates(actions: DataFrame, events: DataFrame, by: list[str], args: str =
 
 
 def waived(expected: Column, state: Column) -> Column:
-    """Whether a baggage update costs nothing, so that how it is paid does not matter: no paid bag, or, with the state before it, no more than the reservation had."""
-    target = F.get_json_object(expected, "$.nonfree_baggages").try_cast("double")
-    prior = F.get_json_object(state, "$.nonfree_baggages").try_cast("int")
-    same = F.get_json_object(state, "$.reservation_id") == F.get_json_object(expected, "$.reservation_id")
-    return F.coalesce(F.when(state.isNull(), target == 0).otherwise(same & (prior >= 0) & target.between(F.lit(0.0), prior.cast("double"))), F.lit(False))
+    """Whether a baggage update costs nothing, so that how it is paid does not matter: no paid bag, or, with the state before it, no more than the reservation had.
+
+    With a state, numbers are JSON numbers, the state's a whole one: a number in quotes does not count.
+    """
+    at = lambda doc, path: F.try_variant_get(F.try_parse_json(doc), path, "variant")
+    target, prior = (at(x, "$.nonfree_baggages") for x in (expected, state))
+    number = lambda v, kinds: F.when(F.schema_of_variant(v).rlike(kinds), v.try_cast("double"))
+    wanted, had = number(target, "^(BIGINT|DECIMAL|DOUBLE)"), number(prior, "^(BIGINT|DECIMAL)")
+    had = F.when(F.get_json_object(state, "$.nonfree_baggages").rlike("^-?[0-9]+$"), had)  # 2.0 is no whole number here
+    same = F.to_json(at(state, "$.reservation_id")).eqNullSafe(F.to_json(at(expected, "$.reservation_id")))
+    free = F.get_json_object(expected, "$.nonfree_baggages").try_cast("double") == 0
+    return F.coalesce(F.when(state.isNull(), free).otherwise(same & (had >= 0) & wanted.between(F.lit(0.0), had)), F.lit(False))
 
 
 def waived_candidates(actions: DataFrame, events: DataFrame, by: list[str]) -> DataFrame:

@@ -714,12 +714,21 @@ def action_matching(spark, sf_dir):
     return matching.match_actions(matching.candidates(wanted, rows, ["trajectory_id"]))
 
 
-@query()
+@query(
+    b.with_(b.TOOL_EVENTS)
+    + """, goals AS NOT MATERIALIZED (SELECT *, name IN ('purchase', 'signup') AS goal, CAST(result AS BIGINT) % 2 = 0 AS ok FROM b_tool_events),
+own AS NOT MATERIALIZED (SELECT *, lag(ok) OVER (PARTITION BY trajectory_id, name ORDER BY sequence) AS was FROM goals WHERE goal),
+steps AS NOT MATERIALIZED (SELECT *, ok AND row_number() OVER (PARTITION BY trajectory_id, name, ok ORDER BY sequence) = 1 AS won, NOT ok AND coalesce(was, false) AND sum(CASE WHEN NOT ok AND was THEN 1 ELSE 0 END) OVER (PARTITION BY trajectory_id, name ORDER BY sequence) = 1 AS fell FROM own)
+SELECT g.trajectory_id, CAST(g.sequence AS INTEGER) AS turn, round(CASE WHEN s.won THEN 0.25 WHEN s.fell THEN -0.25 ELSE 0 END::DOUBLE, 6) + 0.0 AS credit,
+  round((CASE WHEN last_value(CASE WHEN g.name = 'purchase' THEN g.ok END IGNORE NULLS) OVER w THEN 0.5 ELSE 0 END + CASE WHEN last_value(CASE WHEN g.name = 'signup' THEN g.ok END IGNORE NULLS) OVER w THEN 0.5 ELSE 0 END)::DOUBLE, 6) + 0.0 AS phi
+FROM goals g LEFT JOIN steps s ON g.trajectory_id = s.trajectory_id AND g.sequence = s.sequence WINDOW w AS (PARTITION BY g.trajectory_id ORDER BY g.sequence)"""
+)
 def db_subgoal_trace(spark, sf_dir):
+    """Credits of two subgoals over each user's events, one turn an event."""
     rows = b.tool_events(spark, sf_dir)
     shaped = rows.select("trajectory_id", "turn_id", "sequence", F.when(F.col("name").isin("purchase", "signup"), F.col("name")).alias("goal"), (F.col("result").cast("long") % 2 == 0).alias("ok"), F.col("db_effect").alias("effect"), (F.col("name") == "error").alias("violates"))
     goals = ["purchase", "signup"]
-    return subgoals.subgoal_credit(shaped, goals.index, len(goals)).withColumn("credit", r6("credit")).withColumn("phi", r6("phi"))
+    return subgoals.subgoal_credit(shaped, goals).withColumn("credit", r6("credit")).withColumn("phi", r6("phi"))
 
 
 @query("SELECT event_id, sha256(replace(props, ' ', '')) AS fingerprint FROM events")

@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rollmill.operators import concurrency
+from rollmill.operators import concurrency, failures, scans, subgoals
 from rollmill.plans import bridges as b
-from rollmill.plans.catalogue import query
+from rollmill.plans.catalogue import query, r6
 
 # Leases: an event takes a place of its type's pool for half a minute per unit of its value; those of the highest values never give it back.
 
@@ -66,3 +66,89 @@ def attempt_counts(spark, sf_dir):
     """Attempts by kind, the kinds read from event types."""
     kinds = F.create_map(*(F.lit(x) for pair in (("view", "initial"), ("error", "infrastructure"), ("click", "user"), ("signup", "user"), ("purchase", "truncation")) for x in pair))
     return concurrency.attempt_counts(b.table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("partition"), kinds[F.col("event_type")].alias("kind")))
+
+
+# Graphs of errors: three events of a user in a row are a record; the second is the first one's cause, the third its context, or both are its members. Some third errors lead back to the first.
+
+_ERRORS = """e AS MATERIALIZED (SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) AS s, event_type, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k FROM events),
+nodes AS MATERIALIZED (SELECT user_id * 100000 + s // 3 AS record, s % 3 AS node, k, CASE event_type WHEN 'view' THEN ['RuntimeError', 'Exception'] WHEN 'click' THEN ['ReadError', 'NetworkError', 'TransportError']
+  WHEN 'purchase' THEN ['RateLimitError', 'APIStatusError'] WHEN 'signup' THEN ['ExceptionGroup', 'BaseExceptionGroup'] ELSE [['TimeoutError', 'OSError'], ['CancelledError'], ['EndOfStream'], ['OSError']][k % 4 + 1] END AS bases,
+  CASE WHEN event_type = 'purchase' THEN CASE WHEN k % 5 = 0 THEN 400 ELSE 429 END END AS status FROM e),
+edges AS MATERIALIZED (SELECT c.record, 0 AS parent, c.node AS child, CASE WHEN list_contains(p.bases, 'BaseExceptionGroup') THEN 'member' WHEN c.node = 1 THEN 'cause' ELSE 'context' END AS relation FROM nodes c JOIN nodes p ON p.record = c.record AND p.node = 0 WHERE c.node > 0
+  UNION ALL SELECT record, 2, 0, 'cause' FROM nodes WHERE node = 2 AND k % 7 = 0
+  UNION ALL SELECT record, 1, 2, 'cause' FROM nodes WHERE node = 2 AND k % 7 = 1)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_ERRORS},
+flags AS MATERIALIZED (SELECT *, list_has_any(bases, ['TransportError', 'NetworkError']) AS transport, list_contains(bases, 'TimeoutError') AS deadline, bases[1] = 'CancelledError' AS cancelled,
+  list_has_any(bases, ['TimeoutError', 'TransportError']) OR coalesce(status = 429, false) AS service, bases[1] IN ('EndOfStream', 'OSError') AND NOT list_contains(bases, 'TimeoutError') AS beneath, bases[1] IN ('RuntimeError', 'ExceptionGroup') AS wraps FROM nodes),
+steps AS MATERIALIZED (SELECT e.record, e.parent, CASE WHEN skip THEN n.child ELSE e.child END AS child FROM (SELECT e.*, p.deadline AND c.cancelled AND relation <> 'member' AS skip FROM edges e JOIN flags p ON p.record = e.record AND p.node = parent JOIN flags c ON c.record = e.record AND c.node = child) e
+  LEFT JOIN edges n ON skip AND n.record = e.record AND n.parent = e.child AND n.relation <> 'member' WHERE NOT skip OR n.child IS NOT NULL),
+walk AS (SELECT record, 0::BIGINT AS node, [0::BIGINT] AS path, false AS context, false AS circle FROM nodes WHERE node = 0
+  UNION ALL SELECT w.record, s.child, list_append(path, s.child), context OR f.transport, list_contains(path, s.child) FROM walk w JOIN flags f ON f.record = w.record AND f.node = w.node JOIN steps s ON s.record = w.record AND s.parent = w.node WHERE NOT circle)
+SELECT w.record, bool_and(NOT circle AND (service OR (context AND beneath) OR (wraps AND EXISTS (SELECT 1 FROM steps s WHERE s.record = w.record AND s.parent = w.node)))) AND any_value(w.record) % 4 <> 0 AS retryable FROM walk w JOIN flags f ON f.record = w.record AND f.node = w.node GROUP BY 1"""
+)
+def retry_graphs(spark, sf_dir):
+    """Whether interactions may be tried again, on graphs of errors made of each user's events."""
+    events = b.tool_events(spark, sf_dir).select(F.col("trajectory_id"), "sequence", "name", F.regexp_extract("args", "[0-9]+", 0).cast("long").alias("k"))
+    names = lambda *x: F.array(*map(F.lit, x))
+    kind, k = F.col("name"), F.col("k")
+    odd = F.when(k % 4 == 0, names("TimeoutError", "OSError")).when(k % 4 == 1, names("CancelledError")).when(k % 4 == 2, names("EndOfStream")).otherwise(names("OSError"))
+    bases = F.when(kind == "view", names("RuntimeError", "Exception")).when(kind == "click", names("ReadError", "NetworkError", "TransportError")).when(kind == "purchase", names("RateLimitError", "APIStatusError")).when(kind == "signup", names("ExceptionGroup", "BaseExceptionGroup")).otherwise(odd)
+    status = F.when(kind == "purchase", F.when(k % 5 == 0, 400).otherwise(429))
+    none = F.lit(None).cast("string")
+    nodes = events.select((F.col("trajectory_id") * 100000 + F.floor(F.col("sequence") / 3)).alias("record"), (F.col("sequence") % 3).cast("long").alias("node"), "k", bases.alias("bases"), status.alias("status"), none.alias("errno"), none.alias("phase"))
+    roots = nodes.where("node = 0").select("record", F.array_contains("bases", "BaseExceptionGroup").alias("group"))
+    down = nodes.where("node > 0").join(roots, "record").select("record", F.lit(0).cast("long").alias("parent"), F.col("node").alias("child"), F.when(F.col("group"), "member").when(F.col("node") == 1, "cause").otherwise("context").alias("relation"))
+    third = nodes.where("node = 2")
+    back = third.where(k % 7 == 0).select("record", F.lit(2).cast("long").alias("parent"), F.lit(0).cast("long").alias("child"), F.lit("cause").alias("relation"))
+    across = third.where(k % 7 == 1).select("record", F.lit(1).cast("long").alias("parent"), F.lit(2).cast("long").alias("child"), F.lit("cause").alias("relation"))
+    records = roots.select("record", F.when(F.col("record") % 4 == 0, "token_alignment").otherwise("model_generation").alias("phase"), F.lit(0).cast("long").alias("root"))
+    return failures.interaction_graph(records, nodes, down.unionAll(back).unionAll(across))
+
+
+# State machines
+
+
+@query(
+    b.with_(b.TOOL_EVENTS)
+    + """, w AS NOT MATERIALIZED (SELECT trajectory_id, sequence, sequence // 3 + 1 AS turn, CASE name WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 WHEN 'click' THEN 2 END AS g, CAST(result AS BIGINT) % 3 <> 0 AS ok, CAST(result AS BIGINT) % 11 = 5 AS unknown, CAST(result AS BIGINT) % 7 = 3 AS idle, name = 'error' AS violates FROM b_tool_events),
+eff AS MATERIALIZED (SELECT * FROM w WHERE g IS NOT NULL AND NOT idle),
+p AS MATERIALIZED (SELECT e.*, i.i, CASE WHEN i.i = g AND NOT unknown THEN ok END AS sets, coalesce(last_value(CASE WHEN i.i = g THEN ok AND NOT unknown END IGNORE NULLS) OVER (PARTITION BY trajectory_id, i.i ORDER BY sequence), false) AS proven FROM eff e CROSS JOIN (SELECT unnest([0, 1, 2]) AS i) i),
+held AS MATERIALIZED (SELECT *, NOT unknown AND proven AND coalesce(last_value(sets IGNORE NULLS) OVER (PARTITION BY trajectory_id, i ORDER BY sequence), false) AS c FROM p),
+moves AS MATERIALIZED (SELECT *, coalesce(lag(c) OVER (PARTITION BY trajectory_id, i ORDER BY sequence), false) AS was, last_value(c) OVER (PARTITION BY trajectory_id, i, turn ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS at_end FROM held),
+marks AS MATERIALIZED (SELECT trajectory_id, turn, i, bool_or(NOT unknown AND NOT was AND c AND i = g AND ok) AND bool_and(at_end) AS may, bool_or(NOT unknown AND was AND NOT c) AS lost, bool_or(unknown) AS unknown, bool_or(i = g AND ok AND NOT c) AS failed, bool_and(at_end) AS at_end FROM moves GROUP BY ALL),
+turns AS MATERIALIZED (SELECT trajectory_id, turn, bool_or(violates) AS violates, bool_or(g IS NOT NULL AND NOT ok) AS unmatched FROM w GROUP BY ALL),
+wrongs AS MATERIALIZED (SELECT t.trajectory_id, t.turn, any_value(t.violates) AS violates, any_value(t.unmatched) OR coalesce(bool_or(m.lost OR m.unknown OR m.failed), false) AS wrong, coalesce(bool_or(m.lost), false) AS regression, coalesce(bool_or(m.unknown), false) AS unknown FROM turns t LEFT JOIN marks m ON m.trajectory_id = t.trajectory_id AND m.turn = t.turn GROUP BY t.trajectory_id, t.turn),
+firsts AS MATERIALIZED (SELECT trajectory_id, i, min(turn) FILTER (may AND NOT wrong AND NOT violates) AS won, min(turn) FILTER (lost) AS fell FROM marks JOIN (SELECT trajectory_id, turn, wrong, violates FROM wrongs) USING (trajectory_id, turn) GROUP BY ALL),
+grid AS MATERIALIZED (SELECT t.*, x.i, m.may, m.at_end, won, fell, coalesce(last_value(m.at_end IGNORE NULLS) OVER (PARTITION BY t.trajectory_id, x.i ORDER BY t.turn), false) AS holds FROM wrongs t CROSS JOIN (SELECT unnest([0, 1, 2]) AS i) x LEFT JOIN marks m ON m.trajectory_id = t.trajectory_id AND m.turn = t.turn AND m.i = x.i LEFT JOIN firsts f ON f.trajectory_id = t.trajectory_id AND f.i = x.i)
+SELECT trajectory_id, CAST(turn - 1 AS INTEGER) AS turn, round(0.5::DOUBLE / 3 * (count(*) FILTER (won = turn) - count(*) FILTER (fell = turn)), 6) + 0.0 AS credit, round(count(*) FILTER (holds)::DOUBLE / 3, 6) + 0.0 AS phi,
+  any_value(wrong) AS wrong, (any_value(wrong) OR any_value(violates)) AND coalesce(bool_or(may AND (won IS NULL OR won > turn)), false) AS deferred, any_value(regression) AS regression, any_value(unknown) AS unknown FROM grid GROUP BY trajectory_id, turn"""
+)
+def subgoal_turns(spark, sf_dir):
+    """Three subgoals over each user's events, three events a turn; some writes leave an unknown state, some change nothing."""
+    events = b.tool_events(spark, sf_dir).select("trajectory_id", "sequence", "name", F.col("result").cast("long").alias("r"), (F.floor(F.col("sequence") / 3) + 1).cast("int").alias("turn_id"))
+    goal = F.when(F.col("name") == "purchase", 0).when(F.col("name") == "signup", 1).when(F.col("name") == "click", 2)
+    rows = events.withColumns({"g": goal, "ok": F.col("r") % 3 != 0, "unknown": F.col("r") % 11 == 5, "idle": F.col("r") % 7 == 3})
+    sets = F.col("g").isNotNull() & ~F.col("idle") & ~F.col("unknown")
+    rows = scans.running(rows, ["trajectory_id"], ["sequence"], last={f"s{i}": F.when(sets & (F.col("g") == i), F.col("ok")) for i in range(3)})
+    state = F.when(~F.col("unknown"), F.array(*(F.coalesce(f"s{i}", F.lit(False)) for i in range(3))))
+    writes = rows.where(F.col("g").isNotNull()).select("trajectory_id", "turn_id", "sequence", F.when(F.col("ok"), F.array("g")).otherwise(F.array().cast("array<int>")).alias("matches"), F.array("g").alias("names"), state.alias("state"), (~F.col("idle")).alias("effect"), F.lit(False).alias("outside"))
+    trajectories = events.groupBy("trajectory_id").agg(F.max("turn_id").alias("turns"), F.collect_set(F.when(F.col("name") == "error", F.col("turn_id") - 1)).alias("violating")).withColumn("initial", F.array(*[F.lit(False)] * 3))
+    out = subgoals.subgoal_turns(writes, trajectories, 3)
+    return out.select("trajectory_id", "turn", r6("credit").alias("credit"), r6("phi").alias("phi"), "wrong", "deferred", "regression", "unknown")
+
+
+@query(
+    """WITH m AS (SELECT conv_id AS dialog_id, turn AS message_index, CASE WHEN role = 'assistant' AND turn % 4 = 1 THEN 'proposal' WHEN role = 'assistant' THEN 'action' ELSE 'reply' END AS kind, length(text) % 2 AS h, length(text) % 3 > 0 AS affirms FROM conversations),
+s AS (SELECT *, sum(CASE WHEN kind = 'proposal' THEN 1 ELSE 0 END) OVER (PARTITION BY dialog_id ORDER BY message_index) AS stretch FROM m),
+c AS (SELECT *, stretch > 0 AND kind = 'action' AND h = first_value(h) OVER w AND sum(CASE WHEN kind = 'reply' AND affirms THEN 1 ELSE 0 END) OVER w > 0 AND sum(CASE WHEN kind = 'reply' AND NOT affirms THEN 1 ELSE 0 END) OVER w = 0 AS may FROM s WINDOW w AS (PARTITION BY dialog_id, stretch ORDER BY message_index))
+SELECT dialog_id, message_index, may AND row_number() OVER (PARTITION BY dialog_id, stretch, may ORDER BY message_index) = 1 AS confirmed FROM c"""
+)
+def one_shot_confirmations(spark, sf_dir):
+    """Actions of the assistant that its own last proposal, and the user's reply to it, allow."""
+    role, turn = F.col("role"), F.col("message_index")
+    kind = F.when((role == "assistant") & (turn % 4 == 1), "proposal").when(role == "assistant", "action").otherwise("reply")
+    talk = b.messages(spark, sf_dir).select("dialog_id", "message_index", kind.alias("kind"), (F.length("content") % 2).cast("string").alias("hash"), (F.length("content") % 3 > 0).alias("affirmative"))
+    return subgoals.confirmations(talk)
