@@ -111,3 +111,14 @@ kids AS MATERIALIZED (SELECT parent AS node, d - 1 AS d, count(*) AS n FROM pare
 sums AS (SELECT a.node, a.d, count(*) FILTER (kids.n IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.words) AS saved FROM nodes n JOIN seen a ON a.conv_id = n.conv_id AND a.d <= n.d LEFT JOIN kids ON kids.node = n.node AND kids.d = n.d GROUP BY ALL)
 SELECT n.conv_id, n.d AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.ends_sha256
 FROM nodes n JOIN sums ON sums.node = n.node AND sums.d = n.d LEFT JOIN kids ON kids.node = n.node AND kids.d = n.d LEFT JOIN parents p ON p.node = n.node AND p.d = n.d LEFT JOIN nodes up ON up.node = p.parent AND up.d = n.d - 1"""
+
+
+def bytes_sql(length: int = 400) -> str:
+    """All windows of bytes of all rows, in hexadecimal digits, counted; bytes under repeated ones cut out."""
+    return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id, text) AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS MATERIALIZED (SELECT rid, i, md5_number(substr(h, CAST(2 * i + 1 AS BIGINT), {2 * length})) AS k FROM (SELECT rid, h, unnest(range(0, length(h) // 2 - {length - 1})) AS i FROM d WHERE length(h) >= {2 * length})),
+hits AS MATERIALIZED (SELECT rid, i FROM starts WHERE k IN (SELECT k FROM starts GROUP BY k HAVING count(*) > 1)),
+runs AS MATERIALIZED (SELECT rid, min(i) AS a, max(i) + {length} AS b FROM (SELECT rid, i, sum(CASE WHEN i <= before + {length} THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY i) AS run FROM (SELECT *, lag(i) OVER (PARTITION BY rid ORDER BY i) AS before FROM hits)) GROUP BY rid, run),
+cuts AS MATERIALIZED (SELECT rid, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY rid)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN starts IS NULL THEN h ELSE array_to_string(list_transform(range(len(starts) + 1), lambda j: substr(h, CAST(2 * CASE WHEN j = 0 THEN 0 ELSE ends[CAST(j AS INTEGER)] END + 1 AS BIGINT), CAST(2 * (CASE WHEN j = len(starts) THEN length(h) // 2 ELSE starts[CAST(j AS INTEGER) + 1] END - CASE WHEN j = 0 THEN 0 ELSE ends[CAST(j AS INTEGER)] END) AS BIGINT))), '') END)) AS kept_sha256 FROM d LEFT JOIN cuts USING (rid)"""

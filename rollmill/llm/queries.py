@@ -120,6 +120,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     from rollmill.llm.licences import scan_sql
-    from rollmill.llm.oracles import jaccard_sql, mixing_sql, sharding_sql, substring_sql, trie_sql
+    from rollmill.llm.oracles import bytes_sql, jaccard_sql, mixing_sql, sharding_sql, substring_sql, trie_sql
 
-    return {"op1_sharding": sharding_sql(), "op2_jaccard_join": jaccard_sql(), "op3_mixing": mixing_sql(), "op5_substring_dedup": substring_sql(), "op6_licences": scan_sql(), "op12_prefix_trie": trie_sql()}
+    return {"op1_sharding": sharding_sql(), "op2_jaccard_join": jaccard_sql(), "op3_mixing": mixing_sql(), "op5_substring_dedup": substring_sql(), "op6_licences": scan_sql(), "op12_prefix_trie": trie_sql(), "op13_suffix_dedup": bytes_sql()}
