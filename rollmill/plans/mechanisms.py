@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from rollmill.operators import concurrency, failures, scans, subgoals
 from rollmill.plans import bridges as b
-from rollmill.plans.catalogue import query, r6
+from rollmill.plans.catalogue import longs, query, r6
+from rollmill.sources.shared import shared_path
+from rollmill.streaming import expiry, refill
 
 # Leases: an event takes a place of its type's pool for half a minute per unit of its value; those of the highest values never give it back.
 
@@ -152,3 +154,64 @@ def one_shot_confirmations(spark, sf_dir):
     kind = F.when((role == "assistant") & (turn % 4 == 1), "proposal").when(role == "assistant", "action").otherwise("reply")
     talk = b.messages(spark, sf_dir).select("dialog_id", "message_index", kind.alias("kind"), (F.length("content") % 2).cast("string").alias("hash"), (F.length("content") % 3 > 0).alias("affirmative"))
     return subgoals.confirmations(talk)
+
+
+# Streams
+
+
+@query(
+    """WITH e AS (SELECT user_id || '-' || CAST(epoch_us(ts) // 43200000000 AS VARCHAR) AS uid, CAST(event_id % 4 AS INTEGER) AS session, event_type, value, epoch_us(ts) // 1000 AS t FROM events),
+told AS (SELECT uid, session, event_type = 'error' AS failed, value, row_number() OVER (PARTITION BY uid, session ORDER BY t, event_type = 'error' DESC) AS k FROM e WHERE event_type <> 'view'),
+seen AS (SELECT uid, min(t) AS first FROM e GROUP BY 1),
+sums AS (SELECT uid, count(*) AS n, count(*) FILTER (NOT failed) AS members, count(*) FILTER (failed) AS failed, coalesce(fsum(value) FILTER (NOT failed), 0) AS total FROM told WHERE k = 1 GROUP BY 1)
+SELECT seen.uid, coalesce(members, 0) AS members, coalesce(failed, 0) AS failed, round(coalesce(total, 0), 6) + 0.0 AS reward_sum, coalesce(n, 0) < 2 AS expired FROM seen LEFT JOIN sums USING (uid)
+WHERE coalesce(n, 0) >= 2 OR first + 21600000 <= (SELECT max(t) FROM e) - 600000"""
+)
+def stream_expiring_barrier(spark, sf_dir):
+    """Half days of a user as groups of two sessions, streamed; those that never fill leave by their timer."""
+    rows = _events(spark, sf_dir)
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "open").otherwise("finished")
+    half_day = F.floor(F.col("at") / 43_200_000_000).cast("string")
+    shaped = rows.select(F.concat_ws("-", F.col("user_id").cast("string"), half_day).alias("uid"), (F.col("event_id") % 4).cast("int").alias("session"), status.alias("status"), F.col("value").alias("reward"), F.timestamp_micros("at").alias("at"))
+    queue, out, marks = (shared_path(spark, k) for k in ("queue", "groups", "progress"))
+    shaped.write.parquet(queue)
+    stream = spark.readStream.schema(shaped.schema).parquet(queue)
+    expiry.expiring_barrier(stream, 2, "6 hours", "10 minutes").writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return longs(spark.read.schema(expiry.OUT).parquet(out), "members", "failed").withColumn("reward_sum", r6("reward_sum"))
+
+
+STEPS = 3
+
+_WAVES = f"""groups AS MATERIALIZED (SELECT row_number() OVER (ORDER BY task_id) - 1 AS number, task_id, max(reward) - min(reward) > 1e-12 AS mixed FROM b_rollouts GROUP BY task_id),
+n AS MATERIALIZED (SELECT count(*) AS n, greatest(1, count(*) // 8) AS target, greatest(1, count(*) // 10) AS wave_groups FROM groups),
+asks AS (SELECT 0 AS step, 1 AS wave, 0::BIGINT AS first, wave_groups AS asked FROM n
+  UNION ALL SELECT CASE WHEN more THEN step ELSE step + 1 END, CASE WHEN more THEN wave + 1 ELSE 1 END, CASE WHEN more THEN first ELSE first + asked END, CASE WHEN more THEN asked + least(wave_groups, target - usable) ELSE wave_groups END FROM (
+    SELECT a.*, n.*, usable < target AND wave < 3 AS more FROM (SELECT asks.*, (SELECT count(*) FROM range(0, 100000) r(k), groups g, n WHERE k < asked AND g.number = (first + k) % n.n AND g.mixed) AS usable FROM asks) a, n) WHERE more OR step + 1 < {STEPS}),
+ends AS MATERIALIZED (SELECT step, max(first) AS first, max(asked) AS asked FROM asks GROUP BY step),
+picked AS (SELECT step, k, task_id, row_number() OVER (PARTITION BY step ORDER BY k) AS place, count(*) OVER (PARTITION BY step) AS usable FROM ends, range(0, 100000) r(k), groups g, n WHERE k < asked AND g.number = (first + k) % n.n AND g.mixed)
+SELECT CAST(step AS BIGINT) AS policy_version, step || '-' || k AS uid, task_id FROM picked, n WHERE place <= target"""
+
+
+@query(b.with_(b.ROLLOUTS).replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ", " + _WAVES)
+def capped_refill(spark, sf_dir):
+    """Three steps of sampling: tasks in order answer what waves ask for, mixed ones are usable; what each step handed on."""
+    tasks = b.rollouts(spark, sf_dir).groupBy("task_id").agg((F.max("reward") - F.min("reward") > 1e-12).alias("mixed"))
+    tasks = scans.numbered(tasks, ["task_id"], "number").withColumn("number", F.col("number") - 1)
+    n = tasks.count()
+    if not n:
+        return spark.createDataFrame([], "policy_version long, uid string, task_id long")
+    run = refill.Refill(spark, shared_path(spark, "refill"), refill.Rules(max(1, n // 8), max(1, n // 10), 3, True), STEPS)
+    run.start()
+    epoch, first, before = -1, {0: 0}, 0
+    # this loop stands for the workers that answer requests: one pass a wave, of which there are at most nine
+    while not (state := run.committed(epoch)).done:
+        first.setdefault(state.step, before)
+        asked = run.read("requests").where(F.col("policy_version") == state.step)
+        number = F.split("uid", "-")[1].cast("long")
+        found = asked.withColumn("k", number).withColumn("number", (F.col("k") + first[state.step]) % n).join(tasks, "number")
+        before = first[state.step] + state.asked
+        epoch += 1
+        run.fold(found.select("uid", "policy_version", F.lit("finished").alias("status"), "mixed", F.col("k").alias("arrived")), epoch)
+    starts = F.create_map(*(F.lit(x) for pair in first.items() for x in pair))
+    handed = run.read("batches").withColumn("number", ((starts[F.col("policy_version").cast("int")] + F.col("arrived")) % n))
+    return handed.join(tasks, "number").select("policy_version", "uid", "task_id")
