@@ -163,20 +163,32 @@ def prompt_report(spark, sf_dir):
     return prompts.report(prompts.inspected(docs, 2000, 4000), docs.select("task_id")).select("measured_samples", "least", "p50", "p95", "greatest", "missing_tasks", "failed_samples", "all_requested_samples_passed")
 
 
+_CALL = """'[{"arguments":{"n":' || turn || '},"name":"lookup"}]'"""
+_MESSAGE = """'{"content":' || CAST(to_json(content) AS VARCHAR) || ',"role":' || CAST(to_json(role) AS VARCHAR) || CASE WHEN calls IS NULL THEN '' ELSE ',"tool_calls":' || calls END || '}'"""
+_SPACED = """'{"content": ' || CAST(to_json(@) AS VARCHAR) || ', "role": ' || CAST(to_json(role) AS VARCHAR) || CASE WHEN calls IS NULL THEN '' ELSE ', "tool_calls": ' || spaced END || '}'"""
+
+
 @query(
-    """WITH m AS (SELECT *, row_number() OVER w - 1 AS pos FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn_index, pos AS n FROM m WHERE role = 'assistant')
-SELECT t.conv_id AS trajectory_id, turn_index, t.pos AS target_message_index, sha256(t.text) AS target, t.n AS n_history, sha256(coalesce((SELECT string_agg(CASE WHEN m.role = 'system' THEN '[See request.policy for the bound policy.]' ELSE m.text END, chr(10) ORDER BY m.pos) FROM m WHERE m.conv_id = t.conv_id AND m.pos < t.pos), '')) AS history FROM t WHERE trim(text) <> ''"""
+    f"""WITH p AS (SELECT conv_id, coalesce(min(text) FILTER (role = 'system'), 'none') AS policy FROM conversations GROUP BY 1),
+raw AS (SELECT c.conv_id, c.turn, role, CASE WHEN c.turn % 5 = 3 THEN '' ELSE c.text END AS content, CASE WHEN c.turn % 4 = 1 THEN {_CALL} END AS calls, CASE WHEN c.turn % 4 = 1 THEN '[{{"arguments": {{"n": ' || turn || '}}, "name": "lookup"}}]' END AS spaced, policy, row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn) - 1 AS pos FROM conversations c JOIN p USING (conv_id)),
+m AS MATERIALIZED (SELECT *, {_MESSAGE} AS tight, {_SPACED.replace("@", "content")} AS loose, {_SPACED.replace("@", "CASE WHEN role = 'system' THEN replace(content, policy, '[See request.policy for the bound policy.]') ELSE content END")} AS seen FROM raw),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn_index, CASE WHEN trim(content) = '' THEN coalesce(spaced, loose) ELSE content || coalesce(chr(10) || spaced, '') END AS target,
+  sha256('{{"current_generation":{{"message":' || tight || ',"message_index":' || pos || '}},"judge_version":"simple-turn-target-v2"}}') AS digest FROM m WHERE role = 'assistant'),
+h AS (SELECT t.conv_id, t.pos, string_agg('{{"message": ' || m.seen || ', "message_index": ' || m.pos || '}}', ', ' ORDER BY m.pos) AS history FROM t JOIN m ON m.conv_id = t.conv_id AND m.pos < t.pos GROUP BY ALL)
+SELECT t.conv_id AS trajectory_id, turn_index, t.pos AS target_message_index, sha256(target) AS target, digest, t.pos AS n_history,
+  sha256('{{"request_version": "simple-turn-target-v2", "policy": ' || CAST(to_json(policy) AS VARCHAR) || ', "history": [' || coalesce(history, '') || '], "current_generation": {{"message": ' || loose || ', "message_index": ' || t.pos || '}}, "final_turn_rule": "simple-turn-v2", "previous_refusals": [], "target_generation_sha256": "' || digest
+    || '", "target_generation_text": ' || CAST(to_json(target) AS VARCHAR) || ', "target_message_index": ' || t.pos || ', "turn_index": ' || turn_index || '}}') AS request FROM t LEFT JOIN h ON t.conv_id = h.conv_id AND t.pos = h.pos"""
 )
 def judge_requests(spark, sf_dir):
-    """The target and the history of each request about an assistant's turn; the policy is the dialogue's own system message."""
-    whole = F.struct("turn", F.struct("role", F.col("text").alias("content"), F.lit(None).cast("string").alias("raw_generated_text"), F.lit(None).cast("array<struct<name:string,arguments:string>>").alias("tool_calls")).alias("m"))
+    """Targets and requests about every assistant's turn, byte by byte; the policy is the dialogue's own system message, some turns call a tool, some say nothing."""
+    turn = F.col("turn")
+    calls = F.when(turn % 4 == 1, F.array(F.struct(F.lit("lookup").alias("name"), F.struct(turn.alias("n")).alias("arguments"))))
+    message = F.struct("role", F.when(turn % 5 == 3, "").otherwise(F.col("text")).alias("content"), F.lit(None).cast("string").alias("raw_generated_text"), calls.alias("tool_calls"))
     talk = b.table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("trajectory_id")).agg(
-        F.transform(F.array_sort(F.collect_list(whole)), lambda x: x["m"]).alias("messages"), F.coalesce(F.min(F.when(F.col("role") == "system", F.col("text"))), F.lit("none")).alias("policy")
+        F.transform(F.array_sort(F.collect_list(F.struct("turn", message.alias("m")))), lambda x: x["m"]).alias("messages"), F.coalesce(F.min(F.when(F.col("role") == "system", F.col("text"))), F.lit("none")).alias("policy")
     )
-    out = judging.turn_requests(talk.withColumn("task_guidance", F.lit(None).cast("string")))
-    shown = F.transform(judging.compacted_history(F.col("history"), F.col("policy")), lambda x: x["message"]["content"])
-    out = out.where(F.length(F.trim("current.message.content")) > 0).select("trajectory_id", "turn_index", "target_message_index", F.sha2("target_text", 256).alias("target"), F.size("history").alias("n_history"), F.sha2(F.array_join(shown, "\n"), 256).alias("history"))
+    out = judging.request_json(judging.turn_requests(talk.withColumn("task_guidance", F.lit(None).cast("string"))))
+    out = out.select("trajectory_id", "turn_index", "target_message_index", F.sha2("target_text", 256).alias("target"), F.col("target_sha256").alias("digest"), F.size("history").alias("n_history"), F.sha2("request", 256).alias("request"))
     return longs(out, "turn_index", "target_message_index", "n_history")
 
 

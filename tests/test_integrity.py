@@ -148,10 +148,10 @@ def test_judge_requests(spark):
     df = spark.createDataFrame([(1, "be kind.", None, m), (2, "p", "g", [("user", "x", None, None)])], MESSAGES)
     out = judging.turn_requests(df)
     got = {r.turn_index: r for r in out.collect()}
-    assert [(t, got[t].target_message_index, len(got[t].history), got[t].target_text) for t in sorted(got)] == [(0, 2, 2, "hello"), (1, 4, 4, '[{"name":"book","arguments":"{}"}]'), (2, 5, 5, "raw done")]
-    assert all(r.violations == [] for r in checked(out, judging.request_rules(), "flag").collect())
+    assert [(t, got[t].target_message_index, len(got[t].history), got[t].target_text) for t in sorted(got)] == [(0, 2, 2, "hello"), (1, 4, 4, '[{"arguments": "{}", "name": "book"}]'), (2, 5, 5, "raw done")]
+    assert all(r.violations == [] for r in checked(out, judging.request_rules(out), "flag").collect())
     bad = out.withColumn("history", F.reverse("history"))
-    assert {v for r in checked(bad, judging.request_rules(), "flag").collect() for v in r.violations} == {"history_order"}
+    assert {v for r in checked(bad, judging.request_rules(bad), "flag").collect() for v in r.violations} == {"history_order"}
     request = json.loads(judging.request_json(out).where("turn_index = 1").first().request)
     assert list(request)[:2] == ["request_version", "policy"] and request["history"][0]["message"]["content"] == f"Follow: {judging.ELIDED} Always." and request["history"][1]["message"]["content"] == "hi"
     assert list(request)[3:] == sorted(list(request)[3:]) and request["target_message_index"] == 4
@@ -161,6 +161,46 @@ def test_judge_requests(spark):
     assert all(not r.previous_refusals for r in judging.turn_requests(df, decisions).collect())
 
 
+def python_request(policy, guidance, messages, at, turn_index):
+    """The request as plain Python builds it."""
+    clean = lambda m: {k: v for k, v in m.items() if k != "turn_idx" and not (k in judging.OPTIONAL and v is None)}
+    current = {"message_index": at, "message": clean(messages[at])}
+    m = current["message"]
+    text = m.get("raw_generated_text") or ""
+    if not text.strip():
+        parts = [m["content"]] if (m["content"] or "").strip() else []
+        parts += [json.dumps(m["tool_calls"], ensure_ascii=False, sort_keys=True)] if m.get("tool_calls") else []
+        text = "\n".join(parts) or json.dumps(m, ensure_ascii=False, sort_keys=True)
+    digest = hashlib.sha256(json.dumps({"judge_version": judging.REQUEST_VERSION, "current_generation": current}, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    history = [{"message_index": i, "message": clean(x)} for i, x in enumerate(messages[:at])]
+    for h in history:
+        if h["message"]["role"] == "system" and policy and isinstance(h["message"]["content"], str):
+            h["message"]["content"] = h["message"]["content"].replace(policy, judging.ELIDED)
+    view = {"request_version": judging.REQUEST_VERSION, "turn_index": turn_index, "target_message_index": at, "current_generation": current, "target_generation_sha256": digest, "target_generation_text": text, "history": history, "policy": policy, "previous_refusals": [], "final_turn_rule": judging.INDEPENDENT}
+    view |= {"task_guidance": guidance} if guidance else {}
+    plain = json.loads(json.dumps(view, ensure_ascii=False, sort_keys=True))
+    lead = {k: plain[k] for k in judging.LEADING if k in plain}
+    return json.dumps(lead | {k: v for k, v in plain.items() if k not in lead}, ensure_ascii=False)
+
+
+def test_requests_byte_for_byte(spark):
+    call = {"name": "book", "arguments": {"n": 1, "x": 0.5, "who": "é \"q\""}, "id": None}
+    message = lambda role, content, raw=None, calls=None, turn=None: {"role": role, "content": content, "raw_generated_text": raw, "tool_calls": calls, "turn_idx": turn}
+    talks = [
+        ("be kind.", None, [message("system", "Follow: be kind. be kind.\n"), message("user", "hi"), message("assistant", None, turn=3), message("tool", None), message("assistant", "\u00a0", calls=[call, call]), message("assistant", "said", calls=[call]), message("assistant", "x", raw=" raw \n"), message("assistant", "", calls=[])]),
+        ("", "check\tthis", [message("assistant", "alone", turn=0), message("system", None), message("assistant", "two")]),
+    ]
+    kind = "struct<role:string,content:string,raw_generated_text:string,tool_calls:array<struct<name:string,arguments:struct<n:int,x:double,who:string>,id:string>>,turn_idx:int>"
+    frame = spark.createDataFrame([(k, *t) for k, t in enumerate(talks)], f"trajectory_id int, policy string, task_guidance string, messages array<{kind}>")
+    out = judging.request_json(judging.turn_requests(frame))
+    want = {}
+    for k, (policy, guidance, messages) in enumerate(talks):
+        for turn, at in enumerate(i for i, m in enumerate(messages) if m["role"] == "assistant"):
+            want[k, turn] = python_request(policy, guidance, messages, at, turn)
+    assert {(r["trajectory_id"], r["turn_index"]): r["request"] for r in out.collect()} == want
+    assert all(r.violations == [] for r in checked(out, judging.request_rules(out), "flag").collect())
+
+
 def test_coverage_and_audits(spark):
     groups = spark.createDataFrame([("a", 8, 8, False), ("b", 8, 5, True)], "uid string, rollout_n int, completed int, failed boolean")
     assert tuple(integrity.validation_coverage(groups).first()) == (16, 13, 3, 1, 13 / 16, 0)
