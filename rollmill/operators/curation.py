@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 from collections.abc import Iterator
 from functools import reduce
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from rollmill.functions import scalars
+from rollmill.operators.scans import numbered
 from rollmill.sources.shared import checkpointed
 
 
@@ -210,6 +212,32 @@ def sample_rows(rows: DataFrame, n: int, seed: int, key: list[str], order: list[
     return drawn.orderBy(*order) if order else drawn
 
 
+#: Indices that the driver draws and holds for an exact sample, at some 40 bytes each, and of these how many are broadcast.
+MAX_DRAWN, MAX_BROADCAST = 20_000_000, 4_000_000
+
+
+def seeded_sample(rows: DataFrame, k: int, seed: int, order: list[str]) -> DataFrame:
+    """The rows that ``random.Random(seed).sample(range(n), k)`` names, numbered by ``order``; adds ``place``, from 0, by which they come sorted.
+
+    The index stream is one sequence by its definition, so the driver draws it, ``MAX_DRAWN`` at
+    most; the rows are numbered in ranges (see ``scans``) and none but the sample leave them. Rows that
+    tie in ``order`` are numbered in no certain order. Fewer rows than k are an error.
+    """
+    if not 0 <= k <= MAX_DRAWN:
+        raise ValueError(f"an exact sample has 0 to {MAX_DRAWN} rows; sample_rows draws larger ones by hash")
+    numbered_rows = numbered(rows, order, "place").withColumn("place", F.col("place") - 1)
+    n = rows.count()
+    if n < k:
+        raise ValueError(f"{k} of {n} rows can't be drawn without replacement")
+    drawn = random.Random(seed).sample(range(n), k)
+    spark = rows.sparkSession
+    table = pa.table({"place": pa.array(drawn, pa.int64())})
+    indices = spark.createDataFrame(table) if k else spark.createDataFrame([], "place long")
+    if k <= MAX_BROADCAST:
+        indices = F.broadcast(indices)
+    return numbered_rows.join(indices, "place", "left_semi").orderBy("place")
+
+
 def shuffled(rows: DataFrame, seed: int, key: list[str], batch: int | None = None) -> DataFrame:
     """Rows with ``place``, their order under a keyed hash within a hash range; a distributed shuffle.
 

@@ -43,57 +43,183 @@ def waived_candidates(actions: DataFrame, events: DataFrame, by: list[str]) -> D
 
 
 Edges = dict[str, list[tuple[int, int]]]
-
-
-def _most_free(edges: Edges) -> int:
-    """Size of a largest match without order, by augmenting paths (edges times actions steps)."""
-    owner: dict[int, str] = {}
-    owned: dict[str, int] = {}
-
-    def place(action: str) -> bool:
+Match = dict[str, tuple[int, int]]
+
+
+def parts(edges: Edges, order: list[tuple[str, str]]) -> list[list[str]]:
+    """Connected components of actions: those that want an event in common, or that an order ties."""
+    top = {a: a for a in edges}
+
+    def root(a: str) -> str:
+        while top[a] != a:
+            top[a] = top[top[a]]
+            a = top[a]
+        return a
+
+    first: dict[int, str] = {}
+    ties = [(first.setdefault(event, a), a) for a in edges for event, _ in edges[a]] + [p for p in order if p[0] in edges and p[1] in edges]
+    for a, b in ties:
+        top[root(a)] = root(b)
+    found: dict[str, list[str]] = {}
+    for a in edges:
+        found.setdefault(root(a), []).append(a)
+    return list(found.values())
+
+
+class Matching:
+    """A largest match of actions and events without order, kept the largest while actions are held to events."""
+
+    def __init__(self, edges: Edges):
+        self.edges, self.owner, self.owned, self.held = edges, {}, {}, set()
+        # layers of alternating paths first, which finds many short ones at a time
+        while self._phase():
+            pass
+
+    def _phase(self) -> bool:
+        layer = {a: 0 for a in self.edges if a not in self.owned}
+        wave, ends = list(layer), False
+        while wave and not ends:
+            following = []
+            for a in wave:
+                for event, _ in self.edges[a]:
+                    b = self.owner.get(event)
+                    if b is None:
+                        ends = True
+                    elif b not in layer:
+                        layer[b] = layer[a] + 1
+                        following.append(b)
+            wave = following
+        return ends and any([self.grow(a, layer) for a in self.edges if a not in self.owned])
+
+    def grow(self, action: str, layer: dict[str, int] | None = None) -> bool:
+        """One more action matched, by an alternating path (down the layers, if given) that leaves held actions alone."""
         came: dict[int, str] = {}
         todo = [action]
         while todo:
             here = todo.pop()
-            for event, _ in edges[here]:
-                if event in came:
+            for event, _ in self.edges[here]:
+                other = self.owner.get(event)
+                if event in came or other in self.held or (layer is not None and other is not None and layer.get(other) != layer[here] + 1):
                     continue
                 came[event] = here
-                if event in owner:
-                    todo.append(owner[event])
+                if other is not None:
+                    todo.append(other)
                     continue
                 at: int | None = event
                 while at is not None:  # every event on the way back goes to the action that came for it
                     taker = came[at]
-                    owner[at], owned[taker], at = taker, at, owned.get(taker)
+                    self.owner[at], self.owned[taker], at = taker, at, self.owned.get(taker)
                 return True
         return False
 
-    return sum(place(action) for action in edges)
+    def hold(self, action: str, event: int) -> bool:
+        """Holds ``action`` to ``event`` if a largest match can."""
+        before, other = self.owned.get(action), self.owner.get(event)
+        if before != event:
+            if other in self.held:
+                return False
+            if before is not None:
+                del self.owner[before]
+            self.owner[event], self.owned[action] = action, event
+            self.held.add(action)
+            if other is not None:
+                del self.owned[other]
+                if not self.grow(other) and before is not None:
+                    self.owner[event], self.owned[other] = other, event
+                    self.owner[before], self.owned[action] = action, before
+                    self.held.discard(action)
+                    return False
+        self.held.add(action)
+        return True
+
+
+def _free(edges: Edges) -> Match:
+    """The match of a component without order."""
+    match, out = Matching(edges), {}
+    for action in sorted(edges, key=lambda a: len(edges[a])):
+        for event in edges[action]:
+            if match.hold(action, event[0]):
+                out[action] = event
+                break
+    return out
+
 
+def _search(edges: Edges, order: list[tuple[str, str]], size: int = 0, must: set[str] | frozenset = frozenset()) -> Match:
+    """A largest match under order, of ``size`` at least and with all of ``must`` if there is one: the actions that order ties by search, the others as they can.
 
-def _most_ordered(edges: Edges, order: list[tuple[str, str]], forced: set[str]) -> int:
-    """Size of a largest match under order that has all forced actions; -1 if there is none.
+    Those of ``must`` have one event, which no other wants.
 
-    Events are taken turn by turn; a state is the set of actions matched in earlier turns and in
-    this one. With a actions and e events there are at most 3**a states and e * a steps for each,
-    whatever the number of matches.
+    A branch is left when a match without order of what remains could not make it larger than the
+    best; events of one turn that the same actions want are tried once.
     """
-    names = list(edges)
-    bit = {a: 1 << k for k, a in enumerate(names)}
-    needs = [sum(bit.get(b, 0) for b, x in order if x == a) for a in names]
-    never = [any(b not in bit for b, x in order if x == a) for a in names]
-    takers: dict[tuple[int, int], list[int]] = {}
-    for k, a in enumerate(names):
-        for event, turn in edges[a]:
-            takers.setdefault((turn, event), []).append(k)
-    states, at = {(0, 0)}, None
-    for (turn, _), actions in sorted(takers.items()):
-        if turn != at:
-            states, at = {(earlier | now, 0) for earlier, now in states}, turn
-        states |= {(earlier, now | 1 << k) for earlier, now in states for k in actions if not (earlier | now) >> k & 1 and needs[k] & ~earlier == 0 and not never[k]}
-    must = sum(bit[a] for a in forced)
-    return max(((earlier | now).bit_count() for earlier, now in states if (earlier | now) & must == must), default=-1)
+    tied = {a for p in order for a in p}
+    before = {a: [b for b, x in order if x == a] for a in edges}
+    queue, ready = [], set()
+    while more := [a for a in edges if a in tied and a not in ready and all(b in ready for b in before[a])]:
+        queue += more
+        ready |= set(more)  # actions on a circle, or after one without events, are never ready
+    wants: dict[int, set[str]] = {}
+    for a in edges:
+        for event, _ in edges[a]:
+            wants.setdefault(event, set()).add(a)
+    best: Match = {}
+    most = size - 1
+
+    def rest(chosen: Match, names: list[str]) -> Matching:
+        taken = {event for event, _ in chosen.values()}
+        return Matching({a: [e for e in edges[a] if e[0] not in taken] for a in names})
+
+    others = [a for a in edges if a not in tied]
+
+    def go(k: int, chosen: Match) -> None:
+        nonlocal best, most
+        bound = rest(chosen, others + queue[k:])
+        if len(chosen) + len(bound.owned) <= most:
+            return
+        if k == len(queue):
+            if not must <= chosen.keys() | bound.owned.keys():
+                return
+            turns = {a: dict(edges[a]) for a in bound.owned}
+            best, most = chosen | {a: (event, turns[a][event]) for a, event in bound.owned.items()}, len(chosen) + len(bound.owned)
+            return
+        action, tried = queue[k], set()
+        if all(b in chosen for b in before[action]):
+            taken = {event for event, _ in chosen.values()}
+            for event, turn in edges[action]:
+                kind = (turn, frozenset(wants[event]))
+                if event not in taken and kind not in tried and all(chosen[b][1] < turn for b in before[action]):
+                    tried.add(kind)
+                    go(k + 1, chosen | {action: (event, turn)})
+        if action not in must:
+            go(k + 1, chosen)
+
+    go(0, {})
+    return best
+
+
+def _ordered(edges: Edges, order: list[tuple[str, str]]) -> Match:
+    """The match of a component with order: of the largest, the one that ``largest_match`` names."""
+    witness = _search(edges, order)
+    size, settled, skipped = len(witness), {}, set()
+    for action in sorted(edges, key=lambda a: len(edges[a])):
+        taken = {event for event, _ in settled.values()}
+        for event in edges[action]:
+            if witness.get(action) == event:
+                break
+            if event[0] in taken:
+                continue
+            held = settled | {action: event}
+            used = taken | {event[0]}
+            tried = {a: [held[a]] if a in held else [] if a in skipped else [e for e in edges[a] if e[0] not in used] for a in edges}
+            found = _search(tried, order, size, set(held))
+            if len(found) == size:
+                witness = found
+                break
+        if action in witness:
+            settled[action] = witness[action]
+        else:
+            skipped.add(action)
+    return witness
 
 
 def largest_match(edges: Edges, order: Iterable[tuple[str, str]] = ()) -> dict[str, int]:
@@ -101,33 +227,17 @@ def largest_match(edges: Edges, order: Iterable[tuple[str, str]] = ()) -> dict[s
 
     A dependent action counts only if its predecessor is matched in an earlier turn. Of the largest
     matches it is the one that gives the actions of fewest events first, and those given before
-    them, the earliest events they can have.
+    them, the earliest events they can have. Components, in which no action wants an event of
+    another or is tied to it, are matched apart; only those with an order need a search.
     """
     order = list(order)
-    actions = sorted(edges, key=lambda a: len(edges[a]))
-    chosen: dict[str, tuple[int, int]] = {}
-    skipped: set[str] = set()
-
-    def most() -> int:
-        """The size of a largest match that has what is chosen and lacks what is skipped."""
-        taken = {event for event, _ in chosen.values()}
-        rest = {a: [e for e in edges[a] if e[0] not in taken] for a in actions if a not in chosen and a not in skipped}
-        if not order:
-            return len(chosen) + _most_free(rest)
-        return _most_ordered({a: [chosen[a]] for a in chosen} | rest, order, set(chosen))
-
-    size = most()
-    for action in actions:
-        for event in edges[action]:
-            if event[0] in {e for e, _ in chosen.values()}:
-                continue
-            chosen[action] = event
-            if most() == size:
-                break
-            del chosen[action]
-        else:
-            skipped.add(action)
-    return {a: e for a, (e, _) in chosen.items()}
+    out: Match = {}
+    for names in parts(edges, order):
+        own = {a: edges[a] for a in names}
+        # a pair whose first action has no event at all stands: the second one can't be matched
+        pairs = [p for p in order if p[1] in own]
+        out |= _ordered(own, pairs) if pairs else _free(own)
+    return {a: out[a][0] for a in edges if a in out}
 
 
 def match_actions(edges: DataFrame, by: str = "trajectory_id", dependencies: list[tuple[str, str]] | DataFrame | None = None, task: str = "task_id") -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rollmill.operators import concurrency, failures, scans, subgoals
+from rollmill.operators import concurrency, curation, failures, matching, scans, subgoals
 from rollmill.plans import bridges as b
 from rollmill.plans.catalogue import longs, query, r6
 from rollmill.sources.shared import shared_path
@@ -215,3 +215,33 @@ def capped_refill(spark, sf_dir):
     starts = F.create_map(*(F.lit(x) for pair in first.items() for x in pair))
     handed = run.read("batches").withColumn("number", ((starts[F.col("policy_version").cast("int")] + F.col("arrived")) % n))
     return handed.join(tasks, "number").select("policy_version", "uid", "task_id")
+
+
+# Matching under an order
+
+
+@query(
+    b.with_(b.TOOL_EVENTS)
+    + """, t AS MATERIALIZED (SELECT trajectory_id, name, sequence // 2 AS turn FROM b_tool_events WHERE success),
+v AS (SELECT trajectory_id, min(turn) AS viewed FROM t WHERE name = 'view' GROUP BY 1),
+c AS (SELECT t.trajectory_id, viewed, min(turn) AS clicked FROM t JOIN v USING (trajectory_id) WHERE name = 'click' AND turn > viewed GROUP BY ALL),
+p AS (SELECT t.trajectory_id, min(turn) AS bought FROM t JOIN c USING (trajectory_id) WHERE name = 'purchase' AND turn > clicked GROUP BY 1)
+SELECT trajectory_id, 'view' AS action_id FROM v UNION ALL SELECT trajectory_id, 'click' FROM c UNION ALL SELECT trajectory_id, 'purchase' FROM p
+UNION ALL SELECT trajectory_id, unnest(['first', 'second'][1:least(2, count(*))]) FROM t WHERE name = 'signup' GROUP BY trajectory_id"""
+)
+def ordered_matching(spark, sf_dir):
+    """Which of five required actions each user did: a view, a click in a later turn, a purchase in a later one still, and two signups at any time."""
+    rows = b.tool_events(spark, sf_dir).withColumn("turn_id", F.floor(F.col("sequence") / 2)).withColumn("args_key", F.lit(""))
+    wanted = spark.createDataFrame([("view", "view"), ("click", "click"), ("purchase", "purchase"), ("first", "signup"), ("second", "signup")], "action_id string, name string").withColumn("args_key", F.lit(""))
+    edges = matching.candidates(wanted, rows, ["trajectory_id"])
+    return matching.match_actions(edges, dependencies=[("view", "click"), ("click", "purchase")]).select("trajectory_id", "action_id")
+
+
+# Exact samples
+
+
+@query()
+def seeded_sample(spark, sf_dir):
+    """As many documents as there are labels, by Python's own sampling; its generator is no SQL, so tests hold it against Python."""
+    docs, labels = b.table(spark, sf_dir, "documents"), b.table(spark, sf_dir, "labels")
+    return curation.seeded_sample(docs.select("doc_id", "source"), min(labels.count(), docs.count()), 42, ["doc_id"]).select("place", "doc_id", "source")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rollmill import schemas
 from rollmill.operators.common import checked
+from rollmill.sources.archives import reachable, read_tar, unsafe
 
 
 def trajectories(spark: SparkSession, folder: str, on_error: str = "raise") -> DataFrame:
@@ -75,19 +76,17 @@ RUN_MARK = "base_model_identity.json"
 RUN_FILES = r"^(base_model_identity\.json|rl_resume_identity\.json|ppo_audit/step_1\.json|(launches|group_audits|trajectories)/[^/]+\.json)$"
 
 
-def unsafe(path: str) -> bool:
-    """Whether a member's name could lead out of its folder."""
-    return path.startswith("/") or "\\" in path or ".." in path.split("/")
-
-
 def bundle(spark: SparkSession, source: str, limit: int = 32 << 20, run: bool = False) -> DataFrame:
     """path and text of the JSON members of a folder, or of a tar archive; unsafe paths, links and members over the limit fail.
 
     run: a saved run. Exactly one folder must hold RUN_MARK; paths are those below it, and only the
-    files of a run are given, each once. An archive is one stream without an index, so one task
-    reads it, member by member.
+    files of a run are given, each once. A plain archive is read by as many tasks as its members
+    need (see ``archives``). A compressed one, or one in a store that only Spark opens, is one
+    stream without an index, so one task reads it, member by member.
     """
-    if source.endswith((".tar", ".tar.gz", ".tgz")):
+    if source.endswith(".tar") and reachable(source):
+        files = read_tar(spark, source, limit)
+    elif source.endswith((".tar", ".tar.gz", ".tgz")):
 
         def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import io

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,34 +173,51 @@ def test_reward_modes(spark):
 
 
 def brute_match(edges, order):
-    best = 0
-    actions = list(edges)
+    """The best of all matches: the largest, then that of the actions of fewest events first, by their earliest events."""
+    actions = sorted(edges, key=lambda a: len(edges[a]))
+    best = (1, [], {})
 
-    def go(k, chosen, used):
+    def go(k, chosen, used, places):
         nonlocal best
         if k == len(actions):
             turn = {a: t for a, (e, t) in chosen.items()}
             if all(after not in turn or (before in turn and turn[before] < turn[after]) for before, after in order):
-                best = max(best, len(chosen))
+                best = min(best, (-len(chosen), places, {a: e for a, (e, _) in chosen.items()}), key=lambda x: x[:2])
             return
-        go(k + 1, chosen, used)
-        for e, t in edges[actions[k]]:
+        go(k + 1, chosen, used, [*places, 99])
+        for place, (e, t) in enumerate(edges[actions[k]]):
             if e not in used:
-                go(k + 1, chosen | {actions[k]: (e, t)}, used | {e})
+                go(k + 1, chosen | {actions[k]: (e, t)}, used | {e}, [*places, place])
 
-    go(0, {}, set())
-    return best
+    go(0, {}, set(), [])
+    return best[2]
 
 
-@pytest.mark.parametrize("seed", range(30))
+@pytest.mark.parametrize("seed", range(150))
 def test_largest_match(seed):
     rng = random.Random(seed)
-    turns = [rng.randrange(4) for _ in range(5)]
-    edges = {a: [(e, turns[e]) for e in range(5) if rng.random() < 0.5] for a in "pqrs"}
-    order = [("p", "q"), ("q", "r")][: rng.randrange(3)]
-    got = matching.largest_match(edges, order)
-    assert len(set(got.values())) == len(got) == brute_match(edges, order)
-    assert all(e in [x for x, _ in edges[a]] for a, e in got.items())
+    n = rng.randrange(3, 7)
+    turns = [rng.randrange(4) for _ in range(n)]
+    edges = {a: [(e, turns[e]) for e in range(n) if rng.random() < rng.choice([0.2, 0.5])] for a in "pqrstu"[: rng.randrange(2, 7)]}
+    order = [("p", "q"), ("q", "r"), ("s", "q"), ("r", "p"), ("z", "t")]
+    order = rng.sample(order, rng.randrange(4))
+    assert matching.largest_match(edges, order) == brute_match(edges, order)
+
+
+def test_forty_actions_with_an_order_of_five():
+    """Each component by itself; also where all actions want all events, and where the order's actions share theirs with others."""
+    spread = {f"a{k}": [(e, e // 4) for e in range(k, 200, 40)] for k in range(40)}
+    crowded = {f"a{k}": [(e, e // 4) for e in range(60)] for k in range(40)}
+    mixed = {f"a{k}": [(e, e // 4) for e in (range(12) if k < 9 else range(12 + k, 80, 9))] for k in range(40)}
+    order = [(f"a{k}", f"a{k + 1}") for k in range(4)]
+    for edges in (spread, crowded, mixed):
+        began = time.perf_counter()
+        got = matching.largest_match(edges, order)
+        took = time.perf_counter() - began
+        free = matching.largest_match(edges)
+        assert len(got) == 40 if edges is not mixed else len(got) >= len(free) - 4
+        assert all(got[x] // 4 < got[y] // 4 for x, y in order if y in got)
+        assert took < (0.1 if edges is spread else 2.0), took
 
 
 def test_match_in_a_plan(spark):

@@ -251,3 +251,50 @@ def test_credit_rules(spark):
     df = spark.createDataFrame([row, ("u", 1, "s", [0.5, 0.5], [1], [0.0], 0.5)], "uid string, session int, trajectory_id string, phi array<double>, response_turn_ids array<int>, turn_costs array<double>, multiplier double")
     got = checked(df, schemas.credit_rules(), "flag").orderBy("session").collect()
     assert [list(r.violations) for r in got] == [[], ["phi_start", "mapping", "multiplier"]]
+
+
+def test_archives_by_offset(spark, tmp_path):
+    """Members of an archive in several tasks, long names and empty ones among them; unsafe ones are refused before any is read."""
+    import io
+    import tarfile
+
+    from rollmill.sources import archives
+
+    def pack(name, members):
+        with tarfile.open(tmp_path / name, "w") as tar:
+            for path, raw in members:
+                item = tarfile.TarInfo(path)
+                item.size = len(raw)
+                tar.addfile(item, io.BytesIO(raw))
+        return str(tmp_path / name)
+
+    members = [(f"run/{'deep/' * (k % 40)}{k}.json", (f'{{"é": {k}}}' * (k % 50)).encode()) for k in range(300)] + [("run/other.txt", b"no")]
+    source = pack("many.tar", members)
+    frame = archives.read_tar(spark, source, 1 << 20, task_bytes=4096)
+    assert frame.rdd.getNumPartitions() > 10
+    assert sorted(map(tuple, frame.collect())) == sorted((p, r.decode()) for p, r in members if p.endswith(".json"))
+    assert sorted(map(tuple, readers.bundle(spark, source).collect())) == sorted(map(tuple, frame.collect()))
+    assert archives.read_tar(spark, pack("none.tar", []), 10).collect() == []
+    reader = archives.TarReader({"path": pack("bad.tar", [*members[:5], ("run/../../x.json", b"{}")]), "suffix": ".json"})
+    reader.read = None
+    with pytest.raises(ValueError, match="unsafe member"):
+        reader.partitions()
+    with pytest.raises(Exception, match="member too large"):
+        readers.bundle(spark, source, limit=100).count()
+    assert archives.reachable(source) and not archives.reachable("viewfs://store/in/x.tar") and not archives.reachable(str(tmp_path / "absent.tar"))
+
+
+def test_seeded_samples_are_exact(spark):
+    """The ids that Python's own sampling names, in their order, at sizes that take both of its ways."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from rollmill.operators import curation
+
+    for n, k, seed in ((1, 1, 0), (40, 7, 3), (1000, 20, 42), (1000, 990, 42), (3000, 5, -1), (10, 0, 1)):
+        rows = spark.range(n).select((F.col("id") * 3).alias("id"), F.lit("x").alias("place")).repartition(5)
+        got = [(r["id"], r["place"]) for r in curation.seeded_sample(rows, k, seed, ["id"]).collect()]
+        assert got == [(3 * i, i) for i in sorted(random.Random(seed).sample(range(n), k))]
+    with pytest.raises(ValueError, match="without replacement"):
+        curation.seeded_sample(spark.range(3), 4, 1, ["id"])
