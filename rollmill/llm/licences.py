@@ -121,10 +121,37 @@ def canonical_sql(text: str) -> str:
     return out
 
 
-def scan_sql() -> str:
-    values = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in licence_texts.TEXTS.items())
+def bare_sql(text: str) -> str:
+    """A text without its head, as DuckDB SQL. Its expressions have no looking ahead and no possessive steps, so a title takes the end of its line with it, which makes no difference once punctuation and white space are one space."""
+    head = HEAD.replace("*+", "*").replace("++", "+").replace(r"(?=[\r\n]|$)", r"(?:[\r\n]|$)").replace(r"[\s#", r"[\s\x0B#")
+    return f"regexp_replace({text}, {_quoted(head)}, '')"
+
+
+def _scan_sql(known: str) -> str:
+    """The scan for the digests (digest, licence_id) of a query."""
     return (
-        f"WITH known AS (SELECT sha256({canonical_sql('t')}) AS canonical_sha256, min(licence_id) AS licence_id FROM (VALUES {values}) AS k(licence_id, t) GROUP BY 1), "
-        f"scanned AS (SELECT doc_id, sha256({canonical_sql('text')}) AS canonical_sha256 FROM documents) "
-        "SELECT doc_id, scanned.canonical_sha256, licence_id FROM scanned LEFT JOIN known ON scanned.canonical_sha256 = known.canonical_sha256"
+        f"WITH known AS (SELECT digest AS known_digest, min(licence_id) AS licence_id FROM ({known}) WHERE digest <> sha256('') GROUP BY 1), "
+        f"scanned AS (SELECT doc_id, sha256({canonical_sql('text')}) AS canonical_sha256, sha256({canonical_sql(bare_sql('text'))}) AS digest FROM documents) "
+        "SELECT doc_id, canonical_sha256, licence_id FROM scanned LEFT JOIN known ON digest = known_digest"
     )
+
+
+def scan_sql() -> str:
+    texts = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in licence_texts.TEXTS.items())
+    digests = ", ".join(f"({_quoted(d)}, {_quoted(k)})" for k, ds in licence_texts.DIGESTS.items() for d in ds)
+    return _scan_sql(f"SELECT sha256({canonical_sql(bare_sql('t'))}) AS digest, licence_id FROM (VALUES {texts}) AS k(licence_id, t) UNION ALL SELECT * FROM (VALUES {digests}) AS d(digest, licence_id)")
+
+
+#: What a disguise puts before a text.
+DISGUISE = "The MIT License (MIT)\n\n# Copyright (c) 2020 Somebody\n"
+
+
+def disguised(docs: DataFrame) -> DataFrame:
+    """Every twentieth document by its id, in capitals, with another quote and a licence's head, as a set of licences named by id."""
+    text = F.concat(F.lit(DISGUISE), F.translate("text", LOWER + '"', UPPER + "“"))
+    return docs.where("doc_id % 20 = 0").select(F.col("doc_id").cast("string").alias("licence_id"), text.alias("text"))
+
+
+def disguised_sql() -> str:
+    text = f"{_quoted(DISGUISE)} || translate(text, {_quoted(LOWER + chr(34))}, {_quoted(UPPER + '“')})"
+    return _scan_sql(f"SELECT sha256({canonical_sql(bare_sql(text))}) AS digest, doc_id::VARCHAR AS licence_id FROM documents WHERE doc_id % 20 = 0")

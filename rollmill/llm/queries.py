@@ -53,6 +53,14 @@ def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents"))
 
 
+def licence_disguises(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan for a known set that hits: documents in disguise, against all."""
+    from rollmill.llm.licences import disguised, scan_licences
+
+    docs = table(spark, sf_dir, "documents")
+    return scan_licences(docs, disguised(docs))
+
+
 def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rollmill.llm.linecrf import classify, train
 
@@ -115,11 +123,12 @@ def queries() -> dict[str, Query]:
         "op11_alignment": op11_alignment,
         "op12_prefix_trie": op12_prefix_trie,
         "op13_suffix_dedup": op13_suffix_dedup,
+        "licence_disguises": licence_disguises,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from rollmill.llm.licences import scan_sql
+    from rollmill.llm.licences import disguised_sql, scan_sql
     from rollmill.llm.oracles import bytes_sql, jaccard_sql, mixing_sql, sharding_sql, substring_sql, trie_sql
 
-    return {"op1_sharding": sharding_sql(), "op2_jaccard_join": jaccard_sql(), "op3_mixing": mixing_sql(), "op5_substring_dedup": substring_sql(), "op6_licences": scan_sql(), "op12_prefix_trie": trie_sql(), "op13_suffix_dedup": bytes_sql()}
+    return {"op1_sharding": sharding_sql(), "op2_jaccard_join": jaccard_sql(), "op3_mixing": mixing_sql(), "op5_substring_dedup": substring_sql(), "op6_licences": scan_sql(), "op12_prefix_trie": trie_sql(), "op13_suffix_dedup": bytes_sql(), "licence_disguises": disguised_sql()}

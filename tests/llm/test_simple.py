@@ -180,11 +180,18 @@ def test_licence_sql_agrees(spark, make, odd, tmp_path):
     import duckdb
 
     rows = [(i, r[1]) for i, r in enumerate(odd)] + [(50, licence_texts.TEXTS["Zlib"]), (51, "Licence © 2020 — “Organisation”\n(c) 1999 me\nend")]
+    heads = ["MIT License\n\nCopyright (c) 2020 X\n\n", "The MIT License (MIT)\r\nCopyright The Authors\r\n\r\n", "# The MIT License\n\nCopyright by X\n", "MIT License applies here\n", "\x0b\n/* Copyright 2020 */\n"]
+    rows += [(60 + i, h + licence_texts.TEXTS["MIT"]) for i, h in enumerate(heads)] + [(70, "Copyright 2020 X\n" * 3), (80, "Plain “text”, 12\n"), (81, "the mit licence\nPLAIN text 12")]
     make(rows).write.parquet(str(tmp_path / "d"))
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{tmp_path}/d/*.parquet'")
     want = sorted(con.sql(licences.scan_sql()).fetchall(), key=repr)
-    assert sorted(map(tuple, licences.scan_licences(spark.read.parquet(str(tmp_path / "d"))).collect()), key=repr) == want
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    assert sorted(map(tuple, licences.scan_licences(docs).collect()), key=repr) == want
+    assert [r[2] for r in want if 60 <= (r[0] or 0) < 70].count("MIT") == 4
+    want = sorted(con.sql(licences.disguised_sql()).fetchall(), key=repr)
+    assert sorted(map(tuple, licences.scan_licences(docs, licences.disguised(docs)).collect()), key=repr) == want
+    assert {r[0]: r[2] for r in want}[81] == "80"
 
 
 def test_token_files_round_trip(spark, make, odd, tmp_path):
