@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -39,38 +39,62 @@ def residual(rows: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
     return rows.join(manifest.select(key).distinct(), key, "left_semi")
 
 
-#: Words of the runs that passages are found by, and passages that one scan compares with all documents.
-RUN_WORDS, FEW = 4, 64
+#: Words of the runs that passages are found by, passages that one scan compares with all documents, hashes (8 bytes each) and bytes of likely pairs that are broadcast.
+RUN_WORDS, FEW, MAX_HASHES, MAX_PAIR_BYTES = 4, 64, 1 << 21, 32 << 20
+
+
+def _bounded(rows: DataFrame, n: int) -> DataFrame:
+    """``rows``, of which there are ``n``, to be broadcast if that is few; else the optimiser chooses."""
+    return F.broadcast(rows) if n <= MAX_HASHES else rows
+
+
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(text, r"\s+"), "")
+
+
+def _runs(words: Column, n: int) -> Column:
+    """Hashes of the distinct runs of ``n`` words; null for fewer words."""
+    hashed = lambda i: F.xxhash64(F.lit(n), *[F.get(words, i + k) for k in range(n)])
+    return F.when(F.size(words) >= n, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(words) - n), hashed)))
+
+
+def postings(docs: DataFrame, wanted: DataFrame, n_wanted: int, key: str, words: Callable[[Column], Column], lengths: list[int], text: str = "text") -> DataFrame:
+    """key, __h: which of the ``wanted`` hashes (__h, of which there are ``n_wanted``) each document has, by one scan of the documents.
+
+    Wanted hashes of a bounded number go to the documents, so that only what is found is exchanged.
+    """
+    # the words are bound once, as the variable of an outer lambda, and not cut again for each run
+    each = lambda a: F.concat(*(F.coalesce(_runs(a, n), F.array().cast("array<bigint>")) for n in lengths))
+    held = docs.select(key, F.explode(F.flatten(F.transform(F.array(words(F.col(text))), each))).alias("__h"))
+    return checkpointed(held.join(_bounded(wanted.select("__h").distinct(), n_wanted), "__h", "left_semi"))
 
 
 def leaking(docs: DataFrame, benchmark: DataFrame, key: str, text: str = "text", item_text: str = "text", words: int = RUN_WORDS) -> DataFrame:
     """Keys of documents that contain a passage verbatim.
 
     A passage is found by one of its runs of ``words`` whole words (all but its first and last word
-    are whole in any document that shows it), the one that the fewest documents hold; an equi-join
-    on the run gives candidates, and ``contains`` decides. Shorter passages have shorter runs, one
-    join for each length. Passages without a whole word of their own have to be looked for at every
-    place; they are compared with all documents, FEW of them in a scan's one condition.
+    are whole in any document that shows it), the one that the fewest documents hold; ``contains``
+    decides. Shorter passages have shorter runs. One scan finds the runs of all lengths, a second one
+    reads the texts of likely documents. Passages without a whole word of their own have to be looked
+    for at every place; they are compared with all documents, FEW of them in a scan's one condition.
     """
-    cut = lambda c: F.array_remove(F.split(c, r"\s+"), "")
-    hashed = lambda a, i, n: F.xxhash64(F.lit(n), *[F.get(a, i + k) for k in range(n)])
-    runs = lambda a, n: F.when(F.size(a) >= n, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(a) - n), lambda i: hashed(a, i, n))))
     items = benchmark.select(F.col(item_text).alias("__p")).where(F.length("__p") > 0).distinct()
-    inner = items.withColumn("__w", cut(F.col("__p"))).withColumn("__w", F.slice("__w", F.lit(2), F.greatest(F.size("__w") - 2, F.lit(0)))).withColumn("__n", F.least(F.size("__w"), F.lit(words)))
-    inner = checkpointed(inner)
-    found = None
-    for n in sorted(r["__n"] for r in inner.select("__n").distinct().collect() if r["__n"]):
-        mine = inner.where(F.col("__n") == n).select("__p", F.explode(runs(F.col("__w"), n)).alias("__h"))
-        # the words are bound once, as the variable of an outer lambda, and not cut again for each run
-        held = docs.select(key, F.explode(F.flatten(F.transform(F.array(cut(F.col(text))), lambda a: runs(a, n)))).alias("__h"))
-        held = checkpointed(held.join(mine.select("__h").distinct(), "__h", "left_semi"))
-        rarity = mine.join(held.groupBy("__h").agg(F.count(F.lit(1)).alias("__c")), "__h", "left")
+    inner = items.withColumn("__w", _words(F.col("__p"))).withColumn("__w", F.slice("__w", F.lit(2), F.greatest(F.size("__w") - 2, F.lit(0)))).withColumn("__n", F.least(F.size("__w"), F.lit(words)))
+    own = F.coalesce(*(F.when(F.col("__n") == n, _runs(F.col("__w"), n)) for n in range(1, words + 1)))
+    mine = checkpointed(inner.select("__p", "__n", F.explode_outer(own).alias("__h")))
+    sizes = {r["__n"]: r["n"] for r in mine.groupBy("__n").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each length
+    few, found = sizes.pop(0, 0), None
+    if sizes:
+        runs = mine.where("__n > 0")
+        held = postings(docs, runs, sum(sizes.values()), key, _words, sorted(sizes), text)
+        counts = held.groupBy("__h").agg(F.count(F.lit(1)).alias("__c"))
         # a run that no document holds says that none holds the passage
-        best = rarity.groupBy("__p").agg(F.min_by("__h", F.coalesce("__c", F.lit(0))).alias("__h"), F.min(F.coalesce("__c", F.lit(0))).alias("__c")).where("__c > 0")
-        likely = held.join(best, "__h").select(key, "__p").distinct()
-        hits = docs.select(key, text).join(likely, key).where(F.contains(F.col(text), F.col("__p"))).select(key)
-        found = hits if found is None else found.union(hits)
-    rest = [r["__p"] for r in inner.where("__n = 0").select("__p").toLocalIterator()]  # texts of two words at most
+        best = runs.join(counts, "__h", "left").groupBy("__p").agg(F.min_by("__h", F.coalesce("__c", F.lit(0))).alias("__h"), F.min(F.coalesce("__c", F.lit(0))).alias("__c")).where("__c > 0")
+        likely = checkpointed(held.join(best, "__h").select(key, "__p").distinct())
+        # the texts stay where they are as long as the pairs can go to them
+        size = likely.agg(F.coalesce(F.sum(F.octet_length("__p") + 32), F.lit(0))).first()[0]
+        found = docs.select(key, text).join(F.broadcast(likely) if size <= MAX_PAIR_BYTES else likely, key).where(F.contains(F.col(text), F.col("__p"))).select(key)
+    rest = [r["__p"] for r in mine.where("__n = 0").select("__p").toLocalIterator()] if few else []  # texts of two words at most
     for k in range(0, len(rest), FEW):
         some = reduce(lambda a, b: a | b, [F.contains(F.col(text), F.lit(p)) for p in rest[k : k + FEW]])
         hits = docs.where(some).select(key)
@@ -78,6 +102,62 @@ def leaking(docs: DataFrame, benchmark: DataFrame, key: str, text: str = "text",
     return docs.select(key).limit(0) if found is None else found.distinct()
 
 
+#: What a template leaves open: dates, times, numbers with their units or signs, codes of letters and digits, addresses (fixed order, first match first).
+SLOT = r"(?i)\d{4}-\d\d-\d\d(?:t\d\d:\d\d(?::\d\d)?)?|\d{1,2}:\d\d(?::\d\d)?|[\w.+-]+@[\w-]+\.[\w.]+|\b(?=\w*\d)\w+(?:[.,]\d+)*\b"
+SLOT_MARK = "\u25a1"
+
+
+def skeleton(text: Column) -> Column:
+    """Words of a text in lower case, with what fills a template's slots as one mark, and without other punctuation."""
+    masked = F.regexp_replace(F.lower(text), SLOT, SLOT_MARK)
+    return F.array_remove(F.split(masked, rf"[^\p{{L}}\p{{M}}{SLOT_MARK}]+"), "")
+
+
+def template_leaks(docs: DataFrame, benchmark: DataFrame, key: str, item: str, share: float = 0.8, words: int = 3, text: str = "text", item_text: str = "text") -> DataFrame:
+    """key, item, n_common, n_runs: documents that hold at least ``share`` of the distinct runs of an item's skeleton, whatever fills its slots.
+
+    A containment join by prefix: a document with enough of an item's n runs holds one of its rarest
+    n - ceil(share * n) + 1, by the documents that hold each; only these make pairs, and runs that
+    half of the documents share make none unless an item has no rarer ones. The documents are read
+    once. Items of fewer words than a run have no skeleton.
+    """
+    runs = _runs(skeleton(F.col(item_text)), words)
+    items = checkpointed(benchmark.select(F.col(item).alias("__item"), F.explode(runs).alias("__h")))
+    held = postings(docs, items, items.count(), key, skeleton, [words], text)
+    counts = held.groupBy("__h").agg(F.count(F.lit(1)).alias("__c"))
+    n = W.partitionBy("__item")  # an item's own runs
+    ranked = items.join(counts, "__h", "left").withColumns({"__n": F.count(F.lit(1)).over(n), "__k": F.row_number().over(n.orderBy(F.coalesce("__c", F.lit(0)), "__h"))})
+    need = F.ceil(F.lit(share) * F.col("__n") - 1e-9)
+    prefix = ranked.where((F.col("__k") <= F.col("__n") - need + 1) & F.col("__c").isNotNull()).select("__h", "__item", "__n", need.alias("__need"))
+    pairs = checkpointed(held.join(prefix, "__h").select(key, "__item", "__n", "__need").distinct())
+    common = pairs.join(items, "__item").join(held, [key, "__h"]).groupBy(key, "__item", "__n", "__need").agg(F.count(F.lit(1)).alias("n_common"))
+    return common.where(F.col("n_common") >= F.col("__need")).select(key, F.col("__item").alias(item), "n_common", F.col("__n").alias("n_runs"))
+
+
+def value_leaks(docs: DataFrame, targets: DataFrame, key: str, item: str, values: str = "values", text: str = "text") -> DataFrame:
+    """key, item: documents in which all of an item's values (such as a flight and its day) stand as words.
+
+    targets: item and values, an array of one-word strings. An item is found by its rarest value.
+    """
+    plain = lambda c: F.split(F.lower(c), r"[^\p{L}\p{M}\p{N}._@-]+")
+    trimmed = lambda a: F.array_remove(F.transform(a, lambda w: F.regexp_replace(w, r"^[._@-]+|[._@-]+$", "")), "")
+    shaped = targets.select(F.col(item).alias("__item"), F.array_distinct(F.transform(values, F.lower)).alias("__v")).where(F.size("__v") > 0)
+    wanted = checkpointed(shaped.select("__item", F.size("__v").alias("__n"), F.explode("__v").alias("__w")).withColumn("__h", F.xxhash64(F.lit(1), "__w")))
+    held = postings(docs, wanted, wanted.count(), key, lambda c: trimmed(plain(c)), [1], text)
+    counts = held.groupBy("__h").agg(F.count(F.lit(1)).alias("__c"))
+    best = wanted.join(counts, "__h", "left").groupBy("__item").agg(F.min_by("__h", F.coalesce("__c", F.lit(0))).alias("__h"), F.min(F.coalesce("__c", F.lit(0))).alias("__c"), F.max("__n").alias("__n")).where("__c > 0")
+    pairs = held.join(best, "__h").select(key, "__item", "__n")
+    common = pairs.join(wanted.select("__item", "__h"), "__item").join(held, [key, "__h"]).groupBy(key, "__item", "__n").agg(F.count(F.lit(1)).alias("__m"))
+    return common.where(F.col("__m") == F.col("__n")).select(key, F.col("__item").alias(item))
+
+
+def leak_kinds(docs: DataFrame, benchmark: DataFrame, targets: DataFrame, key: str, item: str, share: float = 0.8) -> DataFrame:
+    """key, verbatim, values, template: which kinds of leak each leaking document has; documents without any are left out."""
+    kinds = {"verbatim": leaking(docs, benchmark, key), "values": value_leaks(docs, targets, key, item).select(key), "template": template_leaks(docs, benchmark, key, item, share).select(key)}
+    marked = [rows.distinct().select(key, *(F.lit(k == name).alias(k) for k in kinds)) for name, rows in kinds.items()]
+    return reduce(DataFrame.unionByName, marked).groupBy(key).agg(*(F.bool_or(k).alias(k) for k in kinds))
+
+
 def first_reason(rules: list[tuple[str, Column]]) -> Column:
     """The name of the first rule that holds, else null."""
     out = F.lit(None).cast("string")

@@ -245,3 +245,42 @@ def seeded_sample(spark, sf_dir):
     """As many documents as there are labels, by Python's own sampling; its generator is no SQL, so tests hold it against Python."""
     docs, labels = b.table(spark, sf_dir, "documents"), b.table(spark, sf_dir, "labels")
     return curation.seeded_sample(docs.select("doc_id", "source"), min(labels.count(), docs.count()), 42, ["doc_id"]).select("place", "doc_id", "source")
+
+
+# Kinds of leaks: verbatim passages, all numbers and codes of a passage, and a passage's wording whatever fills its slots. Targets are two words of a passage that stand for a flight and its day.
+
+_SKELETON = r"""list_filter(regexp_split_to_array(regexp_replace(lower({text}), '\d{{4}}-\d\d-\d\d(?:t\d\d:\d\d(?::\d\d)?)?|\d{{1,2}}:\d\d(?::\d\d)?|[0-9A-Za-z_.+-]+@[0-9A-Za-z_-]+\.[0-9A-Za-z_.]+|\b[0-9A-Za-z_]*\d[0-9A-Za-z_]*(?:[.,]\d+)*\b', '□', 'g'), '[^\p{{L}}\p{{M}}□]+'), lambda w: w <> '')"""
+
+
+@query(
+    f"""WITH doc AS MATERIALIZED (SELECT doc_id, {_SKELETON.format(text="text")} AS ws FROM documents), item AS MATERIALIZED (SELECT item_id, {_SKELETON.format(text="text")} AS ws FROM benchmark),
+held AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS r FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM doc WHERE len(ws) > 2)),
+runs AS MATERIALIZED (SELECT DISTINCT item_id, array_to_string(ws[i:i + 2], ' ') AS r FROM (SELECT item_id, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM item WHERE len(ws) > 2)),
+sizes AS (SELECT item_id, count(*) AS n FROM runs GROUP BY 1)
+SELECT doc_id, item_id, count(*) AS n_common, n AS n_runs FROM held JOIN runs USING (r) JOIN sizes USING (item_id) GROUP BY doc_id, item_id, n HAVING count(*) >= ceil(0.8::DOUBLE * n - 1e-9)"""
+)
+def template_leaks(spark, sf_dir):
+    """Documents that hold most of a benchmark item's wording, whatever fills its slots."""
+    return curation.template_leaks(b.table(spark, sf_dir, "documents"), b.table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+
+
+_PLAIN = r"list_transform(regexp_split_to_array(lower({text}), '[^\p{{L}}\p{{M}}\p{{N}}._@-]+'), lambda w: regexp_replace(w, '^[._@-]+|[._@-]+$', '', 'g'))"
+
+
+@query(
+    f"""WITH d AS MATERIALIZED (SELECT doc_id, text, {_PLAIN.format(text="text")} AS ws, {_SKELETON.format(text="text")} AS sk FROM documents),
+i AS MATERIALIZED (SELECT item_id, text, list_distinct(list_filter({_PLAIN.format(text="text")}, lambda w: length(w) > 11)[1:2]) AS vs, {_SKELETON.format(text="text")} AS sk FROM benchmark),
+verbatim AS (SELECT DISTINCT doc_id FROM d JOIN i ON i.text <> '' AND contains(d.text, i.text)),
+vals AS (SELECT DISTINCT doc_id FROM d JOIN i ON len(vs) > 0 AND list_has_all(ws, vs)),
+held AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(sk[k:k + 2], ' ') AS r FROM (SELECT doc_id, sk, unnest(generate_series(1, len(sk) - 2)) AS k FROM d WHERE len(sk) > 2)),
+runs AS MATERIALIZED (SELECT DISTINCT item_id, array_to_string(sk[k:k + 2], ' ') AS r FROM (SELECT item_id, sk, unnest(generate_series(1, len(sk) - 2)) AS k FROM i WHERE len(sk) > 2)),
+template AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, item_id FROM held JOIN runs USING (r) JOIN (SELECT item_id, count(*) AS n FROM runs GROUP BY 1) USING (item_id) GROUP BY doc_id, item_id, n HAVING count(*) >= ceil(0.8::DOUBLE * n - 1e-9))),
+u AS (SELECT doc_id, 'v' AS kind FROM verbatim UNION ALL SELECT doc_id, 'w' FROM vals UNION ALL SELECT doc_id, 't' FROM template)
+SELECT doc_id, bool_or(kind = 'v') AS verbatim, bool_or(kind = 'w') AS "values", bool_or(kind = 't') AS template FROM u GROUP BY doc_id"""
+)
+def leak_kinds(spark, sf_dir):
+    """Which kinds of leak each leaking document has."""
+    bench = b.table(spark, sf_dir, "benchmark")
+    words = F.transform(F.split(F.lower("text"), r"[^\p{L}\p{M}\p{N}._@-]+"), lambda w: F.regexp_replace(w, r"^[._@-]+|[._@-]+$", ""))
+    targets = bench.select("item_id", F.slice(F.filter(words, lambda w: F.length(w) > 11), 1, 2).alias("values"))
+    return curation.leak_kinds(b.table(spark, sf_dir, "documents"), bench, targets, "doc_id", "item_id")

@@ -371,3 +371,19 @@ def test_ranks_over_many_ranges(spark):
     r = profiling.nearest_rank(df, "x").first()
     assert (r.n, r.least, r.p50, r.p90, r.p99, r.greatest) == (700, known[0], known[349], known[629], known[692], known[-1])
     assert profiling.quantiles(df.limit(0), "x", (0.5,)) == {0.5: None} and profiling.nearest_rank(df.limit(0), "x").first().p50 is None
+
+
+def test_kinds_of_leaks(spark):
+    """Verbatim, by its values and by its wording; a run that every item and half of the documents share makes no pairs."""
+    common = "please note that our agents are happy to help you with this"
+    items = [(k, f"{common} my flight HAT{100 + k} on 2024-05-{10 + k} goes from {c} to {d} and i want seat {k}a near the {w} with {k + 1} bags") for k, (c, d, w) in enumerate([("rome", "oslo", "window"), ("paris", "bern", "aisle"), ("lima", "cairo", "exit")])]
+    bench = spark.createDataFrame([*items, (7, "two words"), (8, None)], "item_id int, text string")
+    targets = spark.createDataFrame([(k, [f"HAT{100 + k}", f"2024-05-{10 + k}"]) for k in range(3)] + [(9, [])], "item_id int, values array<string>")
+    other = items[0][1].replace("HAT100", "XX9").replace("2024-05-10", "2023-01-01").replace("0a", "14F").replace("1 bags", "3 bags")
+    docs = [(0, f"so: {items[1][1]} end"), (1, "I took hat101, (2024-05-11)."), (2, other.upper()), (3, common), (4, f"{common} only HAT102"), (5, None), (6, "")] + [(10 + k, f"{common} x{k}") for k in range(40)]
+    frame = spark.createDataFrame(docs, "doc_id int, text string")
+    got = {r["doc_id"]: (r["verbatim"], r["values"], r["template"]) for r in curation.leak_kinds(frame, bench, targets, "doc_id", "item_id").collect()}
+    assert got == {0: (True, True, True), 1: (False, True, False), 2: (False, False, True)}
+    runs = {k: {tuple(w[i : i + 3]) for i in range(len(w) - 2)} for k, w in ((k, spark.range(1).select(curation.skeleton(F.lit(t))).first()[0]) for k, t in items)}
+    assert {(r["doc_id"], r["item_id"], r["n_common"], r["n_runs"]) for r in curation.template_leaks(frame, bench, "doc_id", "item_id").collect()} == {(0, 1, len(runs[1]), len(runs[1])), (2, 0, len(runs[0]), len(runs[0]))}
+    assert curation.leak_kinds(frame.limit(0), bench, targets, "doc_id", "item_id").collect() == []
