@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from rollmill.operators import prompts
 from rollmill.operators.common import empty, unique
 from rollmill.operators.integrity import changed_audits, overlapping
+from rollmill.sources import commits
 from rollmill.sources.shared import checkpointed
 
 
@@ -119,20 +120,24 @@ def write_once(rows: DataFrame, root: str, keys: list[str]) -> str:
 
 
 def save_audits(reports: DataFrame, path: str, key: str = "uid", report: str = "report") -> int:
-    """Appends the reports whose key is new, and says how many; a saved key with another report fails, an equal one is left."""
-    saved = _read_if_there(reports.sparkSession, path)
-    if saved is None:
-        empty(unique(reports, [key]), "a key of several reports")
-        fresh = checkpointed(reports.select(key, report))
-    else:
-        both = checkpointed(reports.select(key, report))
-        empty(unique(both, [key]), "a key of several reports")
-        empty(changed_audits(saved, both, key, report), "a saved report has changed")
-        fresh = checkpointed(both.join(saved.select(key), key, "left_anti"))
-    n = fresh.count()
-    if n or saved is None:
-        fresh.write.mode("append").parquet(path)
-    return n
+    """Appends the reports whose key is new, and says how many; a saved key with another report fails, an equal one is left.
+
+    Of two writers of one key at once, one is first, and the other decides by what the first has saved (see ``commits``).
+    """
+    empty(unique(reports, [key]), "a key of several reports")
+
+    def new(saved: DataFrame | None, rows: DataFrame) -> DataFrame:
+        if saved is None:
+            return rows
+        empty(changed_audits(saved, rows, key, report), "a saved report has changed")
+        return rows.join(saved.select(key), key, "left_anti")
+
+    return commits.append(path, reports.select(key, report), new)
+
+
+def read_audits(spark: SparkSession, path: str) -> DataFrame | None:
+    """All saved reports; none if nothing was saved."""
+    return commits.snapshot(spark, path.rstrip("/"))[1]
 
 
 def prompt_report(rows: DataFrame, expected: DataFrame, path: str) -> bool:

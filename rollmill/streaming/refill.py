@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from rollmill.sources import commits
+
 GROUP = "uid string, policy_version long, status string, mixed boolean, arrived long"
 KEPT = "uid string, policy_version long, usable boolean, reason string, arrived long"
 REQUEST = "uid string, policy_version long, wave int"
@@ -60,42 +62,26 @@ class Refill:
 
     def __init__(self, spark: SparkSession, folder: str, rules: Rules, steps: int):
         self.spark, self.folder, self.rules, self.steps = spark, folder.rstrip("/"), rules, steps
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        self.fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
 
     def _commit(self, epoch: int, state: Step) -> None:
-        """Fails if another run has committed this micro-batch: the file is made only if it is absent."""
-        out = self.fs.create(self._path(f"commits/{epoch}"), False)
-        try:
-            out.write(bytearray(json.dumps(asdict(state)).encode()))
-        finally:
-            out.close()
+        """Fails if another run has committed this micro-batch."""
+        if not commits.put_if_absent(self.spark, f"{self.folder}/commits/{epoch}", json.dumps(asdict(state))):
+            raise RuntimeError(f"micro-batch {epoch} already exists")
 
     def committed(self, epoch: int) -> Step | None:
-        where = self._path(f"commits/{epoch}")
-        if not self.fs.exists(where):
-            return None
-        stream = self.fs.open(where)
-        try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return Step(**json.loads(text))
+        text = commits.text_of(self.spark, f"{self.folder}/commits/{epoch}")
+        return None if text is None else Step(**json.loads(text))
 
     def last(self) -> tuple[int, Step] | None:
         """The last committed micro-batch, -1 being the start."""
-        where = self._path("commits")
-        names = [int(x.getPath().getName()) for x in self.fs.listStatus(where) if not x.getPath().getName().startswith((".", "_"))] if self.fs.exists(where) else []
-        return (max(names), self.committed(max(names))) if names else None
+        done = [int(x) for x in commits.names(self.spark, f"{self.folder}/commits")]
+        return (max(done), self.committed(max(done))) if done else None
 
     def read(self, kind: str) -> DataFrame:
         """All committed versions of ``requests`` or ``batches``."""
         schema = {"requests": REQUEST, "batches": BATCH}[kind]
         last = self.last()
-        paths = [f"{self.folder}/{kind}/{e}" for e in range(-1, last[0] + 1) if self.fs.exists(self._path(f"{kind}/{e}"))] if last else []
+        paths = [f"{self.folder}/{kind}/{e}" for e in commits.names(self.spark, f"{self.folder}/{kind}") if int(e) <= last[0]] if last else []
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def _write(self, rows: DataFrame, kind: str, epoch: int) -> None:

@@ -119,7 +119,7 @@ def test_audits_are_saved_once(spark, tmp_path):
     make = lambda *rows: spark.createDataFrame(rows, "uid string, report string")
     path = str(tmp_path / "a")
     assert sinks.save_audits(make(("u", "{}"), ("v", "1")), path) == 2
-    assert sinks.save_audits(make(("u", "{}"), ("w", "2")), path) == 1 and spark.read.parquet(path).count() == 3
+    assert sinks.save_audits(make(("u", "{}"), ("w", "2")), path) == 1 and sinks.read_audits(spark, path).count() == 3
     with pytest.raises(ValueError, match="changed"):
         sinks.save_audits(make(("v", "other")), path)
 
@@ -298,3 +298,36 @@ def test_seeded_samples_are_exact(spark):
         assert got == [(3 * i, i) for i in sorted(random.Random(seed).sample(range(n), k))]
     with pytest.raises(ValueError, match="without replacement"):
         curation.seeded_sample(spark.range(3), 4, 1, ["id"])
+
+
+def test_two_writers_at_once(spark, tmp_path):
+    """Of writers of one key one is first, and the others fail; keys of their own all get in; a job that fails leaves nothing."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "audits")
+    assert sinks.read_audits(spark, path) is None
+
+    def write(k):
+        try:
+            return sinks.save_audits(spark.createDataFrame([("same", f"by {k}"), (f"own {k}", "x")], "uid string, report string"), path)
+        except ValueError as e:
+            return str(e)
+
+    def alone(k):
+        return sinks.save_audits(spark.createDataFrame([(f"alone {k}", "y"), ("alike", "z")], "uid string, report string"), path)
+
+    with ThreadPoolExecutor(6) as pool:
+        said = list(pool.map(write, range(3)))
+        ns = list(pool.map(alone, range(3)))
+    assert sorted(map(str, said))[0] == "2" and sum("changed" in str(x) for x in said) == 2
+    assert sum(ns) == 4
+    rows = {(r["uid"], r["report"]) for r in sinks.read_audits(spark, path).collect()}
+    winner = said.index(2)
+    assert rows == {("same", f"by {winner}"), (f"own {winner}", "x"), ("alike", "z"), *((f"alone {k}", "y") for k in range(3))}
+    bad = spark.range(3).select(F.col("id").cast("string").alias("uid"), F.when(F.col("id") == 2, F.raise_error(F.lit("broken"))).otherwise("r").alias("report"))
+    with pytest.raises(Exception, match="broken"):
+        sinks.save_audits(bad, path)
+    assert sinks.read_audits(spark, path).count() == len(rows)
+    assert len(list((tmp_path / "audits" / "data").glob("*"))) == len(list((tmp_path / "audits" / "log").glob("0*")))
