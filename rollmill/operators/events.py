@@ -132,13 +132,28 @@ def latest_snapshot(events: DataFrame, by: str = "trajectory_id", order: str = "
     return events.withColumn("snapshot", F.last(mark, ignorenulls=True).over(w)["r"])
 
 
+#: Characters of a time that name its stretch of the day, such as the hour.
+STRETCH = 2
+
+
+def one_stop_candidates(flights: DataFrame) -> DataFrame:
+    """Pairs that ``one_stop`` compares: a first leg meets the second legs of its airport and day that leave in its stretch of the day or in a later one.
+
+    Stretches order as the times do, so only pairs within one are in doubt. A first leg is repeated for
+    the stretches it reaches, at most as many as an airport's day has, and pairs are made by airport,
+    day and stretch, so a hot airport's day is as many keys.
+    """
+    first = flights.select(*[F.col(c).alias(f"first_{c}") for c in flights.columns], scalars.leg_day(F.col("arrives"), F.col("date")).alias("__d"), F.substring("arrives", 1, STRETCH).alias("__a"))
+    second = flights.select(*[F.col(c).alias(f"second_{c}") for c in flights.columns], F.substring("departs", 1, STRETCH).alias("__s"))
+    stretches = second.select(F.col("second_origin").alias("__o"), F.col("second_date").alias("__e"), F.col("__s").alias("__t")).distinct()
+    reach = first.join(stretches, (F.col("first_destination") == F.col("__o")) & (F.col("__d") == F.col("__e")) & (F.col("__t") >= F.col("__a"))).drop("__o", "__e")
+    return reach.join(second, (F.col("first_destination") == F.col("second_origin")) & (F.col("__d") == F.col("second_date")) & (F.col("__t") == F.col("__s"))).drop("__d", "__s", "__t")
+
+
 def one_stop(flights: DataFrame) -> DataFrame:
     """Pairs of flights (date, origin, destination, departs, arrives, number) that connect: same airport, and no departure before the arrival; times compare as strings."""
-    a, b = flights.alias("a"), flights.withColumnRenamed("date", "date2").alias("b")
-    legs = a.withColumn("date2", scalars.leg_day(F.col("a.arrives"), F.col("a.date")))
-    first = legs.select(*[F.col(c).alias(f"first_{c}") for c in flights.columns], F.col("date2").alias("__d"))
-    second = b.select(*[F.col(c).alias(f"second_{c}") for c in flights.columns if c != "date"], F.col("date2").alias("second_date"))
-    return first.join(second, (F.col("first_destination") == F.col("second_origin")) & (F.col("__d") == F.col("second_date")) & (F.col("second_departs") >= F.col("first_arrives"))).drop("__d")
+    names = [f"{side}_{c}" for side in ("first", "second") for c in flights.columns]
+    return one_stop_candidates(flights).where(F.col("second_departs") >= F.col("first_arrives")).select(*names)
 
 
 def penalty_signals(events: DataFrame) -> DataFrame:

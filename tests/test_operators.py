@@ -387,3 +387,18 @@ def test_kinds_of_leaks(spark):
     runs = {k: {tuple(w[i : i + 3]) for i in range(len(w) - 2)} for k, w in ((k, spark.range(1).select(curation.skeleton(F.lit(t))).first()[0]) for k, t in items)}
     assert {(r["doc_id"], r["item_id"], r["n_common"], r["n_runs"]) for r in curation.template_leaks(frame, bench, "doc_id", "item_id").collect()} == {(0, 1, len(runs[1]), len(runs[1])), (2, 0, len(runs[0]), len(runs[0]))}
     assert curation.leak_kinds(frame.limit(0), bench, targets, "doc_id", "item_id").collect() == []
+
+
+def test_connections_compare_little_more_than_they_return(spark):
+    """A hot airport whose arrivals are late and departures early: pairs that can't connect are never made."""
+    rng = random.Random(3)
+    at = lambda lo, hi: f"{rng.randrange(lo, hi):02d}:{rng.randrange(60):02d}"
+    rows = [("2024-05-01", "hub" if k % 2 else f"o{k % 7}", f"d{k % 5}" if k % 2 else "hub", at(0, 9) if rng.random() < 0.9 else at(9, 24), at(16, 24) if rng.random() < 0.8 else f"{at(0, 5)}+1", f"f{k}") for k in range(600)] + [("2024-05-02", "hub", "d0", at(0, 9), at(9, 12), "late"), (None, "hub", "hub", "01:00", "00:30", "none")]
+    frame = spark.createDataFrame(rows, "date string, origin string, destination string, departs string, arrives string, number string")
+    day = spark.createDataFrame(rows, frame.schema).select("number", events.scalars.leg_day(F.col("arrives"), F.col("date")).alias("d"))
+    days = {r["number"]: r["d"] for r in day.collect()}
+    want = {(a[5], b[5]) for a in rows for b in rows if a[2] == b[1] and b[0] is not None and days[a[5]] == b[0] and b[3] >= a[4]}
+    got = [(r["first_number"], r["second_number"]) for r in events.one_stop(frame).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    pairs = sum(1 for a in rows for b in rows if a[2] == b[1] and days[a[5]] == b[0])
+    assert len(want) <= events.one_stop_candidates(frame).count() <= len(want) * 1.5 < pairs
