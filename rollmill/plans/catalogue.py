@@ -523,14 +523,14 @@ def credit_group_signal(spark, sf_dir):
     return credits.has_signal(credits.assign(*_credit_frames(spark, sf_dir), version="v4", labels=True)).withColumnRenamed("group", "task_id")
 
 
-@query()
+@query(_GUARDED + f" SELECT trajectory_id, CAST(sum(tokens + 1) AS BIGINT) AS n_tokens, round(sum(tokens * ({_LABELLED})) + 1e-9, 6) + 0.0 AS total FROM final GROUP BY 1")
 def credit_token_arrays(spark, sf_dir):
     """Token advantages of whole responses, by digest; the arrays themselves stay in the operator."""
     turns, members = _credit_frames(spark, sf_dir)
     mapping = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("turn", "tokens"))), lambda s: F.concat(F.array_repeat(s["turn"], s["tokens"]), F.array(F.lit(-1)))))
     responses = turns.groupBy("trajectory_id").agg(mapping.alias("response_turn_ids"))
     out = credits.broadcast_tokens(responses, credits.assign(turns, members, version="v4", labels=True))
-    return out.select("trajectory_id", F.size("token_advantages").cast("long").alias("n_tokens"), r6(F.aggregate("token_advantages", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+    return out.select("trajectory_id", F.size("token_advantages").cast("long").alias("n_tokens"), r6(F.aggregate("token_advantages", F.lit(0.0), lambda a, x: a + x) + TIE).alias("total"))
 
 
 # Profiles, clocks, replays
@@ -745,7 +745,13 @@ def reasoning_scan(spark, sf_dir):
     return b.messages(spark, sf_dir).select("dialog_id", "message_index", canon.has_reasoning(as_json).alias("has_reasoning"), canon.contains_reasoning(as_json).alias("contains_reasoning"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) AS k, source AS task, doc_id AS unit, sha256(text) AS fingerprint FROM documents),
+walk AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS seen, MAP {}::MAP(VARCHAR, INTEGER) AS taken, NULL::VARCHAR AS task, NULL::BIGINT AS unit, NULL::VARCHAR AS fingerprint, false AS accepted
+  UNION ALL SELECT s.k, CASE WHEN ok THEN list_append(seen, s.fingerprint) ELSE seen END, CASE WHEN ok THEN map_concat(taken, MAP {coalesce(s.task, '~'): n + 1}) ELSE taken END, s.task, s.unit, s.fingerprint, ok
+  FROM (SELECT d.*, w.seen, w.taken, coalesce(w.taken[coalesce(d.task, '~')], 0) AS n, NOT list_contains(w.seen, d.fingerprint) AND coalesce(w.taken[coalesce(d.task, '~')], 0) < 4 AS ok FROM walk w JOIN d ON d.k = w.k + 1) s)
+SELECT task, unit, fingerprint FROM walk WHERE accepted"""
+)
 def task_cap_with_dedup(spark, sf_dir):
     """The first four documents of each source that bring a new text, where texts of capped documents stay free for later sources."""
     docs = b.table(spark, sf_dir, "documents").select(F.col("source").alias("task"), F.col("doc_id").alias("unit"), F.col("doc_id").alias("place"), F.sha2("text", 256).alias("fingerprint"))
