@@ -40,14 +40,18 @@ def double(x: Column) -> Column:
     mantissa, power = F.split(text, "E")[0], F.coalesce(F.try_element_at(F.split(text, "E"), F.lit(2)).cast("int"), F.lit(0))
     whole, part = F.split(mantissa, r"\.")[0], F.split(mantissa, r"\.")[1]
     # the value is digits * 10 ** shift; this platform may print a digit or two more than are needed
-    state = F.struct(F.concat(whole, part).cast("long").alias("digits"), (power - F.length(part)).alias("shift"))
+    all_ = F.concat(whole, part)
+    digits = F.rtrim(all_, F.lit("0"))
+    state = F.struct(digits.try_cast("long").alias("digits"), (power - F.length(part) + F.length(all_) - F.length(digits)).alias("shift"))
+    # two texts of fifteen digits are two numbers, so such a one has no shorter form
+    short = (F.length(F.ltrim(digits, F.lit("0"))) <= 15) & (F.abs(x) >= 2.2250738585072014e-308)
 
     def shorter(s: Column, _: Column) -> Column:
         tries = [F.struct(d.alias("digits"), (s["shift"] + 1).alias("shift")) for d in (F.floor((s["digits"] + 5) / F.lit(10).cast("decimal(20,0)")).cast("long"), F.floor(s["digits"] / F.lit(10).cast("decimal(20,0)")).cast("long"))]
         same = lambda t: (t["digits"] > 0) & (F.concat(t["digits"].cast("string"), F.lit("E"), t["shift"].cast("string")).cast("double") == F.abs(x))
         return F.when(same(tries[0]), tries[0]).when(same(tries[1]), tries[1]).otherwise(s)
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(18)), state, shorter)
+    found = F.when(short, state).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(18)), state, shorter))
     # whole numbers of 18 and 19 places are exact as longs, which gives the nearest digits where this platform's are one off
     exact = (F.abs(x) >= 1e17) & (F.abs(x) < 9.2e18)
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollmill.functions.canonjson import canonical_sha256
+
 
 def over_configs(rows: DataFrame, configs: DataFrame) -> DataFrame:
     """Each row under each configuration; the dimension has a handful of rows and is stated by the caller."""
@@ -30,6 +32,42 @@ def rescored(records: DataFrame, annotations: dict[str, DataFrame], key: str = "
     return records
 
 
+def rescoring_rules(records: DataFrame, prompt_sha256: str, rubric_sha256: Column) -> dict[str, Column]:
+    """Rules that a saved record must keep to be scored again offline, for ``checked``; nothing that is missing is made up.
+
+    records: agent_system_prompt_sha256, judge_rubric_sha256, official_scores, judge_result,
+    environment_transcript, scoring_inputs (a struct) and the digest saved with it. The prompt and the
+    rubric (``rubric_sha256``: the one of today's annotations) are those that the record was made with,
+    its inputs are frozen, and their digest is still theirs.
+    """
+    there = lambda c: F.col(c).isNotNull()
+    return {
+        "prompt": F.col("agent_system_prompt_sha256").eqNullSafe(F.lit(prompt_sha256)),
+        "frozen": there("official_scores") & there("judge_result"),
+        "rubric": F.col("judge_rubric_sha256").eqNullSafe(rubric_sha256),
+        "transcript": there("environment_transcript"),
+        "inputs": there("scoring_inputs") & F.col("scoring_inputs_sha256").eqNullSafe(inputs_sha256(records)),
+    }
+
+
+def inputs_sha256(records: DataFrame) -> Column:
+    """The digest of a record's scoring inputs: that of their canonical JSON."""
+    return canonical_sha256(F.col("scoring_inputs"), records.schema["scoring_inputs"].dataType)
+
+
+def with_lineage(records: DataFrame, reward_version: str, project: Column) -> DataFrame:
+    """Records as a rescoring saves them: what they came from, the new version, and inputs that name today's configuration.
+
+    records: reward_version, evaluation_manifest_id, scoring_inputs and their digest; project: the
+    configuration, which takes the place of ``reward_project_config`` in the inputs. Adds
+    rescored_from_reward_version, rescored_from_scoring_inputs_sha256 and
+    rescored_from_evaluation_manifest_id; a rescored record belongs to no evaluation any more.
+    """
+    told = records.withColumns({"rescored_from_reward_version": F.col("reward_version"), "rescored_from_scoring_inputs_sha256": F.col("scoring_inputs_sha256"), "rescored_from_evaluation_manifest_id": F.col("evaluation_manifest_id")})
+    new = told.drop("evaluation_manifest_id").withColumns({"reward_version": F.lit(reward_version), "scoring_inputs": F.col("scoring_inputs").withField("reward_project_config", project)})
+    return new.withColumn("scoring_inputs_sha256", inputs_sha256(new))
+
+
 def membership(groups: DataFrame, saved: DataFrame, fields: list[str], by: str = "trajectory_id") -> DataFrame:
     """Group members whose saved record is missing or differs in a field."""
     g, s = groups.alias("g"), saved.alias("s")

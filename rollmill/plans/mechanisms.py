@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rollmill.operators import concurrency, curation, failures, matching, scans, subgoals
+from rollmill.operators import concurrency, curation, failures, matching, replay, scans, subgoals
+from rollmill.operators.common import checked
 from rollmill.plans import bridges as b
 from rollmill.plans.catalogue import longs, query, r6
 from rollmill.sources.shared import shared_path
@@ -284,3 +285,28 @@ def leak_kinds(spark, sf_dir):
     words = F.transform(F.split(F.lower("text"), r"[^\p{L}\p{M}\p{N}._@-]+"), lambda w: F.regexp_replace(w, r"^[._@-]+|[._@-]+$", ""))
     targets = bench.select("item_id", F.slice(F.filter(words, lambda w: F.length(w) > 11), 1, 2).alias("values"))
     return curation.leak_kinds(b.table(spark, sf_dir, "documents"), bench, targets, "doc_id", "item_id")
+
+
+# Rescoring: rollouts as saved records. Some were made with another prompt, some under another rubric, some have inputs that were touched.
+
+_INPUTS = """'{{"reward_project_config":{{"credit":{{"version":"{credit}"}},"reward":{{"progress_scale":' || {scale} || '}}}},"rewards":[' || CASE reward WHEN 1 THEN '1.0' WHEN 0.5 THEN '0.5' ELSE '0.0' END || '],"task_id":' || task_id || '}}'"""
+
+
+@query(
+    b.with_(b.ROLLOUTS)
+    + f""", saved AS NOT MATERIALIZED (SELECT *, sha256({_INPUTS.format(credit="procredit-turn-v3", scale="'0.25'")}) AS digest, sha256({_INPUTS.format(credit="procredit-turn-v4", scale="'0.5'")}) AS fresh FROM b_rollouts)
+SELECT trajectory_id, concat_ws(',', CASE WHEN termination = 'user_stop' THEN 'prompt' END, CASE WHEN policy_version < 1995 THEN 'rubric' END, CASE WHEN tokens < 50000 THEN 'inputs' END) AS broken, 'v1-rescored' AS reward_version, 'v1' AS came_from,
+  CASE WHEN tokens < 50000 THEN sha256('touched') ELSE digest END AS source, fresh AS scoring_inputs_sha256, CAST(policy_version AS VARCHAR) AS manifest FROM saved"""
+)
+def rescored_lineage(spark, sf_dir):
+    """Which records may be scored again, and what each says it came from."""
+    project = lambda credit, scale: F.struct(F.struct(F.lit(credit).alias("version")).alias("credit"), F.struct(F.lit(scale).alias("progress_scale")).alias("reward"))
+    rows = b.rollouts(spark, sf_dir).withColumn("scoring_inputs", F.struct("task_id", F.array("reward").alias("rewards"), project("procredit-turn-v3", 0.25).alias("reward_project_config")))
+    old, scores = F.col("policy_version") < 1995, F.lit("{}")
+    rows = rows.withColumns({
+        "scoring_inputs_sha256": F.when(F.col("tokens") < 50_000, F.sha2(F.lit("touched"), 256)).otherwise(replay.inputs_sha256(rows)), "reward_version": F.lit("v1"), "evaluation_manifest_id": F.col("policy_version").cast("string"),
+        "agent_system_prompt_sha256": F.when(F.col("termination") == "user_stop", "other").otherwise("bound"), "judge_rubric_sha256": F.when(old, "before").otherwise("now"), "official_scores": scores, "judge_result": scores, "environment_transcript": scores,
+    })
+    marked = checked(rows, replay.rescoring_rules(rows, "bound", F.lit("now")), "flag")
+    out = replay.with_lineage(marked, "v1-rescored", project("procredit-turn-v4", 0.5))
+    return out.select("trajectory_id", F.array_join("violations", ",").alias("broken"), "reward_version", F.col("rescored_from_reward_version").alias("came_from"), F.col("rescored_from_scoring_inputs_sha256").alias("source"), "scoring_inputs_sha256", F.col("rescored_from_evaluation_manifest_id").alias("manifest"))
