@@ -10,7 +10,7 @@ the turn after it, as often as it takes; the sums of their subtries are added to
 afterwards, from the last round to the first.
 
 Nulls: null roles and texts are empty, null turns come first, rows without a conv_id belong to no
-conversation and make no node. Turns of one number stand in the order of their digests, repeated rows
+conversation and make no node. Remainders of negative ids have their sign, as in SQL. Turns of one number stand in the order of their digests, repeated rows
 are turns of their own. Empty texts have no words. An empty table has no node, not even a root.
 Extra columns are ignored. One sequence is one row of 24 bytes a turn.
 """
