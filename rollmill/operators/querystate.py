@@ -9,6 +9,7 @@ row for each date of a flight, ``place`` being its place in the state and ``inst
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,14 @@ UNEXECUTED_ERRORS = ("parse_error", "unknown_tool", "schema_invalid", "mixed_con
 UNEXECUTED_STATUSES = ("blocked_by_invalid_sibling", "termination_control")
 LEG = ("flight_number", "origin", "destination", "scheduled_departure_time_est", "scheduled_arrival_time_est", "date", "instance")
 STATIC_READS = ("list_all_airports", "calculate")
+#: The string arguments without which a call sees nothing.
+NEEDS = {
+    "get_user_details": ("user_id",),
+    "get_reservation_details": ("reservation_id",),
+    "get_flight_status": ("flight_number", "date"),
+    "search_direct_flight": ("origin", "destination", "date"),
+    "search_onestop_flight": ("origin", "destination", "date"),
+}
 
 
 def text_argument(arguments: Column, name: str) -> Column:
@@ -36,46 +45,53 @@ def _leg(side: str) -> Column:
     return F.struct(*[F.col(f"{side}.{c}").alias(name) for c, name in zip(names, LEG, strict=True)])
 
 
-def projected(events: DataFrame, users: DataFrame, reservations: DataFrame, flights: DataFrame, state: str = "state") -> DataFrame:
+def projected(events: DataFrame, users: DataFrame, reservations: DataFrame, flights: DataFrame, state: str = "state", shown: Callable[[Column], Column] | None = None) -> DataFrame:
     """Events (event_id, name, arguments, and the name of their state) of read-only tools with scope and seen, the JSON of what they see.
 
     Calls of other tools, calls without the string arguments that their tool needs, and calls
     without a state have neither. A record, flight or date that is not there is seen as null.
     Searches see the available dates alone, in the state's order; a search with one stop sees those
     first legs that have a second one, each with its second legs.
+
+    A read (tool, state and the arguments that the tool needs) is answered once, however many events
+    make it, and then joined to them. ``shown`` says what is kept of seen, before that join.
     """
-    arg = {c: text_argument(F.col("arguments"), c) for c in ("user_id", "reservation_id", "flight_number", "date", "origin", "destination")}
-    calls = events.select("event_id", "name", "arguments", F.col(state).alias("__s"), *[v.alias(f"__{c}") for c, v in arg.items()])
-    calls = calls.where(F.col("name").isin(*scalars.READ_ONLY_TOOLS) & F.col("__s").isNotNull())
+    calls = events.select("event_id", "name", "arguments", F.col(state).alias("__s")).where(F.col("name").isin(*scalars.READ_ONLY_TOOLS) & F.col("__s").isNotNull())
+    needed = F.array().cast("array<string>")
+    for tool, names in NEEDS.items():
+        needed = F.when(F.col("name") == tool, F.array(*[text_argument(F.col("arguments"), c) for c in names])).otherwise(needed)
+    made = calls.where(F.col("name").isin(*NEEDS)).withColumn("__needs", needed).where(~F.exists("__needs", lambda x: x.isNull()))
+    made = made.select("event_id", F.struct("name", "__s", "__needs").alias("__read"))
 
-    def of(tool: str, *needs: str) -> DataFrame:
-        return reduce(lambda df, c: df.where(F.col(f"__{c}").isNotNull()), needs, calls.where(F.col("name") == tool)).alias("c")
+    def of(tool: str) -> DataFrame:
+        reads = made.where(F.col("__read.name") == tool).select("__read").distinct()
+        return reads.select("__read", F.col("__read.__s").alias("__s"), *[F.col("__read.__needs")[i].alias(f"__{c}") for i, c in enumerate(NEEDS[tool])]).alias("c")
 
     def record(tool: str, kind: str, key: str, table: DataFrame) -> DataFrame:
         t = table.select(F.col(state).alias("__s"), F.col(key).alias("__k"), F.col("value").alias("__v")).alias("t")
-        joined = of(tool, key).join(t, (F.col("c.__s") == F.col("t.__s")) & (F.col(f"c.__{key}") == F.col("t.__k")), "left")
-        return joined.select("event_id", F.concat(F.lit(f"airline:{kind}:"), F.col(f"c.__{key}")).alias("scope"), F.coalesce("__v", F.lit("null")).alias("seen"))
+        joined = of(tool).join(t, (F.col("c.__s") == F.col("t.__s")) & (F.col(f"c.__{key}") == F.col("t.__k")), "left")
+        return joined.select("__read", F.concat(F.lit(f"airline:{kind}:"), F.col(f"c.__{key}")).alias("scope"), F.coalesce("__v", F.lit("null")).alias("seen"))
 
     f = flights.withColumnRenamed(state, "__s")
-    status = of("get_flight_status", "flight_number", "date").join(
+    status = of("get_flight_status").join(
         f.alias("f"), (F.col("c.__s") == F.col("f.__s")) & (F.col("c.__flight_number") == F.col("f.number")) & (F.col("c.__date") == F.col("f.date")), "left"
     )
-    status = status.select("event_id", F.concat_ws(":", F.lit("airline:flight-status"), "c.__flight_number", "c.__date").alias("scope"), F.when(F.col("f.number").isNotNull(), F.to_json(F.struct(F.col("f.status").alias("status")), {"ignoreNullFields": "false"})).otherwise("null").alias("seen"))
+    status = status.select("__read", F.concat_ws(":", F.lit("airline:flight-status"), "c.__flight_number", "c.__date").alias("scope"), F.when(F.col("f.number").isNotNull(), F.to_json(F.struct(F.col("f.status").alias("status")), {"ignoreNullFields": "false"})).otherwise("null").alias("seen"))
 
     open_ = f.where("status = 'available'")
     searched = [F.col(f"c.__{c}") for c in ("origin", "destination", "date")]
 
     def starts(tool: str) -> tuple[DataFrame, Column]:
-        wanted = of(tool, "origin", "destination", "date")
+        wanted = of(tool)
         on = (F.col("c.__s") == F.col("a.__s")) & (F.col("c.__origin") == F.col("a.origin")) & (F.col("c.__date") == F.col("a.date"))
         return wanted, on
 
     def listed(joined: DataFrame, tool: str, item: Column, hit: Column) -> DataFrame:
-        """One row for each call, with its items in the order of places."""
+        """One row for each read, with its items in the order of places."""
         items = F.array_sort(F.collect_list(F.when(hit, F.struct(F.col("a.place").alias("p"), item.alias("i")))))
         scope = F.concat_ws(":", F.lit(f"airline:{tool}"), *searched)
-        whole = joined.groupBy("event_id", scope.alias("scope")).agg(items.alias("items"))
-        return whole.select("event_id", "scope", F.to_json(F.transform("items", lambda x: x["i"])).alias("seen"))
+        whole = joined.groupBy("__read", scope.alias("scope")).agg(items.alias("items"))
+        return whole.select("__read", "scope", F.to_json(F.transform("items", lambda x: x["i"])).alias("seen"))
 
     wanted, on = starts("search_direct_flight")
     direct = wanted.join(open_.alias("a"), on & (F.col("c.__destination") == F.col("a.destination")), "left")
@@ -86,13 +102,16 @@ def projected(events: DataFrame, users: DataFrame, reservations: DataFrame, flig
     first = wanted.join(open_.alias("a"), on).withColumn("__day", second_day)
     reach = (F.col("c.__s") == F.col("b.__s")) & (F.col("a.destination") == F.col("b.origin")) & (F.col("__day") == F.col("b.date")) & (F.col("c.__destination") == F.col("b.destination")) & (F.col("b.departs") >= F.col("a.arrives"))
     legs = first.join(open_.alias("b"), reach)
-    by_first = legs.groupBy("event_id", F.col("a.place").alias("p"), _leg("a").alias("first")).agg(F.array_sort(F.collect_list(F.struct(F.col("b.place").alias("p"), _leg("b").alias("i")))).alias("second"))
-    pairs = by_first.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("p", F.struct("first", F.transform("second", lambda x: x["i"]).alias("second")).alias("i")))).alias("items"))
-    one_stop = wanted.join(pairs.alias("p"), "event_id", "left").select(
-        "event_id", F.concat_ws(":", F.lit("airline:search_onestop_flight"), *searched).alias("scope"), F.coalesce(F.to_json(F.transform("items", lambda x: x["i"])), F.lit("[]")).alias("seen")
+    by_first = legs.groupBy("__read", F.col("a.place").alias("p"), _leg("a").alias("first")).agg(F.array_sort(F.collect_list(F.struct(F.col("b.place").alias("p"), _leg("b").alias("i")))).alias("second"))
+    pairs = by_first.groupBy("__read").agg(F.array_sort(F.collect_list(F.struct("p", F.struct("first", F.transform("second", lambda x: x["i"]).alias("second")).alias("i")))).alias("items"))
+    one_stop = wanted.join(pairs.alias("p"), "__read", "left").select(
+        "__read", F.concat_ws(":", F.lit("airline:search_onestop_flight"), *searched).alias("scope"), F.coalesce(F.to_json(F.transform("items", lambda x: x["i"])), F.lit("[]")).alias("seen")
     )
     static = calls.where(F.col("name").isin(*STATIC_READS)).select("event_id", F.concat(F.lit("airline:static:"), F.col("name")).alias("scope"), F.lit(f'{{"native_semantics":"{VERSION}"}}').alias("seen"))
-    return reduce(DataFrame.unionByName, [record("get_user_details", "users", "user_id", users), record("get_reservation_details", "reservations", "reservation_id", reservations), status, direct, one_stop, static])
+    views = reduce(DataFrame.unionByName, [record("get_user_details", "users", "user_id", users), record("get_reservation_details", "reservations", "reservation_id", reservations), status, direct, one_stop])
+    show = shown or (lambda seen: seen)
+    views = views.select("__read", "scope", show(F.col("seen")).alias("seen"))
+    return made.join(views, "__read").select("event_id", "scope", "seen").unionByName(static.withColumn("seen", show(F.col("seen"))))
 
 
 def _json_string(c: str) -> Column:

@@ -416,8 +416,8 @@ def query_states(spark, sf_dir):
         F.lit("08:00").alias("departs"), F.lit("09:00").alias("arrives"), F.lit("2024-05-10").alias("date"), F.when(key % 4 == 0, "delayed").otherwise("available").alias("status"), F.lit("{}").alias("instance"),
     )
     none = users.select("state", F.col("user_id").alias("reservation_id"), "value").limit(0)
-    out = querystate.projected(calls, users, none, flights)
-    return out.select("event_id", "scope", F.when(F.col("scope").startswith("airline:search"), F.json_array_length("seen").cast("string")).otherwise(F.col("seen")).alias("seen"))
+    counted = lambda seen: F.when(F.col("scope").startswith("airline:search"), F.json_array_length(seen).cast("string")).otherwise(seen)
+    return querystate.projected(calls, users, none, flights, shown=counted).select("event_id", "scope", "seen")
 
 
 @query(

@@ -36,6 +36,23 @@ def seen(spark, calls):
     return made, {int(r.event_id): (r.scope, json.loads(r.seen)) for r in querystate.projected(made, users, trips, flights).collect()}
 
 
+def test_equal_reads_are_answered_once(spark):
+    """Many events that make one search meet its flights once, and only what is shown of them is joined to the events."""
+    calls = spark.range(300).select(F.col("id").alias("event_id"), F.lit("search_direct_flight").alias("name"), F.to_json(F.struct(F.lit("A").alias("origin"), F.lit("B").alias("destination"), F.lit("d").alias("date"), F.col("id").alias("other"))).alias("arguments"), F.lit("s").alias("state"))
+    flights = spark.range(50).select(F.lit("s").alias("state"), F.col("id").cast("int").alias("place"), F.col("id").cast("string").alias("number"), *[F.lit(v).alias(c) for c, v in (("origin", "A"), ("destination", "B"), ("departs", "08:00"), ("arrives", "09:00"), ("date", "d"), ("status", "available"), ("instance", "{}"))])
+    none = spark.createDataFrame([], "state string, user_id string, reservation_id string, value string")
+    answered = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def length(text):
+        answered.add(1)
+        return len(json.loads(text))
+
+    got = querystate.projected(calls, none, none, flights, shown=length).collect()
+    assert sorted((r.event_id, r.seen) for r in got) == [(i, 50) for i in range(300)]
+    assert 1 <= answered.value <= 4
+
+
 def test_what_reads_see(spark):
     day = {"origin": "A", "destination": "C", "date": "2024-05-10"}
     calls = [
