@@ -11,39 +11,52 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: Into how many buckets a barrier deals its groups.
+BUCKETS = 16_384
 SETTLED = "uid string, members int, failed int, reward_sum double"
 
 
-def group_barrier(stream: DataFrame, size: int | str) -> DataFrame:
+def group_barrier(stream: DataFrame, size: int | str, buckets: int = BUCKETS) -> DataFrame:
     """Emits a group (uid) once all its sessions have settled; failed ones leave the membership and never return.
 
     stream: uid, session, status (finished or failed; others leave a session open), reward. Works
     on a batch frame too. ``size`` is that of every group, or the column that has each group's own.
     State is the set of settled sessions, at most as many as the group's size, and a mark once the group is out, so repeated deliveries change nothing.
+    Groups are kept by ``buckets`` of their hashes, as calls and state for each one group cost more
+    than the groups; a micro-batch reads and writes the buckets that it has rows of.
     """
 
     def settle(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, failed, total, sent = state.get if state.exists else ([], [], 0.0, False)
-        done, failed = set(done), set(failed)
-        wanted = size
+        uids, dones, faileds, totals, out = state.get if state.exists else ([], [], [], [], [])
+        groups = {u: (set(d), set(f), t) for u, d, f, t in zip(uids, dones, faileds, totals, strict=True)}
+        out, wanted = dict.fromkeys(out), {}
         for pdf in batches:
-            if isinstance(size, str):
-                wanted = int(pdf[size].iloc[0])
-            for row in pdf.itertuples():
-                if row.session in done or row.session in failed:
+            sizes = pdf[size].tolist() if isinstance(size, str) else [size] * len(pdf)
+            for uid, session, status, reward, n in zip(pdf["uid"].tolist(), pdf["session"].tolist(), pdf["status"].tolist(), pdf["reward"].tolist(), sizes, strict=True):
+                if uid in out:
                     continue
-                if row.status == "failed":
-                    failed.add(row.session)
-                elif row.status == "finished":
-                    done.add(row.session)
-                    total += float(row.reward)
-        ready = not sent and len(done) + len(failed) >= wanted
-        state.update((sorted(done), sorted(failed), total, sent or ready))
+                wanted[uid] = n
+                done, failed, total = groups.get(uid) or (set(), set(), 0.0)
+                if session not in done and session not in failed:
+                    if status == "failed":
+                        failed.add(session)
+                    elif status == "finished":
+                        done.add(session)
+                        total += float(reward)
+                groups[uid] = (done, failed, total)
+        ready = [(u, len(groups[u][0]), len(groups[u][1]), groups[u][2]) for u, n in wanted.items() if len(groups[u][0]) + len(groups[u][1]) >= n]
+        for uid, *_ in ready:
+            del groups[uid]
+            out[uid] = None
+        kept = [(u, sorted(d), sorted(f), t) for u, (d, f, t) in groups.items()]
+        state.update((*([k[i] for k in kept] for i in range(4)), list(out)))
         if ready:
-            yield pd.DataFrame({"uid": [key[0]], "members": [len(done)], "failed": [len(failed)], "reward_sum": [total]})
+            yield pd.DataFrame(ready, columns=["uid", "members", "failed", "reward_sum"])
 
-    kinds = "done array<int>, failed array<int>, total double, sent boolean"
-    return stream.groupBy("uid").applyInPandasWithState(settle, SETTLED, kinds, "append", GroupStateTimeout.NoTimeout)
+    kinds = "uids array<string>, done array<array<int>>, failed array<array<int>>, totals array<double>, out array<string>"
+    names = ["uid", "session", "status", "reward", *([size] if isinstance(size, str) else [])]
+    rows = stream.select(*names).withColumn("uid", F.col("uid").cast("string")).withColumn("__bucket", F.pmod(F.xxhash64("uid"), F.lit(buckets)))
+    return rows.groupBy("__bucket").applyInPandasWithState(settle, SETTLED, kinds, "append", GroupStateTimeout.NoTimeout)
 
 
 def failure_latch(rows: DataFrame, group: str, fatal: Column, order: str) -> DataFrame:

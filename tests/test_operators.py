@@ -277,6 +277,19 @@ def test_stream_barrier_waits_for_all(spark, tmp_path):
     assert rows(spark.read.schema(barrier.SETTLED).parquet(out)) == [("u", 1, 1, 1.0)]
 
 
+def test_barrier_state_is_a_row_for_each_bucket(spark, tmp_path):
+    path, schema, out = tmp_path / "q", "uid string, session int, status string, reward double", str(tmp_path / "o")
+    first = [(f"g{g}", 0, "finished", 1.0) for g in range(60)]
+    for part in (first, first + [(f"g{g}", 1, "failed", 0.0) for g in range(40)], [(f"g{g}", 1, "finished", 2.0) for g in range(60)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(path))
+        stream = spark.readStream.schema(schema).parquet(str(path))
+        query = barrier.group_barrier(stream, 2, buckets=3).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 3
+    want = [(f"g{g}", 1, 1, 1.0) if g < 40 else (f"g{g}", 2, 0, 3.0) for g in range(60)]
+    assert sorted(rows(spark.read.schema(barrier.SETTLED).parquet(out))) == sorted(want)
+
+
 def test_replays(spark):
     df = spark.createDataFrame([(1, 2.0), (2, 3.0)], "t int, x double")
     configs = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "name string, k double")
