@@ -60,6 +60,19 @@ def test_groups_leave_and_state_ends(spark, tmp_path):
     assert max(held[-6:]) <= max(held[:6]) + 60 and max(held) < 30 * 12 * 3
 
 
+def test_expiring_groups_share_a_bucket(spark, tmp_path):
+    """State is as many rows as buckets, not groups; whole and open groups of a bucket leave at their own times, over several micro-batches."""
+    batches = [[(f"{k}-{g}", s, "finished", 1.0, 1_000_000 + 10_000 * k + g + s) for g in range(40) for s in range(2 if g % 4 else 1)] for k in range(4)]
+    for own in batches:
+        frame_of(spark, own).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    query = run(spark, frame_of(spark, batches[0]), tmp_path, size=2, wait="30 minutes", late="5 minutes", buckets=3)
+    got = {r.uid: tuple(r)[1:] for r in spark.read.schema(expiry.OUT).parquet(str(tmp_path / "out")).collect()}
+    want = {f"{k}-{g}": (2, 0, 2.0, False) if g % 4 else (1, 0, 1.0, True) for k in range(4) for g in range(40) if g % 4 or k < 3}
+    assert got == want
+    # a state row and its two timer rows for each bucket
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 9
+
+
 def test_the_earliest_word_on_a_session_holds(spark, tmp_path):
     rows = [("a", 0, "finished", 1.0, 50), ("a", 0, "failed", 0.0, 20), ("a", 1, "finished", None, 60), ("b", 0, "finished", 1.0, 10), ("b", 0, "failed", 1.0, 10), ("b", 1, "finished", 2.0, 10)]
     frame = frame_of(spark, rows)
