@@ -134,6 +134,8 @@ def latest_snapshot(events: DataFrame, by: str = "trajectory_id", order: str = "
 
 #: Characters of a time that name its stretch of the day, such as the hour.
 STRETCH = 2
+#: Pairs of a slot, and slots of a task, that candidates of connections are dealt to.
+BLOCK, BLOCKS = 4_000_000, 4
 
 
 def one_stop_candidates(flights: DataFrame) -> DataFrame:
@@ -141,13 +143,25 @@ def one_stop_candidates(flights: DataFrame) -> DataFrame:
 
     Stretches order as the times do, so only pairs within one are in doubt. A first leg is repeated for
     the stretches it reaches, at most as many as an airport's day has, and pairs are made by airport,
-    day and stretch, so a hot airport's day is as many keys.
+    day and stretch, so a hot airport's day is as many keys. A key's pairs are dealt to as many slots as
+    they need, ``BLOCK`` pairs each: its first legs by hash, its second legs to all of them; and
+    slots to as many tasks as they need, as what goes in is far less than what comes out. One count of
+    pairs by key goes ahead, on which both depend.
     """
     first = flights.select(*[F.col(c).alias(f"first_{c}") for c in flights.columns], scalars.leg_day(F.col("arrives"), F.col("date")).alias("__d"), F.substring("arrives", 1, STRETCH).alias("__a"))
     second = flights.select(*[F.col(c).alias(f"second_{c}") for c in flights.columns], F.substring("departs", 1, STRETCH).alias("__s"))
     stretches = second.select(F.col("second_origin").alias("__o"), F.col("second_date").alias("__e"), F.col("__s").alias("__t")).distinct()
-    reach = first.join(stretches, (F.col("first_destination") == F.col("__o")) & (F.col("__d") == F.col("__e")) & (F.col("__t") >= F.col("__a"))).drop("__o", "__e")
-    return reach.join(second, (F.col("first_destination") == F.col("second_origin")) & (F.col("__d") == F.col("second_date")) & (F.col("__t") == F.col("__s"))).drop("__d", "__s", "__t")
+    reach = first.join(stretches, (F.col("first_destination") == F.col("__o")) & (F.col("__d") == F.col("__e")) & (F.col("__t") >= F.col("__a"))).drop("__d", "__a")
+    second = second.withColumns({"__o": F.col("second_origin"), "__e": F.col("second_date")}).withColumnRenamed("__s", "__t")
+    keys = ["__o", "__e", "__t"]
+    sizes = reach.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).join(second.groupBy(*keys).agg(F.count(F.lit(1)).alias("__m")), keys)
+    slots = sizes.select(*keys, F.ceil(F.col("__n") * F.col("__m") / BLOCK).cast("int").alias("__slots"))
+    tasks = max(int(flights.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(slots.agg(F.sum("__slots")).first()[0] or 0) // BLOCKS))
+    dealt = reach.join(slots, keys).withColumn("__slot", F.pmod(F.xxhash64(*(c for c in first.columns if c.startswith("first_"))), F.col("__slots")).cast("int"))
+    repeated = second.join(slots, keys).withColumn("__slot", F.explode(F.sequence(F.lit(0), F.col("__slots") - 1)))
+    keys = [*keys, "__slot"]
+    # a number of tasks that is given is kept: small inputs aren't put together again
+    return dealt.drop("__slots").repartition(tasks, *keys).join(repeated.drop("__slots").repartition(tasks, *keys), keys).drop(*keys)
 
 
 def one_stop(flights: DataFrame) -> DataFrame:

@@ -402,6 +402,17 @@ def test_kinds_of_leaks(spark):
     assert curation.leak_kinds(frame.limit(0), bench, targets, "doc_id", "item_id").collect() == []
 
 
+def test_connections_of_one_hub_and_hour_are_many_tasks(spark, monkeypatch):
+    """Pairs of one key are dealt to many tasks, each once, and tasks aren't put together as their input is small."""
+    monkeypatch.setattr(events, "BLOCK", 200)
+    monkeypatch.setattr(events, "BLOCKS", 1)
+    rows = [("2024-05-01", "hub" if k % 2 else "o", "d" if k % 2 else "hub", "08:30", "08:00", f"f{k}") for k in range(200)]
+    out = events.one_stop(spark.createDataFrame(rows, "date string, origin string, destination string, departs string, arrives string, number string"))
+    assert out.select("first_number", "second_number").distinct().count() == out.count() == 100 * 100
+    held = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(held) > 15 and max(held) < 100 * 100 / 5
+
+
 def test_connections_compare_little_more_than_they_return(spark):
     """A hot airport whose arrivals are late and departures early: pairs that can't connect are never made."""
     rng = random.Random(3)
