@@ -47,12 +47,13 @@ def guarded(value: Column, bad: Column, cost: Column, floor: Column | None = Non
     return out if regression is None else F.when(regression, F.least(out, F.lit(-1.0) - cost)).otherwise(out)
 
 
-def assign(turns: DataFrame, members: DataFrame, version: str = "v4", group: str = "group", normalize: bool = True, coefficient: float = 1.0, labels: bool = False, extra: Column | None = None, floor: Column | None = None, regression: Column | None = None) -> DataFrame:
+def assign(turns: DataFrame, members: DataFrame, version: str = "v4", group: str = "group", normalize: bool = True, coefficient: float = 1.0, labels: bool = False, extra: Column | None = None, floor: Column | None = None, regression: Column | None = None, tasks: int | None = None) -> DataFrame:
     """Turn advantages: adds turn_return, turn_advantage and advantage (what each of the turn's tokens gets).
 
     extra: opt-in local credit of a turn (subgoals, completion bonus); floor and regression: see
     ``guarded``; labels: end with the rule for bad turns and correct refusals. Members with
-    multiplier 0 get zeros throughout.
+    multiplier 0 get zeros throughout. ``tasks``: over how many tasks turns are dealt by group where
+    their group's mean is taken; without it, Spark's number of shuffle partitions.
     """
     if version not in VERSIONS:
         raise ValueError(f"unknown version: {version}")
@@ -63,6 +64,7 @@ def assign(turns: DataFrame, members: DataFrame, version: str = "v4", group: str
             local = local + extra
         local = local - F.when(F.col("bad"), VIOLATION).otherwise(0.0) - F.col("cost")
     else:
+        rows = rows.repartition(tasks, group) if tasks else rows
         counted = F.col("complete") & F.col("present")
         centre = F.coalesce(F.avg(F.when(counted, F.col("turn_return"))).over(W.partitionBy(group)), F.lit(0.0))
         local = F.when(counted, F.col("turn_return") - centre).otherwise(0.0)

@@ -15,6 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a task that sorts them by key; more rows are more tasks, whatever number of shuffle partitions is set.
+TASK_ROWS = 400_000
+
+
+def tasks_of(rows: DataFrame) -> int:
+    """How many tasks a table's rows are dealt over, by its count."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+
+
 def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     priority = F.col("o_orderpriority")
     return table(spark, sf_dir, "orders").select(
@@ -39,7 +48,9 @@ _TURN_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extend
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem")
+    # windows, groups and joins by trajectory then need no other exchange of the turns
+    return lines.repartition(tasks_of(lines), "l_orderkey").select(
         F.col("l_orderkey").alias("trajectory_id"),
         (F.row_number().over(W.partitionBy("l_orderkey").orderBy(*_TURN_ORDER)) - 1).alias("turn"),
         (F.col("l_linestatus") == "F").alias("satisfied"),

@@ -480,7 +480,7 @@ def _credit_sql(version: str) -> str:
 
 
 def _credit(spark, sf_dir, version, **options):
-    out = credits.assign(*_credit_frames(spark, sf_dir), version=version, **options)
+    out = credits.assign(*_credit_frames(spark, sf_dir), version=version, tasks=b.tasks_of(b.table(spark, sf_dir, "lineitem")), **options)
     return longs(out.select("trajectory_id", "turn", r6(F.col("advantage") + TIE).alias("advantage")), "turn")
 
 

@@ -95,3 +95,14 @@ def test_a_turn_without_progress_changes_no_other(spark):
     b = credit.assign(spark.createDataFrame([*base, (1, 1, 0.5, 0.5, False, False, 0.0, True)], TURN), members)
     find = lambda df: {(r.trajectory_id, r.turn): r.advantage for r in df.collect()}
     assert find(a).items() <= find(b).items()
+
+
+def test_tasks_grow_with_turns(spark, monkeypatch):
+    """Turns are dealt over more tasks as there are more of them, whatever number of shuffle partitions is set."""
+    from rollmill.plans import bridges as b
+
+    root = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{root}/lineitem.parquet").count()
+    monkeypatch.setattr(b, "TASK_ROWS", n // 20)
+    rows = b.turns(spark, root).groupBy(F.spark_partition_id()).count().collect()
+    assert len(rows) >= 15 and sum(r["count"] for r in rows) == n and max(r["count"] for r in rows) < n / 8
