@@ -49,6 +49,10 @@ PARTS, ROUND_ENDS, SHARD_TOKENS = 64, (1, 4, 16, 64), 1 << 22
 #: Parallel streams of a shard in each round, tokens of a stream before the shard is cut anew, and shards whose weights one task adds up.
 STREAMS, STREAM_TOKENS, FAN = (24, 96, 192, 384), 2048, 8
 RATE = 0.25
+#: Rows that go through a softmax at once, whose logits then stay near the processor.
+BLOCK = 512
+#: Bytes of text whose tokens are told at once.
+GROUP_BYTES = 1 << 18
 CHUNK = {"max_rows": 1 << 16, "max_bytes": 8 << 20}
 ALPHA = 0.1
 #: The ending class is the tail of a token's hash.
@@ -66,7 +70,7 @@ def class_of(hashes: np.ndarray) -> np.ndarray:
 
 def tokens(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(rows, hashes, bounds) of groups of texts, end tokens included."""
-    for rows, data, offsets in groups(column):
+    for rows, data, offsets in groups(column, GROUP_BYTES):
         data = _LOWER[data]
         starts, ends = spans(data, offsets, SPACE[data])
         hashes = span_hashes(_BYTE_VALUE[data], BYTE_BASE, starts, ends)
@@ -140,9 +144,12 @@ class Gru:
         return memory
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The next state, and what the way back needs: update and reset gates, candidate, and its recurrent part."""
-        n = self.h
-        a = h @ self.U
+        """The next state, and what the way back needs: update and reset gates, candidate, and its recurrent part.
+
+        Rows are texts, but the arrays are held unit by unit, so that each gate is one run of memory.
+        """
+        n, x = self.h, np.asfortranarray(x)
+        a = (self.U.T @ h.T).T
         zr = x[:, : 2 * n] + a[:, : 2 * n]
         np.negative(zr, out=zr)
         np.exp(zr, out=zr)
@@ -158,52 +165,56 @@ class Gru:
         return new, z, r, c, a[:, 2 * n :]
 
     @staticmethod
-    def _level(logits: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> None:
-        """Takes each row's greatest value away, unless no row's can be too great or too small to exponentiate (states are within 1)."""
-        if np.abs(weights).sum(0).max() + abs(bias.max()) > 60:
-            logits -= logits.max(1, keepdims=True)
+    def _levels(weights: np.ndarray) -> np.ndarray:
+        """Whether a row's greatest value must be taken away, as some row's may be too great or too small to exponentiate (states are within 1); the last weights are biases."""
+        return np.abs(weights[..., :-1, :]).sum(-2).max(-1) + np.abs(weights[..., -1, :].max(-1)) > 60
+
+    @staticmethod
+    def _softmax(rows: np.ndarray, weights: np.ndarray, own: np.ndarray, level: bool, grad: np.ndarray | None, back: np.ndarray | None) -> np.ndarray:
+        """ln P of each row's own place, some rows at a time; their gradients are added to ``grad`` (by weight) and ``back`` (by row)."""
+        out, width = np.empty(len(rows), rows.dtype), weights.shape[1]
+        ones, room = np.ones(width, rows.dtype), np.empty((min(BLOCK, len(rows)), width), rows.dtype)
+        for a in range(0, len(rows), BLOCK):
+            part = rows[a : a + BLOCK]
+            logits = np.matmul(part, weights, out=room[: len(part)])
+            if level:
+                logits -= logits.max(1, keepdims=True)
+            flat, at = logits.ravel(), np.arange(0, logits.size, width)
+            at += own[a : a + BLOCK]
+            mine = flat.take(at)
+            np.exp(logits, out=logits)
+            total = logits @ ones
+            out[a : a + BLOCK] = mine - np.log(total)
+            if grad is not None:
+                flat[at] -= total  # now -total times the gradient
+                share = (1 / total)[:, None]
+                grad -= (logits.T @ (part * share)).T
+                back[a : a + BLOCK] -= (logits @ weights[:-1].T) * share
+        return out
 
     def outputs(self, states: np.ndarray, codes: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """ln P of the class, and of the word in a head class; with ``grads``, also the gradient by state."""
-        words = self.heads * CLASS_WORDS
+        words, n = self.heads * CLASS_WORDS, self.h
         cls = np.where(codes < words, codes // CLASS_WORDS, codes - words + self.heads)
-        every = np.arange(len(cls))
-        logits = states @ self.Wc
-        logits += self.bc
-        self._level(logits, self.Wc, self.bc)
-        own = logits[every, cls]
-        np.exp(logits, out=logits)
-        total = logits @ np.ones(logits.shape[1], logits.dtype)
-        out = own - np.log(total)
-        back = None
-        if grads is not None:
-            logits *= (-1 / total)[:, None]
-            logits[every, cls] += 1
-            grads["Wc"], grads["bc"] = states.T @ logits, logits.sum(0)
-            back = logits @ self.Wc.T
-            grads["Wo"], grads["bo"] = np.zeros_like(self.Wo), np.zeros_like(self.bo)
         order = np.argsort(cls.astype(np.uint16), kind="stable")
-        cuts = np.append(0, np.cumsum(np.bincount(cls, minlength=self.heads)[: self.heads]))
-        ones = np.ones(CLASS_WORDS, logits.dtype)
+        cuts = np.append(0, np.cumsum(np.bincount(cls, minlength=self.heads)[: self.heads])).tolist()
+        cls, codes = cls[order], codes[order]
+        rows = np.ones((len(order), n + 1), np.result_type(states, self.Wc))  # the last place is the biases'
+        rows[:, :n] = states.take(order, axis=0)
+        by_class, by_word = np.concatenate([self.Wc, self.bc[None]]), np.concatenate([self.Wo, self.bo[:, None]], 1)
+        back, grad, word_grads = None, None, [None] * self.heads
+        if grads is not None:
+            back, grad, word_grads = np.zeros((len(order), n), rows.dtype), np.zeros_like(by_class), np.zeros_like(by_word)
+            grads["Wc"], grads["bc"], grads["Wo"], grads["bo"] = grad[:n], grad[n], word_grads[:, :n], word_grads[:, n]
+        out = self._softmax(rows, by_class, cls, self._levels(by_class), grad, back)
+        levels = self._levels(by_word)
         for k in range(self.heads):
-            rows = order[cuts[k] : cuts[k + 1]]
-            if not len(rows):
-                continue
-            word = codes[rows] - k * CLASS_WORDS
-            mine = states[rows]
-            logits = mine @ self.Wo[k]
-            logits += self.bo[k]
-            self._level(logits, self.Wo[k], self.bo[k])
-            own = logits[every[: len(rows)], word]
-            np.exp(logits, out=logits)
-            total = logits @ ones
-            out[rows] += own - np.log(total)
-            if grads is not None:
-                logits *= (-1 / total)[:, None]
-                logits[every[: len(rows)], word] += 1
-                grads["Wo"][k], grads["bo"][k] = mine.T @ logits, logits.sum(0)
-                back[rows] += logits @ self.Wo[k].T
-        return out, back
+            a, b = cuts[k], cuts[k + 1]
+            if a < b:
+                out[a:b] += self._softmax(rows[a:b], by_word[k], codes[a:b] - k * CLASS_WORDS, levels[k], word_grads[k], None if back is None else back[a:b])
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        return out[place], None if back is None else back.take(place, axis=0)
 
     def learn(self, codes: np.ndarray, fresh: np.ndarray, streams: int, memory: dict[str, np.ndarray], rate: float = RATE) -> None:
         """Truncated backpropagation over one long run of tokens (fresh: the first of a text), cut into streams."""
@@ -211,44 +222,55 @@ class Gru:
         if not length:
             return
         codes, fresh = codes[: length * streams].reshape(streams, length).T, fresh[: length * streams].reshape(streams, length).T
-        before = np.empty_like(codes)
+        before = np.empty(codes.shape, np.int64)
         before[1:], before[0] = codes[:-1], self.start
         before[fresh] = self.start
-        state = np.zeros((streams, self.h), np.float32)
+        goes_on = (~fresh).astype(np.float32)
         n = self.h
+        state = np.zeros((n, streams), np.float32)  # units by streams, as all that follows
         for t0 in range(0, length, WINDOW):
             t1 = min(t0 + WINDOW, length)
             trace, states = [], np.empty((t1 - t0, streams, n), np.float32)
             for t in range(t0, t1):
-                old = np.where(fresh[t][:, None], np.float32(0), state)
-                state, z, r, c, un = self.step(self.X[before[t]], old)
-                trace.append((old, z, r, c, un))
-                states[t - t0] = state
+                old = state * goes_on[t]
+                new, *gates = self.step(self.X.take(before[t], axis=0), old.T)
+                state = new.T
+                trace.append((old, *(x.T for x in gates)))
+                states[t - t0] = new
             grads: dict[str, np.ndarray] = {}
             _, back = self.outputs(states.reshape(-1, n), codes[t0:t1].ravel(), grads)
             back = back.reshape(states.shape)
-            dx = np.empty((t1 - t0, streams, 3 * n), np.float32)
+            dx = np.empty((3 * n, t1 - t0, streams), np.float32)
             dU = np.zeros_like(self.U)
-            dh = np.zeros((streams, n), np.float32)
+            dh = np.zeros((n, streams), np.float32)
+            da = np.empty((3 * n, streams), dU.dtype)
             for t in range(t1 - 1, t0 - 1, -1):
                 old, z, r, c, un = trace[t - t0]
-                dh = dh + back[t - t0]
-                dc = dh * (1 - z) * (1 - c * c)
-                d = dx[t - t0]
-                d[:, :n] = dh * (old - c) * z * (1 - z)
-                d[:, n : 2 * n] = dc * un * r * (1 - r)
-                d[:, 2 * n :] = dc
-                da = d.copy()
-                da[:, 2 * n :] *= r
-                dU += old.T @ da
-                dh = np.where(fresh[t][:, None], np.float32(0), dh * z + da @ self.U.T)
+                dh = dh + back[t - t0].T
+                rest = 1 - z
+                dc = dh * rest
+                dc *= 1 - c * c
+                dz = old - c
+                dz *= dh
+                dz *= z
+                np.multiply(dz, rest, out=da[:n])
+                np.multiply(dc, r, out=da[2 * n :])
+                dr = da[2 * n :] * un
+                np.multiply(dr, 1 - r, out=da[n : 2 * n])
+                dx[: 2 * n, t - t0], dx[2 * n :, t - t0] = da[: 2 * n], dc
+                dU += (da @ old.T).T
+                dh *= z
+                dh += self.U @ da
+                dh *= goes_on[t]
             grads["U"] = dU
-            used, where = np.unique(before[t0:t1].ravel(), return_inverse=True)
-            order = np.argsort(where, kind="stable")
-            rows = np.add.reduceat(dx.reshape(-1, 3 * n)[order], np.searchsorted(where[order], np.arange(len(used))), axis=0)
+            at = before[t0:t1].ravel()
+            order = np.argsort(at.astype(np.uint16) if self.start < 1 << 16 else at, kind="stable")
+            at = at[order]
+            cuts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            rows = np.ascontiguousarray(np.add.reduceat(dx.reshape(3 * n, -1).take(order, axis=1), cuts, axis=1).T)
             for k in ("U", "Wc", "bc", "Wo", "bo"):
                 self._ascend(k, slice(None), grads[k], memory, rate)
-            self._ascend("X", used, rows, memory, rate)
+            self._ascend("X", at[cuts], rows, memory, rate)
 
     def _ascend(self, name: str, where, grad: np.ndarray, memory: dict[str, np.ndarray], rate: float) -> None:
         seen = memory.setdefault(name, np.full_like(getattr(self, name), 1.0))
@@ -262,13 +284,13 @@ class Gru:
         order = np.argsort(-sizes, kind="stable")
         start, sizes = bounds[:-1][order], sizes[order]
         out = np.empty(len(codes), np.float64)
-        state = np.zeros((len(sizes), self.h), np.float32)
+        state = np.zeros((self.h, len(sizes)), np.float32).T
         before = np.full(len(sizes), self.start, np.int32)
         held, at, rows = [], [], 0
         longer = np.searchsorted(-sizes, -np.arange(int(sizes[0]) if len(sizes) else 0), "left").tolist()
         for t, n in enumerate(longer):  # texts longer than t
             state, before = state[:n], before[:n]
-            state = self.step(self.X[before], state)[0]
+            state = self.step(self.X.take(before, axis=0), state)[0]
             here = start[:n] + t
             held.append(state)
             at.append(here)
@@ -307,10 +329,9 @@ def _ask(batches: Iterator[pa.RecordBatch], bucket_bits: int) -> Iterator[pa.Rec
         train = _fold(ids) != 0
         for rows, hashes, bounds in tokens(pa.array(texts, pa.large_string())):
             own = np.repeat(train[rows], np.diff(bounds))
-            for some, weight in ((hashes[own], 1), (hashes[~own], 0)):
-                values, times = _runs(some)
-                parts.append((values, times * weight))
-        hashes, counts = map(np.concatenate, zip(*parts, strict=True))
+            parts.append((hashes[own], hashes[~own]))
+        (hashes, counts), (others, _) = (_runs(np.concatenate(some)) for some in zip(*parts, strict=True))
+        hashes, counts = np.append(hashes, others), np.append(counts, np.zeros(len(others), np.int64))
         order = np.argsort(hashes, kind="stable")
         hashes, counts = hashes[order], counts[order]
         new = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))

@@ -369,6 +369,28 @@ def test_outputs_are_a_distribution():
     assert math.isclose(np.exp(ln).sum(), 1, abs_tol=1e-4)
 
 
+def test_softmaxes_go_by_blocks(monkeypatch):
+    """Some rows at a time give what all at once give, and never hold the logits of all."""
+    rng = np.random.default_rng(4)
+    _, model = small()
+    codes = rng.integers(0, 70, 20_000).astype(np.int32)
+    codes[::3] = model.heads * grulm.CLASS_WORDS + rng.integers(0, 64, len(codes[::3]))
+    states = np.tanh(rng.normal(size=(len(codes), 4))).astype(np.float32)
+    runs = []
+    for size in (len(codes), 512, 7):
+        monkeypatch.setattr(grulm, "BLOCK", size)
+        grads = {}
+        runs.append((*model.outputs(states[:3000], codes[:3000], grads), *(grads[k] for k in ("Wc", "bc", "Wo", "bo"))))
+    for run in runs[1:]:
+        assert all(np.allclose(x, y, rtol=1e-3, atol=1e-3) for x, y in zip(runs[0], run, strict=True))
+    monkeypatch.setattr(grulm, "BLOCK", 512)
+    tracemalloc.start()
+    model.outputs(states, codes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < len(codes) * (model.heads + grulm.ENDINGS) * 4
+
+
 def test_state_is_carried_through_whole_texts():
     _, model = small()
     rng = np.random.default_rng(1)
